@@ -8,7 +8,7 @@ language; an unseen word by the mean log frequency of its longest n-grams that a
 falling back from four characters to one. The posterior under equal priors is the score.
 
 Cases: null texts and texts without a letter are ``und`` with score 0; words outside every model
-table count equally for all languages, and a text with only such words is ``und`` too; ties go to
+table count equally for all languages, so a text with only such words has an even score; ties go to
 the alphabetically first language; labels null or empty do not train; without any training row
 everything is ``und``. Repeated rows count as often as they occur. ``predict`` passes all input
 columns on and replaces those named like its outputs.
@@ -17,18 +17,18 @@ columns on and replaces those named like its outputs.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinograph.llm.common import with_columns
 
 UNKNOWN = "und"
-WORD = re.compile(r"[^\W\d_]+")
+WORD = regex.compile(r"\p{L}+")
 LONGEST_GRAM = 4
 #: Longer words are scored by their n-grams in full but are not remembered.
 LONG_WORD = 40
@@ -113,15 +113,13 @@ class Scorer:
     def __call__(self, text: str | None) -> tuple[str, float]:
         if not text or not self.model.languages:
             return UNKNOWN, 0.0
-        sums = [0.0] * len(self.model.languages)
-        scored = False
-        for word, n in Counter(WORD.findall(text.lower())).items():
-            if logs := self.of_word(word):
-                scored = True
-                for i, x in enumerate(logs):
-                    sums[i] += n * x
-        if not scored:
+        words = Counter(WORD.findall(text.lower()))
+        if not words:
             return UNKNOWN, 0.0
+        sums = [0.0] * len(self.model.languages)
+        for word, n in words.items():
+            for i, x in enumerate(self.of_word(word) or ()):
+                sums[i] += n * x
         best = max(sums)
         return self.model.languages[sums.index(best)], 1.0 / sum(math.exp(max(x - best, -700.0)) for x in sums)
 

@@ -7,10 +7,39 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinograph.llm import line_dedup, sharding, url_filter
+from kinograph.llm import ann, bpe, langid, line_dedup, media, packing, quality, sharding, simhash, url_filter
 from kinograph.llm.common import table
 
 
+def vocabulary(name: str) -> bytes:
+    """A public tokenizer's file; read by the driver, sent to the tasks."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), "rb") as f:
+        return f.read()
+
+
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(~langid.held_out("doc_id")))
+    return langid.predict(docs.select("doc_id", langid.held_out("doc_id").alias("held_out"), "text"), model).drop("text")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = packing.pack(docs, vocabulary("byte_bpe_50k.json").decode(), capacity=1024, end_id=0)
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    return quality.resample(docs, labels).select("doc_id", "log_weight", "key")
+
+
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 100 == 0, k=10)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = line_dedup.drop_frequent_lines(docs)
@@ -23,15 +52,41 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "fetch_day", "host", "n_active", "lists", "matched", "blocked")
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = bpe.encode_decode(docs, vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    n_tokens = (F.length("ids") / 4).cast("long").alias("n_tokens")
+    return out.select("doc_id", n_tokens, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = simhash.group(table(spark, sf_dir, "documents").select("doc_id", "text"), distance=2, words=3)
+    return grouped.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_rows(table(spark, sf_dir, "documents"), n_shards=40, seed=20)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = media.media_features(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_langid": op1_langid,
+    "op2_packing": op2_packing,
+    "op3_quality": op3_quality,
+    "op4_ann": op4_ann,
     "op5_line_dedup": op5_line_dedup,
     "op6_url_filter": op6_url_filter,
+    "op7_bpe": op7_bpe,
+    "op8_simhash": op8_simhash,
     "op9_sharding": op9_sharding,
+    "op10_media": op10_media,
 }
 
 OP5_SQL = r"""
