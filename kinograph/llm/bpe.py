@@ -25,26 +25,23 @@ from pyspark.sql import functions as F
 #: Merges that one recursive query makes for a word at most.
 DEPTH = 48
 #: Bytes of pre-tokens that one query starts from, and texts looked at together.
-ROUND_BYTES, TEXTS_AT_ONCE = 150_000, 256
+ROUND_BYTES, TEXTS_AT_ONCE = 400_000, 256
 #: Pre-tokens that a task remembers before it starts afresh.
 MEMO_WORDS = 250_000
 
 ENCODE_SQL = f"""
-WITH RECURSIVE step(w, pos, id, depth) AS (
-  SELECT w, pos, id, 0 FROM state
+WITH RECURSIVE step(w, pos, id, after, depth) AS (
+  SELECT w, pos, id, coalesce(lead(id) OVER (PARTITION BY w ORDER BY pos), -1), 0 FROM state
   UNION ALL
-  SELECT w, pos, CASE WHEN pos = spot THEN merged ELSE id END, depth + 1
-  FROM (
-    SELECT w, pos, id, depth, before, min(best) OVER (PARTITION BY w) AS best
-    FROM (
-      SELECT p.w, p.pos, p.id, p.depth, p.before, CASE WHEN m.merged IS NOT NULL THEN m.merged::BIGINT << 32 | p.pos END AS best
-      FROM (SELECT *, lead(id) OVER o AS after, lag(pos) OVER o AS before FROM step WHERE depth < {DEPTH} WINDOW o AS (PARTITION BY w ORDER BY pos)) p
-      LEFT JOIN merges m ON m.l = p.id AND m.r = p.after
-    )
-  ), LATERAL (SELECT best >> 32 AS merged, best & 4294967295 AS spot)
-  WHERE best IS NOT NULL AND (before IS NULL OR before <> spot)
+  SELECT p.w, CASE WHEN pos > spot THEN pos - 1 ELSE pos END, CASE WHEN pos = spot + 1 THEN merged ELSE id END,
+    CASE WHEN pos = spot - 1 THEN merged ELSE after END, p.depth + 1
+  FROM step p JOIN (
+    SELECT w, best >> 32 AS merged, best & 4294967295 AS spot
+    FROM (SELECT q.w, min(m.merged::BIGINT << 32 | q.pos) AS best FROM step q JOIN merges m ON m.l = q.id AND m.r = q.after GROUP BY q.w)
+  ) b ON b.w = p.w
+  WHERE p.depth < {DEPTH} AND pos <> spot
 )
-SELECT w, pos, id, depth FROM (SELECT *, max(depth) OVER (PARTITION BY w) AS deepest FROM step) WHERE depth = deepest
+SELECT s.w, s.pos, s.id, s.depth FROM step s JOIN (SELECT w, max(depth) AS depth FROM step GROUP BY w) d ON s.w = d.w AND s.depth = d.depth
 """
 COLLECT_SQL = """
 SELECT d.w, list(d.id ORDER BY d.pos) AS ids, string_agg(v.bytes_hex, '' ORDER BY d.pos) AS decoded
@@ -109,10 +106,11 @@ class TextCoder:
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """Each text's ids and the bytes they decode to."""
         cut = [self.split(t) for t in texts]
-        new = set().union(*cut) - self.memo.keys() if cut else set()
+        every = set().union(*cut)
+        new = [w for w in every if w not in self.memo]
         if len(self.memo) + len(new) > MEMO_WORDS:
             self.memo.clear()
-            new = set().union(*cut)
+            new = list(every)
         todo, size = [], 0
         for word in sorted(new, key=len):  # words of like length need like numbers of steps
             todo.append(word)
