@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from kinograph.plans import editing, joins, pixels, sequences, signals, texts  # noqa: F401  (they register their queries)
+from kinograph.plans.registry import ORACLES, QUERIES
 
 
 def queries() -> dict:
-    return QUERIES
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return ORACLES
+    return dict(ORACLES)
