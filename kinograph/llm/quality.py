@@ -54,7 +54,7 @@ class Features:
         try:
             ids = np.array([memo[t] for t in tokens], dtype=np.int64)
         except KeyError:
-            memo.update((t, zlib.crc32(t.encode("utf-8", "replace"))) for t in set(tokens) - memo.keys())
+            memo.update((t, zlib.crc32(t.encode("utf-8", "replace"))) for t in set(tokens) if t not in memo)
             ids = np.array([memo[t] for t in tokens], dtype=np.int64)
         pairs = (ids[:-1] * 1_000_003 + ids[1:] * 7) % BUCKETS
         again = np.full(int((ids[2:] == ids[:-2]).sum()), REPEAT)
