@@ -8,14 +8,16 @@ encoded once per task and remembered. Texts with other space runs go to the toke
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
 
 #: Pieces that a task remembers before it starts afresh; bounds its memory.
 MEMO_PIECES = 400_000
-#: A space that cannot be cut at: at an end of the text, or beside white space.
-AWKWARD = re.compile(r"^ | $|\s | \s")
+#: New pieces that are encoded as one text.
+JOINED = 200
+#: White space other than the space; beside a space it keeps a text from being cut.
+BLANKS = [c for c in map(chr, (*range(9, 14), *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))]
+AWKWARD = ["  ", *[x for c in BLANKS for x in (f" {c}", f"{c} ")]]
 
 
 class Encoder:
@@ -28,26 +30,45 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.memo: dict[str, bytes] = {}
+        space = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0]
+        self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids whose token begins with a space
+        self.opens[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith(space)]] = True
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        return [np.array(e.ids, dtype="<u4") for e in found]
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Remember pieces. Those of a space and a word are encoded many at a time, and parted at the spaces."""
+        plain = [p for p in pieces if p[:1] == " " and not p[-1].isspace()]
+        other = [p for p in pieces if p[:1] != " " or p[-1].isspace()]
+        self.memo.update(zip(other, (ids.tobytes() for ids in self._encode(other))))
+        groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
+        for group, ids in zip(groups, self._encode(["".join(g) for g in groups])):
+            starts = (np.flatnonzero(self.opens[ids]) * 4).tolist()
+            if len(starts) != len(group):
+                raise ValueError("the vocabulary merges across spaces")
+            data = ids.tobytes()
+            self.memo.update(zip(group, (data[a:b] for a, b in zip(starts, [*starts[1:], len(data)]))))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [None if AWKWARD.search(t) else self._pieces(t) for t in texts]
-        new = set().union(*[p for p in cut if p]) - self.memo.keys() if any(cut) else set()
+        cut = [self._pieces(t) for t in texts]
+        every = set().union(*[p for p in cut if p])
+        new = [p for p in every if p not in self.memo]
         if len(self.memo) + len(new) > MEMO_PIECES:
             self.memo.clear()
-            new = set().union(*[p for p in cut if p])
-        ordered = list(new)
-        self.memo.update(zip(ordered, self._encode(ordered)))
+            new = list(every)
+        self._learn(new)
         whole = iter(self._encode([t for t, p in zip(texts, cut) if p is None]))
         memo = self.memo
-        return [next(whole) if p is None else b"".join([memo[x] for x in p]) for p in cut]
+        return [next(whole).tobytes() if p is None else b"".join([memo[x] for x in p]) for p in cut]
 
     @staticmethod
-    def _pieces(text: str) -> list[str]:
+    def _pieces(text: str) -> list[str] | None:
+        """The text cut before its spaces; None if one of them is at an end or beside white space."""
         if not text:
             return []
+        if text[0] == " " or text[-1] == " " or any(x in text for x in AWKWARD):
+            return None
         first, *rest = text.split(" ")
         return [first, *[" " + x for x in rest]]
