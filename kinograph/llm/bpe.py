@@ -44,7 +44,7 @@ WITH RECURSIVE step(w, pos, id, after, depth) AS (
 SELECT s.w, s.pos, s.id, s.depth FROM step s JOIN (SELECT w, max(depth) AS depth FROM step GROUP BY w) d ON s.w = d.w AND s.depth = d.depth
 """
 COLLECT_SQL = """
-SELECT d.w, list(d.id ORDER BY d.pos) AS ids, string_agg(v.bytes_hex, '' ORDER BY d.pos) AS decoded
+SELECT d.w, string_agg(v.id_hex, '' ORDER BY d.pos) AS ids, string_agg(v.bytes_hex, '' ORDER BY d.pos) AS decoded
 FROM done d JOIN vocabulary v ON v.id = d.id GROUP BY d.w
 """
 
@@ -64,7 +64,7 @@ class WordCoder:
         pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         left, right, merged = zip(*pairs) if pairs else ((), (), ())
         merges = pa.table({"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()), "merged": pa.array(merged, pa.int32())})
-        vocabulary = pa.table({"id": pa.array(ranks.values(), pa.int32()), "bytes_hex": pa.array([t.hex() for t in ranks])})
+        vocabulary = pa.table({"id": pa.array(ranks.values(), pa.int32()), "bytes_hex": pa.array([t.hex() for t in ranks]), "id_hex": pa.array([r.to_bytes(4, "little").hex() for r in ranks.values()])})
         self._load("merges", merges)
         self._load("vocabulary", vocabulary)
         self.of_byte = [ranks.get(bytes([b]), -1) for b in range(256)]
@@ -91,7 +91,7 @@ class WordCoder:
                 break
         out: list[tuple[bytes, bytes]] = [(b"", b"")] * len(words)
         for w, ids, decoded in self.db.execute(COLLECT_SQL).fetchall():
-            out[w] = (b"".join(i.to_bytes(4, "little") for i in ids), bytes.fromhex(decoded))
+            out[w] = (bytes.fromhex(ids), bytes.fromhex(decoded))
         return out
 
 
