@@ -195,12 +195,33 @@ class Nearest:
 
 
 FOUND_SCHEMA = "query_id long, vec_id long, score double"
+#: Rows that a task gathers before it keeps only the nearest of each query.
+GATHERED = 200_000
+
+
+def nearest_rows(found: list[pa.RecordBatch], k: int) -> pa.RecordBatch:
+    """The k nearest rows of each query, each row once."""
+    query, vec, score = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in found]) for i in range(3))
+    order = np.lexsort((score, vec, query))
+    query, vec, score = query[order], vec[order], score[order]
+    fresh = np.r_[True, (query[1:] != query[:-1]) | (vec[1:] != vec[:-1])][: len(query)]
+    query, vec, score = query[fresh], vec[fresh], score[fresh]
+    order = np.lexsort((vec, score, query))
+    query, vec, score = query[order], vec[order], score[order]
+    starts = np.flatnonzero(np.r_[True, query[1:] != query[:-1]][: len(query)])
+    place = np.arange(len(query)) - np.repeat(starts, np.diff(np.r_[starts, len(query)]))
+    near = place < k
+    return pa.RecordBatch.from_arrays([pa.array(query[near]), pa.array(vec[near]), pa.array(score[near])], ["query_id", "vec_id", "score"])
 
 
 def search_buckets(rows: DataFrame, dim: int, k: int) -> DataFrame:
-    """rows (cell, salt, kind, id, vec): the k nearest of each query in each bucket part."""
+    """rows (cell, part, kind, id, vec): the k nearest of each query, over the buckets of a task.
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A task merges its buckets before it passes rows on; when it has met so many queries that merging
+    no longer makes them few, it passes on what it has.
+    """
+
+    def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, query_ids, query_vecs, state = None, [], [], None
         for batch in batches:
             key = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "part", "kind")])
@@ -222,6 +243,20 @@ def search_buckets(rows: DataFrame, dim: int, k: int) -> DataFrame:
         if state is not None:
             yield state.rows()
 
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for found in by_bucket(batches):
+            held.append(found)
+            size += found.num_rows
+            if size >= GATHERED:
+                held = [nearest_rows(held, k)]
+                size = held[0].num_rows
+                if size >= GATHERED // 2:
+                    yield held[0]
+                    held, size = [], 0
+        if held:
+            yield nearest_rows(held, k)
+
     spread = rows.repartition("cell", "part").sortWithinPartitions("cell", "part", "kind")
     return spread.select("cell", "part", "kind", "id", "vec").mapInArrow(search, FOUND_SCHEMA)
 
