@@ -15,6 +15,13 @@ Copies share a fingerprint and are one class before anything is replicated. Each
 spanning forest of its links rather than all pairs; components then spread the smallest label
 along the links, with pointer jumping, each round checkpointed.
 
+Texts that share four fifths of their shingles of five words differ in more bits than a covering
+of 64 can bridge. :func:`similar` therefore cuts longer SimHash signatures into several short
+fingerprints, covers each by the Hamming code of its length, and takes as candidates what meets at an
+anchor in any of them and is close in the signature; the exact Jaccard similarity of the shingle
+sets decides. An anchor emits its minimum spanning forest, which links whatever chains of close
+signatures link.
+
 Cases: null, empty and blank texts have fingerprint zero and are linked like any other; texts of
 one or two words have one shingle; long texts are hashed in chunks; repeated rows are in one class;
 null ids are never a component's id unless a component has no other; an empty table gives an empty
@@ -36,8 +43,15 @@ from kinograph.llm.common import cut, with_columns
 BITS, SEED = 64, 42
 #: Shingles whose bits are counted at a time.
 CHUNK = 1 << 16
-#: Bit masks of the Hamming code's six checks: position p (from 1) is in check j if bit j of p is set.
-CHECKS = np.array([sum(1 << (p - 1) for p in range(1, BITS) if p >> j & 1) for j in range(6)], dtype=np.uint64)
+#: Checks of the Hamming code for a fingerprint, and for a part of a signature.
+FULL, PART = 6, 5
+#: A signature: words of 64 bits, the shingles behind it, and the parts (31 bits each) that are covered.
+SIGNATURE_WORDS, SIGNATURE_SHINGLE, PART_BITS, PARTS = 3, 2, 31, 6
+#: Bits of the first two signature words in which candidates differ at most. Texts with a Jaccard
+#: similarity of 0.8 differ in 19 of them, with a deviation of 4.
+CLOSE = 32
+#: Rows at an anchor up to which all close pairs are candidates.
+FEW = 16
 
 
 def fingerprint_text(text: str | None, words: int = 3) -> int:
@@ -63,17 +77,18 @@ def fingerprint(text: Column, words: int = 3) -> Column:
     return of_texts(text)
 
 
-def syndrome(words: np.ndarray) -> np.ndarray:
-    """Six parity checks of each word, as a number from 0 to 63."""
-    parity = np.bitwise_count(words[:, None] & CHECKS[None, :]) & 1
-    return (parity.astype(np.int64) << np.arange(6)).sum(axis=1)
+def syndrome(words: np.ndarray, checks: int = FULL) -> np.ndarray:
+    """The parity checks of each word as one number: position p (from 1) is in check j if bit j of p is set."""
+    masks = np.array([sum(1 << (p - 1) for p in range(1, 1 << checks) if p >> j & 1) for j in range(checks)], dtype=np.uint64)
+    parity = np.bitwise_count(words[:, None] & masks[None, :]) & 1
+    return (parity.astype(np.int64) << np.arange(checks)).sum(axis=1)
 
 
-def flip_sets(reach: int) -> list[np.ndarray]:
+def flip_sets(reach: int, checks: int = FULL, bits: int = BITS) -> list[np.ndarray]:
     """For each syndrome, the masks of at most ``reach`` bits that have it."""
-    masks = np.array([sum(1 << b for b in bits) for n in range(reach + 1) for bits in combinations(range(BITS), n)], dtype=np.uint64)
-    found = syndrome(masks)
-    return [masks[found == s] for s in range(64)]
+    masks = np.array([sum(1 << b for b in some) for n in range(reach + 1) for some in combinations(range(bits), n)], dtype=np.uint64)
+    found = syndrome(masks, checks)
+    return [masks[found == s] for s in range(1 << checks)]
 
 
 def replicate(classes: DataFrame, distance: int) -> DataFrame:
@@ -176,9 +191,178 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_first(docs: DataFrame, distance: int = 2, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component: the one with the smallest id, and a single row of it."""
+def remix(h: np.ndarray, k: int) -> np.ndarray:
+    """A further 64-bit hash of each hash; k = 0 is the hash itself."""
+    if k:
+        h = h ^ np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h = h ^ (h >> np.uint64(31))
+    return h
+
+
+def shingle_hashes(text: str | None, words: int) -> Iterator[np.ndarray]:
+    """Hashes of a text's word shingles, CHUNK at a time; none for a text without words."""
+    import xxhash
+
+    tokens = (text or "").encode("utf-8", "replace").lower().split()
+    shingles = max(1, len(tokens) - words + 1) if tokens else 0
+    for at in range(0, shingles, CHUNK):
+        yield np.array([xxhash.xxh64_intdigest(b" ".join(tokens[i : i + words]), SEED) for i in range(at, min(at + CHUNK, shingles))], dtype=np.uint64)
+
+
+def signature_text(text: str | None) -> list[int] | None:
+    """SIGNATURE_WORDS SimHash words, signed; None for a text without words."""
+    ones, total = np.zeros((SIGNATURE_WORDS, BITS), dtype=np.int64), 0
+    for h in shingle_hashes(text, SIGNATURE_SHINGLE):
+        total += len(h)
+        for k in range(SIGNATURE_WORDS):
+            ones[k] += np.unpackbits(remix(h, k).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > total, axis=1).view(">i8").ravel().tolist() if total else None
+
+
+def signature(text: Column) -> Column:
+    @F.arrow_udf("array<long>")
+    def of_texts(texts: pa.Array) -> pa.Array:
+        return pa.array([signature_text(t.as_py()) for t in texts], pa.list_(pa.int64()))
+
+    return of_texts(text)
+
+
+def shingle_set(text: Column, words: int) -> Column:
+    """The distinct shingles of a text as sorted 32-bit hashes."""
+
+    @F.arrow_udf("binary")
+    def of_texts(texts: pa.Array) -> pa.Array:
+        found = ([h >> np.uint64(32) for h in shingle_hashes(t.as_py(), words)] for t in texts)
+        return pa.array([np.unique(np.concatenate(f)).astype("<u4").tobytes() if f else b"" for f in found], pa.binary())
+
+    return of_texts(text)
+
+
+def jaccard(left: Column, right: Column) -> Column:
+    """Similarity of two shingle sets; 0 if both are empty."""
+
+    @F.arrow_udf("double")
+    def of_sets(lefts: pa.Array, rights: pa.Array) -> pa.Array:
+        out = []
+        for x, y in zip(lefts, rights):
+            x, y = np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(both / max(1, len(x) + len(y) - both))
+        return pa.array(out, pa.float64())
+
+    return of_sets(left, right)
+
+
+def replicate_parts(texts: DataFrame) -> DataFrame:
+    """(id, sig) to (cell, id, s0, s1): per part of the signature, every anchor within reach of two bits' difference."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = flip_sets(2, PART, PART_BITS)
+        sizes = np.array([len(m) for m in table])
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                rows = batch.slice(at, 1024)
+                ids = rows.column("id").to_numpy(zero_copy_only=False)
+                sig = rows.column("sig").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, SIGNATURE_WORDS)
+                for part in range(PARTS):
+                    word = sig[:, part // 2] >> np.uint64(part % 2 * PART_BITS) & np.uint64((1 << PART_BITS) - 1)
+                    s = syndrome(word, PART)
+                    row = np.repeat(np.arange(len(word)), sizes[s])
+                    cells = (word[row] ^ np.concatenate([table[i] for i in s])) | np.uint64(part << PART_BITS)
+                    first, second = (sig[row, i].view(np.int64) for i in range(2))
+                    yield pa.RecordBatch.from_arrays([pa.array(cells.view(np.int64)), pa.array(ids[row]), pa.array(first), pa.array(second)], ["cell", "id", "s0", "s1"])
+
+    return texts.select("id", "sig").mapInArrow(spread, "cell long, id long, s0 long, s1 long")
+
+
+def close_pairs(sig: np.ndarray) -> np.ndarray:
+    """Index pairs of an anchor's rows: all close ones of few rows, else a minimum spanning forest of them."""
+    n = len(sig)
+    if n <= FEW:
+        i, j = np.triu_indices(n, 1)
+        near = np.bitwise_count(sig[i] ^ sig[j]).sum(axis=1) <= CLOSE
+        return np.column_stack([i[near], j[near]])
+    best, via, left = np.full(n, 2 * BITS + 1), np.zeros(n, np.int64), np.arange(1, n)
+    at, links = 0, []
+    while len(left):
+        d = np.bitwise_count(sig[left] ^ sig[at]).sum(axis=1)
+        shorter = d < best[left]
+        best[left[shorter]], via[left[shorter]] = d[shorter], at
+        k = int(np.argmin(best[left]))
+        at = int(left[k])
+        if best[at] <= CLOSE:
+            links.append((via[at], at))
+        left = np.delete(left, k)
+    return np.array(links, dtype=np.int64).reshape(-1, 2)
+
+
+def candidates(replicas: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of ids that meet at an anchor with close signatures."""
+
+    def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.empty((0, 4), np.int64)
+
+        def link(rows: np.ndarray) -> pa.RecordBatch:
+            cells, sig = rows[:, 0], rows[:, 2:].view(np.uint64)
+            starts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]]) if len(rows) else np.empty(0, np.int64)
+            sizes = np.diff(np.r_[starts, len(rows)])
+            two = starts[sizes == 2]
+            two = two[np.bitwise_count(sig[two] ^ sig[two + 1]).sum(axis=1) <= CLOSE]
+            found = [np.column_stack([two, two + 1])]
+            found += [close_pairs(sig[start : start + n]) + start for start, n in zip(starts[sizes > 2], sizes[sizes > 2])]
+            met = np.unique(np.sort(rows[np.concatenate(found), 1], axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(met[:, 0]), pa.array(met[:, 1])], ["a", "b"])
+
+        for batch in batches:
+            held = np.r_[held, np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])]
+            last = np.searchsorted(held[:, 0], held[-1, 0]) if len(held) else 0
+            yield link(held[:last])
+            held = held[last:]  # the anchor that may go on in the next batch
+        yield link(held)
+
+    return replicas.repartition("cell").sortWithinPartitions("cell").mapInArrow(pairs_of, "a long, b long").where("a <> b").distinct()
+
+
+def similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Links (a, b), a < b, between ids of different texts whose shingle sets have the given Jaccard similarity.
+
+    Ids are integers. Equal texts are represented by their smallest id; rows without an id and
+    texts without words have no links. Texts are read for the signatures, and those of candidates
+    once more, for the shingles.
+    """
+    narrow = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    signed = narrow.select("id", F.md5(F.col("text").cast("binary")).alias("digest"), signature(F.col("text")).alias("sig")).where("sig is not null")
+    texts = cut(signed.groupBy("digest").agg(F.min("id").alias("id"), F.min("sig").alias("sig")))
+    pairs = cut(candidates(replicate_parts(texts)))
+    asked = pairs.select(F.col("a").alias("__id")).unionByName(pairs.select(F.col("b").alias("__id"))).distinct()
+    shingles = narrow.join(asked.hint("shuffle_hash"), F.col("id") == F.col("__id")).select("id", shingle_set(F.col("text"), words).alias("shingles"))
+    shingles = cut(shingles)
+    left, right = (shingles.select(F.col("id").alias(f"{x}_id"), F.col("shingles").alias(f"{x}_shingles")) for x in "ab")
+    both = pairs.join(left, F.col("a") == F.col("a_id")).join(right, F.col("b") == F.col("b_id"))
+    return both.where(jaccard(F.col("a_shingles"), F.col("b_shingles")) >= similarity).select("a", "b").distinct()
+
+
+def join_groups(grouped: DataFrame, links: DataFrame) -> DataFrame:
+    """``grouped`` (doc_id, fp, component_id) with the components that ``links`` between ids connect made one."""
+    of_id = grouped.select(F.col("doc_id").alias("id"), F.col("component_id").alias("top")).distinct()
+    tops = links.join(of_id, F.col("a") == F.col("id")).select(F.col("top").alias("x"), "b").join(of_id, F.col("b") == F.col("id"))
+    tops = tops.where("x <> top").select(F.least("x", "top").alias("a"), F.greatest("x", "top").alias("b")).distinct()
+    labels = components(cut(tops))
+    joined = grouped.join(labels, F.col("component_id") == F.col("node"), "left")
+    return joined.select("doc_id", "fp", F.coalesce("label", "component_id").alias("component_id"))
+
+
+def keep_first(docs: DataFrame, distance: int = 2, words: int = 3, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, shingle_words: int = 5) -> DataFrame:
+    """One document of each component: the one with the smallest id, and a single row of it.
+
+    With ``similarity``, texts that share so much of their shingles of ``shingle_words`` words are
+    linked too.
+    """
     grouped = group(docs, distance, words, id_col, text_col)
+    if similarity is not None:
+        grouped = cut(join_groups(cut(grouped), similar(docs, similarity, shingle_words, id_col, text_col)))
     keep = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
     kept = docs.join(keep.hint("shuffle_hash"), docs[id_col].eqNullSafe(F.col("__keep"))).drop("__keep")
     repeated = not grouped.groupBy("doc_id").count().where("count > 1").isEmpty()

@@ -359,6 +359,69 @@ def test_media_sequences(spark):
     assert len(whole) == 1 and [x["position"] for x in whole[0]["items"]] == list(range(6))
 
 
+def shingles_of(text, words=5):
+    w = text.encode().lower().split()
+    return {tuple(w[j : j + words]) for j in range(max(1, len(w) - words + 1))} if w else set()
+
+
+def brute_similar(rows, similarity=0.8):
+    sets = {i: shingles_of(t) for i, t in rows if i is not None}
+    text = dict(rows)
+    first = {}
+    for i in sorted(sets):
+        first.setdefault(text[i], i)
+    pairs = ((a, b) for a, b in itertools.combinations(sorted(first.values()), 2) if sets[a] and sets[b])
+    return {(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])}
+
+
+def brute_groups(rows):
+    """Smallest id of the group of each id, by fingerprints and similar texts."""
+    top = {int(i): c for i, _, c in brute_simhash(rows)}
+    for a, b in brute_similar(rows):
+        lo, hi = sorted((top[a], top[b]))
+        top = {i: lo if c == hi else c for i, c in top.items()}
+    return top
+
+
+def edited(rng, words, n):
+    out = list(words)
+    for at in rng.choice(len(out), n, replace=False):
+        out[at] = f"new{rng.integers(1 << 30)}"
+    return " ".join(out)
+
+
+def test_similar_texts_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for family in range(30):
+        words = [f"w{x}" for x in rng.integers(0, 400, 150 + 20 * family)]
+        rows += [(len(rows) + j, edited(rng, words, n)) for j, n in enumerate((0, 0, 1, 2, 3, 12, 40))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want, have = brute_similar(rows), {(r["a"], r["b"]) for r in simhash.similar(docs).collect()}
+    assert have <= want
+    top = brute_groups(rows)
+    kept = {r["doc_id"] for r in simhash.keep_first(docs, similarity=0.8).collect()}
+    assert kept == set(top.values())
+    assert len(kept) < len({c for _, _, c in brute_simhash(rows)})
+
+
+def test_similar_texts_of_a_large_family(spark):
+    """More texts at an anchor than are compared pair by pair: its forest still joins them."""
+    rng = np.random.default_rng(7)
+    words = [f"w{x}" for x in rng.integers(0, 400, 600)]
+    rows = [(i, edited(rng, words, 2)) for i in range(300)] + [(1000, " ".join(f"v{x}" for x in rng.integers(0, 400, 600)))]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string"), similarity=0.8)
+    assert {r["doc_id"] for r in kept.collect()} == {0, 1000}
+
+
+def test_similar_texts_awkward(spark, awkward):
+    assert simhash.similar(awkward.limit(0)).isEmpty()
+    assert {(r["a"], r["b"]) for r in simhash.similar(awkward).collect()} == brute_similar(texts(awkward))
+    kept = simhash.keep_first(awkward, similarity=0.8)
+    assert kept.columns == awkward.columns
+    assert {r["doc_id"] for r in kept.collect() if r["doc_id"]} >= {1, 3, 5, 7, 12}
+
+
 def test_pipeline_against_brute_force(spark, documents, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
@@ -376,7 +439,7 @@ def test_pipeline_against_brute_force(spark, documents, tmp_path):
             holders[key(line)].add(i)
     gone = {k: max(v) for k, v in holders.items() if len(k) >= 20 and len(v) >= 3}
     rows = {i: "\n".join(x for x in t.split("\n") if gone.get(key(x), i) == i) for i, t in rows.items()}
-    keep = {c for _, _, c in brute_simhash(list(rows.items()))}
+    keep = set(brute_groups(list(rows.items())).values())
     want = {i: ids_of(t) for i, t in rows.items() if i in keep}
     have = defaultdict(int)
     for p in pipeline.run(spark, SF).collect():
