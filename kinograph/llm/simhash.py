@@ -19,8 +19,9 @@ Texts that share four fifths of their shingles of five words differ in more bits
 of 64 can bridge. :func:`similar` therefore cuts longer SimHash signatures into several short
 fingerprints, covers each by the Hamming code of its length, and takes as candidates what meets at an
 anchor in any of them and is close in the signature; the exact Jaccard similarity of the shingle
-sets decides. An anchor emits its minimum spanning forest, which links whatever chains of close
-signatures link.
+sets decides. A crowded anchor first emits a minimum spanning forest only. Its rows then go through
+further rounds, labelled with the components of the links found so far, until every close pair at
+the anchor was tested or lies within one component: what the decision rejects hides no other link.
 
 Cases: null, empty and blank texts have fingerprint zero and are linked like any other; texts of
 one or two words have one shingle; long texts are hashed in chunks; repeated rows are in one class;
@@ -50,8 +51,12 @@ SIGNATURE_WORDS, SIGNATURE_SHINGLE, PART_BITS, PARTS = 3, 2, 31, 6
 #: Bits of the first two signature words in which candidates differ at most. Texts with a Jaccard
 #: similarity of 0.8 differ in 19 of them, with a deviation of 4.
 CLOSE = 32
-#: Rows at an anchor up to which all close pairs are candidates.
+#: Rows at an anchor up to which all close pairs are candidates at once.
 FEW = 16
+#: Neighbours of each row of a crowded anchor in the first round after its forest; each round takes this many times as many.
+NEXT = 4
+#: Distances between signatures that are held at a time.
+BLOCK = 1 << 21
 
 
 def fingerprint_text(text: str | None, words: int = 3) -> int:
@@ -277,17 +282,18 @@ def replicate_parts(texts: DataFrame) -> DataFrame:
     return texts.select("id", "sig").mapInArrow(spread, "cell long, id long, s0 long, s1 long")
 
 
-def close_pairs(sig: np.ndarray) -> np.ndarray:
-    """Index pairs of an anchor's rows: all close ones of few rows, else a minimum spanning forest of them."""
+def close_pairs(sig: np.ndarray) -> tuple[np.ndarray, bool]:
+    """Index pairs of an anchor's rows: all close ones of few rows, else a minimum spanning forest of them; whether close pairs are left."""
     n = len(sig)
     if n <= FEW:
         i, j = np.triu_indices(n, 1)
         near = np.bitwise_count(sig[i] ^ sig[j]).sum(axis=1) <= CLOSE
-        return np.column_stack([i[near], j[near]])
+        return np.column_stack([i[near], j[near]]), False
     best, via, left = np.full(n, 2 * BITS + 1), np.zeros(n, np.int64), np.arange(1, n)
-    at, links = 0, []
+    at, links, close = 0, [], 0
     while len(left):
         d = np.bitwise_count(sig[left] ^ sig[at]).sum(axis=1)
+        close += int((d <= CLOSE).sum())  # every pair is seen once
         shorter = d < best[left]
         best[left[shorter]], via[left[shorter]] = d[shorter], at
         k = int(np.argmin(best[left]))
@@ -295,25 +301,60 @@ def close_pairs(sig: np.ndarray) -> np.ndarray:
         if best[at] <= CLOSE:
             links.append((via[at], at))
         left = np.delete(left, k)
-    return np.array(links, dtype=np.int64).reshape(-1, 2)
+    return np.array(links, dtype=np.int64).reshape(-1, 2), close > len(links)
 
 
-def candidates(replicas: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of ids that meet at an anchor with close signatures."""
+def further_pairs(sig: np.ndarray, label: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, bool]:
+    """Index pairs (i, j), i < j, of close rows with different labels, j being from the ``lo``-th to before the ``hi``-th nearest close row behind i.
+
+    Ranks do not depend on labels, so that windows [lo, hi) that follow each other miss no pair. Also
+    says whether a later window has pairs.
+    """
+    n, at, found, more = len(sig), 0, [np.empty((0, 2), np.int64)], False
+    while at < n - 1 and (label != label[0]).any():
+        rows = np.arange(at, min(n - 1, at + max(1, BLOCK // (n - at))))
+        behind = np.arange(at + 1, n)
+        d = np.bitwise_count(sig[rows, None, :] ^ sig[None, behind, :]).sum(axis=2)
+        close = (d <= CLOSE) & (behind > rows[:, None])
+        for r in np.flatnonzero((close & (label[behind] != label[rows][:, None])).any(axis=1)):
+            near = np.flatnonzero(close[r])
+            near = behind[near[np.argsort(d[r, near], kind="stable")]]
+            apart = label[near] != label[rows[r]]
+            more = more or bool(apart[hi:].any())
+            due = near[lo:hi][apart[lo:hi]]
+            found.append(np.column_stack([np.full(len(due), rows[r]), due]))
+        at = int(rows[-1]) + 1
+    return np.concatenate(found), more
+
+
+def candidates(replicas: DataFrame, window: tuple[int, int] | None = None) -> DataFrame:
+    """Pairs (a, b), a < b, of ids that meet at an anchor with close signatures, and the rows (cell, a, s0, s1) of anchors where more are left.
+
+    ``replicas`` (cell, id, s0, s1) are taken pair by pair or, at crowded anchors, as a forest; with a
+    ``window``, replicas (cell, id, s0, s1, label) give the pairs of :func:`further_pairs`.
+    """
 
     def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.empty((0, 4), np.int64)
+        held = np.empty((0, 5 if window else 4), np.int64)
 
         def link(rows: np.ndarray) -> pa.RecordBatch:
-            cells, sig = rows[:, 0], rows[:, 2:].view(np.uint64)
+            cells, sig = rows[:, 0], rows[:, 2:4].view(np.uint64)
             starts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]]) if len(rows) else np.empty(0, np.int64)
             sizes = np.diff(np.r_[starts, len(rows)])
             two = starts[sizes == 2]
             two = two[np.bitwise_count(sig[two] ^ sig[two + 1]).sum(axis=1) <= CLOSE]
-            found = [np.column_stack([two, two + 1])]
-            found += [close_pairs(sig[start : start + n]) + start for start, n in zip(starts[sizes > 2], sizes[sizes > 2])]
+            found, left = [np.column_stack([two, two + 1])], [rows[:0]]
+            for start, n in zip(starts[sizes > 2], sizes[sizes > 2]):
+                here = slice(start, start + n)
+                pairs, more = further_pairs(sig[here], rows[here, 4], *window) if window else close_pairs(sig[here])
+                found.append(pairs + start)
+                if more:
+                    left.append(rows[here])
             met = np.unique(np.sort(rows[np.concatenate(found), 1], axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(met[:, 0]), pa.array(met[:, 1])], ["a", "b"])
+            met, left = met[met[:, 0] != met[:, 1]], np.concatenate(left)
+            none = [pa.nulls(len(left), pa.int64()), pa.nulls(len(met), pa.int64())]
+            columns = [(met[:, 0], left[:, 1]), (met[:, 1], none[0]), (none[1], left[:, 0]), (none[1], left[:, 2]), (none[1], left[:, 3])]
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())]) for x, y in columns], ["a", "b", "cell", "s0", "s1"])
 
         for batch in batches:
             held = np.r_[held, np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])]
@@ -322,7 +363,13 @@ def candidates(replicas: DataFrame) -> DataFrame:
             held = held[last:]  # the anchor that may go on in the next batch
         yield link(held)
 
-    return replicas.repartition("cell").sortWithinPartitions("cell").mapInArrow(pairs_of, "a long, b long").where("a <> b").distinct()
+    order = ["cell", "id"] if window else ["cell"]  # ranks of rows are the same in every round
+    return replicas.repartition("cell").sortWithinPartitions(*order).mapInArrow(pairs_of, "a long, b long, cell long, s0 long, s1 long")
+
+
+def pairs_and_rest(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The distinct pairs that :func:`candidates` gave, and the rows of the anchors where more are left."""
+    return found.where("cell is null").select("a", "b").distinct(), found.where("cell is not null").select("cell", F.col("a").alias("id"), "s0", "s1")
 
 
 def similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -330,18 +377,34 @@ def similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: st
 
     Ids are integers. Equal texts are represented by their smallest id; rows without an id and
     texts without words have no links. Texts are read for the signatures, and those of candidates
-    once more, for the shingles.
+    once more, for the shingles. Not every link is given: those that join no components are left out
+    at crowded anchors.
     """
     narrow = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = narrow.select("id", F.md5(F.col("text").cast("binary")).alias("digest"), signature(F.col("text")).alias("sig")).where("sig is not null")
     texts = cut(signed.groupBy("digest").agg(F.min("id").alias("id"), F.min("sig").alias("sig")))
-    pairs = cut(candidates(replicate_parts(texts)))
+    pairs, rest = pairs_and_rest(cut(candidates(replicate_parts(texts))))
+    pairs = cut(pairs)
+    # a row with a close one at its anchor has a pair there, so later rounds need no further shingles
     asked = pairs.select(F.col("a").alias("__id")).unionByName(pairs.select(F.col("b").alias("__id"))).distinct()
     shingles = narrow.join(asked.hint("shuffle_hash"), F.col("id") == F.col("__id")).select("id", shingle_set(F.col("text"), words).alias("shingles"))
     shingles = cut(shingles)
     left, right = (shingles.select(F.col("id").alias(f"{x}_id"), F.col("shingles").alias(f"{x}_shingles")) for x in "ab")
-    both = pairs.join(left, F.col("a") == F.col("a_id")).join(right, F.col("b") == F.col("b_id"))
-    return both.where(jaccard(F.col("a_shingles"), F.col("b_shingles")) >= similarity).select("a", "b").distinct()
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(left, F.col("a") == F.col("a_id")).join(right, F.col("b") == F.col("b_id"))
+        return cut(both.where(jaccard(F.col("a_shingles"), F.col("b_shingles")) >= similarity).select("a", "b").distinct())
+
+    links, lo, hi = linked(pairs), 0, NEXT
+    while not rest.isEmpty():
+        labels = components(links)
+        labelled = rest.join(labels, F.col("id") == F.col("node"), "left").select("cell", "id", "s0", "s1", F.coalesce("label", "id").alias("label"))
+        fresh, rest = pairs_and_rest(cut(candidates(labelled, (lo, hi))))
+        fresh = cut(fresh.join(pairs, ["a", "b"], "left_anti"))
+        pairs = cut(pairs.unionByName(fresh))
+        links = cut(links.unionByName(linked(fresh)))
+        lo, hi = hi, hi * NEXT
+    return links
 
 
 def join_groups(grouped: DataFrame, links: DataFrame) -> DataFrame:

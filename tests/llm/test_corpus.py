@@ -414,6 +414,45 @@ def test_similar_texts_of_a_large_family(spark):
     assert {r["doc_id"] for r in kept.collect()} == {0, 1000}
 
 
+def test_similar_texts_whose_forest_is_rejected(spark):
+    """At a crowded anchor the closest signatures can have too little in common, and further ones enough: every close pair decides."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for family in range(4):
+        words = [f"w{x}" for x in rng.integers(0, 400, 120)]
+        rows += [(len(rows) + j, edited(rng, words, 1 + j % 4)) for j in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want, have = brute_similar(rows), {(r["a"], r["b"]) for r in simhash.similar(docs).collect()}
+    assert have <= want
+    top = lambda links: {frozenset(g) for g in groups_of(links)}
+    assert top(have) == top(want)
+
+
+def groups_of(links):
+    of = {i: {i} for pair in links for i in pair}
+    for a, b in links:
+        if of[a] is not of[b]:
+            of[a] |= of[b]
+            for i in of[b]:
+                of[i] = of[a]
+    return of.values()
+
+
+@pytest.mark.parametrize("n", [17, 60])
+def test_rounds_of_an_anchor_meet_every_close_pair(n):
+    rng = np.random.default_rng(n)
+    sig = rng.integers(0, 1 << 63, (1, 2)).astype(np.uint64) ^ np.array([[1 << rng.integers(63) | 1 << rng.integers(63), 1 << rng.integers(63)] for _ in range(n)], np.uint64)
+    pairs, more = simhash.close_pairs(sig)
+    assert len(pairs) == n - 1 and more
+    label, met, lo, hi = np.arange(n), [], 0, simhash.NEXT
+    while more:
+        pairs, more = simhash.further_pairs(sig, label, lo, hi)
+        met += [tuple(map(int, p)) for p in pairs]
+        lo, hi = hi, hi * simhash.NEXT
+    assert sorted(met) == list(itertools.combinations(range(n), 2))
+    assert not simhash.further_pairs(sig, np.zeros(n, int), 0, hi)[1] and not len(simhash.further_pairs(sig, np.zeros(n, int), 0, hi)[0])
+
+
 def test_similar_texts_awkward(spark, awkward):
     assert simhash.similar(awkward.limit(0)).isEmpty()
     assert {(r["a"], r["b"]) for r in simhash.similar(awkward).collect()} == brute_similar(texts(awkward))
