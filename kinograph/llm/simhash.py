@@ -16,8 +16,8 @@ spanning forest of its links rather than all pairs; components then spread the s
 along the links, with pointer jumping, each round checkpointed.
 
 Texts that share four fifths of their shingles of five words differ in more bits than a covering
-of 64 can bridge. :func:`similar` therefore cuts longer SimHash signatures into several short
-fingerprints, covers each by the Hamming code of its length, and takes as candidates what meets at an
+of 64 can bridge. :func:`similar` therefore cuts longer SimHash signatures, over distinct shingles
+like the similarity itself, into several short fingerprints, covers each by the Hamming code of its length, and takes as candidates what meets at an
 anchor in any of them and is close in the signature; the exact Jaccard similarity of the shingle
 sets decides. A crowded anchor first emits a minimum spanning forest only. Its rows then go through
 further rounds, labelled with the components of the links found so far, until every close pair at
@@ -217,13 +217,20 @@ def shingle_hashes(text: str | None, words: int) -> Iterator[np.ndarray]:
 
 
 def signature_text(text: str | None) -> list[int] | None:
-    """SIGNATURE_WORDS SimHash words, signed; None for a text without words."""
-    ones, total = np.zeros((SIGNATURE_WORDS, BITS), dtype=np.int64), 0
-    for h in shingle_hashes(text, SIGNATURE_SHINGLE):
-        total += len(h)
+    """SIGNATURE_WORDS SimHash words over the distinct shingles of the whole text, signed; None for a text without words.
+
+    The similarity that decides is one of sets, so how often a passage is repeated must not count here either.
+    """
+    found = [np.unique(h) for h in shingle_hashes(text, SIGNATURE_SHINGLE)]
+    if not found:
+        return None
+    distinct = found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+    ones = np.zeros((SIGNATURE_WORDS, BITS), dtype=np.int64)
+    for at in range(0, len(distinct), CHUNK):
+        h = distinct[at : at + CHUNK]
         for k in range(SIGNATURE_WORDS):
             ones[k] += np.unpackbits(remix(h, k).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(ones * 2 > total, axis=1).view(">i8").ravel().tolist() if total else None
+    return np.packbits(ones * 2 > len(distinct), axis=1).view(">i8").ravel().tolist()
 
 
 def signature(text: Column) -> Column:

@@ -453,6 +453,22 @@ def test_rounds_of_an_anchor_meet_every_close_pair(n):
     assert not simhash.further_pairs(sig, np.zeros(n, int), 0, hi)[1] and not len(simhash.further_pairs(sig, np.zeros(n, int), 0, hi)[0])
 
 
+def test_similar_texts_that_repeat_a_passage(spark):
+    """How often a refrain or a row is repeated changes no shingle set, and so no signature by much."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for family in range(20):
+        words = [f"w{x}" for x in rng.integers(0, 4000, 210)]
+        rows += [(2 * family + j, " ".join(words[:200] + words[200:] * n)) for j, n in enumerate((1, 10 + family))]
+    assert {(2 * i, 2 * i + 1) for i in range(20)} <= brute_similar(rows)
+    bits = [[np.array(simhash.signature_text(t), np.int64).view(np.uint64) for _, t in rows[i : i + 2]] for i in range(0, 40, 2)]
+    assert max(int(np.bitwise_count(a ^ b)[:2].sum()) for a, b in bits) <= simhash.CLOSE // 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r["a"], r["b"]) for r in simhash.similar(docs).collect()} == brute_similar(rows)
+    long = " ".join(f"w{x}" for x in rng.integers(0, 4000, simhash.CHUNK))  # repeats over the bounds of chunks count once, too
+    assert simhash.signature_text(f"{long} {long} {long}") == simhash.signature_text(f"{long} {long}")
+
+
 def test_similar_texts_awkward(spark, awkward):
     assert simhash.similar(awkward.limit(0)).isEmpty()
     assert {(r["a"], r["b"]) for r in simhash.similar(awkward).collect()} == brute_similar(texts(awkward))
