@@ -87,21 +87,6 @@ def ducking(levels: Column, threshold: float, ratio: float, attack: float, relea
     return F.aggregate(levels, none, step, lambda a: a["o"])
 
 
-def push_overlaps(spans: Column) -> Column:
-    """Of spans (lo, hi, ...) in order: each is moved right until the one before it ends; the shift carries on.
-
-    Gives an array of the new starts.
-    """
-    none = F.struct(F.lit(0).cast("long").alias("shift"), F.lit(None).cast("long").alias("end"), F.array().cast("array<bigint>").alias("o"))
-
-    def step(a: Column, s: Column) -> Column:
-        lo = s["lo"] + a["shift"]
-        shift = a["shift"] + F.greatest(F.lit(0), F.coalesce(a["end"] - lo, F.lit(0)))
-        return F.struct(shift.cast("long").alias("shift"), (s["hi"] + shift).alias("end"), F.array_append(a["o"], s["lo"] + shift).alias("o"))
-
-    return F.aggregate(spans, none, step, lambda a: a["o"])
-
-
 def rolling_median(x: str, on: list[str], order: list[str], reach: int) -> Column:
     """Upper median of the rows within ``reach``; null where the frame is cut off."""
     around = F.collect_list(x).over(Window.partitionBy(*on).orderBy(*order).rowsBetween(-reach, reach))

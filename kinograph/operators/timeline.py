@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kinograph.operators.sequences import push_overlaps
-
 
 def ripple(clips: DataFrame, moved: Column, shift: int, lo: str = "lo", hi: str = "hi") -> DataFrame:
     """Shift the clips that ``moved`` names; the others stay."""
@@ -33,13 +31,13 @@ def ripple_remove(clips: DataFrame, gone: Column, track: str = "track", lo: str
 def resolve_overlaps(clips: DataFrame, on: list[str], id_col: str, lo: str = "lo", hi: str = "hi") -> DataFrame:
     """(keys, id, new_lo, new_hi): clips pushed right until none overlaps its predecessor; pushes carry on.
 
-    A fold over each track's clips, which an array holds.
+    Both a clip's end and its successor's start carry the shift so far, so that each pair adds its own overlap
+    only: the shift is a running sum, and no array holds a track.
     """
-    span = F.struct(F.col(lo).alias("lo"), F.col(id_col).alias("id"), F.col(hi).alias("hi"))
-    tracks = clips.groupBy(*on).agg(F.array_sort(F.collect_list(span)).alias("spans"))
-    moved = tracks.select(*on, F.explode(F.arrays_zip(F.col("spans").alias("span"), push_overlaps(F.col("spans")).alias("at"))).alias("m"))
-    length = F.col("m.span.hi") - F.col("m.span.lo")
-    return moved.select(*on, F.col("m.span.id").alias(id_col), F.col("m.at").alias("new_lo"), (F.col("m.at") + length).alias("new_hi"))
+    w = Window.partitionBy(*on).orderBy(lo, id_col)
+    pushed = clips.withColumn("__over", F.greatest(F.lit(0), F.coalesce(F.lag(hi).over(w) - F.col(lo), F.lit(0))))
+    pushed = pushed.withColumn("__shift", F.sum("__over").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return pushed.select(*on, id_col, (F.col(lo) + F.col("__shift")).alias("new_lo"), (F.col(hi) + F.col("__shift")).alias("new_hi"))
 
 
 def split(clips: DataFrame, lo: str, hi: str, at: int) -> DataFrame:

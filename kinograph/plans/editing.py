@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from kinograph.operators import sequences as S
 from kinograph.operators import timeline as T
 from kinograph.functions.curves import snap
-from kinograph.plans.registry import query
+from kinograph.plans.registry import query, whole
 from kinograph.sources.tables import CLIPS, CUES, PACKETS, clips, cues, packets, table
 
 
@@ -37,6 +37,11 @@ def resolve_overlaps(spark, d):
     return T.resolve_overlaps(some, ["track"], "clip_id").select("track", "clip_id", "new_lo", "new_hi")
 
 
+@query("resolve_overlaps_whole", whole("resolve_overlaps", (" WHERE clip_id % 8 = 0", "")))
+def resolve_overlaps_whole(spark, d):
+    return T.resolve_overlaps(clips(spark, d), ["track"], "clip_id").select("track", "clip_id", "new_lo", "new_hi")
+
+
 @query("split_clip", f"WITH {CLIPS} SELECT clip_id, 0 AS part, lo, CASE WHEN 1200 > lo AND 1200 < hi THEN 1200 ELSE hi END AS hi FROM clips UNION ALL SELECT clip_id, 1, 1200, hi FROM clips WHERE 1200 > lo AND 1200 < hi")
 def split_clip(spark, d):
     return T.split(clips(spark, d).select("clip_id", "lo", "hi"), "lo", "hi", 1200)

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from kinograph.functions.curves import bezier
 from kinograph.operators import joins
-from kinograph.plans.registry import query
+from kinograph.plans.registry import query, whole
 from kinograph.sources.tables import CLIPS, PACKETS, PIXELS, clips, packets, pixels, table
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000
@@ -275,8 +275,17 @@ def on_beat_frames(spark, d):
 t AS (SELECT id, off AS start, 0 AS depth FROM n WHERE parent IS NULL UNION ALL SELECT n.id, t.start + n.off, t.depth + 1 FROM n JOIN t ON n.parent = t.id) SELECT id, start, depth FROM t""",
 )
 def comp_flatten(spark, d):
+    return flattened(table(spark, d, "orders").where("o_orderkey < 64"))
+
+
+@query("comp_flatten_whole", whole("comp_flatten", (" WHERE o_orderkey < 64", "")))
+def comp_flatten_whole(spark, d):
+    return flattened(table(spark, d, "orders"))
+
+
+def flattened(orders):
     parent = F.when(F.col("o_orderkey") > 0, F.expr("o_orderkey div 2"))
-    nodes = table(spark, d, "orders").where("o_orderkey < 64").select("o_orderkey", parent.alias("parent"), (F.col("o_custkey") % 100).alias("off"))
+    nodes = orders.select("o_orderkey", parent.alias("parent"), (F.col("o_custkey") % 100).alias("off"))
     return joins.flatten_tree(nodes, "o_orderkey", "parent", "off")
 
 
@@ -288,9 +297,18 @@ l AS (SELECT g.x, g.y, s.z, s.w, s.h, (g.x - cx) * cos(-a) - (g.y - cy) * sin(-a
 SELECT x, y, max(z) AS top FROM l WHERE abs(u) <= w / 2 AND abs(v) <= h / 2 GROUP BY x, y""",
 )
 def point_in_rotated_rect(spark, d):
+    return top_sprites(spark, table(spark, d, "part").where("p_partkey < 200"))
+
+
+@query("point_in_rotated_rect_whole", whole("point_in_rotated_rect", (" WHERE p_partkey < 200", "")))
+def point_in_rotated_rect_whole(spark, d):
+    return top_sprites(spark, table(spark, d, "part"))
+
+
+def top_sprites(spark, part):
     """The top-most sprite under each point of a fixed grid; the grid (300 points) is broadcast."""
     p = F.col("p_partkey")
-    sprites = table(spark, d, "part").where("p_partkey < 200").select(
+    sprites = part.select(
         p.alias("z"), (p * 37 % 400).cast("double").alias("cx"), (p * 53 % 300).cast("double").alias("cy"), (F.lit(10.0) + F.col("p_size")).alias("w"), (F.lit(8.0) + F.col("p_size") / 2).alias("h"), F.radians((p % 90).cast("double")).alias("a")
     )
     grid = spark.range(300).select((F.col("id") % 20 * 20).alias("x"), (F.expr("id div 20") * 20).alias("y"))

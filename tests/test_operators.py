@@ -7,9 +7,11 @@ import struct
 
 from pyspark.sql import functions as F
 
+from kinograph import catalogue
 from kinograph.operators import joins, sequences, timeline
 from kinograph.operators.pipeline import Pipeline
 from kinograph.sources import containers as C
+from tests.oracle import DATA
 
 
 def in_files(spark, tmp_path, **data):
@@ -135,6 +137,33 @@ def test_grouped_fold_streams_keys(spark):
     assert out.where(F.col("total") != F.expr("i div 3 + 1")).isEmpty() and out.count() == 3000
 
 
+def test_overlaps_are_pushed_from_clip_to_clip(spark):
+    rng = random.Random(3)
+    rows = [(i, i % 3, lo, lo + rng.randrange(1, 40)) for i in range(900) for lo in [rng.randrange(4000)]]
+    want = set()
+    for track in range(3):
+        end = None
+        shift = 0
+        for lo, i, hi in sorted((lo, i, hi) for i, t, lo, hi in rows if t == track):
+            shift += max(0, end - (lo + shift)) if end is not None else 0
+            end = hi + shift
+            want.add((track, i, lo + shift, end))
+    clips = spark.createDataFrame(rows, "clip_id long, track long, lo long, hi long")
+    assert set(map(tuple, timeline.resolve_overlaps(clips, ["track"], "clip_id").collect())) == want
+
+
+def test_whole_queries_read_every_row(spark):
+    d = str(DATA)
+    rows = lambda name: spark.read.parquet(f"{d}/{name}.parquet").count()
+    whole = catalogue.queries()
+    assert whole["resolve_overlaps_whole"](spark, d).count() == rows("orders")
+    assert whole["dft_magnitude_whole"](spark, d).select("source_id").distinct().count() == rows("embeddings")
+    assert whole["spectral_flux_whole"](spark, d).select("source_id").distinct().count() == rows("embeddings")
+    assert whole["comp_flatten_whole"](spark, d).count() == rows("orders")
+    wide = str(DATA.parent / "sf0.01")  # sf0.001 has 200 parts
+    assert whole["point_in_rotated_rect_whole"](spark, wide).agg(F.max("top")).first()[0] >= 200
+
+
 def test_diff_apply_undo(spark):
     row = spark.createDataFrame([({"a": "1", "b": "2"}, {"b": "3", "c": "4"})], "o map<string,string>, n map<string,string>")
     patched = row.withColumn("p", timeline.map_diff(F.col("o"), F.col("n")))
