@@ -87,6 +87,35 @@ def ducking(levels: Column, threshold: float, ratio: float, attack: float, relea
     return F.aggregate(levels, none, step, lambda a: a["o"])
 
 
+def kalman_steps(q: float = 1e-5, r: float = 1e-2) -> Callable[[float], float]:
+    """The filter of :func:`kalman`, one value at a time, for :func:`grouped_fold`."""
+    p, x = 1.0, 0.0
+
+    def step(z: float) -> float:
+        nonlocal p, x
+        p += q
+        k = p / (p + r)
+        x += k * (z - x)
+        p *= 1.0 - k
+        return x
+
+    return step
+
+
+def ducking_steps(threshold: float, ratio: float, attack: float, release: float) -> Callable[[float], float]:
+    """The gain of :func:`ducking`, one level at a time, for :func:`grouped_fold`."""
+    g = 1.0
+
+    def step(level: float) -> float:
+        nonlocal g
+        goal = 1.0 / ratio if level > threshold else 1.0
+        keep = attack if goal < g else release
+        g = g * keep + goal * (1.0 - keep)
+        return g
+
+    return step
+
+
 def rolling_median(x: str, on: list[str], order: list[str], reach: int) -> Column:
     """Upper median of the rows within ``reach``; null where the frame is cut off."""
     around = F.collect_list(x).over(Window.partitionBy(*on).orderBy(*order).rowsBetween(-reach, reach))

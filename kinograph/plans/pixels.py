@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from kinograph.functions import colour as C
-from kinograph.plans.registry import query
+from kinograph.plans.registry import query, whole
 from kinograph.sources.tables import CLIPS, PIXELS, SAMPLES, clips, pcm, pixels, table
 
 UNIT = f"""{PIXELS}, px AS (SELECT p, r / 255.0::DOUBLE AS r, g / 255.0::DOUBLE AS g, b / 255.0::DOUBLE AS b FROM pixels)"""
@@ -57,6 +58,19 @@ def composite_layers(spark, d):
     return frames.select("day", F.size("layers").cast("long").alias("layers"), F.round(mixed, 6).alias("v"))
 
 
+@query("composite_layers_whole", whole("composite_layers", ("range(0, 200) d(day)", "(SELECT unnest(range(min(lo), max(hi))) AS day FROM clips) d")))
+def composite_layers_whole(spark, d):
+    """Every frame's first eight layers, laid over each other in order; no array holds more than eight."""
+    from kinograph.operators.joins import grid_of
+
+    rank = F.row_number().over(Window.partitionBy("day").orderBy("layer", "clip_id"))
+    rows = grid_of(clips(spark, d).select("clip_id", "lo", "hi", "layer"), "lo", "hi", 1, "day").withColumn("n", rank).where("n <= 8")
+    look = F.struct("n", ((F.col("clip_id") * 37 % 256) / 255.0).alias("v"), (F.lit(0.25) + F.col("clip_id") % 3 * 0.25).alias("alpha"))
+    frames = rows.groupBy("day").agg(F.array_sort(F.collect_list(look)).alias("layers"))
+    mixed = F.aggregate("layers", F.lit(0.0), lambda v, x: C.over(v, x["v"], x["alpha"]))
+    return frames.select("day", F.size("layers").cast("long").alias("layers"), F.round(mixed, 6).alias("v"))
+
+
 @query("chroma_key", f"WITH {PIXELS} SELECT p, CASE WHEN sqrt(0.0::DOUBLE + r * r + (g - 255) * (g - 255) + b * b) < 120 THEN 0 ELSE 255 END AS alpha FROM pixels")
 def chroma_key(spark, d):
     away = C.chroma_distance(F.col("r"), F.col("g"), F.col("b"), (0, 255, 0))

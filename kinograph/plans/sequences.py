@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kinograph.operators import sequences as S
-from kinograph.plans.registry import query
+from kinograph.plans.registry import query, whole
 from kinograph.sources.tables import CLIPS, PACKETS, SAMPLES, clips, packets, pcm, samples, table
 
 
@@ -197,6 +197,23 @@ def changed_frames(spark, d):
     return frames.withColumn("was", was).where("was is null or was <> ids").select("day", F.size("ids").cast("long").alias("n"))
 
 
+@query(
+    "changed_frames_whole",
+    f"""WITH {CLIPS}, e AS (SELECT track, clip_id, unnest(range(lo, hi)) AS day FROM clips), f AS (SELECT track, day, list_sort(list(clip_id)) AS ids FROM e GROUP BY track, day),
+l AS (SELECT track, day, ids, lag(ids) OVER (PARTITION BY track ORDER BY day) AS was FROM f) SELECT track, day, len(ids) AS n FROM l WHERE was IS NULL OR was <> ids""",
+)
+def changed_frames_whole(spark, d):
+    """Frames of every track whose set of clips differs from the frame before.
+
+    Clips last a day at least, so that a set changes exactly where a clip starts or ends; a running sum of both counts its clips.
+    """
+    c = clips(spark, d)
+    starts, ends = c.select("track", F.col("lo").alias("day"), F.lit(1).alias("step")), c.select("track", F.col("hi").alias("day"), F.lit(-1).alias("step"))
+    steps = starts.unionByName(ends).groupBy("track", "day").agg(F.sum("step").alias("step"))
+    held = F.sum("step").over(Window.partitionBy("track").orderBy("day").rowsBetween(Window.unboundedPreceding, 0))
+    return steps.withColumn("n", held).where("n > 0").select("track", "day", "n")
+
+
 @query("waveform_bins", f"WITH {SAMPLES} SELECT source_id, i // 8 AS bin, round(avg(abs(x)), 6) AS level FROM samples GROUP BY 1, 2")
 def waveform_bins(spark, d):
     bins = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda b: F.aggregate(F.slice("x", b * 8 + 1, 8), F.lit(0.0), lambda a, v: a + F.abs(v)) / 8)
@@ -340,6 +357,36 @@ def ducking_gain(spark, d):
     return out.select("track", (F.col("n") + 1).cast("long").alias("n"), F.round("g", 5).alias("gain"))
 
 
+def fold_tracks(spark, d, make, out):
+    """A fold over each track's whole sequence, streamed with constant state; ``make()`` gives the step from one value to the next output."""
+
+    def numbered():
+        step, n = make(), 0
+
+        def take(pts, event_id, z):
+            nonlocal n
+            n += 1
+            return [n, step(z)]
+
+        return take
+
+    rows = packets(spark, d).withColumn("z", F.col("value") / 100)
+    return S.grouped_fold(rows, "track", ["pts", "event_id"], "z", numbered, f"track long, pts long, event_id long, n long, {out} double")
+
+
+ALL_ROWS = (" QUALIFY n <= 50", "")
+
+
+@query("kalman_smooth_whole", whole("kalman_smooth", ALL_ROWS))
+def kalman_smooth_whole(spark, d):
+    return fold_tracks(spark, d, S.kalman_steps, "x").select("track", "n", F.round("x", 4).alias("x"))
+
+
+@query("ducking_gain_whole", whole("ducking_gain", ALL_ROWS))
+def ducking_gain_whole(spark, d):
+    return fold_tracks(spark, d, lambda: S.ducking_steps(2.5, 4.0, 0.3, 0.9), "gain").select("track", "n", F.round("gain", 5).alias("gain"))
+
+
 @query("last_value_per_key", "SELECT user_id AS track, event_type AS name, arg_max(value, ts) AS value FROM events GROUP BY 1, 2")
 def last_value_per_key(spark, d):
     return table(spark, d, "events").groupBy(F.col("user_id").alias("track"), F.col("event_type").alias("name")).agg(F.max_by("value", "ts").alias("value"))

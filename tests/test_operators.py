@@ -164,6 +164,24 @@ def test_whole_queries_read_every_row(spark):
     assert whole["point_in_rotated_rect_whole"](spark, wide).agg(F.max("top")).first()[0] >= 200
 
 
+def test_whole_queries_read_every_frame_and_long_tracks(spark, tmp_path):
+    whole = catalogue.queries()
+    events = spark.range(700).selectExpr("id AS event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id) AS ts", "id % 7 DIV 6 AS user_id", "'view' AS event_type", "CAST(id * 37 % 490 AS double) AS value", "'{}' AS props")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    for name in ("kalman_smooth_whole", "ducking_gain_whole"):
+        found = whole[name](spark, str(tmp_path))
+        assert sorted(r["n"] for r in found.where("track = 0").collect()) == list(range(1, 601))
+    values = [i * 37 % 490 / 100 for i in range(700) if i % 7 != 6]
+    step = sequences.kalman_steps()
+    want = [round(step(v), 4) for v in values]
+    assert want[-1] == round(spark.createDataFrame([(values,)], "z array<double>").select(sequences.kalman(F.col("z"))).first()[0][-1], 4)
+    assert all(abs(a["x"] - b) < 2e-4 for a, b in zip(whole["kalman_smooth_whole"](spark, str(tmp_path)).where("track = 0").orderBy("n").collect(), want))
+    days = whole["composite_layers_whole"](spark, str(DATA)).agg(F.max("day")).first()[0]
+    assert days == spark.read.parquet(f"{DATA}/orders.parquet").selectExpr("max(datediff(to_date(o_orderdate), date'1995-01-01') + o_orderkey % 50)").first()[0] > 400
+    changed = whole["changed_frames_whole"](spark, str(DATA)).agg(F.count_distinct("track"), F.max("day")).first()
+    assert changed[0] == 16 and changed[1] > 400
+
+
 def test_diff_apply_undo(spark):
     row = spark.createDataFrame([({"a": "1", "b": "2"}, {"b": "3", "c": "4"})], "o map<string,string>, n map<string,string>")
     patched = row.withColumn("p", timeline.map_diff(F.col("o"), F.col("n")))
