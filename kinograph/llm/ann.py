@@ -6,6 +6,8 @@ buckets too: a neighbour at distance d has projections that scatter around the q
 towards the mean by the correlation 1 - d^2 / 2V, so the probability of each bucket follows from the
 normal distribution; buckets are visited in the order of that estimate until their sum reaches
 ``success``. The distances and spreads come from a bounded sample of the rows; every row is indexed.
+The width is the largest, up to one that follows from the number of rows, at which MOST_PROBES buckets
+reach ``success``; queries that fall short of it all the same visit no bucket and are searched exactly.
 
 Queries and rows meet by bucket in tasks that stream the rows past the bucket's queries and pass
 on the nearest few of each, by exact distance in double precision; merging the tables gives the result.
@@ -35,8 +37,10 @@ from kinograph.llm.common import cut
 
 #: Elements of one block of differences; bounds a task's memory.
 BLOCK_ELEMENTS = 2_000_000
-#: Buckets that a query visits in one table at most.
+#: Buckets that a query visits in one table at most; one that needs more is searched exactly.
 MOST_PROBES = 2048
+#: Share of a sample's visits that must reach their target at the width taken, and queries in the sample.
+REACHED, REACH_SAMPLE = 0.98, 50
 #: Queries of one exact pass over all rows.
 EXACT_BLOCK = 2000
 #: A bucket is crowded above this share of all rows (of all queries), or above the least number.
@@ -72,8 +76,8 @@ class Hashing:
             h ^= h >> np.uint64(32)
         return h.view(np.int64)
 
-    def probes(self, along: np.ndarray, table: int) -> np.ndarray:
-        """The cells that a query with projections ``along`` (width) visits, most promising first."""
+    def ranked(self, along: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
+        """Chances and window numbers of the MOST_PROBES most promising cells for a query with projections ``along`` (width)."""
         at = slice(table * self.width, (table + 1) * self.width)
         centre = self.mean[at] + self.correlation * (along - self.mean[at])
         scatter = self.spread[at] * math.sqrt(max(1e-9, 1 - self.correlation**2))
@@ -89,8 +93,23 @@ class Hashing:
             best = np.argsort(-both, kind="stable")[:MOST_PROBES]
             codes = np.column_stack([codes[best // len(number)], number[best % len(number)]])
             chance = both[best]
-        n = int(np.searchsorted(np.cumsum(chance), self.success)) + 1
-        return self.cells(codes[:n], table)
+        return chance, codes
+
+    def probes(self, along: np.ndarray) -> list[np.ndarray]:
+        """The cells that a query with projections ``along`` (tables, width) visits in each table; none if they miss ``success`` in any."""
+        cells = []
+        for table in range(self.tables):
+            chance, codes = self.ranked(along[table], table)
+            n = int(np.searchsorted(np.cumsum(chance), self.success)) + 1
+            if n > len(chance):
+                return [np.empty(0, np.int64)]
+            cells.append(self.cells(codes[:n], table))
+        return cells
+
+    def reached(self, sample: np.ndarray) -> float:
+        """Share of the sample's rows that would, as queries, reach ``success`` in every table."""
+        _, along = self.codes(sample)
+        return float(np.mean([len(self.probes(a)[0]) > 0 for a in along]))
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -112,15 +131,13 @@ def vectors(rows: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int]
 
 
 def fit(vecs: DataFrame, dim: int, n_rows: int, tables: int = 6, success: float = 0.4, sample_rows: int = 4096, seed: int = 4) -> Hashing:
-    """Draw the projections and measure, on about ``sample_rows`` rows, spreads and the distance of a near neighbour."""
+    """Draw the projections and measure, on about ``sample_rows`` rows, spreads and the distance of a near neighbour.
+
+    Where MOST_PROBES buckets miss ``success``, fewer projections make larger buckets, until they reach it.
+    """
     share = int(min(1.0, sample_rows / max(1, n_rows)) * 2**30)
     sample = np.array([r[0] for r in vecs.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(2**30)) < share).select("vec").collect()]).reshape(-1, dim)
     width = max(2, round(math.log2(max(2, n_rows)) / 2.6))
-    rng = np.random.default_rng(seed)
-    directions = rng.standard_normal((dim, tables * width))
-    along = sample @ directions if len(sample) else np.zeros((1, tables * width))
-    spread = np.maximum(along.std(axis=0), 1e-9)
-    window = np.full(tables * width, 1.35) * spread
     correlation = 0.9
     if len(sample) > 2:
         some = sample[:: max(1, len(sample) // 200)][:200]
@@ -130,7 +147,17 @@ def fit(vecs: DataFrame, dim: int, n_rows: int, tables: int = 6, success: float
         total = ((sample - sample.mean(axis=0)) ** 2).sum(axis=1).mean()
         if np.isfinite(nearest).any() and total > 0:
             correlation = float(np.clip(1 - np.median(nearest[np.isfinite(nearest)]) / (2 * total), 0.1, 0.95))
-    return Hashing(directions, rng.uniform(0, 1, tables * width) * window, window, along.mean(axis=0), spread, correlation, tables, width, success)
+    while True:
+        rng = np.random.default_rng(seed)
+        directions = rng.standard_normal((dim, tables * width))
+        along = sample @ directions if len(sample) else np.zeros((1, tables * width))
+        spread = np.maximum(along.std(axis=0), 1e-9)
+        window = np.full(tables * width, 1.35) * spread
+        hashing = Hashing(directions, rng.uniform(0, 1, tables * width) * window, window, along.mean(axis=0), spread, correlation, tables, width, success)
+        asked = sample[:: max(1, len(sample) // REACH_SAMPLE)][:REACH_SAMPLE]
+        if width == 1 or not len(asked) or hashing.reached(asked) >= REACHED:
+            return hashing
+        width -= 1
 
 
 def bucket_rows(vecs: DataFrame, hashing: Hashing, dim: int, as_queries: bool) -> DataFrame:
@@ -144,7 +171,7 @@ def bucket_rows(vecs: DataFrame, hashing: Hashing, dim: int, as_queries: bool) -
                 part = batch.slice(start, 256)
                 codes, along = h.codes(matrix(part.column("vec"), dim))
                 if as_queries:
-                    visits = [np.concatenate([h.probes(a[t], t) for t in range(h.tables)]) for a in along]
+                    visits = [np.concatenate(h.probes(a)) for a in along]
                     where = np.repeat(np.arange(len(visits)), [len(v) for v in visits])
                     cells = np.concatenate(visits)
                 else:

@@ -197,6 +197,30 @@ def test_neighbours_recall(spark):
     assert all(abs(s - exact[q][v]) < 1e-12 for q, f in found.items() for _, v, s in f if v in exact[q])
 
 
+def test_neighbours_visit_enough_buckets_of_large_tables(spark):
+    """At the width of a large table, the most promising buckets still hold a neighbour with the wanted probability."""
+    rng = np.random.default_rng(11)
+    vecs = rng.standard_normal((500, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs / np.linalg.norm(vecs, axis=1, keepdims=True))], "id long, vec array<double>")
+    n = 1 << 31
+    hashing = ann.fit(df, 64, n, sample_rows=n)
+    _, along = hashing.codes(np.array([r["vec"] for r in df.orderBy("id").limit(60).collect()]))
+    mass = np.array([[hashing.ranked(a[t], t)[0].sum() for t in range(hashing.tables)] for a in along])
+    assert (mass >= hashing.success).all(axis=1).mean() > 0.9
+    for a, m in zip(along, mass):
+        assert (sum(map(len, hashing.probes(a))) > 0) == bool((m >= hashing.success).all())
+
+
+def test_neighbours_are_searched_exactly_where_buckets_fall_short(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((3000, 32)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = defaultdict(list)
+    for r in ann.search(df, F.col("id") % 100 == 0, success=0.99999).orderBy("rank").collect():
+        found[r["query_id"]].append(r["vec_id"])
+    assert found == {q: [v for v, _ in near] for q, near in brute_nearest(rows).items()}
+
+
 def test_neighbours_awkward(spark):
     rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [None, 1.0]), (7, [float("nan"), 1.0]), (8, [1.0]), (None, [1.0, 1.0]), (100, [3.0, 4.0])]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, rank int")
