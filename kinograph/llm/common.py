@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,12 +40,79 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a small table in one partition.
+PARTITION_ROWS = 500_000
+
+
+def cut_small(df: DataFrame, most_rows: int) -> DataFrame:
+    """:func:`cut` of a table with at most so many rows, into as many partitions as it needs."""
+    return cut(df.coalesce(1 + most_rows // PARTITION_ROWS))
+
+
+#: Rows of a few numbers or digests that may be broadcast: some 60 MB at most.
+BROADCAST_ROWS = 1_000_000
+
+
+def narrow_side(df: DataFrame) -> DataFrame:
+    """A narrow, materialised side of a join: broadcast if it is counted small, else the build side of a shuffled hash join."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("shuffle_hash")
+
+
+def cut_in_place(df: DataFrame) -> DataFrame:
+    """:func:`cut` that keeps what is known of the rows' partitioning and order.
+
+    A checkpoint carries both on, but only from a plan that is fixed before it runs; so adaptive
+    execution rests meanwhile. Joins and groupings of such tables on the key they are dealt by need no
+    exchange, and where they are sorted by it no sort.
+    """
+    conf = df.sparkSession.conf
+    was = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut(df)
+    finally:
+        conf.set("spark.sql.adaptive.enabled", was)
+
+
 def with_columns(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """``withColumns`` in which the given columns replace those of the same name, whatever their case."""
     taken = {c.lower() for c in columns}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken], *[v.alias(k) for k, v in columns.items()])
 
 
+def parts(batch, rows: int = 256) -> Iterator:
+    """A batch or array in slices of at most ``rows`` rows, so that few texts at a time become Python objects."""
+    for at in range(0, len(batch), rows):
+        yield batch.slice(at, rows)
+
+
+def give_back() -> None:
+    """Return the free memory of a Python worker to the system; workers outlive their tasks and those of later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+class Memo(dict):
+    """What a task remembers per text key, bounded by an estimate of its bytes: when full it starts afresh."""
+
+    def __init__(self, most_bytes: int, entry_bytes: int):
+        super().__init__()
+        self.most, self.entry, self.bytes = most_bytes, entry_bytes, 0
+
+    def room(self, keys) -> bool:
+        """Count ``keys`` as about to be added; false if everything remembered had to go for them."""
+        size = sum(map(len, keys)) + self.entry * len(keys)
+        self.bytes += size
+        if self.bytes <= self.most or not self:
+            return True
+        self.clear()
+        self.bytes = size
+        return False
+
+
 def buckets_for(n_rows: int, least: int = 256) -> int:
     """Power of two, so that a bucket holds about RANK_GROUP_ROWS rows whatever the input's size."""
     n = least

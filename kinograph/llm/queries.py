@@ -33,7 +33,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
-    return quality.resample(docs, labels).select("doc_id", "log_weight", "key")
+    return quality.resample(docs, labels, carry=["doc_id"]).select("doc_id", "log_weight", "key")
 
 
 def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
