@@ -2,15 +2,18 @@
 
 Training counts, per language, the words of labelled rows and the n-grams of those words, in Spark.
 The labelled rows are a bounded sample: per language about ``sample_docs`` documents, chosen by a
-digest of the id; the model keeps the ``max_words`` most frequent words and ``max_grams`` most
-frequent n-grams. Prediction reads whole texts: a known word scores by its log frequency in every
-language; an unseen word by the mean log frequency of its longest n-grams that are known,
-falling back from four characters to one. The posterior under equal priors is the score.
+digest of the id, each read whole. Every label that is not null is learned; a word or n-gram
+enters the model if it was met ``least`` times in some language's sample, so every language has its own
+share, and the model's size follows the sample's (at most tokens / ``least`` words a language).
+Prediction reads whole texts: a known word scores by its log frequency in every language; an
+unseen word by the mean log frequency of its longest n-grams that are known, falling back from four
+characters to one. The posterior under equal priors is the score.
 
 Cases: null texts and texts without a letter are ``und`` with score 0; words outside every model
 table count equally for all languages, so a text with only such words has an even score; ties go to
-the alphabetically first language; labels null or empty do not train; without any training row
-everything is ``und``. Repeated rows count as often as they occur. ``predict`` passes all input
+the alphabetically first language; null labels do not train, an empty label is a label like any
+other; a language of whose sample no n-gram was met ``least`` times (rows without letters, say) is
+not learned; without any training row everything is ``und``. Repeated rows count as often as they occur. ``predict`` passes all input
 columns on and replaces those named like its outputs.
 """
 
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -25,15 +29,13 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinograph.llm.common import with_columns
+from kinograph.llm.common import Memo, cut, give_back, parts, with_columns
 
 UNKNOWN = "und"
 WORD = regex.compile(r"\p{L}+")
 LONGEST_GRAM = 4
-#: Longer words are scored by their n-grams in full but are not remembered.
-LONG_WORD = 40
-MEMO_WORDS = 200_000
-MOST_LANGUAGES = 200
+#: Bytes of the unseen words that a task remembers, and of an entry beside its text and a language's number.
+MEMO_BYTES, ENTRY_BYTES, NUMBER_BYTES = 32_000_000, 200, 40
 
 
 @dataclass
@@ -55,20 +57,18 @@ def _log_table(rows: list, languages: list[str]) -> dict[str, tuple[float, ...]]
     return {k: tuple(math.log((c[i] + 0.5) / totals[i]) for i in range(len(languages))) for k, c in counts.items()}
 
 
-def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample_docs: int = 1500, max_words: int = 60_000, max_grams: int = 40_000) -> Model:
-    """Count words and n-grams of about ``sample_docs`` labelled rows per language."""
-    rows = rows.where(F.col(text_col).isNotNull() & (F.col(label_col) != "")).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label"))
-    sizes = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MOST_LANGUAGES).collect()
+def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample_docs: int = 1500, least: int = 4) -> Model:
+    """Count words and n-grams of about ``sample_docs`` labelled rows per language; those met ``least`` times in a language come to the driver."""
+    rows = rows.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label"))
+    sizes = rows.groupBy("label").count().collect()  # a row for each language
     if not sizes:
         return Model([], {}, {})
-    languages = sorted(r["label"] for r in sizes)
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["label"], min(1.0, sample_docs / r["count"]))])
     chance = F.conv(F.substring(F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double") / 2.0**32
     sample = rows.where(chance < F.element_at(share, F.col("label")))
     found = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"))
-    words = sample.select("label", F.explode(found).alias("key")).groupBy("label", "key").agg(F.count(F.lit(1)).alias("n")).cache()
-    top_words = words.orderBy(F.desc("n"), "key", "label").limit(max_words).collect()
-    padded = F.concat(F.lit("_"), F.substring("key", 1, LONG_WORD), F.lit("_"))
+    words = cut(sample.select("label", F.explode(found).alias("key")).groupBy("label", "key").agg(F.count(F.lit(1)).alias("n")))
+    padded = F.concat(F.lit("_"), F.col("key"), F.lit("_"))
     grams = F.flatten(
         F.transform(
             F.sequence(F.lit(1), F.lit(LONGEST_GRAM)),
@@ -76,17 +76,18 @@ def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
         )
     )
     counted = words.select("label", "n", F.explode(grams).alias("key")).groupBy("label", "key").agg(F.sum("n").alias("n"))
-    top_grams = counted.orderBy(F.desc("n"), "key", "label").limit(max_grams).select("label", "key", "n").collect()
-    words.unpersist()
-    tables = [_log_table([r for r in top_grams if len(r["key"]) == k], languages) for k in range(1, LONGEST_GRAM + 1)]
-    return Model(languages, _log_table(top_words, languages), {k: v for t in tables for k, v in t.items()})
+    often = lambda counts: counts.where(F.col("n") >= least).select("label", "key", "n").collect()
+    met = often(counted)
+    languages = sorted({r["label"] for r in met})
+    tables = [_log_table([r for r in met if len(r["key"]) == k], languages) for k in range(1, LONGEST_GRAM + 1)]
+    return Model(languages, _log_table(often(words), languages), {k: v for t in tables for k, v in t.items()})
 
 
 class Scorer:
-    """Scores texts; remembers unseen words, up to MEMO_WORDS at a time."""
+    """Scores texts; remembers unseen words."""
 
     def __init__(self, model: Model):
-        self.model, self.memo = model, {}
+        self.model, self.memo = model, Memo(MEMO_BYTES, ENTRY_BYTES + NUMBER_BYTES * len(model.languages))
 
     def backoff(self, word: str) -> tuple[float, ...] | None:
         """Mean log frequencies of the longest known n-grams; None if not even a letter is known."""
@@ -103,10 +104,7 @@ class Scorer:
         if (known := self.model.words.get(word)) is not None:
             return known
         if word not in self.memo:
-            if len(word) > LONG_WORD:
-                return self.backoff(word)
-            if len(self.memo) >= MEMO_WORDS:
-                self.memo.clear()
+            self.memo.room((word,))
             self.memo[word] = self.backoff(word)
         return self.memo[word]
 
@@ -127,14 +125,15 @@ class Scorer:
 def predictor(model: Model, spark) -> callable:
     """Column function: text to struct<lang, score>."""
     shared = spark.sparkContext.broadcast(model)
-    kept: list[Scorer] = []  # one for each task
 
     @F.arrow_udf("struct<lang: string, score: double>")
-    def predict_texts(texts: pa.Array) -> pa.Array:
-        if not kept:
-            kept.append(Scorer(shared.value))
-        found = [kept[0](t.as_py()) for t in texts]
-        return pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["lang", "score"])
+    def predict_texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        score = Scorer(shared.value)
+        for texts in batches:
+            found = [score(t) for part in parts(texts) for t in part.to_pylist()]
+            yield pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["lang", "score"])
+        del score
+        give_back()
 
     return predict_texts
 
