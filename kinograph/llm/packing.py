@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinograph.llm.common import buckets_for, cut, group_rank
+from kinograph.llm.common import buckets_for, cut, give_back, group_rank, parts
 from kinograph.llm.tokens import Encoder
 
 #: Texts that are encoded at a time; bounds a task's memory together with their length.
@@ -94,8 +94,7 @@ def cut_pieces(docs: DataFrame, tokenizer_json: str, capacity: int = 1024, end_i
         encoder = Encoder(shared.value)
         end = end_id.to_bytes(4, "little")
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                part = batch.slice(at, TEXTS_AT_ONCE)
+            for part in parts(batch, TEXTS_AT_ONCE):
                 rows = []
                 for i, ids in enumerate(encoder.encode([t or "" for t in part.column(1).to_pylist()])):
                     ids += end
@@ -106,6 +105,8 @@ def cut_pieces(docs: DataFrame, tokenizer_json: str, capacity: int = 1024, end_i
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
                 arrays = [part.column(0).take(pa.array(where)), *[pa.array(c, t) for c, t in zip(columns, kinds)]]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
+        del encoder
+        give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length int, ids_crc32 long, doc_tokens long, ids binary"

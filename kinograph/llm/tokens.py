@@ -11,8 +11,10 @@ import os
 
 import numpy as np
 
-#: Pieces that a task remembers before it starts afresh; bounds its memory.
-MEMO_PIECES = 400_000
+from kinograph.llm.common import Memo
+
+#: Bytes of the pieces that a task remembers, and of an entry beside its text.
+MEMO_BYTES, ENTRY_BYTES = 48_000_000, 200
 #: New pieces that are encoded as one text.
 JOINED = 200
 #: White space other than the space; beside a space it keeps a text from being cut.
@@ -29,7 +31,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo(MEMO_BYTES, ENTRY_BYTES)
         space = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0]
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids whose token begins with a space
         self.opens[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith(space)]] = True
@@ -55,8 +57,7 @@ class Encoder:
         cut = [self._pieces(t) for t in texts]
         every = set().union(*[p for p in cut if p])
         new = [p for p in every if p not in self.memo]
-        if len(self.memo) + len(new) > MEMO_PIECES:
-            self.memo.clear()
+        if not self.memo.room(new):
             new = list(every)
         self._learn(new)
         whole = iter(self._encode([t for t, p in zip(texts, cut) if p is None]))
