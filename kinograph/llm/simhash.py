@@ -15,23 +15,28 @@ Copies share a fingerprint and are one class before anything is replicated. Each
 spanning forest of its links rather than all pairs; components then spread the smallest label
 along the links, with pointer jumping, each round checkpointed.
 
-Texts that share four fifths of their shingles of five words differ in more bits than a covering
-of 64 can bridge. :func:`similar` therefore cuts longer SimHash signatures, over distinct shingles
-like the similarity itself, into several short fingerprints, covers each by the Hamming code of its length, and takes as candidates what meets at an
-anchor in any of them and is close in the signature; the exact Jaccard similarity of the shingle
-sets decides. A crowded anchor first emits a minimum spanning forest only. Its rows then go through
-further rounds, labelled with the components of the links found so far, until every close pair at
-the anchor was tested or lies within one component: what the decision rejects hides no other link.
+Texts that share four fifths of their distinct shingles of five words differ in more bits than a
+covering of 64 can bridge. :func:`similar_sets` therefore takes longer SimHash signatures, over distinct
+pairs of words, and cuts them into PARTS short fingerprints, each covered by the Hamming code of its
+length. What meets at an anchor in any of them and is close in a further signature word is a
+candidate; the exact Jaccard similarity of the shingle sets decides. If a replaced passage brings a pair
+down to 0.8, each bit differs with probability 0.15, so that it meets at an anchor of one part with
+probability 0.2 and in any of twelve with 0.93; at 0.85 that is 0.98, at 0.9 0.999. Single words
+replaced here and there touch fewer pairs of words: there it is over 0.999 at 0.8 too. A crowded anchor first emits a minimum
+spanning forest of its close pairs only, with ties broken alike everywhere, so that anchors agree on
+it; when those are decided, its rows meet again with the components they are in by then and a sketch of
+1024 bits, and every pair between components that is close in both is a candidate too. Anchors with more rows than one task should hold are dealt, block by block, to many.
 
 Cases: null, empty and blank texts have fingerprint zero and are linked like any other; texts of
 one or two words have one shingle; long texts are hashed in chunks; repeated rows are in one class;
-null ids are never a component's id unless a component has no other; an empty table gives an empty
-result. Input columns are passed on, those named like an output are replaced.
+null ids are never a component's id unless a component has no other; different texts under one id
+are different documents; an empty table gives an empty result. Input columns are passed on, those
+named like an output are replaced.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -39,45 +44,69 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinograph.llm.common import cut, with_columns
+from kinograph.llm.common import cut, cut_small, give_back, narrow_side, parts, with_columns
 
 BITS, SEED = 64, 42
 #: Shingles whose bits are counted at a time.
 CHUNK = 1 << 16
 #: Checks of the Hamming code for a fingerprint, and for a part of a signature.
 FULL, PART = 6, 5
-#: A signature: words of 64 bits, the shingles behind it, and the parts (31 bits each) that are covered.
-SIGNATURE_WORDS, SIGNATURE_SHINGLE, PART_BITS, PARTS = 3, 2, 31, 6
-#: Bits of the first two signature words in which candidates differ at most. Texts with a Jaccard
-#: similarity of 0.8 differ in 19 of them, with a deviation of 4.
-CLOSE = 32
-#: Rows at an anchor up to which all close pairs are candidates at once.
-FEW = 16
-#: Neighbours of each row of a crowded anchor in the first round after its forest; each round takes this many times as many.
-NEXT = 4
+#: A signature, over shingles of so many words: the parts (31 bits each) that are covered, two to a word of 64 bits, behind one word for the distance at an anchor.
+SIGNATURE_SHINGLE, PART_BITS, PARTS = 2, 31, 12
+SIGNATURE_WORDS = 1 + PARTS // 2
+#: Bits of that word in which candidates differ at most. Texts with a Jaccard similarity of 0.8 differ
+#: in 9.7 of them, with a deviation of 2.9.
+CLOSE = 20
+#: Words of a sketch over the shingles that decide, and its bits in which a pair of a crowded anchor differs
+#: at most: at 0.8 it differs in 155, with a deviation of 11.5. Smaller sets are not judged by it.
+SKETCH_WORDS, FAR, SKETCHED = 16, 193, 64
+#: Rows at an anchor up to which all close pairs are candidates at once, and up to which one task holds it.
+FEW, MOST = 4, 20_000
 #: Distances between signatures that are held at a time.
 BLOCK = 1 << 21
 
 
-def fingerprint_text(text: str | None, words: int = 3) -> int:
-    """The 64-bit SimHash of a text's word shingles, as a signed integer."""
+#: The bits of each byte, highest first.
+BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "replace").lower().split()  # bytes: ASCII case and ASCII blanks only
+
+
+def shingle_hashes(tokens: list[bytes], words: int) -> Iterator[np.ndarray]:
+    """Hashes of the word shingles, repeats included, CHUNK at a time; none without words."""
     import xxhash
 
-    tokens = (text or "").encode("utf-8", "replace").lower().split()  # bytes: ASCII case and ASCII blanks only
-    if not tokens:
-        return 0
-    shingles = max(1, len(tokens) - words + 1)
-    ones = np.zeros(BITS, dtype=np.int64)
+    shingles = max(1, len(tokens) - words + 1) if tokens else 0
     for at in range(0, shingles, CHUNK):
-        h = [xxhash.xxh64_intdigest(b" ".join(tokens[i : i + words]), SEED) for i in range(at, min(at + CHUNK, shingles))]
-        ones += np.unpackbits(np.array(h, dtype=">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > shingles).tobytes(), "big", signed=True)
+        yield np.array([xxhash.xxh64_intdigest(b" ".join(tokens[i : i + words]), SEED) for i in range(at, min(at + CHUNK, shingles))], dtype=np.uint64)
+
+
+def count_bits(h: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit set, highest bit first: a histogram of bytes per place, times their bits."""
+    places = h.astype(">u8").view(np.uint8).reshape(-1, 8) + np.arange(0, 2048, 256)
+    return (np.bincount(places.ravel(), minlength=2048).reshape(8, 256) @ BYTE_BITS).ravel()
+
+
+def fingerprint_words(tokens: list[bytes], words: int) -> int:
+    """The 64-bit SimHash of the word shingles, as a signed integer; zero without words."""
+    ones, n = np.zeros(BITS, dtype=np.int64), 0
+    for h in shingle_hashes(tokens, words):
+        ones, n = ones + count_bits(h), n + len(h)
+    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big", signed=True)
+
+
+def fingerprint_text(text: str | None, words: int = 3) -> int:
+    return fingerprint_words(words_of(text), words)
 
 
 def fingerprint(text: Column, words: int = 3) -> Column:
     @F.arrow_udf("long")
-    def of_texts(texts: pa.Array) -> pa.Array:
-        return pa.array([fingerprint_text(t.as_py(), words) for t in texts], pa.int64())
+    def of_texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([fingerprint_text(t, words) for part in parts(texts) for t in part.to_pylist()], pa.int64())
+        give_back()
 
     return of_texts(text)
 
@@ -162,31 +191,37 @@ def compare(replicas: DataFrame, distance: int) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, label): the smallest node that links reach, for every node with a link.
+    """(node, label): the smallest node that links reach, for every node with a link. ``links`` should be materialised.
 
     A node has few links here (a fingerprint has at most 2080 neighbours), so joins on nodes stay even;
     the join on labels is skewed on one side only and both its sides are shuffles Spark can split.
     """
-    both = cut(links.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(links.select(F.col("b").alias("src"), F.col("a").alias("dst"))))
-    labels = cut(both.groupBy(F.col("src").alias("node")).agg(F.min(F.least("src", "dst")).alias("label")))
-    changed = not labels.isEmpty()
+    n = 2 * links.count()
+    both = cut_small(links.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(links.select(F.col("b").alias("src"), F.col("a").alias("dst"))), n)
+    labels = cut_small(both.groupBy(F.col("src").alias("node")).agg(F.min(F.least("src", "dst")).alias("label")), n)
+    changed = n > 0
     while changed:
         told = both.join(labels, both["src"] == labels["node"]).groupBy("dst").agg(F.min("label").alias("told"))
-        met = cut(labels.join(told, labels["node"] == told["dst"]).select("node", F.least("label", "told").alias("met"), F.col("label").alias("old")))
+        met = cut_small(labels.join(told, labels["node"] == told["dst"]).select("node", F.least("label", "told").alias("met"), F.col("label").alias("old")), n)
         up = met.select(F.col("node").alias("via"), F.col("met").alias("top"))
-        jumped = cut(met.join(up, met["met"] == up["via"]).select("node", F.least("met", "top").alias("label"), "old"))
+        jumped = cut_small(met.join(up, met["met"] == up["via"]).select("node", F.least("met", "top").alias("label"), "old"), n)
         changed = not jumped.where(F.col("label") != F.col("old")).isEmpty()
         labels = jumped.select("node", "label")
     return labels
 
 
+def fingerprint_labels(fps: DataFrame, distance: int) -> DataFrame:
+    """(fp, label) for distinct fingerprints: the smallest fingerprint that links reach."""
+    fps = cut(fps)
+    labels = components(cut(compare(replicate(fps, distance), distance)))
+    return cut(fps.join(labels, fps["fp"] == labels["node"], "left").select("fp", F.coalesce("label", "fp").alias("label")))
+
+
 def group(docs: DataFrame, distance: int = 2, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) per row; texts are read once and left behind."""
     rows = cut(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col), words).alias("fp")))
     classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    labels = components(cut(compare(replicate(classes, distance), distance)))
-    named = classes.join(labels, classes["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
-    named = cut(named)
+    named = cut(classes.join(fingerprint_labels(classes.select("fp"), distance), "fp"))
     smallest = cut(named.groupBy("label").agg(F.min("first").alias("component_id")))
     of_class = cut(named.join(smallest, "label").select("fp", "component_id"))
     return rows.join(of_class, "fp").select("doc_id", "fp", "component_id")
@@ -206,37 +241,50 @@ def remix(h: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
-def shingle_hashes(text: str | None, words: int) -> Iterator[np.ndarray]:
-    """Hashes of a text's word shingles, CHUNK at a time; none for a text without words."""
-    import xxhash
-
-    tokens = (text or "").encode("utf-8", "replace").lower().split()
-    shingles = max(1, len(tokens) - words + 1) if tokens else 0
-    for at in range(0, shingles, CHUNK):
-        yield np.array([xxhash.xxh64_intdigest(b" ".join(tokens[i : i + words]), SEED) for i in range(at, min(at + CHUNK, shingles))], dtype=np.uint64)
+def distinct_hashes(tokens: list[bytes], words: int) -> np.ndarray:
+    """Sorted hashes of the distinct shingles."""
+    found = [np.unique(h) for h in shingle_hashes(tokens, words)]
+    return np.unique(np.concatenate(found)) if len(found) > 1 else found[0] if found else np.empty(0, np.uint64)
 
 
-def signature_text(text: str | None) -> list[int] | None:
-    """SIGNATURE_WORDS SimHash words over the distinct shingles of the whole text, signed; None for a text without words.
+def signature(distinct: np.ndarray) -> np.ndarray:
+    """SIGNATURE_WORDS SimHash words over distinct shingle hashes, as signed integers.
 
     The similarity that decides is one of sets, so how often a passage is repeated must not count here either.
     """
-    found = [np.unique(h) for h in shingle_hashes(text, SIGNATURE_SHINGLE)]
-    if not found:
-        return None
-    distinct = found[0] if len(found) == 1 else np.unique(np.concatenate(found))
-    ones = np.zeros((SIGNATURE_WORDS, BITS), dtype=np.int64)
-    for at in range(0, len(distinct), CHUNK):
-        h = distinct[at : at + CHUNK]
-        for k in range(SIGNATURE_WORDS):
-            ones[k] += np.unpackbits(remix(h, k).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(ones * 2 > len(distinct), axis=1).view(">i8").ravel().tolist()
-
-
-def signature(text: Column) -> Column:
-    @F.arrow_udf("array<long>")
-    def of_texts(texts: pa.Array) -> pa.Array:
-        return pa.array([signature_text(t.as_py()) for t in texts], pa.list_(pa.int64()))
+    out = []
+    for k in range(SIGNATURE_WORDS):
+        ones = sum((count_bits(remix(distinct[at : at + CHUNK], k)) for at in range(0, len(distinct), CHUNK)), np.zeros(BITS, np.int64))
+        out.append(np.packbits(ones * 2 > len(distinct)).view(">i8")[0])
+    return np.array(out, dtype=np.int64)
+
+
+def signature_text(text: str | None) -> list[int] | None:
+    """The signature of a text; None for a text without words."""
+    tokens = words_of(text)
+    return signature(distinct_hashes(tokens, SIGNATURE_SHINGLE)).tolist() if tokens else None
+
+
+PRINTS = "struct<fp: long, sig: array<long>, h: long>"
+
+
+def prints(text: Column, words: int) -> Column:
+    """The fingerprint of a text, its signature, and a hash of its words in order; the latter two null for texts without words."""
+
+    @F.arrow_udf(PRINTS)
+    def of_texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import xxhash
+
+        for texts in batches:
+            fps, sigs, hs = [], [], []
+            for part in parts(texts):
+                for t in part.to_pylist():
+                    tokens = words_of(t)
+                    fps.append(fingerprint_words(tokens, words))
+                    sigs.append(signature(distinct_hashes(tokens, SIGNATURE_SHINGLE)).tolist() if tokens else None)
+                    hs.append(xxhash.xxh64_intdigest(b" ".join(tokens), SEED) - 2**63 if tokens else None)
+            yield pa.StructArray.from_arrays([pa.array(fps, pa.int64()), pa.array(sigs, pa.list_(pa.int64())), pa.array(hs, pa.int64())], ["fp", "sig", "h"])
+        give_back()
 
     return of_texts(text)
 
@@ -245,13 +293,30 @@ def shingle_set(text: Column, words: int) -> Column:
     """The distinct shingles of a text as sorted 32-bit hashes."""
 
     @F.arrow_udf("binary")
-    def of_texts(texts: pa.Array) -> pa.Array:
-        found = ([h >> np.uint64(32) for h in shingle_hashes(t.as_py(), words)] for t in texts)
-        return pa.array([np.unique(np.concatenate(f)).astype("<u4").tobytes() if f else b"" for f in found], pa.binary())
+    def of_texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            sets = (np.unique(distinct_hashes(words_of(t), words) >> np.uint64(32)) for part in parts(texts) for t in part.to_pylist())
+            yield pa.array([s.astype("<u4").tobytes() for s in sets], pa.binary())
+        give_back()
 
     return of_texts(text)
 
 
+def sketch(shingles: Column) -> Column:
+    """SKETCH_WORDS SimHash words over a shingle set; empty for sets under SKETCHED."""
+
+    @F.arrow_udf("binary")
+    def of_sets(sets: pa.Array) -> pa.Array:
+        out = []
+        for x in sets:
+            h = np.frombuffer(x.as_py(), "<u4").astype(np.uint64)
+            words = [np.packbits(count_bits(remix(h, k)) * 2 > len(h)).tobytes() for k in range(1, SKETCH_WORDS + 1)]
+            out.append(b"".join(words) if len(h) >= SKETCHED else b"")
+        return pa.array(out, pa.binary())
+
+    return of_sets(shingles)
+
+
 def jaccard(left: Column, right: Column) -> Column:
     """Similarity of two shingle sets; 0 if both are empty."""
 
@@ -267,173 +332,270 @@ def jaccard(left: Column, right: Column) -> Column:
     return of_sets(left, right)
 
 
-def replicate_parts(texts: DataFrame) -> DataFrame:
-    """(id, sig) to (cell, id, s0, s1): per part of the signature, every anchor within reach of two bits' difference."""
+def replicate_parts(sets: DataFrame) -> DataFrame:
+    """(id, sig) to (cell, id, s): per part of the signature, every anchor within reach of two bits' difference."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = flip_sets(2, PART, PART_BITS)
         sizes = np.array([len(m) for m in table])
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                rows = batch.slice(at, 1024)
+            for rows in parts(batch, 1024):
                 ids = rows.column("id").to_numpy(zero_copy_only=False)
                 sig = rows.column("sig").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, SIGNATURE_WORDS)
                 for part in range(PARTS):
-                    word = sig[:, part // 2] >> np.uint64(part % 2 * PART_BITS) & np.uint64((1 << PART_BITS) - 1)
+                    word = sig[:, 1 + part // 2] >> np.uint64(part % 2 * PART_BITS) & np.uint64((1 << PART_BITS) - 1)
                     s = syndrome(word, PART)
                     row = np.repeat(np.arange(len(word)), sizes[s])
                     cells = (word[row] ^ np.concatenate([table[i] for i in s])) | np.uint64(part << PART_BITS)
-                    first, second = (sig[row, i].view(np.int64) for i in range(2))
-                    yield pa.RecordBatch.from_arrays([pa.array(cells.view(np.int64)), pa.array(ids[row]), pa.array(first), pa.array(second)], ["cell", "id", "s0", "s1"])
+                    yield pa.RecordBatch.from_arrays([pa.array(cells.view(np.int64)), pa.array(ids[row]), pa.array(sig[row, 0].view(np.int64))], ["cell", "id", "s"])
+        give_back()
 
-    return texts.select("id", "sig").mapInArrow(spread, "cell long, id long, s0 long, s1 long")
+    return sets.select("id", "sig").mapInArrow(spread, "cell long, id long, s long")
 
 
-def close_pairs(sig: np.ndarray) -> tuple[np.ndarray, bool]:
+def close_pairs(ids: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, bool]:
     """Index pairs of an anchor's rows: all close ones of few rows, else a minimum spanning forest of them; whether close pairs are left."""
     n = len(sig)
     if n <= FEW:
         i, j = np.triu_indices(n, 1)
-        near = np.bitwise_count(sig[i] ^ sig[j]).sum(axis=1) <= CLOSE
+        near = np.bitwise_count(sig[i] ^ sig[j]) <= CLOSE
         return np.column_stack([i[near], j[near]]), False
-    best, via, left = np.full(n, 2 * BITS + 1), np.zeros(n, np.int64), np.arange(1, n)
+    mixed = remix(ids.view(np.uint64), 1)
+    best, via, left = np.full(n, 2**62), np.zeros(n, np.int64), np.arange(1, n)
     at, links, close = 0, [], 0
     while len(left):
-        d = np.bitwise_count(sig[left] ^ sig[at]).sum(axis=1)
+        d = np.bitwise_count(sig[left] ^ sig[at])
         close += int((d <= CLOSE).sum())  # every pair is seen once
+        d = d.astype(np.int64) << 32 | (remix(mixed[left] ^ mixed[at], 2) >> np.uint64(32)).astype(np.int64)  # ties by the pair's hash
         shorter = d < best[left]
         best[left[shorter]], via[left[shorter]] = d[shorter], at
         k = int(np.argmin(best[left]))
         at = int(left[k])
-        if best[at] <= CLOSE:
+        if best[at] >> 32 <= CLOSE:
             links.append((via[at], at))
         left = np.delete(left, k)
     return np.array(links, dtype=np.int64).reshape(-1, 2), close > len(links)
 
 
-def further_pairs(sig: np.ndarray, label: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, bool]:
-    """Index pairs (i, j), i < j, of close rows with different labels, j being from the ``lo``-th to before the ``hi``-th nearest close row behind i.
-
-    Ranks do not depend on labels, so that windows [lo, hi) that follow each other miss no pair. Also
-    says whether a later window has pairs.
-    """
-    n, at, found, more = len(sig), 0, [np.empty((0, 2), np.int64)], False
+def pairs_between(sig: np.ndarray, label: np.ndarray, sketches: list[bytes]) -> np.ndarray:
+    """Index pairs (i, j), i < j, of rows with different labels that are close in signature and sketch."""
+    n, at, found = len(sig), 0, [np.empty((0, 2), np.int64)]
+    judged = np.array([len(x) > 0 for x in sketches])
+    bits = np.frombuffer(b"".join(x or bytes(8 * SKETCH_WORDS) for x in sketches), np.uint64).reshape(n, SKETCH_WORDS)
     while at < n - 1 and (label != label[0]).any():
         rows = np.arange(at, min(n - 1, at + max(1, BLOCK // (n - at))))
         behind = np.arange(at + 1, n)
-        d = np.bitwise_count(sig[rows, None, :] ^ sig[None, behind, :]).sum(axis=2)
-        close = (d <= CLOSE) & (behind > rows[:, None])
-        for r in np.flatnonzero((close & (label[behind] != label[rows][:, None])).any(axis=1)):
-            near = np.flatnonzero(close[r])
-            near = behind[near[np.argsort(d[r, near], kind="stable")]]
-            apart = label[near] != label[rows[r]]
-            more = more or bool(apart[hi:].any())
-            due = near[lo:hi][apart[lo:hi]]
-            found.append(np.column_stack([np.full(len(due), rows[r]), due]))
+        apart = (label[rows, None] != label[None, behind]) & (behind > rows[:, None])
+        i, j = np.nonzero(apart & (np.bitwise_count(sig[rows, None] ^ sig[None, behind]) <= CLOSE))
+        i, j = rows[i], behind[j]
+        for k in range(0, len(i), BLOCK // SKETCH_WORDS):
+            a, b = i[k : k + BLOCK // SKETCH_WORDS], j[k : k + BLOCK // SKETCH_WORDS]
+            near = (np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1) <= FAR) | ~judged[a] | ~judged[b]
+            found.append(np.column_stack([a[near], b[near]]))
         at = int(rows[-1]) + 1
-    return np.concatenate(found), more
+    return np.concatenate(found)
+
+
+#: What :func:`candidates` returns: a pair (a, b), or a row (cell, a, s) of an anchor where ``left`` says what is to be done yet.
+CANDIDATES = "a long, b long, cell long, s long, left int"
+PAIR, REST, CROWD = 0, 1, 2
+
+
+def anchors(cells: np.ndarray) -> list[tuple[int, int]]:
+    """The ranges of rows, sorted by cell, that share a cell."""
+    starts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]]) if len(cells) else np.empty(0, np.int64)
+    return list(zip(starts.tolist(), [*starts[1:].tolist(), len(cells)]))
 
 
-def candidates(replicas: DataFrame, window: tuple[int, int] | None = None) -> DataFrame:
-    """Pairs (a, b), a < b, of ids that meet at an anchor with close signatures, and the rows (cell, a, s0, s1) of anchors where more are left.
+def ordered_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distinct pairs of different ids, smaller id first."""
+    met = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
+    return met[met[:, 0] != met[:, 1]]
 
-    ``replicas`` (cell, id, s0, s1) are taken pair by pair or, at crowded anchors, as a forest; with a
-    ``window``, replicas (cell, id, s0, s1, label) give the pairs of :func:`further_pairs`.
+
+def candidates(replicas: DataFrame, most: int | None = MOST) -> DataFrame:
+    """What meets at an anchor with close signatures: pairs (a, b), a < b (``left`` = PAIR).
+
+    ``replicas`` (cell, id, s) give all close pairs of an anchor or, where it is crowded, a forest, and its rows
+    again as REST; rows of anchors with over ``most`` rows come back as CROWD, one batch at a time.
     """
 
     def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.empty((0, 5 if window else 4), np.int64)
-
-        def link(rows: np.ndarray) -> pa.RecordBatch:
-            cells, sig = rows[:, 0], rows[:, 2:4].view(np.uint64)
-            starts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]]) if len(rows) else np.empty(0, np.int64)
-            sizes = np.diff(np.r_[starts, len(rows)])
-            two = starts[sizes == 2]
-            two = two[np.bitwise_count(sig[two] ^ sig[two + 1]).sum(axis=1) <= CLOSE]
-            found, left = [np.column_stack([two, two + 1])], [rows[:0]]
-            for start, n in zip(starts[sizes > 2], sizes[sizes > 2]):
-                here = slice(start, start + n)
-                pairs, more = further_pairs(sig[here], rows[here, 4], *window) if window else close_pairs(sig[here])
-                found.append(pairs + start)
+        def rows_back(rows: np.ndarray, left: int) -> pa.RecordBatch:
+            n = len(rows)
+            return pa.RecordBatch.from_arrays([pa.array(rows[:, 1]), pa.nulls(n, pa.int64()), pa.array(rows[:, 0]), pa.array(rows[:, 2]), pa.array(np.full(n, left, np.int32))], names)
+
+        def link(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            ids, sig, ranges = rows[:, 1], rows[:, 2].view(np.uint64), anchors(rows[:, 0])
+            two = np.array([lo for lo, hi in ranges if hi - lo == 2], dtype=np.int64)
+            two = two[np.bitwise_count(sig[two] ^ sig[two + 1]) <= CLOSE]
+            found = [np.column_stack([two, two + 1])]
+            for lo, hi in (r for r in ranges if r[1] - r[0] > 2):
+                if most is not None and hi - lo > most:
+                    yield rows_back(rows[lo:hi], CROWD)
+                    continue
+                pairs, more = close_pairs(ids[lo:hi], sig[lo:hi])
+                found.append(pairs + lo)
                 if more:
-                    left.append(rows[here])
-            met = np.unique(np.sort(rows[np.concatenate(found), 1], axis=1), axis=0)
-            met, left = met[met[:, 0] != met[:, 1]], np.concatenate(left)
-            none = [pa.nulls(len(left), pa.int64()), pa.nulls(len(met), pa.int64())]
-            columns = [(met[:, 0], left[:, 1]), (met[:, 1], none[0]), (none[1], left[:, 0]), (none[1], left[:, 2]), (none[1], left[:, 3])]
-            return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())]) for x, y in columns], ["a", "b", "cell", "s0", "s1"])
+                    yield rows_back(rows[lo:hi], REST)
+            at = np.concatenate(found)
+            met, n = ordered_pairs(ids[at[:, 0]], ids[at[:, 1]]), pa.nulls
+            yield pa.RecordBatch.from_arrays([pa.array(met[:, 0]), pa.array(met[:, 1]), n(len(met), pa.int64()), n(len(met), pa.int64()), pa.array(np.full(len(met), PAIR, np.int32))], names)
 
+        held, crowded = np.empty((0, 3), np.int64), None
         for batch in batches:
-            held = np.r_[held, np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])]
-            last = np.searchsorted(held[:, 0], held[-1, 0]) if len(held) else 0
-            yield link(held[:last])
+            rows = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            if crowded is not None:  # the anchor of the batch before goes on
+                own = int(np.searchsorted(rows[:, 0], crowded, side="right"))
+                yield rows_back(rows[:own], CROWD)
+                rows = rows[own:]
+                crowded = crowded if not len(rows) else None
+            held = np.r_[held, rows]
+            last = int(np.searchsorted(held[:, 0], held[-1, 0])) if len(held) else 0
+            yield from link(held[:last])
             held = held[last:]  # the anchor that may go on in the next batch
-        yield link(held)
+            if most is not None and len(held) > most:
+                crowded = held[0, 0]
+                yield rows_back(held, CROWD)
+                held = held[:0]
+        yield from link(held)
+        give_back()
 
-    order = ["cell", "id"] if window else ["cell"]  # ranks of rows are the same in every round
-    return replicas.repartition("cell").sortWithinPartitions(*order).mapInArrow(pairs_of, "a long, b long, cell long, s0 long, s1 long")
+    names = [c.split()[0] for c in CANDIDATES.split(", ")]
+    return replicas.repartition("cell").sortWithinPartitions("cell").mapInArrow(pairs_of, CANDIDATES)
 
 
-def pairs_and_rest(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The distinct pairs that :func:`candidates` gave, and the rows of the anchors where more are left."""
-    return found.where("cell is null").select("a", "b").distinct(), found.where("cell is not null").select("cell", F.col("a").alias("id"), "s0", "s1")
+def candidates_between(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, with different labels that meet at an anchor close in signature and sketch; ``rows`` are (cell, id, s, label, sketch)."""
 
+    def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def link(rows: np.ndarray, sketches: list[bytes]) -> pa.RecordBatch:
+            at = [pairs_between(rows[lo:hi, 2].view(np.uint64), rows[lo:hi, 3], sketches[lo:hi]) + lo for lo, hi in anchors(rows[:, 0])]
+            at = np.concatenate([np.empty((0, 2), np.int64), *at])
+            met = ordered_pairs(rows[at[:, 0], 1], rows[at[:, 1], 1])
+            return pa.RecordBatch.from_arrays([pa.array(met[:, 0]), pa.array(met[:, 1])], ["a", "b"])
 
-def similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Links (a, b), a < b, between ids of different texts whose shingle sets have the given Jaccard similarity.
+        held, sketches = np.empty((0, 4), np.int64), []
+        for batch in batches:
+            held = np.r_[held, np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:4]])]
+            sketches += batch.column(4).to_pylist()
+            last = int(np.searchsorted(held[:, 0], held[-1, 0])) if len(held) else 0
+            yield link(held[:last], sketches[:last])
+            held, sketches = held[last:], sketches[last:]
+        yield link(held, sketches)
+        give_back()
 
-    Ids are integers. Equal texts are represented by their smallest id; rows without an id and
-    texts without words have no links. Texts are read for the signatures, and those of candidates
-    once more, for the shingles. Not every link is given: those that join no components are left out
-    at crowded anchors.
+    return rows.select("cell", "id", "s", "label", "sketch").repartition("cell").sortWithinPartitions("cell").mapInArrow(pairs_of, "a long, b long").distinct()
+
+
+def split_crowds(rows: DataFrame, block: int = MOST // 4) -> DataFrame:
+    """Rows (cell, id, s) of crowded anchors, dealt so that any two rows of an anchor meet in some cell of about two blocks."""
+    sizes = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("__m")).withColumnRenamed("cell", "__cell")
+    rows = rows.join(sizes, F.col("cell") == F.col("__cell")).withColumn("__own", F.pmod(F.xxhash64("id"), F.col("__m")).cast("int"))
+    rows = rows.withColumn("__other", F.explode(F.expr("sequence(0, __m - 1)")))
+    return rows.select(F.xxhash64("cell", F.least("__own", "__other"), F.greatest("__own", "__other")).alias("cell"), "id", "s")
+
+
+def similar_sets(rows: DataFrame, shingles_of: Callable[[DataFrame], DataFrame], similarity: float = 0.8) -> DataFrame:
+    """Links (a, b), a < b, between values of h in rows (h, sig) whose shingle sets have the given Jaccard similarity.
+
+    ``shingles_of`` gives (h, shingles) for a table of values of h, and is asked for those of candidates only.
+    Links that would join nothing are left out at crowded anchors. ``rows`` should be materialised.
     """
-    narrow = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = narrow.select("id", F.md5(F.col("text").cast("binary")).alias("digest"), signature(F.col("text")).alias("sig")).where("sig is not null")
-    texts = cut(signed.groupBy("digest").agg(F.min("id").alias("id"), F.min("sig").alias("sig")))
-    pairs, rest = pairs_and_rest(cut(candidates(replicate_parts(texts))))
-    pairs = cut(pairs)
-    # a row with a close one at its anchor has a pair there, so later rounds need no further shingles
-    asked = pairs.select(F.col("a").alias("__id")).unionByName(pairs.select(F.col("b").alias("__id"))).distinct()
-    shingles = narrow.join(asked.hint("shuffle_hash"), F.col("id") == F.col("__id")).select("id", shingle_set(F.col("text"), words).alias("shingles"))
-    shingles = cut(shingles)
-    left, right = (shingles.select(F.col("id").alias(f"{x}_id"), F.col("shingles").alias(f"{x}_shingles")) for x in "ab")
-
-    def linked(pairs: DataFrame) -> DataFrame:
+
+    def linked(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
+        left, right = (shingles.select(F.col("h").alias(f"{x}_id"), F.col("shingles").alias(f"{x}_shingles")) for x in "ab")
         both = pairs.join(left, F.col("a") == F.col("a_id")).join(right, F.col("b") == F.col("b_id"))
-        return cut(both.where(jaccard(F.col("a_shingles"), F.col("b_shingles")) >= similarity).select("a", "b").distinct())
-
-    links, lo, hi = linked(pairs), 0, NEXT
-    while not rest.isEmpty():
-        labels = components(links)
-        labelled = rest.join(labels, F.col("id") == F.col("node"), "left").select("cell", "id", "s0", "s1", F.coalesce("label", "id").alias("label"))
-        fresh, rest = pairs_and_rest(cut(candidates(labelled, (lo, hi))))
-        fresh = cut(fresh.join(pairs, ["a", "b"], "left_anti"))
-        pairs = cut(pairs.unionByName(fresh))
-        links = cut(links.unionByName(linked(fresh)))
-        lo, hi = hi, hi * NEXT
-    return links
+        return cut(both.where(jaccard(F.col("a_shingles"), F.col("b_shingles")) >= similarity).select("a", "b"))
+
+    sets = rows.groupBy(F.col("h").alias("id")).agg(F.first("sig").alias("sig"))
+    of = lambda found, kind: found.where(F.col("left") == kind)
+    rows_of = lambda found, kind: of(found, kind).select("cell", F.col("a").alias("id"), "s")
+    found = cut(candidates(replicate_parts(sets)))
+    crowds = rows_of(found, CROWD)
+    if not crowds.isEmpty():
+        found = found.unionByName(cut(candidates(split_crowds(crowds), most=None)))
+    pairs = cut(of(found, PAIR).select("a", "b").distinct())
+    # a row with a close one at its anchor has a pair there, so what follows needs no further shingles
+    asked = cut(pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct())
+    shingles = cut(shingles_of(asked))
+    links, rest = linked(pairs, shingles), rows_of(found, REST)
+    if rest.isEmpty():
+        return links
+    known = shingles.select("h", sketch(F.col("shingles")).alias("sketch")).join(components(links), F.col("h") == F.col("node"), "left")
+    known = known.select(F.col("h").alias("id"), "sketch", F.coalesce("label", "h").alias("label"))
+    fresh = candidates_between(rest.join(known, "id"))
+    return links.unionByName(linked(fresh.join(pairs, ["a", "b"], "left_anti"), shingles))
+
 
+def read_shingles(docs: DataFrame, rows: DataFrame, words: int, id_col: str, text_col: str) -> Callable[[DataFrame], DataFrame]:
+    """For :func:`similar_sets`: read the texts of ``docs`` again that hold an asked h, one row of ``rows`` (doc_id, digest, h) for each."""
 
-def join_groups(grouped: DataFrame, links: DataFrame) -> DataFrame:
-    """``grouped`` (doc_id, fp, component_id) with the components that ``links`` between ids connect made one."""
-    of_id = grouped.select(F.col("doc_id").alias("id"), F.col("component_id").alias("top")).distinct()
-    tops = links.join(of_id, F.col("a") == F.col("id")).select(F.col("top").alias("x"), "b").join(of_id, F.col("b") == F.col("id"))
-    tops = tops.where("x <> top").select(F.least("x", "top").alias("a"), F.greatest("x", "top").alias("b")).distinct()
-    labels = components(cut(tops))
-    joined = grouped.join(labels, F.col("component_id") == F.col("node"), "left")
-    return joined.select("doc_id", "fp", F.coalesce("label", "component_id").alias("component_id"))
+    def of(asked: DataFrame) -> DataFrame:
+        first = rows.join(narrow_side(asked), "h", "left_semi").groupBy("h").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("k"))
+        first = cut(first.select("h", F.col("k.doc_id").alias("__id"), F.col("k.digest").alias("__digest")))
+        found = docs.join(narrow_side(first), docs[id_col].eqNullSafe(F.col("__id")) & (text_digest(docs[text_col]) == F.col("__digest")))
+        return found.select("h", shingle_set(docs[text_col], words).alias("shingles")).dropDuplicates(["h"])
+
+    return of
+
+
+def text_digest(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def printed(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, digest, fp, sig, h) of every row, materialised."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_digest(F.col(text_col)).alias("digest"), prints(F.col(text_col), words).alias("p"))
+    return cut(rows.select("doc_id", "digest", "p.*"))
+
+
+def similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Links (a, b), a < b, between ids of texts that are similar; texts with the same words are linked to the one with the smallest id."""
+    rows = printed(docs.where(F.col(id_col).isNotNull()), 3, id_col, text_col).where("h is not null")
+    links = similar_sets(rows.select("h", "sig"), read_shingles(docs, rows, words, id_col, text_col), similarity)
+    first = rows.groupBy(F.col("h").alias("__h")).agg(F.min("doc_id").alias("first"))
+    ends = links.join(first, F.col("a") == F.col("__h")).select(F.col("first").alias("x"), "b").join(first, F.col("b") == F.col("__h")).select("x", F.col("first").alias("y"))
+    texts = rows.groupBy("digest").agg(F.min("doc_id").alias("id"), F.min("h").alias("h"))
+    same = texts.join(first, F.col("h") == F.col("__h")).where("id <> first").select(F.col("first").alias("x"), F.col("id").alias("y"))
+    return ends.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def join_labels(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """(fp, h, label) rows and links between values of h to (label, top): what the links, and equal h, make of the labels."""
+    of_h = cut(rows.where("h is not null").select("h", "label").distinct())
+    firsts = cut(of_h.groupBy("h").agg(F.min("label").alias("top")))
+    same = of_h.join(firsts, "h").select(F.col("label").alias("x"), F.col("top").alias("y"))
+    ends = links.join(firsts, F.col("a") == F.col("h")).select(F.col("top").alias("x"), "b").join(firsts, F.col("b") == F.col("h")).select("x", F.col("top").alias("y"))
+    between = same.unionByName(ends).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return components(cut(between))
 
 
 def keep_first(docs: DataFrame, distance: int = 2, words: int = 3, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, shingle_words: int = 5) -> DataFrame:
-    """One document of each component: the one with the smallest id, and a single row of it.
+    """One document of each component: the one with the smallest id (then the smallest digest), and a single row of it.
 
     With ``similarity``, texts that share so much of their shingles of ``shingle_words`` words are
-    linked too.
+    linked too. Texts are read once for all prints, once for the shingles of
+    candidates, and once more to be kept.
     """
-    grouped = group(docs, distance, words, id_col, text_col)
+    digest = text_digest(docs[text_col])
+    if similarity is None:
+        rows = cut(docs.select(F.col(id_col).alias("doc_id"), digest.alias("digest"), fingerprint(F.col(text_col), words).alias("fp"), F.lit(None).cast("long").alias("h")))
+    else:
+        rows = printed(docs, words, id_col, text_col)
+    labels = fingerprint_labels(rows.select("fp").distinct(), distance)
+    named = rows.join(labels, "fp").select("doc_id", "digest", "h", "label")
     if similarity is not None:
-        grouped = cut(join_groups(cut(grouped), similar(docs, similarity, shingle_words, id_col, text_col)))
-    keep = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(keep.hint("shuffle_hash"), docs[id_col].eqNullSafe(F.col("__keep"))).drop("__keep")
-    repeated = not grouped.groupBy("doc_id").count().where("count > 1").isEmpty()
-    return kept.dropDuplicates([id_col]) if repeated else kept  # sorting texts pays only if an id repeats
+        named = cut(named)
+        read = read_shingles(docs, rows.select("doc_id", "digest", "h"), shingle_words, id_col, text_col)
+        tops = join_labels(named, similar_sets(rows.where("h is not null").select("h", "sig"), read, similarity))
+        tops = tops.select("node", F.col("label").alias("top"))
+        named = named.join(tops, F.col("label") == F.col("node"), "left").select("doc_id", "digest", F.coalesce("top", "label").alias("label"))
+    keys = named.select("label", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest").alias("k"))
+    first = cut(keys.groupBy("label").agg(F.min("k").alias("first")))
+    gone = cut(keys.join(first, "label").groupBy("k").agg(F.max(F.col("k") == F.col("first")).alias("stays")).where("not stays").select(F.col("k.doc_id").alias("__id"), F.col("k.digest").alias("__digest")))
+    kept = docs.join(narrow_side(gone), docs[id_col].eqNullSafe(F.col("__id")) & (digest == F.col("__digest")), "left_anti")
+    repeated = not rows.groupBy("doc_id", "digest").count().where("count > 1").isEmpty()
+    if repeated:  # sorting texts pays only then
+        kept = kept.withColumn("__digest", digest).dropDuplicates([id_col, "__digest"]).drop("__digest")
+    return kept
