@@ -98,8 +98,8 @@ def frame_micros(frame: Column, fps: float) -> Column:
     return F.call_function("div", frame.cast("long") * F.lit(1_000_000 * den), F.lit(num).cast("long"))
 
 
-def gcd(a: Column, b: Column, steps: int = 48) -> Column:
-    """Greatest common divisor by Euclid's steps."""
+def gcd(a: Column, b: Column, steps: int = 92) -> Column:
+    """Greatest common divisor by Euclid's steps; no two longs need more than 92."""
     start = F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
     turn = lambda p, _: F.when(p["b"] == 0, p).otherwise(F.struct(p["b"].alias("a"), (p["a"] % p["b"]).alias("b")))
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, turn, lambda p: p["a"])

@@ -8,6 +8,7 @@ buckets however long it is, and a probe visits one bucket of each class that occ
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -79,8 +80,9 @@ def asof(probes: DataFrame, facts: DataFrame, on: list[str], t: str, fact_t: str
     f = facts.select(*on, F.col(fact_t).alias("__t"), F.lit(0).alias("__kind"), F.lit(None).cast(probes.select(kind).schema[0].dataType).alias("__probe"), carried.alias("__fact"))
     order = Window.partitionBy(*on).orderBy("__t", "__kind", "__fact")
     found = F.last("__fact", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    if clamp_first:
-        found = F.coalesce(found, F.first("__fact", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)))
+    if clamp_first:  # one value for the whole key: a frame that ends with the key would be evaluated anew for every row
+        first = F.min(F.when(F.col("__kind") == 0, F.struct("__t", "__fact"))).over(Window.partitionBy(*on))
+        found = F.coalesce(found, first["__fact"])
     out = f.unionByName(p).withColumn("__found", found).where("__kind = 1")
     return out.select("__probe.*", *[F.col(f"__found.{c}").alias(c) for c in take])
 
@@ -124,10 +126,20 @@ def key_values(probes: DataFrame, keys: DataFrame, on: list[str], probe_t: str,
     return found.withColumn("value", F.coalesce(value, F.lit(0.0))).drop("__t1", "__v1", "t2", "v2")
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` materialised in the shared folder; on a local session without one, in a folder of its own."""
+    spark = df.sparkSession
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint(eager=True)
+
+
 def flatten_tree(nodes: DataFrame, id_col: str, parent_col: str, offset_col: str, depth: int = 32) -> DataFrame:
     """Absolute offset and depth of nested items: parents' offsets are added up along the tree.
 
-    Each pass joins one more level; it stops when a level is empty, and cycles are never reached
+    Each pass joins one more level, and keeps it, so that no later one repeats its joins; it stops when a level is empty, and cycles are never reached
     because they hang from no root. Raises if the nesting is deeper than ``depth``.
     """
     row = nodes.select(F.col(id_col).alias("id"), F.col(parent_col).alias("parent"), F.col(offset_col).alias("offset"))
@@ -136,6 +148,7 @@ def flatten_tree(nodes: DataFrame, id_col: str, parent_col: str, offset_col: str
     for d in range(1, depth + 1):
         up = level.select(F.col("id").alias("parent"), F.col("start").alias("above"))
         level = row.join(up, "parent").select("id", (F.col("above") + F.col("offset")).alias("start"), F.lit(d).alias("depth"))
+        level = kept(level)
         if level.isEmpty():
             return reduce(DataFrame.unionByName, found)
         found.append(level)

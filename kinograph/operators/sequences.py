@@ -44,51 +44,8 @@ def ordered_array(df: DataFrame, on: list[str], order: list[str], values: list[s
     return df.groupBy(*on).agg(F.array_sort(F.collect_list(F.struct(*order, *[v for v in values if v not in order]))).alias(name))
 
 
-def greedy_gap(times: Column, gap: int) -> Column:
-    """Of an ascending array, the values more than ``gap`` after the last one taken."""
-    none = F.array().cast("array<bigint>")
-    return F.aggregate(times, none, lambda a, t: F.when((F.size(a) == 0) | (t - F.element_at(a, F.greatest(F.size(a), F.lit(1))) > gap), F.array_append(a, t)).otherwise(a))
-
-
-def scan(rows: Column, state: Column, step: Callable[[Column, Column], Column], out: Callable[[Column], Column]) -> Column:
-    """Fold an array with a state struct and keep what ``out`` says after every step."""
-    first = F.struct(state.alias("s"), F.array().cast("array<double>").alias("o"))
-
-    def turn(acc: Column, row: Column) -> Column:
-        now = step(acc["s"], row)
-        return F.struct(now.alias("s"), F.array_append(acc["o"], out(now)).alias("o"))
-
-    return F.aggregate(rows, first, turn, lambda acc: acc["o"])
-
-
-def kalman(values: Column, q: float = 1e-5, r: float = 1e-2) -> Column:
-    """One-dimensional Kalman filter over an array, starting at 0 with variance 1."""
-    none = F.struct(F.lit(1.0).alias("p"), F.lit(0.0).alias("x"), F.array().cast("array<double>").alias("o"))
-
-    def step(a: Column, z: Column) -> Column:
-        p = a["p"] + q
-        k = p / (p + r)
-        x = a["x"] + k * (z - a["x"])
-        return F.struct(((F.lit(1.0) - k) * p).alias("p"), x.alias("x"), F.array_append(a["o"], x).alias("o"))
-
-    return F.aggregate(values, none, step, lambda a: a["o"])
-
-
-def ducking(levels: Column, threshold: float, ratio: float, attack: float, release: float) -> Column:
-    """Gain per block: above the threshold it falls to ``1 / ratio`` at the attack rate, else it rises at the release rate."""
-    none = F.struct(F.lit(1.0).alias("g"), F.array().cast("array<double>").alias("o"))
-
-    def step(a: Column, level: Column) -> Column:
-        goal = F.when(level > threshold, F.lit(1.0 / ratio)).otherwise(F.lit(1.0))
-        keep = F.when(goal < a["g"], F.lit(attack)).otherwise(F.lit(release))
-        g = a["g"] * keep + goal * (F.lit(1.0) - keep)
-        return F.struct(g.alias("g"), F.array_append(a["o"], g).alias("o"))
-
-    return F.aggregate(levels, none, step, lambda a: a["o"])
-
-
 def kalman_steps(q: float = 1e-5, r: float = 1e-2) -> Callable[[float], float]:
-    """The filter of :func:`kalman`, one value at a time, for :func:`grouped_fold`."""
+    """One-dimensional Kalman filter, starting at 0 with variance 1; one value at a time, for :func:`grouped_fold`."""
     p, x = 1.0, 0.0
 
     def step(z: float) -> float:
@@ -103,7 +60,7 @@ def kalman_steps(q: float = 1e-5, r: float = 1e-2) -> Callable[[float], float]:
 
 
 def ducking_steps(threshold: float, ratio: float, attack: float, release: float) -> Callable[[float], float]:
-    """The gain of :func:`ducking`, one level at a time, for :func:`grouped_fold`."""
+    """Gain per block: above the threshold it falls to ``1 / ratio`` at the attack rate, else it rises at the release rate."""
     g = 1.0
 
     def step(level: float) -> float:
@@ -116,14 +73,40 @@ def ducking_steps(threshold: float, ratio: float, attack: float, release: float)
     return step
 
 
+def greedy_gap_steps(gap: int) -> Callable[[int], bool]:
+    """Whether a value of an ascending sequence is more than ``gap`` after the last one taken, for :func:`grouped_fold`."""
+    last = None
+
+    def step(t: int) -> bool:
+        nonlocal last
+        taken = last is None or t - last > gap
+        last = t if taken else last
+        return taken
+
+    return step
+
+
 def rolling_median(x: str, on: list[str], order: list[str], reach: int) -> Column:
     """Upper median of the rows within ``reach``; null where the frame is cut off."""
     around = F.collect_list(x).over(Window.partitionBy(*on).orderBy(*order).rowsBetween(-reach, reach))
     return F.when(F.size(around) == 2 * reach + 1, F.element_at(F.array_sort(around), reach + 1))
 
 
-def upper_median(values: Column) -> Column:
-    return F.element_at(F.array_sort(values), (F.floor(F.size(values) / 2) + 1).cast("int"))
+def upper_median(df: DataFrame, on: list[str], value: str, name: str = "median") -> DataFrame:
+    """The value in the place floor(n / 2), from 0, of each key's sorted values: by a running count over distinct values, so no array holds a key."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*on, value).agg(F.count("*").alias("__n"))
+    up_to = F.sum("__n").over(Window.partitionBy(*on).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    total = F.sum("__n").over(Window.partitionBy(*on))
+    return counts.withColumns({"__up": up_to, "__all": total}).where("__up > __all div 2").groupBy(*on).agg(F.min(value).alias(name))
+
+
+def numbers(n: Column) -> Column:
+    """0 to n - 1; none for n of 0."""
+    return F.when(n > 0, F.sequence(F.lit(0).cast("int"), (n - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+
+
+def mean(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / F.size(values)
 
 
 def hops(x: Column, size: int, hop: int) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from kinograph.operators import sequences as S
 from kinograph.operators import timeline as T
 from kinograph.functions.curves import snap
-from kinograph.plans.registry import query, whole
+from kinograph.plans.registry import query
 from kinograph.sources.tables import CLIPS, CUES, PACKETS, clips, cues, packets, table
 
 
@@ -27,18 +27,12 @@ def ripple_remove(spark, d):
 
 @query(
     "resolve_overlaps",
-    f"""WITH RECURSIVE {CLIPS}, o AS (SELECT track, clip_id, lo, hi, row_number() OVER (PARTITION BY track ORDER BY lo, clip_id) AS n FROM clips WHERE clip_id % 8 = 0),
+    f"""WITH RECURSIVE {CLIPS}, o AS (SELECT track, clip_id, lo, hi, row_number() OVER (PARTITION BY track ORDER BY lo, clip_id) AS n FROM clips),
 r AS (SELECT track, n, clip_id, lo AS new_lo, hi AS new_hi, 0::BIGINT AS shift FROM o WHERE n = 1 UNION ALL
 SELECT o.track, o.n, o.clip_id, o.lo + r.shift + greatest(0, r.new_hi - (o.lo + r.shift)), o.hi + r.shift + greatest(0, r.new_hi - (o.lo + r.shift)), r.shift + greatest(0, r.new_hi - (o.lo + r.shift)) FROM r JOIN o ON o.track = r.track AND o.n = r.n + 1)
 SELECT track, clip_id, new_lo, new_hi FROM r""",
 )
 def resolve_overlaps(spark, d):
-    some = clips(spark, d).where("clip_id % 8 = 0")
-    return T.resolve_overlaps(some, ["track"], "clip_id").select("track", "clip_id", "new_lo", "new_hi")
-
-
-@query("resolve_overlaps_whole", whole("resolve_overlaps", (" WHERE clip_id % 8 = 0", "")))
-def resolve_overlaps_whole(spark, d):
     return T.resolve_overlaps(clips(spark, d), ["track"], "clip_id").select("track", "clip_id", "new_lo", "new_hi")
 
 

@@ -7,22 +7,21 @@ from pyspark.sql.window import Window
 
 from kinograph.functions.curves import bezier
 from kinograph.operators import joins
-from kinograph.plans.registry import query, whole
+from kinograph.plans.registry import query
 from kinograph.sources.tables import CLIPS, PACKETS, PIXELS, clips, packets, pixels, table
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000
-DAYS = 2500
 
 
 @query(
     "timeline_render_plan",
     f"""WITH {CLIPS}, s AS (SELECT d.day, c.clip_id, c.layer, row_number() OVER (PARTITION BY d.day ORDER BY c.layer, c.clip_id) AS rn
-  FROM range(0, {DAYS}) d(day) JOIN clips c ON d.day >= c.lo AND d.day < c.hi)
+  FROM (SELECT unnest(range(min(lo), max(hi))) AS day FROM clips) d JOIN clips c ON d.day >= c.lo AND d.day < c.hi)
 SELECT day, count(*) AS n_layers, min(layer) AS min_layer, max(layer) AS max_layer, CAST(sum(clip_id) AS BIGINT) AS sum_clip FROM s WHERE rn <= 8 GROUP BY day""",
 )
 def timeline_render_plan(spark, d):
     """The frames' layer lists: every clip yields its frames, each frame keeps its first eight layers."""
-    rows = joins.grid_of(clips(spark, d).select("clip_id", "layer", "lo", "hi"), "lo", "hi", 1, "day", 0, DAYS - 1)
+    rows = joins.grid_of(clips(spark, d).select("clip_id", "layer", "lo", "hi"), "lo", "hi", 1, "day")
     rank = F.row_number().over(Window.partitionBy("day").orderBy("layer", "clip_id"))
     top = rows.withColumn("rn", rank).where("rn <= 8")
     return top.groupBy("day").agg(F.count("*").alias("n_layers"), F.min("layer").alias("min_layer"), F.max("layer").alias("max_layer"), F.sum("clip_id").alias("sum_clip"))
@@ -72,12 +71,12 @@ def clip_track_join(spark, d):
 
 @query(
     "clips_at_time",
-    f"""WITH {CLIPS} SELECT p.t, c.clip_id, c.track FROM (SELECT range * 60 AS t FROM range(0, 40)) p JOIN clips c ON p.t >= c.lo AND p.t < c.hi
+    f"""WITH {CLIPS} SELECT p.t, c.clip_id, c.track FROM (SELECT unnest(range(60 * CAST(floor(min(lo) / 60) AS BIGINT), max(hi), 60)) AS t FROM clips) p JOIN clips c ON p.t >= c.lo AND p.t < c.hi
 WHERE NOT c.disabled AND c.track % 5 <> 0""",
 )
 def clips_at_time(spark, d):
     heard = clips(spark, d).where(~F.col("disabled")).join(F.broadcast(tracks(spark).where(~F.col("muted"))), "track")
-    return joins.grid_of(heard.select("clip_id", "track", "lo", "hi"), "lo", "hi", 60, "t", 0, 39 * 60).select("t", "clip_id", "track")
+    return joins.grid_of(heard.select("clip_id", "track", "lo", "hi"), "lo", "hi", 60, "t").select("t", "clip_id", "track")
 
 
 @query(
@@ -271,15 +270,10 @@ def on_beat_frames(spark, d):
 
 @query(
     "comp_flatten",
-    """WITH RECURSIVE n AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey > 0 THEN o_orderkey // 2 END AS parent, o_custkey % 100 AS off FROM orders WHERE o_orderkey < 64),
+    """WITH RECURSIVE n AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey > 0 THEN o_orderkey // 2 END AS parent, o_custkey % 100 AS off FROM orders),
 t AS (SELECT id, off AS start, 0 AS depth FROM n WHERE parent IS NULL UNION ALL SELECT n.id, t.start + n.off, t.depth + 1 FROM n JOIN t ON n.parent = t.id) SELECT id, start, depth FROM t""",
 )
 def comp_flatten(spark, d):
-    return flattened(table(spark, d, "orders").where("o_orderkey < 64"))
-
-
-@query("comp_flatten_whole", whole("comp_flatten", (" WHERE o_orderkey < 64", "")))
-def comp_flatten_whole(spark, d):
     return flattened(table(spark, d, "orders"))
 
 
@@ -291,17 +285,12 @@ def flattened(orders):
 
 @query(
     "point_in_rotated_rect",
-    """WITH s AS (SELECT p_partkey AS z, CAST(p_partkey * 37 % 400 AS DOUBLE) AS cx, CAST(p_partkey * 53 % 300 AS DOUBLE) AS cy, 10.0::DOUBLE + p_size AS w, 8.0::DOUBLE + p_size / 2.0::DOUBLE AS h, radians(p_partkey % 90) AS a FROM part WHERE p_partkey < 200),
+    """WITH s AS (SELECT p_partkey AS z, CAST(p_partkey * 37 % 400 AS DOUBLE) AS cx, CAST(p_partkey * 53 % 300 AS DOUBLE) AS cy, 10.0::DOUBLE + p_size AS w, 8.0::DOUBLE + p_size / 2.0::DOUBLE AS h, radians(p_partkey % 90) AS a FROM part),
 g AS (SELECT x.range * 20 AS x, y.range * 20 AS y FROM range(0, 20) x, range(0, 15) y),
 l AS (SELECT g.x, g.y, s.z, s.w, s.h, (g.x - cx) * cos(-a) - (g.y - cy) * sin(-a) AS u, (g.x - cx) * sin(-a) + (g.y - cy) * cos(-a) AS v FROM g, s)
 SELECT x, y, max(z) AS top FROM l WHERE abs(u) <= w / 2 AND abs(v) <= h / 2 GROUP BY x, y""",
 )
 def point_in_rotated_rect(spark, d):
-    return top_sprites(spark, table(spark, d, "part").where("p_partkey < 200"))
-
-
-@query("point_in_rotated_rect_whole", whole("point_in_rotated_rect", (" WHERE p_partkey < 200", "")))
-def point_in_rotated_rect_whole(spark, d):
     return top_sprites(spark, table(spark, d, "part"))
 
 

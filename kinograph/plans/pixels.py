@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kinograph.functions import colour as C
-from kinograph.plans.registry import query, whole
+from kinograph.plans.registry import query
 from kinograph.sources.tables import CLIPS, PIXELS, SAMPLES, clips, pcm, pixels, table
 
 UNIT = f"""{PIXELS}, px AS (SELECT p, r / 255.0::DOUBLE AS r, g / 255.0::DOUBLE AS g, b / 255.0::DOUBLE AS b FROM pixels)"""
@@ -43,23 +43,11 @@ def blend_modes(spark, d):
 
 @query(
     "composite_layers",
-    f"""WITH RECURSIVE {CLIPS}, l AS (SELECT d.day, (c.clip_id * 37 % 256) / 255.0::DOUBLE AS v, 0.25::DOUBLE + c.clip_id % 3 * 0.25::DOUBLE AS alpha, row_number() OVER (PARTITION BY d.day ORDER BY c.layer, c.clip_id) AS n FROM range(0, 200) d(day) JOIN clips c ON d.day >= c.lo AND d.day < c.hi),
+    f"""WITH RECURSIVE {CLIPS}, l AS (SELECT d.day, (c.clip_id * 37 % 256) / 255.0::DOUBLE AS v, 0.25::DOUBLE + c.clip_id % 3 * 0.25::DOUBLE AS alpha, row_number() OVER (PARTITION BY d.day ORDER BY c.layer, c.clip_id) AS n FROM (SELECT unnest(range(min(lo), max(hi))) AS day FROM clips) d JOIN clips c ON d.day >= c.lo AND d.day < c.hi),
 f AS (SELECT DISTINCT day, CAST(0 AS BIGINT) AS n, 0.0::DOUBLE AS v FROM l UNION ALL SELECT f.day, f.n + 1, f.v * (1 - l.alpha) + l.v * l.alpha FROM f JOIN l ON l.day = f.day AND l.n = f.n + 1 AND l.n <= 8)
 SELECT day, max(n) AS layers, round(arg_max(v, n), 6) AS v FROM f GROUP BY day""",
 )
 def composite_layers(spark, d):
-    """Each frame's first eight layers, laid over each other in order."""
-    from kinograph.operators.joins import grid_of
-
-    rows = grid_of(clips(spark, d), "lo", "hi", 1, "day", 0, 199)
-    look = F.struct("layer", "clip_id", ((F.col("clip_id") * 37 % 256) / 255.0).alias("v"), (F.lit(0.25) + F.col("clip_id") % 3 * 0.25).alias("alpha"))
-    frames = rows.groupBy("day").agg(F.slice(F.array_sort(F.collect_list(look)), 1, 8).alias("layers"))
-    mixed = F.aggregate("layers", F.lit(0.0), lambda v, x: C.over(v, x["v"], x["alpha"]))
-    return frames.select("day", F.size("layers").cast("long").alias("layers"), F.round(mixed, 6).alias("v"))
-
-
-@query("composite_layers_whole", whole("composite_layers", ("range(0, 200) d(day)", "(SELECT unnest(range(min(lo), max(hi))) AS day FROM clips) d")))
-def composite_layers_whole(spark, d):
     """Every frame's first eight layers, laid over each other in order; no array holds more than eight."""
     from kinograph.operators.joins import grid_of
 

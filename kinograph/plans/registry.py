@@ -8,15 +8,6 @@ QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
 
-def whole(name: str, *cuts: tuple[str, str]) -> str:
-    """The SQL of a registered query with the conditions that narrow its tables replaced."""
-    sql = ORACLES[name]
-    for narrow, wide in cuts:
-        assert narrow in sql
-        sql = sql.replace(narrow, wide)
-    return sql
-
-
 def query(name: str, sql: str | None = None) -> Callable:
     def register(plan: Callable) -> Callable:
         QUERIES[name] = plan

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kinograph.operators import sequences as S
-from kinograph.plans.registry import query, whole
+from kinograph.plans.registry import query
 from kinograph.sources.tables import CLIPS, PACKETS, SAMPLES, clips, packets, pcm, samples, table
 
 
@@ -158,7 +158,7 @@ def bpm_histogram(spark, d):
 
 @query("upper_median", f"WITH {PACKETS} SELECT track, list_sort(list(value))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS median FROM packets GROUP BY track")
 def upper_median(spark, d):
-    return packets(spark, d).groupBy("track").agg(S.upper_median(F.collect_list("value")).alias("median"))
+    return S.upper_median(packets(spark, d), ["track"], "value")
 
 
 @query(
@@ -182,27 +182,21 @@ def rolling_median_peaks(spark, d):
 UNION ALL SELECT g.track, (SELECT min(t.t) FROM t WHERE t.track = g.track AND t.t - g.t > 20000) FROM g WHERE g.t IS NOT NULL) SELECT track, t FROM g WHERE t IS NOT NULL""",
 )
 def greedy_min_gap(spark, d):
-    rows = packets(spark, d).select("track", F.expr("pts div 1000000").alias("t"))
-    return rows.groupBy("track").agg(F.array_sort(F.collect_list("t")).alias("a")).select("track", F.explode(S.greedy_gap(F.col("a"), 20_000)).alias("t"))
+    rows = packets(spark, d).select("track", F.expr("pts div 1000000").alias("t"), "event_id").withColumn("at", F.col("t"))
 
+    def make():
+        step = S.greedy_gap_steps(20_000)
+        return lambda t, event_id, at: [step(at)]
 
-@query("changed_frames", f"WITH {CLIPS}, f AS (SELECT d.day, list_sort(list(c.clip_id)) AS ids FROM range(0, 400) d(day) JOIN clips c ON c.track = 3 AND d.day >= c.lo AND d.day < c.hi GROUP BY d.day), l AS (SELECT day, ids, lag(ids) OVER (ORDER BY day) AS was FROM f) SELECT day, len(ids) AS n FROM l WHERE was IS NULL OR was <> ids")
-def changed_frames(spark, d):
-    """Frames of one track whose set of clips differs from the frame before."""
-    from kinograph.operators.joins import grid_of
-
-    rows = grid_of(clips(spark, d).where("track = 3"), "lo", "hi", 1, "day", 0, 399)
-    frames = rows.groupBy("track", "day").agg(F.array_sort(F.collect_list("clip_id")).alias("ids"))
-    was = F.lag("ids").over(Window.partitionBy("track").orderBy("day"))
-    return frames.withColumn("was", was).where("was is null or was <> ids").select("day", F.size("ids").cast("long").alias("n"))
+    return S.grouped_fold(rows, "track", ["t", "event_id"], "at", make, "track long, t long, event_id long, taken boolean").where("taken").select("track", "t")
 
 
 @query(
-    "changed_frames_whole",
+    "changed_frames",
     f"""WITH {CLIPS}, e AS (SELECT track, clip_id, unnest(range(lo, hi)) AS day FROM clips), f AS (SELECT track, day, list_sort(list(clip_id)) AS ids FROM e GROUP BY track, day),
 l AS (SELECT track, day, ids, lag(ids) OVER (PARTITION BY track ORDER BY day) AS was FROM f) SELECT track, day, len(ids) AS n FROM l WHERE was IS NULL OR was <> ids""",
 )
-def changed_frames_whole(spark, d):
+def changed_frames(spark, d):
     """Frames of every track whose set of clips differs from the frame before.
 
     Clips last a day at least, so that a set changes exactly where a clip starts or ends; a running sum of both counts its clips.
@@ -216,19 +210,19 @@ def changed_frames_whole(spark, d):
 
 @query("waveform_bins", f"WITH {SAMPLES} SELECT source_id, i // 8 AS bin, round(avg(abs(x)), 6) AS level FROM samples GROUP BY 1, 2")
 def waveform_bins(spark, d):
-    bins = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda b: F.aggregate(F.slice("x", b * 8 + 1, 8), F.lit(0.0), lambda a, v: a + F.abs(v)) / 8)
+    bins = F.transform(S.numbers(F.ceil(F.size("x") / 8)), lambda b: S.mean(F.transform(F.slice("x", b * 8 + 1, 8), F.abs)))
     return pcm(spark, d).select("source_id", F.posexplode(bins).alias("bin", "level")).select("source_id", "bin", F.round("level", 6).alias("level"))
 
 
 @query("downmix_mono", f"WITH {SAMPLES} SELECT source_id, i // 2 AS frame, round(avg(x), 6) AS x FROM samples GROUP BY 1, 2")
 def downmix_mono(spark, d):
-    mono = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: (F.get("x", k * 2) + F.get("x", k * 2 + 1)) / 2)
+    mono = F.transform(S.numbers(F.ceil(F.size("x") / 2)), lambda k: S.mean(F.slice("x", k * 2 + 1, 2)))
     return pcm(spark, d).select("source_id", F.posexplode(mono).alias("frame", "x")).select("source_id", "frame", F.round("x", 6).alias("x"))
 
 
 @query("block_rms", f"WITH {SAMPLES} SELECT source_id, i // 16 AS block, round(sqrt(avg(x * x)), 6) AS rms FROM samples GROUP BY 1, 2")
 def block_rms(spark, d):
-    blocks = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda b: F.sqrt(F.aggregate(F.slice("x", b * 16 + 1, 16), F.lit(0.0), lambda a, v: a + v * v) / 16))
+    blocks = F.transform(S.numbers(F.ceil(F.size("x") / 16)), lambda b: F.sqrt(S.mean(F.transform(F.slice("x", b * 16 + 1, 16), lambda v: v * v))))
     return pcm(spark, d).select("source_id", F.posexplode(blocks).alias("block", "rms")).select("source_id", "block", F.round("rms", 6).alias("rms"))
 
 
@@ -250,9 +244,9 @@ def deinterleave(spark, d):
     return samples(spark, d).select("source_id", (F.col("i") % 2).alias("ch"), F.expr("i div 2").cast("int").alias("frame"), "x")
 
 
-@query("chunk_array", f"WITH {SAMPLES} SELECT source_id, c.range AS chunk, list_sum(a[c.range * 24 + 1 : c.range * 24 + 24]) AS total, len(a[c.range * 24 + 1 : c.range * 24 + 24]) AS n FROM pcm, range(0, 3) c".replace("list_sum(a[c.range * 24 + 1 : c.range * 24 + 24])", "round(list_sum(a[c.range * 24 + 1 : c.range * 24 + 24]), 6)"))
+@query("chunk_array", f"WITH {SAMPLES} SELECT source_id, c.range AS chunk, list_sum(a[c.range * 24 + 1 : c.range * 24 + 24]) AS total, len(a[c.range * 24 + 1 : c.range * 24 + 24]) AS n FROM pcm, LATERAL (SELECT unnest(range(0, CAST(ceil(len(a) / 24) AS BIGINT))) AS range) c".replace("list_sum(a[c.range * 24 + 1 : c.range * 24 + 24])", "round(list_sum(a[c.range * 24 + 1 : c.range * 24 + 24]), 6)"))
 def chunk_array(spark, d):
-    chunks = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda c: F.slice("x", c * 24 + 1, 24))
+    chunks = F.transform(S.numbers(F.ceil(F.size("x") / 24)), lambda c: F.slice("x", c * 24 + 1, 24))
     rows = pcm(spark, d).select("source_id", F.posexplode(chunks).alias("chunk", "a"))
     return rows.select("source_id", F.col("chunk").cast("long").alias("chunk"), F.round(F.aggregate("a", F.lit(0.0), lambda s, v: s + v), 6).alias("total"), F.size("a").cast("long").alias("n"))
 
@@ -269,9 +263,9 @@ def decimate(spark, d):
     return samples(spark, d).where("i % 4 = 0").select("source_id", F.expr("i div 4").cast("int").alias("i"), "x")
 
 
-@query("karaoke_lr", f"WITH {SAMPLES} SELECT source_id, k.range AS frame, round((a[2 * k.range + 1] - a[2 * k.range + 2]) / 2, 6) AS x FROM pcm, range(0, 32) k")
+@query("karaoke_lr", f"WITH {SAMPLES} SELECT source_id, k.range AS frame, round((a[2 * k.range + 1] - a[2 * k.range + 2]) / 2, 6) AS x FROM pcm, LATERAL (SELECT unnest(range(0, len(a) // 2)) AS range) k")
 def karaoke_lr(spark, d):
-    sides = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: (F.get("x", k * 2) - F.get("x", k * 2 + 1)) / 2)
+    sides = F.transform(S.numbers(F.floor(F.size("x") / 2)), lambda k: (F.get("x", k * 2) - F.get("x", k * 2 + 1)) / 2)
     return pcm(spark, d).select("source_id", F.posexplode(sides).alias("frame", "x")).select("source_id", F.col("frame").cast("long").alias("frame"), F.round("x", 6).alias("x"))
 
 
@@ -327,34 +321,7 @@ def cumulative_motion(spark, d):
     return packets(spark, d).select("track", "event_id", F.sum(F.col("size") - 25_000).over(by_track().rowsBetween(Window.unboundedPreceding, 0)).alias("path"))
 
 
-FIRST50 = f"{PACKETS}, v AS (SELECT track, row_number() OVER (PARTITION BY track ORDER BY pts, event_id) AS n, value / 100 AS z FROM packets QUALIFY n <= 50)"
-
-
-def first50(spark, d):
-    rows = packets(spark, d).withColumn("n", F.row_number().over(by_track())).where("n <= 50").withColumn("z", F.col("value") / 100)
-    return S.ordered_array(rows, ["track"], ["n"], ["z"]).select("track", F.transform("rows", lambda r: r["z"]).alias("z"))
-
-
-@query(
-    "kalman_smooth",
-    f"""WITH RECURSIVE {FIRST50}, k AS (SELECT DISTINCT track, CAST(0 AS BIGINT) AS n, 1.0::DOUBLE AS p, 0.0::DOUBLE AS x FROM v
-UNION ALL SELECT k.track, k.n + 1, (1 - (k.p + 0.00001::DOUBLE) / (k.p + 0.00001::DOUBLE + 0.01::DOUBLE)) * (k.p + 0.00001::DOUBLE), k.x + (k.p + 0.00001::DOUBLE) / (k.p + 0.00001::DOUBLE + 0.01::DOUBLE) * (v.z - k.x) FROM k JOIN v ON v.track = k.track AND v.n = k.n + 1)
-SELECT track, n, round(x, 4) AS x FROM k WHERE n > 0""",
-)
-def kalman_smooth(spark, d):
-    out = first50(spark, d).select("track", F.posexplode(S.kalman(F.col("z"))).alias("n", "x"))
-    return out.select("track", (F.col("n") + 1).cast("long").alias("n"), F.round("x", 4).alias("x"))
-
-
-@query(
-    "ducking_gain",
-    f"""WITH RECURSIVE {FIRST50}, k AS (SELECT DISTINCT track, CAST(0 AS BIGINT) AS n, 1.0::DOUBLE AS g FROM v
-UNION ALL SELECT k.track, k.n + 1, k.g * c + goal * (1 - c) FROM (SELECT k.*, v.z, CASE WHEN v.z > 2.5::DOUBLE THEN 0.25::DOUBLE ELSE 1.0::DOUBLE END AS goal, CASE WHEN CASE WHEN v.z > 2.5::DOUBLE THEN 0.25::DOUBLE ELSE 1.0::DOUBLE END < k.g THEN 0.3::DOUBLE ELSE 0.9::DOUBLE END AS c FROM k JOIN v ON v.track = k.track AND v.n = k.n + 1) k)
-SELECT track, n, round(g, 5) AS gain FROM k WHERE n > 0""",
-)
-def ducking_gain(spark, d):
-    out = first50(spark, d).select("track", F.posexplode(S.ducking(F.col("z"), 2.5, 4.0, 0.3, 0.9)).alias("n", "g"))
-    return out.select("track", (F.col("n") + 1).cast("long").alias("n"), F.round("g", 5).alias("gain"))
+NUMBERED = f"{PACKETS}, v AS (SELECT track, row_number() OVER (PARTITION BY track ORDER BY pts, event_id) AS n, value / 100 AS z FROM packets)"
 
 
 def fold_tracks(spark, d, make, out):
@@ -374,16 +341,23 @@ def fold_tracks(spark, d, make, out):
     return S.grouped_fold(rows, "track", ["pts", "event_id"], "z", numbered, f"track long, pts long, event_id long, n long, {out} double")
 
 
-ALL_ROWS = (" QUALIFY n <= 50", "")
-
-
-@query("kalman_smooth_whole", whole("kalman_smooth", ALL_ROWS))
-def kalman_smooth_whole(spark, d):
+@query(
+    "kalman_smooth",
+    f"""WITH RECURSIVE {NUMBERED}, k AS (SELECT DISTINCT track, CAST(0 AS BIGINT) AS n, 1.0::DOUBLE AS p, 0.0::DOUBLE AS x FROM v
+UNION ALL SELECT k.track, k.n + 1, (1 - (k.p + 0.00001::DOUBLE) / (k.p + 0.00001::DOUBLE + 0.01::DOUBLE)) * (k.p + 0.00001::DOUBLE), k.x + (k.p + 0.00001::DOUBLE) / (k.p + 0.00001::DOUBLE + 0.01::DOUBLE) * (v.z - k.x) FROM k JOIN v ON v.track = k.track AND v.n = k.n + 1)
+SELECT track, n, round(x, 4) AS x FROM k WHERE n > 0""",
+)
+def kalman_smooth(spark, d):
     return fold_tracks(spark, d, S.kalman_steps, "x").select("track", "n", F.round("x", 4).alias("x"))
 
 
-@query("ducking_gain_whole", whole("ducking_gain", ALL_ROWS))
-def ducking_gain_whole(spark, d):
+@query(
+    "ducking_gain",
+    f"""WITH RECURSIVE {NUMBERED}, k AS (SELECT DISTINCT track, CAST(0 AS BIGINT) AS n, 1.0::DOUBLE AS g FROM v
+UNION ALL SELECT k.track, k.n + 1, k.g * c + goal * (1 - c) FROM (SELECT k.*, v.z, CASE WHEN v.z > 2.5::DOUBLE THEN 0.25::DOUBLE ELSE 1.0::DOUBLE END AS goal, CASE WHEN CASE WHEN v.z > 2.5::DOUBLE THEN 0.25::DOUBLE ELSE 1.0::DOUBLE END < k.g THEN 0.3::DOUBLE ELSE 0.9::DOUBLE END AS c FROM k JOIN v ON v.track = k.track AND v.n = k.n + 1) k)
+SELECT track, n, round(g, 5) AS gain FROM k WHERE n > 0""",
+)
+def ducking_gain(spark, d):
     return fold_tracks(spark, d, lambda: S.ducking_steps(2.5, 4.0, 0.3, 0.9), "gain").select("track", "n", F.round("gain", 5).alias("gain"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from kinograph.functions import curves as K
 from kinograph.operators import signal
 from kinograph.operators.joins import asof
-from kinograph.plans.registry import query, whole
+from kinograph.plans.registry import query
 from kinograph.sources.tables import PACKETS, PIXELS, SAMPLES, packets, pcm, pixels, table
 
 
@@ -31,13 +31,8 @@ def kaiser_window(spark, d):
     return spark.range(33).select(F.col("id").alias("i"), F.round(K.kaiser(F.col("id"), 33), 6).alias("w"))
 
 
-@query("dft_magnitude", f"WITH {SAMPLES} SELECT s.source_id, k.range AS k, round(sqrt(power(sum(s.x * cos(2 * pi() * k.range * s.i / 64.0::DOUBLE)), 2) + power(sum(s.x * sin(2 * pi() * k.range * s.i / 64.0::DOUBLE)), 2)), 5) AS magnitude FROM samples s, range(0, 33) k WHERE s.source_id < 100 GROUP BY 1, 2")
+@query("dft_magnitude", f"WITH {SAMPLES} SELECT s.source_id, k.range AS k, round(sqrt(power(sum(s.x * cos(2 * pi() * k.range * s.i / 64.0::DOUBLE)), 2) + power(sum(s.x * sin(2 * pi() * k.range * s.i / 64.0::DOUBLE)), 2)), 5) AS magnitude FROM samples s, range(0, 33) k GROUP BY 1, 2")
 def dft_magnitude(spark, d):
-    return dft_magnitude_whole(spark, d).where("source_id < 100")
-
-
-@query("dft_magnitude_whole", whole("dft_magnitude", (" WHERE s.source_id < 100", "")))
-def dft_magnitude_whole(spark, d):
     out = pcm(spark, d).select("source_id", F.posexplode(signal.dft_magnitude(F.col("x"), 64)).alias("k", "m"))
     return out.select("source_id", F.col("k").cast("long").alias("k"), F.round("m", 5).alias("magnitude"))
 
@@ -45,15 +40,10 @@ def dft_magnitude_whole(spark, d):
 @query(
     "spectral_flux",
     f"""WITH {SAMPLES}, f AS (SELECT s.source_id, fr.range AS fr, k.range AS k, sqrt(power(sum(s.x * cos(2 * pi() * k.range * (s.i - fr.range * 8) / 16.0::DOUBLE)), 2) + power(sum(s.x * sin(2 * pi() * k.range * (s.i - fr.range * 8) / 16.0::DOUBLE)), 2)) AS m
-FROM samples s, range(0, 7) fr, range(0, 9) k WHERE s.source_id < 100 AND s.i >= fr.range * 8 AND s.i < fr.range * 8 + 16 GROUP BY 1, 2, 3)
+FROM samples s, range(0, 7) fr, range(0, 9) k WHERE s.i >= fr.range * 8 AND s.i < fr.range * 8 + 16 GROUP BY 1, 2, 3)
 SELECT b.source_id, b.fr AS frame, round(sum(greatest(0, b.m - a.m)), 5) AS flux FROM f b JOIN f a ON a.source_id = b.source_id AND a.k = b.k AND a.fr = b.fr - 1 GROUP BY 1, 2""",
 )
 def spectral_flux(spark, d):
-    return spectral_flux_whole(spark, d).where("source_id < 100")
-
-
-@query("spectral_flux_whole", whole("spectral_flux", ("s.source_id < 100 AND ", "")))
-def spectral_flux_whole(spark, d):
     from kinograph.operators.sequences import hops
 
     frames = F.transform(hops(F.col("x"), 16, 8), lambda f: signal.dft_magnitude(f["samples"], 16))

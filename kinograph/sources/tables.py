@@ -55,7 +55,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SAMPLES = """pcm AS (SELECT vec_id AS source_id, CAST(embedding AS DOUBLE[]) AS a FROM embeddings),
-samples AS (SELECT source_id, CAST(unnest(range(0, 64)) AS INT) AS i, unnest(a) AS x FROM pcm)"""
+samples AS (SELECT source_id, CAST(unnest(range(0, len(a))) AS INT) AS i, unnest(a) AS x FROM pcm)"""
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
