@@ -39,6 +39,8 @@ from kinograph.llm.common import cut
 BLOCK_ELEMENTS = 2_000_000
 #: Buckets that a query visits in one table at most; one that needs more is searched exactly.
 MOST_PROBES = 2048
+#: Length of a window, in spreads of its projection.
+WINDOW = 1.6
 #: Share of a sample's visits that must reach their target at the width taken, and queries in the sample.
 REACHED, REACH_SAMPLE = 0.98, 50
 #: Queries of one exact pass over all rows.
@@ -130,20 +132,21 @@ def vectors(rows: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int]
     return found.where(F.size("vec") == dim), dim
 
 
-def fit(vecs: DataFrame, dim: int, n_rows: int, tables: int = 6, success: float = 0.4, sample_rows: int = 4096, seed: int = 4) -> Hashing:
-    """Draw the projections and measure, on about ``sample_rows`` rows, spreads and the distance of a near neighbour.
+def fit(vecs: DataFrame, dim: int, n_rows: int, tables: int = 2, success: float = 0.72, k: int = 10, sample_rows: int = 4096, seed: int = 4) -> Hashing:
+    """Draw the projections and measure, on about ``sample_rows`` rows, spreads and the distance of the k-th neighbour.
 
-    Where MOST_PROBES buckets miss ``success``, fewer projections make larger buckets, until they reach it.
+    In a sample, that is the neighbour whose rank is as much smaller as the sample is. Where MOST_PROBES buckets miss ``success``, fewer projections make larger buckets, until they reach it.
     """
     share = int(min(1.0, sample_rows / max(1, n_rows)) * 2**30)
     sample = np.array([r[0] for r in vecs.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(2**30)) < share).select("vec").collect()]).reshape(-1, dim)
-    width = max(2, round(math.log2(max(2, n_rows)) / 2.6))
+    width = max(2, round(math.log2(max(2, n_rows)) / 2))
     correlation = 0.9
     if len(sample) > 2:
         some = sample[:: max(1, len(sample) // 200)][:200]
         squares = np.stack([((sample - q) ** 2).sum(axis=1) for q in some])
         squares[squares == 0] = np.inf
-        nearest = squares.min(axis=1)
+        rank = min(len(sample) - 2, max(0, round(k * len(sample) / max(1, n_rows)) - 1))
+        nearest = np.partition(squares, rank, axis=1)[:, rank]
         total = ((sample - sample.mean(axis=0)) ** 2).sum(axis=1).mean()
         if np.isfinite(nearest).any() and total > 0:
             correlation = float(np.clip(1 - np.median(nearest[np.isfinite(nearest)]) / (2 * total), 0.1, 0.95))
@@ -152,7 +155,7 @@ def fit(vecs: DataFrame, dim: int, n_rows: int, tables: int = 6, success: float
         directions = rng.standard_normal((dim, tables * width))
         along = sample @ directions if len(sample) else np.zeros((1, tables * width))
         spread = np.maximum(along.std(axis=0), 1e-9)
-        window = np.full(tables * width, 1.35) * spread
+        window = np.full(tables * width, WINDOW) * spread
         hashing = Hashing(directions, rng.uniform(0, 1, tables * width) * window, window, along.mean(axis=0), spread, correlation, tables, width, success)
         asked = sample[:: max(1, len(sample) // REACH_SAMPLE)][:REACH_SAMPLE]
         if width == 1 or not len(asked) or hashing.reached(asked) >= REACHED:
@@ -189,25 +192,32 @@ class Nearest:
 
     def __init__(self, ids: np.ndarray, vecs: np.ndarray, k: int):
         self.ids, self.vecs, self.k = ids, vecs, k
+        self.squares = (vecs**2).sum(axis=1)
         self.distances = np.full((len(ids), k), np.inf)
         self.found = np.full((len(ids), k), np.iinfo(np.int64).max)
 
     def see(self, ids: np.ndarray, vecs: np.ndarray) -> None:
-        step = max(1, BLOCK_ELEMENTS // max(1, len(self.ids) * vecs.shape[1]))
+        step = max(1, BLOCK_ELEMENTS // max(1, min(4096, len(self.ids)), vecs.shape[1]))
         for at in range(0, len(ids), step):
             some, their = ids[at : at + step], vecs[at : at + step]
+            squares = (their**2).sum(axis=1)
             for q in range(0, len(self.ids), 4096):
-                self._merge(q, some, np.sqrt(((self.vecs[q : q + 4096, None, :] - their[None, :, :]) ** 2).sum(axis=2)))
-
-    def _merge(self, q: int, ids: np.ndarray, distances: np.ndarray) -> None:
-        distances[self.ids[q : q + 4096, None] == ids[None, :]] = np.inf
-        bound = self.distances[q : q + len(distances), -1]
-        for i in np.flatnonzero((distances <= bound[:, None]).any(axis=1)):
-            close = np.flatnonzero(distances[i] <= bound[i])
+                self._merge(q, some, their, squares)
+
+    def _merge(self, q: int, ids: np.ndarray, vecs: np.ndarray, squares: np.ndarray) -> None:
+        """A matrix product tells, within its rounding error, which rows can be among the nearest; those are measured exactly."""
+        mine, own = self.vecs[q : q + 4096], self.squares[q : q + 4096]
+        rough = own[:, None] + squares[None, :] - 2 * (mine @ vecs.T)
+        slack = 1e-12 * vecs.shape[1] * (own.max(initial=0) + squares.max(initial=0))
+        rough[self.ids[q : q + 4096, None] == ids[None, :]] = np.inf
+        bound = self.distances[q : q + len(mine), -1] ** 2 + slack
+        for i in np.flatnonzero((rough <= bound[:, None]).any(axis=1)):
+            close = np.flatnonzero((rough[i] <= bound[i]) & np.isfinite(rough[i]))
             if len(close) > 4 * self.k:
-                limit = np.partition(distances[i][close], self.k)[self.k]
-                close = close[distances[i][close] <= limit]
-            d = np.r_[self.distances[q + i], distances[i][close]]
+                limit = np.partition(rough[i][close], self.k)[self.k] + 2 * slack
+                close = close[rough[i][close] <= limit]
+            exact = np.sqrt(((vecs[close] - mine[i]) ** 2).sum(axis=1))
+            d = np.r_[self.distances[q + i], exact]
             found = np.r_[self.found[q + i], ids[close]]
             order = np.lexsort((found, d))
             _, first = np.unique(found[order], return_index=True)
@@ -328,7 +338,7 @@ def nearest_of(found: DataFrame, k: int) -> DataFrame:
     return merged.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def search(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = 6, success: float = 0.4) -> DataFrame:
+def search(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = 2, success: float = 0.72) -> DataFrame:
     """(query_id, rank, vec_id, score) for the k nearest rows found of each query, by Euclidean distance.
 
     ``is_query`` is a condition on the column ``id``.
@@ -337,7 +347,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id
     if not dim:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     n_rows, n_queries = vecs.agg(F.count_distinct("id"), F.count(F.when(is_query, 1))).first()
-    hashing = fit(vecs, dim, n_rows, tables, success)
+    hashing = fit(vecs, dim, n_rows, tables, success, k)
     asked = vecs.where(is_query)
     dealt = deal(bucket_rows(vecs, hashing, dim, False), bucket_rows(asked, hashing, dim, True), n_rows, n_queries)
     best = cut(nearest_of(search_buckets(dealt, dim, k), k))
