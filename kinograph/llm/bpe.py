@@ -4,10 +4,15 @@ Spark deals the texts; a task cuts them into pre-tokens by the public pattern, a
 distinct pre-token once. New pre-tokens become token-position rows of an in-memory table. A
 recursive query joins neighbouring positions with the merge table, contracts each word's
 leftmost pair of minimum rank, and goes on until no word has a pair left. Ordered aggregation gives
-the ids, and, joined with the vocabulary, the decoded bytes. A round covers DEPTH merges; words with
-more go through further rounds, so that what the recursion collects stays bounded for very long
+the ids, and, joined with the vocabulary, the decoded bytes. A query covers DEPTH steps; words with
+more go through further queries, so that what the recursion collects stays bounded for very long
 pre-tokens too.
 
+Of a long pre-token, a step contracts from the left every pair of the minimum rank that does not
+overlap the one before, up to and including the first after which a neighbouring pair has a lower
+rank: those are the merges that one pair at a time would make next. So the steps are about as many
+as the ranks met, not as the merges.
+
 Cases: null and empty texts have no ids; lone surrogates cannot occur in Spark strings; texts and
 pre-tokens of any length are encoded whole; equal texts give equal ids; repeated rows give
 repeated results; an empty table gives an empty result. Columns beside id and text are not read.
@@ -22,12 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Merges that one recursive query makes for a word at most.
-DEPTH = 48
+from kinograph.llm.common import Memo, give_back, parts
+
+#: Steps that one recursive query makes for a word at most, and rows that it collects of long ones.
+DEPTH, COLLECTED = 48, 2_000_000
+#: Bytes from which on a pre-token is long.
+LONG_WORD = 64
 #: Bytes of pre-tokens that one query starts from, and texts looked at together.
 ROUND_BYTES, TEXTS_AT_ONCE = 400_000, 256
-#: Pre-tokens that a task remembers before it starts afresh.
-MEMO_WORDS = 250_000
+#: Bytes of the pre-tokens that a task remembers, and of an entry beside its text.
+MEMO_BYTES, ENTRY_BYTES = 64_000_000, 260
 
 ENCODE_SQL = f"""
 WITH RECURSIVE step(w, pos, id, after, depth) AS (
@@ -43,6 +52,35 @@ WITH RECURSIVE step(w, pos, id, after, depth) AS (
 )
 SELECT s.w, s.pos, s.id, s.depth FROM step s JOIN (SELECT w, max(depth) AS depth FROM step GROUP BY w) d ON s.w = d.w AND s.depth = d.depth
 """
+ENCODE_LONG_SQL = """
+WITH RECURSIVE step(w, pos, id, depth) AS (
+  SELECT w, pos::BIGINT, id, 0 FROM state
+  UNION ALL
+  (WITH t AS (
+    SELECT w, pos, id, depth, lag(id) OVER line AS before, lead(id) OVER line AS after, lead(id, 2) OVER line AS beyond
+    FROM step WHERE depth < {depth} WINDOW line AS (PARTITION BY w ORDER BY pos)
+  ), lowest AS (
+    SELECT t.w, t.pos, m.merged, t.before, t.beyond FROM t JOIN merges m ON m.l = t.id AND m.r = t.after
+    QUALIFY m.merged = min(m.merged) OVER (PARTITION BY t.w)
+  ), chains AS (
+    SELECT *, pos - row_number() OVER (PARTITION BY w ORDER BY pos) AS chain FROM lowest
+  ), apart AS (
+    SELECT * FROM chains QUALIFY row_number() OVER (PARTITION BY w, chain ORDER BY pos) % 2 = 1
+  ), beside AS (
+    SELECT *, CASE WHEN lag(pos) OVER (PARTITION BY w ORDER BY pos) = pos - 2 THEN merged ELSE before END AS previous FROM apart
+  ), judged AS (
+    SELECT b.w, b.pos, b.merged, coalesce(x.merged < b.merged, false) OR coalesce(y.merged < b.merged, false) AS stop
+    FROM beside b LEFT JOIN merges x ON x.l = b.previous AND x.r = b.merged LEFT JOIN merges y ON y.l = b.merged AND y.r = b.beyond
+  ), now AS (
+    SELECT w, pos, merged FROM judged
+    QUALIFY NOT coalesce(bool_or(stop) OVER (PARTITION BY w ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false)
+  )
+  SELECT t.w, row_number() OVER (PARTITION BY t.w ORDER BY t.pos) - 1, coalesce(c.merged, t.id), t.depth + 1
+  FROM t SEMI JOIN now ON now.w = t.w LEFT JOIN now c ON c.w = t.w AND c.pos = t.pos
+  ANTI JOIN now d ON d.w = t.w AND d.pos + 1 = t.pos)
+)
+SELECT s.w, s.pos, s.id, s.depth FROM step s JOIN (SELECT w, max(depth) AS depth FROM step GROUP BY w) d ON s.w = d.w AND s.depth = d.depth
+"""
 COLLECT_SQL = """
 SELECT d.w, string_agg(v.id_hex, '' ORDER BY d.pos) AS ids, string_agg(v.bytes_hex, '' ORDER BY d.pos) AS decoded
 FROM done d JOIN vocabulary v ON v.id = d.id GROUP BY d.w
@@ -77,23 +115,31 @@ class WordCoder:
     def encode(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
         """Each word's ids (little-endian unsigned 32-bit) and the bytes they decode to."""
         of_byte = self.of_byte
-        rows_w = [w for w, word in enumerate(words) for _ in word]
-        rows_pos = [i for word in words for i in range(len(word))]
-        rows_id = [of_byte[b] for word in words for b in word]
-        state = pa.table({"w": pa.array(rows_w, pa.int32()), "pos": pa.array(rows_pos, pa.int32()), "id": pa.array(rows_id, pa.int32())})
-        self._load("state", state)
-        self.db.execute("CREATE OR REPLACE TEMP TABLE done AS SELECT w, pos, id FROM state LIMIT 0")
-        while True:
-            self.db.execute(f"CREATE OR REPLACE TEMP TABLE reached AS {ENCODE_SQL}")
-            self.db.execute(f"INSERT INTO done SELECT w, pos, id FROM reached WHERE depth < {DEPTH}")
-            self.db.execute(f"CREATE OR REPLACE TEMP TABLE state AS SELECT w, pos, id FROM reached WHERE depth = {DEPTH}")
-            if not self.db.execute("SELECT count(*) FROM state").fetchone()[0]:
-                break
         out: list[tuple[bytes, bytes]] = [(b"", b"")] * len(words)
-        for w, ids, decoded in self.db.execute(COLLECT_SQL).fetchall():
-            out[w] = (bytes.fromhex(ids), bytes.fromhex(decoded))
+        for long in (False, True):
+            some = [(w, word) for w, word in enumerate(words) if (len(word) >= LONG_WORD) == long]
+            if not some:
+                continue
+            rows_w = [w for w, word in some for _ in word]
+            rows_pos = [i for _, word in some for i in range(len(word))]
+            rows_id = [of_byte[b] for _, word in some for b in word]
+            state = pa.table({"w": pa.array(rows_w, pa.int32()), "pos": pa.array(rows_pos, pa.int32()), "id": pa.array(rows_id, pa.int32())})
+            self._load("state", state)
+            self._contract(state.num_rows, long)
+            for w, ids, decoded in self.db.execute(COLLECT_SQL).fetchall():
+                out[w] = (bytes.fromhex(ids), bytes.fromhex(decoded))
         return out
 
+    def _contract(self, n_rows: int, long: bool) -> None:
+        """Table ``done`` with the tokens that ``state`` ends with."""
+        self.db.execute("CREATE OR REPLACE TEMP TABLE done AS SELECT w, pos, id FROM state LIMIT 0")
+        while n_rows:
+            depth = max(1, min(DEPTH, COLLECTED // n_rows)) if long else DEPTH
+            self.db.execute(f"CREATE OR REPLACE TEMP TABLE reached AS {ENCODE_LONG_SQL.format(depth=depth) if long else ENCODE_SQL}")
+            self.db.execute(f"INSERT INTO done SELECT w, pos, id FROM reached WHERE depth < {depth}")
+            self.db.execute(f"CREATE OR REPLACE TEMP TABLE state AS SELECT w, pos, id FROM reached WHERE depth = {depth}")
+            n_rows = self.db.execute("SELECT count(*) FROM state").fetchone()[0]
+
 
 class TextCoder:
     """Encodes texts through :class:`WordCoder`, remembering words."""
@@ -101,15 +147,14 @@ class TextCoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
 
-        self.words, self.split, self.memo = WordCoder(ranks), regex.compile(pattern).findall, {}
+        self.words, self.split, self.memo = WordCoder(ranks), regex.compile(pattern).findall, Memo(MEMO_BYTES, ENTRY_BYTES)
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """Each text's ids and the bytes they decode to."""
         cut = [self.split(t) for t in texts]
         every = set().union(*cut)
         new = [w for w in every if w not in self.memo]
-        if len(self.memo) + len(new) > MEMO_WORDS:
-            self.memo.clear()
+        if not self.memo.room(new):
             new = list(every)
         todo, size = [], 0
         for word in sorted(new, key=len):  # words of like length need like numbers of steps
@@ -135,12 +180,13 @@ def encode_decode(docs: DataFrame, rank_lines: bytes, pattern: str, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = None
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                part = batch.slice(at, TEXTS_AT_ONCE)
+            for part in parts(batch, TEXTS_AT_ONCE):
                 coder = coder or TextCoder(read_ranks(shared.value), pattern)
                 found = coder.encode([t or "" for t in part.column(1).to_pylist()])
                 arrays = [part.column(0), pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "ids", "decoded"])
+        del coder
+        give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), text_col).mapInArrow(run, f"doc_id {kind}, ids binary, decoded binary")
