@@ -41,7 +41,7 @@ MEDIA_TAGS = ("img", "video", "audio", "source", "embed")
 SILENT_TAGS = ("script", "style", "template", "noscript")
 #: Elements that do not interrupt a stretch of text.
 INLINE_TAGS = ("a", "abbr", "b", "code", "em", "i", "mark", "s", "small", "span", "strong", "sub", "sup", "u")
-ITEMS = "array<struct<position: int, kind: string, text: string, digest: string, caption: string>>"
+ITEMS = "array<struct<position: int, kind: string, text: string, digest: string, caption: string, src: string>>"
 
 
 class Sequence(HTMLParser):
@@ -104,7 +104,7 @@ class Sequence(HTMLParser):
 
 
 def parse_page(html: str | None) -> list[tuple]:
-    """(position, kind, text, digest, caption) per item; ``digest`` is null for references of other schemes."""
+    """(position, kind, text, digest, caption, src) per item; ``digest`` is null for references of other schemes."""
     page = Sequence()
     page.feed(html or "")
     page.close()
@@ -114,17 +114,17 @@ def parse_page(html: str | None) -> list[tuple]:
     out = []
     for i, (kind, text, src, caption) in enumerate(page.items):
         digest = src[len(SCHEME) :].lower() if src and src.startswith(SCHEME) else None
-        out.append((i, kind, text, digest, caption))
+        out.append((i, kind, text, digest, caption, src))
     return out
 
 
 def sequences(html: Column) -> Column:
-    """Array of items (position, kind, text, digest, caption) of each page."""
+    """Array of items (position, kind, text, digest, caption, src) of each page."""
 
     @F.arrow_udf(ITEMS)
     def parse_pages(pages: pa.Array) -> pa.Array:
-        kind = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())]))
-        names = ("position", "kind", "text", "digest", "caption")
+        kind = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string()), ("src", pa.string())]))
+        names = ("position", "kind", "text", "digest", "caption", "src")
         return pa.array([[dict(zip(names, item)) for item in parse_page(p.as_py())] for p in pages], kind)
 
     return parse_pages(html)
@@ -230,20 +230,33 @@ def read_media(stored: DataFrame) -> DataFrame:
 
 
 def resolve(pages: DataFrame, media: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """A row per item of every page (id, position, kind, text, digest, caption), with the columns of ``media``.
+    """A row per item of every page (id, position, kind, text, digest, caption, src), with the columns of ``media``.
 
     ``media`` has one row per ``digest``. Unresolved references and text have nulls there.
     """
     items = pages.select(F.col(id_col), F.explode(sequences(F.col(html_col))).alias("item")).select(id_col, "item.*")
+    # a reference by address is looked up by the digest of its address
+    items = items.withColumn("digest", F.coalesce("digest", F.when(F.col("src").isNotNull(), F.sha2(payload(F.col("src")), 256))))
     held = media.withColumnRenamed("digest", "__digest")
     return items.join(held, items["digest"] == held["__digest"], "left").drop("__digest")
 
 
 def interleave(pages: DataFrame, media: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """One row per page with items: its sequence as an ordered array, media columns included."""
-    rows = resolve(pages, media, id_col, html_col)
-    item = F.struct(*[F.col(c) for c in rows.columns if c != id_col])
-    return rows.groupBy(id_col).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    """One row per page with items: its sequence as an ordered array, media columns included.
+
+    Pages that repeat id and HTML are resolved once and come back as often as they were there.
+    """
+    page = pages.groupBy(F.col(id_col).alias("id"), F.md5(F.coalesce(F.col(html_col), F.lit("")).cast("binary")).alias("digest")).agg(F.count(F.lit(1)).alias("n"), F.any_value(html_col).alias("html"))
+    rows = resolve(page.select(F.struct("id", "digest", "n").alias("page"), "html"), media, "page", "html")
+    item = F.struct(*[F.col(c) for c in rows.columns if c != "page"])
+    whole = rows.groupBy("page").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    return whole.withColumn("copy", F.explode(F.expr("sequence(1L, page.n)"))).select(F.col("page.id").alias(id_col), "items")
+
+
+def page_payloads(pages: DataFrame, html_col: str) -> DataFrame:
+    """Payloads of the media that pages refer to by digest or by address; an address stands for its own bytes, as tables hold no fetched media."""
+    items = pages.select(F.explode(sequences(F.col(html_col))).alias("i")).where("i.kind = 'media'")
+    return items.select(F.col("i.src").alias("src")).distinct()
 
 
 def document_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

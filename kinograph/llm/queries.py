@@ -73,7 +73,16 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = media.media_features(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+
+
+def media_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as an interleaved sequence, its media stored, read back and resolved: a row per item, in place."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    stored = media.store_media(media.payload(F.col("src")), media.page_payloads(pages, "html"))
+    whole = media.interleave(pages, media.read_media(stored), "page_id", "html")
+    rows = whole.select("page_id", F.explode("items").alias("i")).select("page_id", "i.*")
+    return rows.select("page_id", "position", "kind", "text", "caption", "src", "payload_bytes", "payload_sha256")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -87,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_sharding": op9_sharding,
     "op10_media": op10_media,
+    "media_pages": media_pages,
 }
 
 OP5_SQL = r"""
