@@ -509,8 +509,75 @@ def test_media_sequences(spark):
     ]
     rows = media.resolve(pages, store, "id", "html").collect()
     assert Counter(r["size"] for r in rows) == {7: 2, None: 10}
-    whole = media.interleave(pages.dropDuplicates(), store, "id", "html").collect()
-    assert len(whole) == 1 and [x["position"] for x in whole[0]["items"]] == list(range(6))
+    whole = media.interleave(pages, store, "id", "html").collect()
+    assert [r["id"] for r in whole] == [1, 1]  # repeated pages each keep their sequence
+    assert all([(x["position"], x["size"]) for x in r["items"]] == [(0, None), (1, 7), (2, None), (3, None), (4, None), (5, None)] for r in whole)
+
+
+def test_media_pages_against_an_independent_parser(spark):
+    """Texts and references of every page, in order, by regular expressions over its markup."""
+    import html
+    import re
+
+    have = defaultdict(list)
+    for r in queries.media_pages(spark, SF).orderBy("page_id", "position").collect():
+        have[r["page_id"]].append(r)
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        body = re.sub(r"(?is)<(script|style|template|noscript)\b.*?</\1\s*>", "", re.sub(r"(?s)<!--.*?-->|<!doctype[^>]*>", "", r["html"], flags=re.I))
+        words = " ".join(html.unescape(re.sub(r"(?is)</?(?:a|abbr|b|code|em|i|mark|s|small|span|strong|sub|sup|u)\b[^>]*>", "", body).replace("\x00", "")).split())
+        text = " ".join(" ".join(re.sub(r"(?s)<[^>]*>", " ", words).split()).split())
+        items = have.pop(r["page_id"], [])
+        assert " ".join(" ".join(x["text"] or x["caption"] or "" for x in items if x["kind"] == "text").split()) == text
+        assert [x["src"] for x in items if x["kind"] == "media"] == [html.unescape(m) for m in re.findall(r"""(?is)<(?:img|video|audio|source|embed)\b[^>]*?\ssrc=["']?([^"'\s>]+)""", body)]
+        assert [x["position"] for x in items] == list(range(len(items)))
+        for x in (x for x in items if x["kind"] == "media"):
+            raw = x["src"].encode()
+            assert x["payload_sha256"] == hashlib.sha256(raw + bytes(-len(raw) % 64)).hexdigest()
+    assert not have
+
+
+@pytest.mark.parametrize("text", ["a" * 5000, "ab" * 1500, "abracadabra" * 300, "".join("etaoinshr"[i * i % 9] for i in range(3000)), "x" + "é" * 700 + "中文" * 300])
+def test_bpe_of_long_pre_tokens(text):
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    coder = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    (ids, decoded), short = bpe.TextCoder(ranks, P.PATTERN).encode([text, "short"])
+    assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == coder.encode_ordinary(text) and decoded == text.encode() and short[1] == b"short"
+
+
+def test_bpe_of_many_long_words():
+    """Random words over small alphabets, where neighbouring merges compete."""
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    coder = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list(letters), rng.integers(64, 200))) for letters in ("ab", "aab", "etaoin", "abcdefghijklmnopqrstuvwxyz") for _ in range(40)]
+    for word, (ids, _) in zip(words, bpe.WordCoder(ranks).encode([w.encode() for w in words])):
+        assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == coder.encode_ordinary(word)
+
+
+@pytest.mark.parametrize("which", ["documents", "awkward"])
+def test_sharding_order_against_brute_force(request, which):
+    """The law's order itself: seeded digests within a source, then fractional ranks."""
+    docs = request.getfixturevalue(which)
+    rows = [(r["doc_id"], r["source"]) for r in docs.collect()]
+    digest = lambda i: hashlib.md5(f"20:{'null' if i is None else i}".encode()).hexdigest()
+    by_source = defaultdict(list)
+    for i, source in rows:
+        by_source["s-null" if source is None else f"s{source}"].append(i)
+    places = []
+    for name, ids in by_source.items():
+        ids.sort(key=lambda i: (digest(i), i is not None, i))
+        places += [((k + 0.5) / len(ids), name, digest(i), i) for k, i in enumerate(ids)]
+    places.sort(key=lambda p: p[:3])
+    want = []
+    for at, (_, _, _, i) in enumerate(places):
+        shard = at * 40 // len(places)
+        want.append((str(i), shard, at - -(-shard * len(places) // 40)))
+    have = [(str(r["doc_id"]), r["shard"], r["slot"]) for r in sharding.shard_rows(docs, 40, 20).collect()]
+    assert sorted(have) == sorted(want)
 
 
 def shingles_of(text, words=5):
