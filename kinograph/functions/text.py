@@ -33,10 +33,10 @@ def srt_cues(text: Column) -> Column:
 
     def cue(block: Column) -> Column:
         lines = F.split(F.trim(block, F.lit(" \n\t")), "\n")
-        at = F.when(F.contains(F.get(lines, F.lit(0)), F.lit("-->")), 0).otherwise(1)
+        at = F.when(F.regexp_like(F.trim(F.get(lines, F.lit(0))), F.lit(r"^\d+$")), 1).otherwise(0)  # only a number may stand before the times
         times = F.split(F.coalesce(F.get(lines, at), F.lit("")), r"-->")
         body = F.array_join(F.slice(lines, at + 2, F.greatest(F.lit(0), F.size(lines))), "\n")
-        return F.struct(stamp_ms(F.get(times, F.lit(0))).alias("start_ms"), stamp_ms(F.get(times, F.lit(1))).alias("end_ms"), strip_tags(body).alias("text"))
+        return F.struct(stamp_ms(F.get(times, F.lit(0))).alias("start_ms"), stamp_ms(F.get(times, F.lit(1))).alias("end_ms"), F.trim(strip_tags(body), F.lit(" \n\t")).alias("text"))
 
     return F.filter(F.transform(blocks, cue), lambda c: c["start_ms"].isNotNull() & c["end_ms"].isNotNull())
 
@@ -44,7 +44,7 @@ def srt_cues(text: Column) -> Column:
 def vtt_cues(text: Column) -> Column:
     """Array of cues (start_ms, end_ms, position, align, text) of a WebVTT document; notes and styles are left out.
 
-    Only time stamps with hours count.
+    Only time stamps with hours count. Alignment is left, right or else center.
     """
     blocks = F.split(F.trim(normal_lines(text), F.lit(" \n\t")), r"\n[ \t]*\n+")
 
@@ -53,14 +53,14 @@ def vtt_cues(text: Column) -> Column:
         at = F.when(F.contains(F.get(lines, F.lit(0)), F.lit("-->")), 0).otherwise(1)
         line = F.coalesce(F.get(lines, at), F.lit(""))
         part = lambda pattern: F.nullif(F.regexp_extract(line, pattern, 1), F.lit(""))
-        full = r"\d{2,}:\d{2}:\d{2}\.\d{3}"
+        full = r"\d{1,2}:\d{2}:\d{2}\.\d{1,3}"
         skipped = F.regexp_like(F.get(lines, F.lit(0)), F.lit("^(NOTE|STYLE|WEBVTT)"))
         return F.struct(
             F.when(~skipped, stamp_ms(part(rf"^\s*({full})\s*-->"))).alias("start_ms"),
             stamp_ms(part(rf"-->\s*({full})")).alias("end_ms"),
             part(r"position:(\d+(?:\.\d+)?)%?").cast("double").alias("position"),
-            part(r"align:(\S+)").alias("align"),
-            strip_tags(F.array_join(F.slice(lines, at + 2, F.greatest(F.lit(0), F.size(lines))), "\n")).alias("text"),
+            F.coalesce(F.when(part(r"align:(\S+)").isin("left", "right"), part(r"align:(\S+)")), F.lit("center")).alias("align"),
+            F.trim(strip_tags(F.array_join(F.slice(lines, at + 2, F.greatest(F.lit(0), F.size(lines))), "\n")), F.lit(" \n\t")).alias("text"),
         )
 
     return F.filter(F.transform(blocks, cue), lambda c: c["start_ms"].isNotNull() & c["end_ms"].isNotNull())

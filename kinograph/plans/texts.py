@@ -22,9 +22,9 @@ def srt_parse(spark, d):
     return docs.select("conv_id", F.posexplode(T.srt_cues(text)).alias("n", "c")).select("conv_id", (F.col("n") + 1).cast("long").alias("cue_no"), "c.*")
 
 
-@query("vtt_settings", f"WITH {CUES} SELECT conv_id, cue_no, start_ms, end_ms, CAST(cue_no % 5 * 20 AS DOUBLE) AS position, CASE WHEN cue_no % 2 = 0 THEN 'start' END AS align FROM cues")
+@query("vtt_settings", f"WITH {CUES} SELECT conv_id, cue_no, start_ms, end_ms, CAST(cue_no % 5 * 20 AS DOUBLE) AS position, CASE WHEN cue_no % 2 = 0 THEN 'left' ELSE 'center' END AS align FROM cues")
 def vtt_settings(spark, d):
-    side = F.when(F.col("cue_no") % 2 == 0, " align:start").otherwise("")
+    side = F.when(F.col("cue_no") % 2 == 0, " align:left").otherwise(" align:start")
     line = F.concat(T.format_stamp(F.col("start_ms"), "."), F.lit(" --> "), T.format_stamp(F.col("end_ms"), "."), F.lit(" position:"), (F.col("cue_no") % 5 * 20).cast("string"), F.lit("%"), side)
     text = F.concat(F.lit("WEBVTT\n\nNOTE none\n\n"), line, F.lit("\nwords"))
     rows = cues(spark, d).select("conv_id", "cue_no", F.explode(T.vtt_cues(text)).alias("c"))

@@ -11,13 +11,15 @@ import struct
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kinograph.functions.curves import sign_extend
 
-ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+#: Rows of a file that are sent on together.
+AT_ONCE = 10_000
+ARROW = {"array<long>": pa.list_(pa.int64()), "double": pa.float64(), "string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
@@ -34,17 +36,29 @@ def walk(found: DataFrame, walker: Callable[[bytes], Iterator[tuple]], schema: s
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1)):
                 rows, seq = [], 0
-                try:
-                    for row in walker(content.as_py() or b""):
-                        rows.append((path.as_py(), seq, *row, None))
-                        seq += 1
-                except (ValueError, IndexError, struct.error) as e:
-                    rows.append((path.as_py(), seq, *[None] * width, str(e) or type(e).__name__))
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)], schema=arrow)
+                entries = walker(content.as_py() or b"")
+                while entries is not None:
+                    try:
+                        for row in entries:
+                            rows.append((path.as_py(), seq, *row, None))
+                            seq += 1
+                            if len(rows) == AT_ONCE:
+                                break
+                        else:
+                            entries = None
+                    except (ValueError, IndexError, struct.error) as e:
+                        rows.append((path.as_py(), seq, *[None] * width, str(e) or type(e).__name__))
+                        entries = None
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)], schema=arrow)
+                    rows = []
 
     return found.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in fields))
 
 
+#: Enhanced codecs whose coded frames carry a composition offset.
+FLV_WITH_OFFSETS = (b"avc1", b"hvc1")
+
+
 def flv_walker(data: bytes) -> Iterator[tuple]:
     """(kind, dts_ms, cts, is_key, is_config, offset, size) per tag."""
     if data[:3] != b"FLV":
@@ -58,7 +72,10 @@ def flv_walker(data: bytes) -> Iterator[tuple]:
             raise ValueError("cut off in a tag")
         first = data[body] if size else 0
         cts, config = 0, False
-        if kind == 9 and size >= 5:
+        if kind == 9 and first & 0x80 and size >= 5:  # enhanced header: packet type, then the codec's four characters
+            config = first & 15 == 0
+            cts = int.from_bytes(data[body + 5 : body + 8], "big") if first & 15 == 1 and size >= 8 and data[body + 1 : body + 5] in FLV_WITH_OFFSETS else 0
+        elif kind == 9 and first & 15 in (7, 12) and size >= 5:
             config = data[body + 1] == 0
             cts = int.from_bytes(data[body + 2 : body + 5], "big") if data[body + 1] == 1 else 0
         elif kind == 8 and size >= 2 and first >> 4 == 10:
@@ -67,6 +84,11 @@ def flv_walker(data: bytes) -> Iterator[tuple]:
         at = body + size + 4
 
 
+def damage(found: DataFrame, walker: Callable[[bytes], Iterator[tuple]], schema: str) -> DataFrame:
+    """(path, seq, error) of the files that are not whole: after how many entries, and what is wrong."""
+    return walk(found, walker, schema).where("error is not null").select("path", "seq", "error")
+
+
 def flv_packets(found: DataFrame) -> DataFrame:
     tags = walk(found, flv_walker, "kind string, dts_ms long, cts long, is_key boolean, is_config boolean, offset long, size long")
     dts = F.col("dts_ms") * 1000
@@ -91,13 +113,25 @@ def ogg_walker(data: bytes) -> Iterator[tuple]:
             at = data.find(b"OggS", at + 4)
 
 
+def crc_table(polynomial: int) -> list[int]:
+    """What each leading byte contributes to a CRC-32 that is not reflected."""
+    table = []
+    for byte in range(256):
+        crc = byte << 24
+        for _ in range(8):
+            crc = (crc << 1 ^ polynomial if crc & 0x80000000 else crc << 1) & 0xFFFFFFFF
+        table.append(crc)
+    return table
+
+
+OGG_TABLE = crc_table(0x04C11DB7)
+
+
 def ogg_crc(data: bytes) -> int:
     """CRC-32 with polynomial 0x04C11DB7, not reflected, start and end at zero."""
     crc = 0
     for byte in data:
-        crc ^= byte << 24
-        for _ in range(8):
-            crc = (crc << 1 ^ 0x04C11DB7 if crc & 0x80000000 else crc << 1) & 0xFFFFFFFF
+        crc = (crc << 8 & 0xFFFFFFFF) ^ OGG_TABLE[crc >> 24 ^ byte]
     return crc
 
 
@@ -127,25 +161,40 @@ def avi_walker(data: bytes) -> Iterator[tuple]:
             streams += 1
         elif tag[:2].isdigit() and tag[2:] in (b"dc", b"db", b"wb"):
             yield int(tag[:2]), "chunk", None, None, at + 8, size
+        elif tag == b"idx1":  # flags take the place of the rate; the place is the data's, absolute or from "movi" on
+            for i in range(at + 8, at + 8 + size - 15, 16):
+                name, flags, place, length = struct.unpack_from("<4sIII", data, i)
+                if name[:2].isdigit():
+                    yield int(name[:2]), "index", flags, None, place, length
         at += 8 + size + (size & 1)
 
 
 def avi_packets(found: DataFrame) -> DataFrame:
     """Chunks with their presentation time: the chunk's number in its stream times scale / rate."""
-    rows = walk(found, avi_walker, "stream int, kind string, rate long, scale long, offset long, size long").where("error is null")
-    heads = rows.where("kind <> 'chunk'").select("path", "stream", F.col("kind").alias("type"), "rate", "scale")
-    n = F.row_number().over(Window.partitionBy("path", "stream").orderBy("seq")).cast("long") - 1
-    chunks = rows.where("kind = 'chunk'").select("path", "stream", "offset", "size", n.alias("n"))
-    return chunks.join(heads, ["path", "stream"]).select("path", "stream", "type", "n", F.expr("n * scale * 1000000 div rate").alias("pts_us"), "offset", "size")
+    rows = walk(found, avi_walker, AVI_SCHEMA).where("error is null")
+    heads = rows.where("kind not in ('chunk', 'index')").select("path", "stream", F.col("kind").alias("type"), "rate", "scale")
+    n = F.row_number().over(Window.partitionBy("path", "stream", "kind").orderBy("seq")).cast("long") - 1
+    numbered = rows.where("kind in ('chunk', 'index')").withColumn("n", n)
+    keys = numbered.where("kind = 'index'").select("path", "stream", "n", F.col("rate").bitwiseAND(F.lit(0x10).cast("long")).alias("flag"))
+    chunks = numbered.where("kind = 'chunk'").select("path", "stream", "offset", "size", "n").join(keys, ["path", "stream", "n"], "left")
+    is_key = F.coalesce(F.col("flag") != 0, F.lit(True))  # without an index every chunk may be decoded alone
+    return chunks.join(heads, ["path", "stream"]).select("path", "stream", "type", "n", F.expr("n * scale * 1000000 div rate").alias("pts_us"), "offset", "size", is_key.alias("is_key"))
+
+
+AVI_SCHEMA = "stream int, kind string, rate long, scale long, offset long, size long"
 
 
 #: Boxes that hold boxes.
-MP4_PARENTS = (b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"udta")
+MP4_PARENTS = (b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"udta", b"moof", b"traf")
+#: Boxes with a codec's configuration, and how far a sample entry's own fields reach by the kind of track.
+MP4_CONFIGS, MP4_ENTRY = (b"avcC", b"hvcC", b"av1C", b"vpcC", b"esds", b"dOps"), {b"vide": 86, b"soun": 36}
+MP4_SCHEMA = "track int, what string, a long, b long, c long, data binary"
 
 
 def mp4_walker(data: bytes) -> Iterator[tuple]:
-    """(track, what, a, b, c): entries of the sample tables, time scales (``mdhd``) and handlers (``hdlr``)."""
-    track = -1
+    """(track, what, a, b, c, data): entries of the sample tables, track headers (``tkhd``: id, width, height), time scales
+    (``mdhd``), handlers, sample entries (``stsd:`` and the codec, with its configuration), and the runs of fragments."""
+    track, kind_of_track = -1, b""
 
     def boxes(at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
         while at + 8 <= end:
@@ -160,16 +209,35 @@ def mp4_walker(data: bytes) -> Iterator[tuple]:
             at += size
 
     def inside(at: int, end: int) -> Iterator[tuple]:
-        nonlocal track
+        nonlocal track, kind_of_track
         for name, a, b in boxes(at, end):
             if name == b"trak":
                 track += 1
             if name in MP4_PARENTS:
                 yield from inside(a, b)
             elif name == b"mdhd":
-                yield track, "mdhd", struct.unpack_from(">I", data, a + (20 if data[a] else 12))[0], 0, 0
+                yield track, "mdhd", struct.unpack_from(">I", data, a + (20 if data[a] else 12))[0], 0, 0, None
+            elif name == b"tkhd":
+                wide = 12 if data[a] else 0
+                yield track, "tkhd", struct.unpack_from(">I", data, a + (20 if data[a] else 12))[0], *(x >> 16 for x in struct.unpack_from(">II", data, a + 76 + wide)), None
             elif name == b"hdlr":
-                yield track, data[a + 8 : a + 12].decode("latin-1"), 0, 0, 0
+                kind_of_track = data[a + 8 : a + 12]
+                yield track, kind_of_track.decode("latin-1"), 0, 0, 0, None
+            elif name == b"stsd":
+                for entry, x, y in boxes(a + 8, b):
+                    reach = x - 8 + MP4_ENTRY.get(kind_of_track, y - x + 8)
+                    config = next((data[p:q] for inner, p, q in boxes(reach, y) if inner in MP4_CONFIGS), None) if reach < y else None
+                    yield track, "stsd:" + entry.decode("latin-1"), 0, 0, 0, config
+            elif name == b"tfdt":
+                yield 0, "tfdt", struct.unpack_from(">Q" if data[a] else ">I", data, a + 4)[0], 0, 0, None
+            elif name == b"trun":
+                flags, count = struct.unpack_from(">II", data, a)
+                at_run = a + 8 + 4 * (flags & 1) + (flags & 4)
+                fields = [bit for bit in (0x100, 0x200, 0x400, 0x800) if flags & bit]
+                for _ in range(min(count, (b - at_run) // max(1, 4 * len(fields)))):
+                    values = dict(zip(fields, struct.unpack_from(f">{len(fields)}I", data, at_run)))
+                    yield 0, "trun", values.get(0x100, 0), values.get(0x200, 0), values.get(0x400, 0), None
+                    at_run += 4 * len(fields)
             elif name in (b"stts", b"ctts", b"stsc", b"stco", b"co64", b"stss", b"stsz"):
                 kind = name.decode()
                 fields = {"stts": ">II", "ctts": ">Ii", "stsc": ">III", "co64": ">Q"}.get(kind, ">I")
@@ -177,20 +245,20 @@ def mp4_walker(data: bytes) -> Iterator[tuple]:
                 count = struct.unpack_from(">I", data, start - 4)[0]
                 same = struct.unpack_from(">I", data, a + 4)[0] if kind == "stsz" else 0
                 if same:
-                    for _ in range(count):
-                        yield track, kind, same, 0, 0
+                    for _ in range(min(count, len(data) // same)):  # no file holds more samples than fit it
+                        yield track, kind, same, 0, 0, None
                     continue
                 step = struct.calcsize(fields)
                 for i in range(min(count, (b - start) // step)):
                     values = struct.unpack_from(fields, data, start + i * step)
-                    yield track, "stco" if kind == "co64" else kind, *values, *[0] * (3 - len(values))
+                    yield track, "stco" if kind == "co64" else kind, *values, *[0] * (3 - len(values)), None
 
     yield from inside(0, len(data))
 
 
 def mp4_packets(found: DataFrame) -> DataFrame:
     """Samples of every track from the run-length tables: times, composition offsets, chunks, sizes, key flags."""
-    rows = walk(found, mp4_walker, "track int, what string, a long, b long, c long").where("error is null")
+    rows = walk(found, mp4_walker, MP4_SCHEMA).where("error is null")
     rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("path", "track", "what").orderBy("seq")).cast("long"))
     on, by_n = ["path", "track"], Window.partitionBy("path", "track").orderBy("n")
     of = lambda what: rows.where(F.col("what") == what)
@@ -221,6 +289,40 @@ def mp4_packets(found: DataFrame) -> DataFrame:
     return out.select(*on, "type", "sample", micros(F.col("dts")).alias("dts_us"), micros(F.col("dts") + F.coalesce("cts", F.lit(0))).alias("pts_us"), micros(F.col("duration")).alias("dur_us"), is_key.alias("is_key"), "offset", "size")
 
 
+def codec_string(entry: Column, config: Column) -> Column:
+    """The codec of a sample entry with profile and level, as media players name it; its common default without a configuration."""
+    byte = lambda i: F.lower(F.hex(F.substring(config, i, 1)))
+    number = lambda i: F.lpad(F.conv(F.hex(F.substring(config, i, 1)), 16, 10), 2, "0")
+    given = lambda n: F.length(config) >= n
+    return (
+        F.when((entry == "avc1") & given(4), F.concat(F.lit("avc1."), byte(2), byte(3), byte(4)))
+        .when((entry == "vp09") & given(7), F.concat(F.lit("vp09."), number(5), F.lit("."), number(6), F.lit("."), F.lpad(F.shiftright(F.conv(F.hex(F.substring(config, 7, 1)), 16, 10).cast("int"), 4).cast("string"), 2, "0")))
+        .when(entry == "avc1", "avc1.42E01E").when(entry.isin("hev1", "hvc1"), F.concat(entry, F.lit(".1.6.L93.B0"))).when(entry == "vp09", "vp09.00.10.08").when(entry == "mp4a", "mp4a.40.2")
+        .otherwise(entry)
+    )
+
+
+def mp4_tracks(found: DataFrame) -> DataFrame:
+    """(path, track, track_id, type, width, height, timescale, codec) per track of each file."""
+    rows = walk(found, mp4_walker, MP4_SCHEMA).where("error is null")
+    of = lambda what, value: F.max(F.when(F.col("what") == what, F.col(value)))
+    entry = F.max(F.when(F.startswith("what", F.lit("stsd:")), F.struct(F.substring("what", 6, 4).alias("name"), "data")))
+    kind = F.max(F.when(F.col("what").isin("vide", "soun", "text", "sbtl"), F.col("what")))
+    out = rows.where("track >= 0").groupBy("path", "track").agg(of("tkhd", "a").alias("track_id"), kind.alias("type"), of("tkhd", "b").alias("width"), of("tkhd", "c").alias("height"), of("mdhd", "a").alias("timescale"), entry.alias("e"))
+    return out.where("timescale is not null").withColumn("codec", codec_string(F.col("e.name"), F.col("e.data"))).drop("e")
+
+
+def mp4_fragments(found: DataFrame) -> DataFrame:
+    """(path, fragment, n, dts, duration, size, is_key) of the samples in movie fragments; times in the track's own unit."""
+    rows = walk(found, mp4_walker, MP4_SCHEMA).where("error is null and what in ('tfdt', 'trun')")
+    file = Window.partitionBy("path").orderBy("seq")
+    rows = rows.withColumns({"fragment": F.count(F.when(F.col("what") == "tfdt", 1)).over(file), "start": F.last(F.when(F.col("what") == "tfdt", F.col("a")), True).over(file)}).where("what = 'trun'")
+    run = Window.partitionBy("path", "fragment").orderBy("seq")
+    before = F.coalesce(F.sum("a").over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    is_key = F.col("c").bitwiseAND(F.lit(0x10000).cast("long")) == 0
+    return rows.select("path", "fragment", (F.row_number().over(run) - 1).alias("n"), (F.col("start") + before).alias("dts"), F.col("a").alias("duration"), F.col("b").alias("size"), is_key.alias("is_key"))
+
+
 def wav_bytes(samples: DataFrame, id_col: str, x_col: str, rate: int = 44_100, channels: int = 1) -> DataFrame:
     """(id, wav): interleaved sample arrays as 16-bit WAV files. Quantised by expressions, packed in Arrow batches."""
     from kinograph.functions.curves import pcm_int16

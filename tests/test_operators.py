@@ -242,3 +242,63 @@ def test_gcd_of_neighbouring_fibonacci_numbers(spark):
     from kinograph.functions.curves import gcd
 
     assert spark.range(1).select(gcd(F.lit(a), F.lit(b))).first()[0] == 1
+
+
+PACKETS_WRITTEN = [(i * 40 + (i % 3), i % 10 == 0, f"packet {i} ".encode() * (1 + i % 4 * 10)) for i in range(200)]
+
+
+def test_written_files_hold_their_packets_where_the_parsers_say(spark):
+    from kinograph.sources import matroska as M
+    from kinograph.sources import writers as W
+
+    same = [(ms, key, b"%08d" % ms) for ms, key, _ in PACKETS_WRITTEN]
+    layouts = {"mp4": W.mp4, "avi": W.avi, "mkv": W.mkv, "xiph": lambda p: W.mkv(p, 1, 3), "ebml": lambda p: W.mkv(p, 3, 4), "fixed": lambda p: W.mkv(p, 2, 5)}
+    contents = {name: make(same if name == "fixed" else PACKETS_WRITTEN) for name, make in layouts.items()}
+    for name, content in contents.items():
+        files = spark.createDataFrame([(name, content)], "path string, content binary")
+        rows = C.mp4_packets(files) if name == "mp4" else C.avi_packets(files) if name == "avi" else M.mkv_packets(M.mkv_rows(files))
+        found = sorted((r["offset"], r["size"], r["is_key"]) for r in rows.collect())
+        want = same if name == "fixed" else PACKETS_WRITTEN
+        assert [content[a : a + n] for a, n, _ in found] == [p[2] for p in want]
+        if name in ("mp4", "avi", "mkv"):
+            assert [k for *_, k in found] == [p[1] for p in want]
+        assert len({a for a, *_ in found}) == len(want)
+
+
+def test_matroska_damage_groups_and_unknown_sizes(spark):
+    from kinograph.sources import matroska as M
+    from kinograph.sources import writers as W
+
+    whole = W.mkv(PACKETS_WRITTEN)
+    group = W.element(0xA0, W.element(0xA1, W.number(1), struct.pack(">hB", 7, 1), b"abc"), W.unsigned(0x9B, 30))
+    open_ended = b"\x18\x53\x80\x67\x01\xff\xff\xff\xff\xff\xff\xff" + W.element(0x1F43B675, W.unsigned(0xE7, 100), group)
+    names = {"cut": whole[: len(whole) // 2], "garbage": b"\x00\x01\x02", "empty": b"", "open": open_ended, "laces": W.element(0x18538067, W.element(0x1F43B675, W.element(0xA3, W.number(1), b"\x00\x00\x02", b"\x05\xff\xff\x01")))}
+    rows = M.mkv_rows(spark.createDataFrame(list(names.items()), "path string, content binary")).collect()
+    errors = {r["path"] for r in rows if r["error"]}
+    assert errors == {"cut", "garbage", "laces"} and sum(r["path"] == "cut" and r["what"] == "block" for r in rows) > 0
+    packets = M.mkv_packets(M.mkv_rows(spark.createDataFrame([("open", open_ended)], "path string, content binary"))).collect()
+    assert [(p["pts_us"], p["dur_us"], p["is_key"], p["discardable"], p["size"]) for p in packets] == [(107_000, 30_000, False, True, 3)]
+    assert C.damage(spark.createDataFrame([("a", b"RIFF\x00\x00\x00\x00AVI 00dc\xff\xff\x00\x00")], "path string, content binary"), C.avi_walker, C.AVI_SCHEMA).count() == 1
+
+
+def test_codecs_enhanced_tags_and_corrupt_counts(spark):
+    entries = [("avc1", bytes.fromhex("0164001f")), ("avc1", None), ("vp09", bytes.fromhex("01000000021fa0")), ("mp4a", None), ("av01", None)]
+    rows = spark.createDataFrame(entries, "e string, c binary").select(C.codec_string(F.col("e"), F.col("c"))).collect()
+    assert [r[0] for r in rows] == ["avc1.64001f", "avc1.42E01E", "vp09.02.31.10", "mp4a.40.2", "av01"]
+    head = b"FLV\x01\x05\x00\x00\x00\x09" + bytes(4)
+    tags = [flv_tag(9, 0, b"\x90hvc1"), flv_tag(9, 10, b"\x91hvc1\xff\xff\xfe!"), flv_tag(9, 20, b"\xa3hvc1!"), flv_tag(9, 30, b"\x12\x01\x02\x03\x04")]
+    found = C.flv_packets(spark.createDataFrame([("f", head + b"".join(tags))], "path string, content binary")).orderBy("seq").collect()
+    assert [(r["pts_us"], r["is_key"], r["is_config"]) for r in found] == [(0, True, True), (8000, True, False), (20_000, False, False), (30_000, True, False)]
+    stsz = box(b"moov", box(b"trak", box(b"mdia", box(b"minf", box(b"stbl", full(b"stsz", 1, b"\xff\xff\xff\xff"))))))
+    assert C.walk(spark.createDataFrame([("m", stsz)], "path string, content binary"), C.mp4_walker, C.MP4_SCHEMA).count() <= len(stsz)
+
+
+def test_subtitle_rules(spark):
+    from kinograph.functions import text as T
+
+    vtt = "WEBVTT\n\n1:02:03.5 --> 01:02:04.25 align:start position:10%\n  <b>one</b> \n\nid\n00:00:01.000 --> 00:00:02.000 align:right\ntwo"
+    cues = spark.createDataFrame([(vtt,)], "t string").select(T.vtt_cues(F.col("t"))).first()[0]
+    assert [(c["start_ms"], c["end_ms"], c["align"], c["text"]) for c in cues] == [(3_723_500, 3_724_250, "center", "one"), (1000, 2000, "right", "two")]
+    srt = "1\n00:00:01,000 --> 00:00:02,000\na\n\nword\n00:00:03,000 --> 00:00:04,000\nb\n\n00:00:05,000 --> 00:00:06,000\nc"
+    found = spark.createDataFrame([(srt,)], "t string").select(T.srt_cues(F.col("t"))).first()[0]
+    assert [c["text"] for c in found] == ["a", "c"]
