@@ -53,9 +53,9 @@ def cut_small(df: DataFrame, most_rows: int) -> DataFrame:
 BROADCAST_ROWS = 1_000_000
 
 
-def narrow_side(df: DataFrame) -> DataFrame:
+def narrow_side(df: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
     """A narrow, materialised side of a join: broadcast if it is counted small, else the build side of a shuffled hash join."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("shuffle_hash")
+    return F.broadcast(df) if df.count() <= most_rows else df.hint("shuffle_hash")
 
 
 def cut_in_place(df: DataFrame) -> DataFrame:

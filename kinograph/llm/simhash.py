@@ -22,10 +22,10 @@ length. What meets at an anchor in any of them and is close in a further signatu
 candidate; the exact Jaccard similarity of the shingle sets decides. If a replaced passage brings a pair
 down to 0.8, each bit differs with probability 0.15, so that it meets at an anchor of one part with
 probability 0.2 and in any of twelve with 0.93; at 0.85 that is 0.98, at 0.9 0.999. Single words
-replaced here and there touch fewer pairs of words: there it is over 0.999 at 0.8 too. A crowded anchor first emits a minimum
-spanning forest of its close pairs only, with ties broken alike everywhere, so that anchors agree on
-it; when those are decided, its rows meet again with the components they are in by then and a sketch of
-1024 bits, and every pair between components that is close in both is a candidate too. Anchors with more rows than one task should hold are dealt, block by block, to many.
+replaced here and there touch fewer pairs of words: there it is over 0.999 at 0.8 too. Of more than two rows, an anchor first
+emits each row's nearest only, with ties broken alike everywhere, so that anchors agree on them; when
+those are decided, its rows meet again with the components they are in by then and a sketch of
+4096 bits, and every pair between components that is close in both is a candidate too. Anchors with more rows than one task should hold are dealt, block by block, to many.
 
 Cases: null, empty and blank texts have fingerprint zero and are linked like any other; texts of
 one or two words have one shingle; long texts are hashed in chunks; repeated rows are in one class;
@@ -56,12 +56,14 @@ SIGNATURE_SHINGLE, PART_BITS, PARTS = 2, 31, 12
 SIGNATURE_WORDS = 1 + PARTS // 2
 #: Bits of that word in which candidates differ at most. Texts with a Jaccard similarity of 0.8 differ
 #: in 9.7 of them, with a deviation of 2.9.
-CLOSE = 20
+CLOSE = 18
 #: Words of a sketch over the shingles that decide, and its bits in which a pair of a crowded anchor differs
-#: at most: at 0.8 it differs in 155, with a deviation of 11.5. Smaller sets are not judged by it.
-SKETCH_WORDS, FAR, SKETCHED = 16, 193, 64
-#: Rows at an anchor up to which all close pairs are candidates at once, and up to which one task holds it.
-FEW, MOST = 4, 20_000
+#: at most: at 0.8 it differs in 620, with a deviation of 23. Smaller sets are not judged by it.
+SKETCH_WORDS, FAR, SKETCHED = 64, 696, 64
+#: Sketches (512 bytes each) that may be broadcast.
+BROADCAST_SKETCHES = 100_000
+#: Rows at an anchor up to which one task holds it.
+MOST = 20_000
 #: Distances between signatures that are held at a time.
 BLOCK = 1 << 21
 
@@ -353,28 +355,23 @@ def replicate_parts(sets: DataFrame) -> DataFrame:
     return sets.select("id", "sig").mapInArrow(spread, "cell long, id long, s long")
 
 
-def close_pairs(ids: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, bool]:
-    """Index pairs of an anchor's rows: all close ones of few rows, else a minimum spanning forest of them; whether close pairs are left."""
-    n = len(sig)
-    if n <= FEW:
-        i, j = np.triu_indices(n, 1)
-        near = np.bitwise_count(sig[i] ^ sig[j]) <= CLOSE
-        return np.column_stack([i[near], j[near]]), False
+def nearest_pairs(ids: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, bool]:
+    """Index pairs (i, j), i < j, of an anchor's rows with their nearest close one, and whether close pairs are left. Ties go by a hash of the pair's ids."""
+    n, close, found = len(sig), 0, [np.empty((0, 2), np.int64)]
     mixed = remix(ids.view(np.uint64), 1)
-    best, via, left = np.full(n, 2**62), np.zeros(n, np.int64), np.arange(1, n)
-    at, links, close = 0, [], 0
-    while len(left):
-        d = np.bitwise_count(sig[left] ^ sig[at])
-        close += int((d <= CLOSE).sum())  # every pair is seen once
-        d = d.astype(np.int64) << 32 | (remix(mixed[left] ^ mixed[at], 2) >> np.uint64(32)).astype(np.int64)  # ties by the pair's hash
-        shorter = d < best[left]
-        best[left[shorter]], via[left[shorter]] = d[shorter], at
-        k = int(np.argmin(best[left]))
-        at = int(left[k])
-        if best[at] >> 32 <= CLOSE:
-            links.append((via[at], at))
-        left = np.delete(left, k)
-    return np.array(links, dtype=np.int64).reshape(-1, 2), close > len(links)
+    for at in range(0, n, max(1, BLOCK // n)):
+        rows = np.arange(at, min(n, at + max(1, BLOCK // n)))
+        d = np.bitwise_count(sig[rows, None] ^ sig[None, :])
+        d[np.arange(len(rows)), rows] = BITS + 1
+        close += int((d <= CLOSE).sum())
+        least = d.min(axis=1)
+        i, j = np.nonzero((d == least[:, None]) & (least <= CLOSE)[:, None])
+        order = np.lexsort((remix(mixed[rows[i]] ^ mixed[j], 2), i))
+        i, j = i[order], j[order]
+        first = np.r_[True, i[1:] != i[:-1]][: len(i)]
+        found.append(np.column_stack([np.minimum(rows[i], j), np.maximum(rows[i], j)])[first])
+    pairs = np.unique(np.concatenate(found), axis=0)
+    return pairs, close // 2 > len(pairs)
 
 
 def pairs_between(sig: np.ndarray, label: np.ndarray, sketches: list[bytes]) -> np.ndarray:
@@ -416,8 +413,8 @@ def ordered_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def candidates(replicas: DataFrame, most: int | None = MOST) -> DataFrame:
     """What meets at an anchor with close signatures: pairs (a, b), a < b (``left`` = PAIR).
 
-    ``replicas`` (cell, id, s) give all close pairs of an anchor or, where it is crowded, a forest, and its rows
-    again as REST; rows of anchors with over ``most`` rows come back as CROWD, one batch at a time.
+    ``replicas`` (cell, id, s) give the close pair of two rows at an anchor; of more, those with each row's nearest,
+    and the rows again as REST where close pairs are left. Rows of anchors with over ``most`` rows come back as CROWD, one batch at a time.
     """
 
     def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -434,7 +431,7 @@ def candidates(replicas: DataFrame, most: int | None = MOST) -> DataFrame:
                 if most is not None and hi - lo > most:
                     yield rows_back(rows[lo:hi], CROWD)
                     continue
-                pairs, more = close_pairs(ids[lo:hi], sig[lo:hi])
+                pairs, more = nearest_pairs(ids[lo:hi], sig[lo:hi])
                 found.append(pairs + lo)
                 if more:
                     yield rows_back(rows[lo:hi], REST)
@@ -465,8 +462,12 @@ def candidates(replicas: DataFrame, most: int | None = MOST) -> DataFrame:
     return replicas.repartition("cell").sortWithinPartitions("cell").mapInArrow(pairs_of, CANDIDATES)
 
 
-def candidates_between(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, with different labels that meet at an anchor close in signature and sketch; ``rows`` are (cell, id, s, label, sketch)."""
+def candidates_between(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, with different labels that meet at an anchor close in signature and sketch.
+
+    ``rows`` are (cell, id, s), ``known`` (id, label, sketch) is joined where the rows have been dealt: sketches are sent to
+    every task where they are few, and else with the rows.
+    """
 
     def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def link(rows: np.ndarray, sketches: list[bytes]) -> pa.RecordBatch:
@@ -476,7 +477,7 @@ def candidates_between(rows: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(met[:, 0]), pa.array(met[:, 1])], ["a", "b"])
 
         held, sketches = np.empty((0, 4), np.int64), []
-        for batch in batches:
+        for batch in (p for b in batches for p in parts(b, 10_000)):
             held = np.r_[held, np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:4]])]
             sketches += batch.column(4).to_pylist()
             last = int(np.searchsorted(held[:, 0], held[-1, 0])) if len(held) else 0
@@ -485,7 +486,9 @@ def candidates_between(rows: DataFrame) -> DataFrame:
         yield link(held, sketches)
         give_back()
 
-    return rows.select("cell", "id", "s", "label", "sketch").repartition("cell").sortWithinPartitions("cell").mapInArrow(pairs_of, "a long, b long").distinct()
+    few = known.count() <= BROADCAST_SKETCHES
+    rows = rows.repartition("cell").join(F.broadcast(known), "id") if few else rows.join(known, "id").repartition("cell")
+    return rows.select("cell", "id", "s", "label", "sketch").sortWithinPartitions("cell").mapInArrow(pairs_of, "a long, b long").distinct()
 
 
 def split_crowds(rows: DataFrame, block: int = MOST // 4) -> DataFrame:
@@ -516,15 +519,16 @@ def similar_sets(rows: DataFrame, shingles_of: Callable[[DataFrame], DataFrame],
     if not crowds.isEmpty():
         found = found.unionByName(cut(candidates(split_crowds(crowds), most=None)))
     pairs = cut(of(found, PAIR).select("a", "b").distinct())
-    # a row with a close one at its anchor has a pair there, so what follows needs no further shingles
+    # a row with a close one at an anchor has a pair there, so what follows needs no further shingles
     asked = cut(pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct())
     shingles = cut(shingles_of(asked))
     links, rest = linked(pairs, shingles), rows_of(found, REST)
     if rest.isEmpty():
         return links
-    known = shingles.select("h", sketch(F.col("shingles")).alias("sketch")).join(components(links), F.col("h") == F.col("node"), "left")
-    known = known.select(F.col("h").alias("id"), "sketch", F.coalesce("label", "h").alias("label"))
-    fresh = candidates_between(rest.join(known, "id"))
+    again = cut(rest.select("id").distinct())
+    known = shingles.join(narrow_side(again), F.col("h") == F.col("id"), "left_semi").select("h", sketch(F.col("shingles")).alias("sketch"))
+    known = known.join(components(links), F.col("h") == F.col("node"), "left").select(F.col("h").alias("id"), F.coalesce("label", "h").alias("label"), "sketch")
+    fresh = candidates_between(rest, cut(known))
     return links.unionByName(linked(fresh.join(pairs, ["a", "b"], "left_anti"), shingles))
 
 
