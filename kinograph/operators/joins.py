@@ -9,6 +9,7 @@ buckets however long it is, and a probe visits one bucket of each class that occ
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -127,13 +128,19 @@ def key_values(probes: DataFrame, keys: DataFrame, on: list[str], probe_t: str,
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """``df`` materialised in the shared folder; on a local session without one, in a folder of its own."""
+    """``df`` as a table in the shared folder (on a local session without one, in a folder of its own), read back.
+
+    Unlike a checkpoint it takes no constraints on, which would double with every level.
+    """
     spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
+        folder = tempfile.mkdtemp(prefix="spark-")
+    path = f"{folder.rstrip('/')}/level-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def flatten_tree(nodes: DataFrame, id_col: str, parent_col: str, offset_col: str, depth: int = 32) -> DataFrame:
