@@ -538,8 +538,9 @@ def read_shingles(docs: DataFrame, rows: DataFrame, words: int, id_col: str, tex
     def of(asked: DataFrame) -> DataFrame:
         first = rows.join(narrow_side(asked), "h", "left_semi").groupBy("h").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("k"))
         first = cut(first.select("h", F.col("k.doc_id").alias("__id"), F.col("k.digest").alias("__digest")))
-        found = docs.join(narrow_side(first), docs[id_col].eqNullSafe(F.col("__id")) & (text_digest(docs[text_col]) == F.col("__digest")))
-        return found.select("h", shingle_set(docs[text_col], words).alias("shingles")).dropDuplicates(["h"])
+        texts = docs.select(F.col(id_col).alias("__own"), F.col(text_col).alias("__text"))
+        found = texts.join(narrow_side(first), F.col("__own").eqNullSafe(F.col("__id")) & (text_digest(F.col("__text")) == F.col("__digest")))
+        return found.select("h", shingle_set(F.col("__text"), words).alias("shingles")).dropDuplicates(["h"])
 
     return of
 

@@ -769,6 +769,27 @@ def test_pipeline_against_brute_force(spark, documents, tmp_path):
     assert have == {i: len(w) for i, w in want.items()}
 
 
+def test_pipeline_stages_awkward(spark, awkward):
+    """Every stage on nulls, repeats, long texts, columns named like outputs, and an empty table."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    extra = {c: F.lit("own") for c in ("lang_pred", "key", "log_weight", "n_lines", "kept_text", "label", "digest", "h")}
+    docs = awkward.withColumns({**extra, "n_chars": F.lit(1).cast("long")})
+    kept = {}
+    for name, stage in pipeline.STAGES:
+        out, empty = stage(spark, docs, SF), stage(spark, docs.limit(0), SF)
+        assert empty.isEmpty()
+        rows = out.collect()
+        if name == "packing":
+            assert {r["doc_id"] for r in rows} == {r[0] for r in AWKWARD}
+            continue
+        assert out.columns == docs.columns
+        assert all(r[c] == "own" for r in rows for c in extra) and {r["score"] for r in rows} <= {"x"}
+        kept[name] = Counter(r["doc_id"] for r in rows)
+    assert not {1, 2, 6, 7} & set(kept["language ID"]) and kept["language ID"][3] == 2
+    assert kept["line dedup"] == Counter(r[0] for r in AWKWARD)
+    assert kept["SimHash near-dedup"][3] == 1 and 4 not in kept["SimHash near-dedup"]
+
+
 def test_entry_registers_everything():
     entry = importlib.import_module("__spark_entry__")
     names = entry.queries()
