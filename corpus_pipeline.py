@@ -1,4 +1,9 @@
-"""The corpus pipeline: stages over ``documents``, each read from its predecessor's Parquet."""
+"""The corpus pipeline: stages over ``documents``, each read from its predecessor's Parquet.
+
+Cases: further columns of documents are passed on as they are, whatever their names; a null text is
+an empty one; repeated rows and ids, ties and very long texts are as the operators state; an empty
+table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -13,20 +18,24 @@ from kinograph.llm.queries import vocabulary
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: documents without a letter, or without a language that stands out, go."""
+    """Language ID: documents without a letter (null and empty texts, too), or without a language that stands out, go."""
     model = langid.fit(docs.where(~langid.held_out("doc_id")))
-    return langid.predict(docs, model).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= 0.5)).select(*docs.columns)
+    found = docs.withColumn("__found", langid.predictor(model, spark)(F.col("text")))
+    return found.where((F.col("__found.lang") != langid.UNKNOWN) & (F.col("__found.score") >= 0.5)).drop("__found")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Quality: documents that importance resampling does not draw go."""
-    return quality.resample(docs, table(spark, sf_dir, "labels")).select(*docs.columns)
+    """Quality: documents that importance resampling does not draw go; without labels of both kinds all stay."""
+    whole = docs.select("doc_id", "text", F.struct(*docs.columns).alias("__row"))
+    return quality.resample(whole, table(spark, sf_dir, "labels"), carry=["__row"]).select("__row.*")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Line dedup: frequent lines stay in their last document only."""
-    out = line_dedup.drop_frequent_lines(docs)
-    return out.withColumns({"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}).select(*docs.columns)
+    """Line dedup: frequent lines stay in their last document only; ``n_chars`` follows the text."""
+    rest = F.struct(*[c for c in docs.columns if c != "text"])
+    out = line_dedup.drop_frequent_lines(docs.select("doc_id", "text", rest.alias("__row")))
+    new = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
+    return out.select(*[new.get(c, F.col(f"__row.{c}")).alias(c) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
