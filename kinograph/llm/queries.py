@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinograph.llm import ann, bpe, langid, line_dedup, media, packing, quality, sharding, simhash, url_filter
+from kinograph.llm import ann, bpe, langid, licenses, line_dedup, media, packing, periodic, quality, sharding, simhash, url_filter, whitening
 from kinograph.llm.common import table
 
 
@@ -76,6 +76,36 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["phrase"])
+    labels = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+    starts = F.transform(base, lambda s: s["start"])
+    return out.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        labels(base).alias("base_labels"),
+        labels(F.col("spans")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["similarity"])), F.lit(0.0)).alias("score"),
+    )
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = docs.select("doc_id", periodic.find(periodic.with_planted_runs(F.col("doc_id"), F.col("text"))).alias("found")).select("doc_id", "found.*")
+    top = periodic.strongest(F.col("runs"))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    out = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), top.alias("top"), F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("kept").cast("binary"), 256).alias("collapsed_sha256"))
+    return out.select("doc_id", "n_runs", "top.start", "top.length", "top.period", F.expr("top.length * 1000 div top.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=32, scale=64, shift=1_000_000)
+
+
 def media_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as an interleaved sequence, its media stored, read back and resolved: a row per item, in place."""
     pages = table(spark, sf_dir, "pages").select("page_id", "html")
@@ -96,6 +126,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_sharding": op9_sharding,
     "op10_media": op10_media,
+    "op11_licenses": op11_licenses,
+    "op12_periodic": op12_periodic,
+    "op13_whitening": op13_whitening,
     "media_pages": media_pages,
 }
 
@@ -129,4 +162,33 @@ SELECT p.page_id, p.fetch_day, p.host, coalesce(b.n, 0) AS n_active, coalesce(b.
 FROM p LEFT JOIN b USING (page_id)
 """
 
-ORACLES: dict[str, str] = {"op5_line_dedup": OP5_SQL, "op6_url_filter": OP6_SQL}
+
+def op11_sql(similarity: float = 0.8, shift: int = 3) -> str:
+    """The same scan as joins of word rows: grams by equality of their words, diagonals, bands, words that stand on them."""
+    held = licenses.templates()
+    quoted = lambda text: "'" + text + "'"
+    values = ", ".join(f"({n}, {quoted(t.label)}, {t.phrase}, {t.k}, {t.votes_needed(similarity)}, string_split({quoted(' '.join(t.words))}, ' '))" for n, t in enumerate(held))
+    return rf"""
+WITH t(template, label, phrase, k, needed, ws) AS (VALUES {values}),
+g AS (SELECT template, k, i - 1 AS place, array_to_string(ws[i:i + k - 1], ' ') AS gram FROM (SELECT *, unnest(range(1, len(ws) - k + 2)) AS i FROM t)),
+d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM d),
+l AS (SELECT doc_id, i, w, lead(w, 1) OVER o AS w1, lead(w, 2) OVER o AS w2, lead(w, 3) OVER o AS w3 FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT doc_id, i, 2 AS k, w || ' ' || w1 AS gram FROM l UNION ALL SELECT doc_id, i, 4, w || ' ' || w1 || ' ' || w2 || ' ' || w3 FROM l),
+v AS (SELECT doc_id, template, i - place AS diagonal, count(DISTINCT place) AS votes FROM r JOIN g USING (k, gram) GROUP BY ALL),
+o AS (SELECT v.*, coalesce(CAST(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > CASE WHEN phrase THEN 0 ELSE {shift} END AS INT), 1) AS opens FROM v JOIN t USING (template)),
+n AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS band FROM o),
+b AS (SELECT doc_id, template, band FROM n JOIN t USING (template) GROUP BY ALL HAVING sum(votes) >= any_value(needed)),
+s AS (SELECT b.doc_id, b.template, b.band, p.i AS place, min(p.i - 1 + n.diagonal) AS word FROM b JOIN n USING (doc_id, template, band)
+  JOIN (SELECT template, ws[i] AS tw, i FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM t)) p ON p.template = b.template
+  JOIN w ON w.doc_id = b.doc_id AND w.i = p.i - 1 + n.diagonal AND w.w = p.tw GROUP BY ALL),
+f AS (SELECT doc_id, template, label, phrase, min(word) AS start, count(*) / len(ws) AS similarity FROM s JOIN t USING (template)
+  GROUP BY doc_id, template, band, label, phrase, ws HAVING count(*) / len(ws) >= CASE WHEN phrase THEN 1 ELSE {similarity} END)
+SELECT d.doc_id, len(d.ws) AS n_words, count(f.doc_id) FILTER (phrase) AS n_base, min(start) FILTER (phrase) AS first_word, max(start) FILTER (phrase) AS last_word,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels,
+  coalesce(max(similarity), 0.0) AS score
+FROM d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id, d.ws
+"""
+
+
+ORACLES: dict[str, str] = {"op5_line_dedup": OP5_SQL, "op6_url_filter": OP6_SQL, "op11_licenses": op11_sql()}
