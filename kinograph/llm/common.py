@@ -74,10 +74,35 @@ def cut_in_place(df: DataFrame) -> DataFrame:
         conf.set("spark.sql.adaptive.enabled", was)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column is called so, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def quoted(name: str) -> str:
+    """A column's name as an expression that means just that column."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text, rest): all other columns in one struct, so that no operator can meet their names."""
+    rest = [F.col(quoted(c)).alias(c) for c in docs.columns if c not in (id_col, text_col)]
+    return docs.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).alias("text"), (F.struct(*rest) if rest else F.lit(None)).alias("rest"))
+
+
+def unpacked(df: DataFrame, columns: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The given columns, in order, of a table made by :func:`packed`."""
+    own = {id_col: F.col("doc_id"), text_col: F.col("text")}
+    return df.select(*[own.get(c, F.col(f"rest.{quoted(c)}")).alias(c) for c in columns])
+
+
 def with_columns(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """``withColumns`` in which the given columns replace those of the same name, whatever their case."""
     taken = {c.lower() for c in columns}
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken], *[v.alias(k) for k, v in columns.items()])
+    return df.select(*[F.col(quoted(c)) for c in df.columns if c.lower() not in taken], *[v.alias(k) for k, v in columns.items()])
 
 
 def parts(batch, rows: int = 256) -> Iterator:

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinograph.llm.common import cut, cut_small, give_back, narrow_side, parts, with_columns
+from kinograph.llm.common import cut, cut_small, give_back, narrow_side, packed, parts, unpacked, with_columns
 
 BITS, SEED = 64, 42
 #: Shingles whose bits are counted at a time.
@@ -60,8 +60,6 @@ CLOSE = 18
 #: Words of a sketch over the shingles that decide, and its bits in which a pair of a crowded anchor differs
 #: at most: at 0.8 it differs in 620, with a deviation of 23. Smaller sets are not judged by it.
 SKETCH_WORDS, FAR, SKETCHED = 64, 696, 64
-#: Sketches (512 bytes each) that may be broadcast.
-BROADCAST_SKETCHES = 100_000
 #: Rows at an anchor up to which one task holds it.
 MOST = 20_000
 #: Distances between signatures that are held at a time.
@@ -355,15 +353,15 @@ def replicate_parts(sets: DataFrame) -> DataFrame:
     return sets.select("id", "sig").mapInArrow(spread, "cell long, id long, s long")
 
 
-def nearest_pairs(ids: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, bool]:
-    """Index pairs (i, j), i < j, of an anchor's rows with their nearest close one, and whether close pairs are left. Ties go by a hash of the pair's ids."""
-    n, close, found = len(sig), 0, [np.empty((0, 2), np.int64)]
+def nearest_pairs(ids: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Index pairs (i, j), i < j, of an anchor's rows with their nearest close one, and the rows that have close ones besides. Ties go by a hash of the pair's ids."""
+    n, close, found = len(sig), np.zeros(len(sig), np.int64), [np.empty((0, 2), np.int64)]
     mixed = remix(ids.view(np.uint64), 1)
     for at in range(0, n, max(1, BLOCK // n)):
         rows = np.arange(at, min(n, at + max(1, BLOCK // n)))
         d = np.bitwise_count(sig[rows, None] ^ sig[None, :])
         d[np.arange(len(rows)), rows] = BITS + 1
-        close += int((d <= CLOSE).sum())
+        close[rows] = (d <= CLOSE).sum(axis=1)
         least = d.min(axis=1)
         i, j = np.nonzero((d == least[:, None]) & (least <= CLOSE)[:, None])
         order = np.lexsort((remix(mixed[rows[i]] ^ mixed[j], 2), i))
@@ -371,7 +369,7 @@ def nearest_pairs(ids: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, bool]:
         first = np.r_[True, i[1:] != i[:-1]][: len(i)]
         found.append(np.column_stack([np.minimum(rows[i], j), np.maximum(rows[i], j)])[first])
     pairs = np.unique(np.concatenate(found), axis=0)
-    return pairs, close // 2 > len(pairs)
+    return pairs, np.flatnonzero(close > np.bincount(pairs.ravel(), minlength=n)).tolist()
 
 
 def pairs_between(sig: np.ndarray, label: np.ndarray, sketches: list[bytes]) -> np.ndarray:
@@ -414,7 +412,7 @@ def candidates(replicas: DataFrame, most: int | None = MOST) -> DataFrame:
     """What meets at an anchor with close signatures: pairs (a, b), a < b (``left`` = PAIR).
 
     ``replicas`` (cell, id, s) give the close pair of two rows at an anchor; of more, those with each row's nearest,
-    and the rows again as REST where close pairs are left. Rows of anchors with over ``most`` rows come back as CROWD, one batch at a time.
+    and again as REST the rows of which close pairs are left. Rows of anchors with over ``most`` rows come back as CROWD, one batch at a time.
     """
 
     def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -434,7 +432,7 @@ def candidates(replicas: DataFrame, most: int | None = MOST) -> DataFrame:
                 pairs, more = nearest_pairs(ids[lo:hi], sig[lo:hi])
                 found.append(pairs + lo)
                 if more:
-                    yield rows_back(rows[lo:hi], REST)
+                    yield rows_back(rows[lo:hi][more], REST)
             at = np.concatenate(found)
             met, n = ordered_pairs(ids[at[:, 0]], ids[at[:, 1]]), pa.nulls
             yield pa.RecordBatch.from_arrays([pa.array(met[:, 0]), pa.array(met[:, 1]), n(len(met), pa.int64()), n(len(met), pa.int64()), pa.array(np.full(len(met), PAIR, np.int32))], names)
@@ -465,8 +463,7 @@ def candidates(replicas: DataFrame, most: int | None = MOST) -> DataFrame:
 def candidates_between(rows: DataFrame, known: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b, with different labels that meet at an anchor close in signature and sketch.
 
-    ``rows`` are (cell, id, s), ``known`` (id, label, sketch) is joined where the rows have been dealt: sketches are sent to
-    every task where they are few, and else with the rows.
+    ``rows`` are (cell, id, s), ``known`` is (id, label, sketch).
     """
 
     def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -486,9 +483,10 @@ def candidates_between(rows: DataFrame, known: DataFrame) -> DataFrame:
         yield link(held, sketches)
         give_back()
 
-    few = known.count() <= BROADCAST_SKETCHES
-    rows = rows.repartition("cell").join(F.broadcast(known), "id") if few else rows.join(known, "id").repartition("cell")
-    return rows.select("cell", "id", "s", "label", "sketch").sortWithinPartitions("cell").mapInArrow(pairs_of, "a long, b long").distinct()
+    # a text stands at some 200 anchors: its label and sketch are looked up once, not at each of them
+    held = rows.groupBy("id").agg(F.collect_list(F.struct("cell", "s")).alias("anchors")).join(known, "id")
+    rows = held.select("id", "label", "sketch", F.explode("anchors").alias("at")).select("at.cell", "id", "at.s", "label", "sketch")
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(pairs_of, "a long, b long").distinct()
 
 
 def split_crowds(rows: DataFrame, block: int = MOST // 4) -> DataFrame:
@@ -583,6 +581,8 @@ def keep_first(docs: DataFrame, distance: int = 2, words: int = 3, id_col: str =
     linked too. Texts are read once for all prints, once for the shingles of
     candidates, and once more to be kept.
     """
+    columns, named_by = docs.columns, (id_col, text_col)
+    docs, id_col, text_col = packed(docs, id_col, text_col), "doc_id", "text"
     digest = text_digest(docs[text_col])
     if similarity is None:
         rows = cut(docs.select(F.col(id_col).alias("doc_id"), digest.alias("digest"), fingerprint(F.col(text_col), words).alias("fp"), F.lit(None).cast("long").alias("h")))
@@ -603,4 +603,4 @@ def keep_first(docs: DataFrame, distance: int = 2, words: int = 3, id_col: str =
     repeated = not rows.groupBy("doc_id", "digest").count().where("count > 1").isEmpty()
     if repeated:  # sorting texts pays only then
         kept = kept.withColumn("__digest", digest).dropDuplicates([id_col, "__digest"]).drop("__digest")
-    return kept
+    return unpacked(kept, columns, *named_by)

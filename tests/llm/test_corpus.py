@@ -97,12 +97,13 @@ def brute_language(rows, least=4, languages=None):
                     grams[k][label][f"_{word}_"[i : i + k]] += n
 
     def logs(counts):
-        kept = {l: {x: n for x, n in c.items() if n >= least} for l, c in counts.items()}
+        kept = {l: {x: n for x, n in c.items() if n >= enough[l]} for l, c in counts.items() if l in enough}
         keys = set().union(*kept.values()) if kept else set()
         totals = {l: sum(kept.get(l, {}).values()) + len(keys) / 2 for l in names}
         return {x: [math.log((kept.get(l, {}).get(x, 0) + 0.5) / totals[l]) for l in names] for x in keys}
 
-    names = sorted(l for l in words if any(n >= least for k in range(1, 5) for n in grams[k][l].values()))
+    names = sorted(l for l in words if words[l])
+    enough = {l: least if max(n for k in range(1, 5) for x, n in grams[k][l].items() if x != "_") >= least else 1 for l in names}
     of_word, of_gram = logs(words), [logs(g) for g in grams]
 
     def of(word):
@@ -134,6 +135,25 @@ def test_language_against_brute_force(request, which):
         assert r["lang_pred"] == lang and r["score"] == pytest.approx(score, abs=1e-6)
 
 
+def test_language_with_few_rows_is_learned(spark):
+    """Nothing of a short sample is met four times: it counts from once on then."""
+    rows = [(i, "the quick brown fox and the lazy dog by the old mill", "en") for i in range(20)] + [(90, "zwölf kühe", "de"), (91, "123", "xx")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["de", "en"]
+    assert [langid.Scorer(model)(t)[0] for t in ("zwölf kühe", "the fox", "kühen")] == ["de", "en", "de"]
+
+
+def test_language_model_of_many_languages_is_sparse(spark):
+    """Entries are (key, language) pairs that met, not keys times languages; a model too large says so before it is brought."""
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("l"), F.col("id") % 200).alias("lang"), F.expr("array_join(transform(sequence(1, 60), i -> translate(concat('w', id % 200, 'x', i), '0123456789', 'abcdefghij')), ' ')").alias("text"))
+    model = langid.fit(docs, least=4)
+    assert len(model.languages) == 200 and len(model.words.keys) == 200 * 60 and model.words.floor.shape == (200,)
+    assert model.bytes() < 40 * (len(model.words.logs) + sum(len(g.logs) for g in model.grams))
+    assert sum(r["lang"] == r["lang_pred"] for r in langid.predict(docs, model).collect()) == 2000
+    with pytest.raises(ValueError, match="most_bytes"):
+        langid.fit(docs, most_bytes=100_000)
+
+
 def test_language_never_reads_labels(spark, documents):
     model = langid.fit(documents.where(~langid.held_out("doc_id")))
     other = documents.withColumn("lang", F.lit("xx")).withColumn("doc_id", F.lit(0))
@@ -772,7 +792,7 @@ def test_pipeline_against_brute_force(spark, documents, tmp_path):
 def test_pipeline_stages_awkward(spark, awkward):
     """Every stage on nulls, repeats, long texts, columns named like outputs, and an empty table."""
     pipeline = pytest.importorskip("corpus_pipeline")
-    extra = {c: F.lit("own") for c in ("lang_pred", "key", "log_weight", "n_lines", "kept_text", "label", "digest", "h")}
+    extra = {c: F.lit("own") for c in ("lang_pred", "key", "log_weight", "n_lines", "kept_text", "label", "digest", "h", "found", "rest", "a.b", "x`y", "__id", "__digest", "__found", "__row", "__own", "__text")}
     docs = awkward.withColumns({**extra, "n_chars": F.lit(1).cast("long")})
     kept = {}
     for name, stage in pipeline.STAGES:
@@ -793,5 +813,5 @@ def test_pipeline_stages_awkward(spark, awkward):
 def test_entry_registers_everything():
     entry = importlib.import_module("__spark_entry__")
     names = entry.queries()
-    assert {f"op{n}" for n in range(1, 11)} <= {n.split("_")[0] for n in names} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} <= {n.split("_")[0] for n in names} and "pipeline" in names
     assert set(entry.oracle_sql()) <= set(names)
