@@ -8,6 +8,7 @@ and reassembly are window functions and joins over those rows. All times are mic
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -26,31 +27,55 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
+#: What a walker raises for bytes that are no container, or a damaged one.
+DAMAGE = (ValueError, IndexError, struct.error, OverflowError, RecursionError)
+#: Levels of boxes or elements inside each other that are followed.
+DEEPEST = 32
+
+
+def unpack(form: str, data: bytes, at: int) -> tuple:
+    """Numbers at a place; ``data`` may be anything that can be sliced into bytes."""
+    return struct.unpack(form, data[at : at + struct.calcsize(form)])
+
+
+def walk_fields(schema: str) -> list[tuple[str, str]]:
+    return [tuple(c.split()) for c in f"path string, seq long, {schema}, error string".split(", ")]
+
+
+def fits(row: tuple) -> tuple:
+    """The row, if all its numbers have 64 bits."""
+    if any(type(v) is int and not -(2**63) <= v < 2**63 for v in row):
+        raise OverflowError("a number over 64 bits")
+    return row
+
+
+def walked(path: str, entries: Iterator[tuple], arrow: pa.Schema, numbers: Callable[[int, tuple], int] = lambda seq, row: seq) -> Iterator[pa.RecordBatch]:
+    """A walker's rows for one file as batches of a ``walk`` table; damage ends them with a row that says so."""
+    rows, seq, width, more = [], 0, len(arrow) - 3, True
+    while more:
+        try:
+            row = fits(next(entries))
+            rows.append((path, numbers(seq, row), *row, None))
+            seq += 1
+        except StopIteration:
+            more = False
+        except DAMAGE as e:
+            rows.append((path, numbers(seq, ()), *[None] * width, str(e) or type(e).__name__))
+            more = False
+        if rows and (len(rows) == AT_ONCE or not more):
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)], schema=arrow)
+            rows = []
+
+
 def walk(found: DataFrame, walker: Callable[[bytes], Iterator[tuple]], schema: str) -> DataFrame:
     """(path, seq, *schema, error): the rows of ``walker`` for each file, in order."""
-    fields = [c.split() for c in f"path string, seq long, {schema}, error string".split(", ")]
+    fields = walk_fields(schema)
     arrow = pa.schema([(n, ARROW[t]) for n, t in fields])
-    width = len(fields) - 3
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1)):
-                rows, seq = [], 0
-                entries = walker(content.as_py() or b"")
-                while entries is not None:
-                    try:
-                        for row in entries:
-                            rows.append((path.as_py(), seq, *row, None))
-                            seq += 1
-                            if len(rows) == AT_ONCE:
-                                break
-                        else:
-                            entries = None
-                    except (ValueError, IndexError, struct.error) as e:
-                        rows.append((path.as_py(), seq, *[None] * width, str(e) or type(e).__name__))
-                        entries = None
-                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)], schema=arrow)
-                    rows = []
+                yield from walked(path.as_py(), walker(content.as_py() or b""), arrow)
 
     return found.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in fields))
 
@@ -113,26 +138,14 @@ def ogg_walker(data: bytes) -> Iterator[tuple]:
             at = data.find(b"OggS", at + 4)
 
 
-def crc_table(polynomial: int) -> list[int]:
-    """What each leading byte contributes to a CRC-32 that is not reflected."""
-    table = []
-    for byte in range(256):
-        crc = byte << 24
-        for _ in range(8):
-            crc = (crc << 1 ^ polynomial if crc & 0x80000000 else crc << 1) & 0xFFFFFFFF
-        table.append(crc)
-    return table
-
-
-OGG_TABLE = crc_table(0x04C11DB7)
+#: Each byte with its bits in reverse.
+REVERSED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
 
 
 def ogg_crc(data: bytes) -> int:
-    """CRC-32 with polynomial 0x04C11DB7, not reflected, start and end at zero."""
-    crc = 0
-    for byte in data:
-        crc = (crc << 8 & 0xFFFFFFFF) ^ OGG_TABLE[crc >> 24 ^ byte]
-    return crc
+    """CRC-32 with polynomial 0x04C11DB7, not reflected, start and end at zero: the reflected one of reversed bytes, reversed."""
+    reflected = zlib.crc32(data.translate(REVERSED), 0xFFFFFFFF) ^ 0xFFFFFFFF
+    return int(f"{reflected:032b}"[::-1], 2)
 
 
 def ogg_packets(found: DataFrame) -> DataFrame:
@@ -144,41 +157,69 @@ def ogg_packets(found: DataFrame) -> DataFrame:
 
 
 def avi_walker(data: bytes) -> Iterator[tuple]:
-    """(stream, kind, rate, scale, offset, size): stream headers first, then the chunks of ``movi``."""
+    """(stream, kind, rate, scale, offset, size): stream headers and places of long indexes first, then ``movi`` and its chunks, and the short index."""
     if data[:4] != b"RIFF":
         raise ValueError("no RIFF signature")
-    at, streams, stack = 12, 0, [len(data)]
+    at, streams = 12, 0
     while at + 8 <= len(data):
-        tag, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
-        if tag == b"LIST":
+        tag, size = data[at : at + 4], unpack("<I", data, at + 4)[0]
+        if tag in (b"LIST", b"RIFF"):  # long files go on in a further RIFF
+            if data[at + 8 : at + 12] == b"movi":
+                yield 0, "movi", None, None, at + 8, 0
             at += 12
             continue
-        if at + 8 + size > stack[0]:
+        if at + 8 + size > len(data):
             raise ValueError("cut off in a chunk")
         if tag == b"strh":
-            scale, rate = struct.unpack_from("<II", data, at + 28)
+            scale, rate = unpack("<II", data, at + 28)
             yield streams, data[at + 8 : at + 12].decode("latin-1"), rate, scale, at + 8, 0
             streams += 1
+        elif tag == b"indx" and data[at + 11] == 0:  # an index of indexes
+            yield from long_index(data, at + 8, size, max(0, streams - 1))
         elif tag[:2].isdigit() and tag[2:] in (b"dc", b"db", b"wb"):
             yield int(tag[:2]), "chunk", None, None, at + 8, size
-        elif tag == b"idx1":  # flags take the place of the rate; the place is the data's, absolute or from "movi" on
+        elif tag == b"idx1":  # flags take the place of the rate; the place is the chunk's, absolute or from "movi" on
             for i in range(at + 8, at + 8 + size - 15, 16):
-                name, flags, place, length = struct.unpack_from("<4sIII", data, i)
+                name, flags, place, length = unpack("<4sIII", data, i)
                 if name[:2].isdigit():
                     yield int(name[:2]), "index", flags, None, place, length
         at += 8 + size + (size & 1)
 
 
+def long_index(data: bytes, at: int, size: int, stream: int) -> Iterator[tuple]:
+    """Rows (stream, "long index", flags, None, place of the data, size) of the indexes that an index of indexes points to."""
+    longs, _, _, used = unpack("<HBBI", data, at)
+    for i in range(min(used, (size - 24) // max(16, 4 * longs))):
+        place, length, _ = unpack("<QII", data, at + 24 + i * max(16, 4 * longs))
+        if not place or not length or place + 32 > len(data):
+            continue
+        place += 8 if data[place : place + 2] == b"ix" else 0
+        entries, base = unpack("<I", data, place + 4)[0], unpack("<Q", data, place + 12)[0]
+        for j in range(min(entries, (len(data) - place - 24) // 8)):
+            offset, length = unpack("<II", data, place + 24 + 8 * j)
+            yield stream, "long index", 0 if length >> 31 else 0x10, None, base + offset, length & 0x7FFFFFFF
+
+
 def avi_packets(found: DataFrame) -> DataFrame:
-    """Chunks with their presentation time: the chunk's number in its stream times scale / rate."""
+    """Samples with their presentation time: the sample's number in its stream times scale / rate.
+
+    Samples are those of the long index where a stream has one, else of the short index, else the chunks themselves; without
+    an index every chunk may be decoded alone. Places of the short index are absolute if the first lies behind
+    the start of ``movi``, else they count from there.
+    """
     rows = walk(found, avi_walker, AVI_SCHEMA).where("error is null")
-    heads = rows.where("kind not in ('chunk', 'index')").select("path", "stream", F.col("kind").alias("type"), "rate", "scale")
-    n = F.row_number().over(Window.partitionBy("path", "stream", "kind").orderBy("seq")).cast("long") - 1
-    numbered = rows.where("kind in ('chunk', 'index')").withColumn("n", n)
-    keys = numbered.where("kind = 'index'").select("path", "stream", "n", F.col("rate").bitwiseAND(F.lit(0x10).cast("long")).alias("flag"))
-    chunks = numbered.where("kind = 'chunk'").select("path", "stream", "offset", "size", "n").join(keys, ["path", "stream", "n"], "left")
-    is_key = F.coalesce(F.col("flag") != 0, F.lit(True))  # without an index every chunk may be decoded alone
-    return chunks.join(heads, ["path", "stream"]).select("path", "stream", "type", "n", F.expr("n * scale * 1000000 div rate").alias("pts_us"), "offset", "size", is_key.alias("is_key"))
+    held = ("chunk", "index", "long index")
+    heads = rows.where(~F.col("kind").isin(*held, "movi")).select("path", "stream", F.col("kind").alias("type"), F.col("rate").alias("per"), F.col("scale").alias("of"))
+    movi = rows.where("kind = 'movi'").groupBy("path").agg(F.min("offset").alias("movi"))
+    first = rows.where("kind = 'index'").groupBy("path").agg(F.min_by("offset", "seq").alias("first"))
+    rank = F.array_position(F.array(*map(F.lit, held)), F.col("kind"))
+    known = rows.where(F.col("kind").isin(*held)).withColumn("best", F.max(rank).over(Window.partitionBy("path", "stream"))).where(F.col("best") == rank)
+    known = known.join(movi, "path", "left").join(first, "path", "left")
+    place = F.when(F.col("kind") != "index", F.col("offset")).when(F.col("first") >= F.col("movi"), F.col("offset") + 8).otherwise(F.coalesce("movi", F.lit(0)) + F.col("offset") + 8)
+    is_key = (F.col("kind") == "chunk") | (F.col("rate").bitwiseAND(F.lit(0x10).cast("long")) != 0)
+    n = F.row_number().over(Window.partitionBy("path", "stream").orderBy("seq")).cast("long") - 1
+    out = known.select("path", "stream", n.alias("n"), place.alias("offset"), "size", F.coalesce(is_key, F.lit(True)).alias("is_key")).join(heads, ["path", "stream"])
+    return out.select("path", "stream", "type", "n", F.expr("n * of * 1000000 div per").alias("pts_us"), "offset", "size", "is_key")
 
 
 AVI_SCHEMA = "stream int, kind string, rate long, scale long, offset long, size long"
@@ -198,28 +239,30 @@ def mp4_walker(data: bytes) -> Iterator[tuple]:
 
     def boxes(at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
         while at + 8 <= end:
-            size, name = struct.unpack_from(">I4s", data, at)
+            size, name = unpack(">I4s", data, at)
             head = 8
             if size == 1:
-                size, head = struct.unpack_from(">Q", data, at + 8)[0], 16
+                size, head = unpack(">Q", data, at + 8)[0], 16
             size = size or end - at
             if size < head or at + size > end:
                 raise ValueError(f"cut off in box {name.decode('latin-1')}")
             yield name, at + head, at + size
             at += size
 
-    def inside(at: int, end: int) -> Iterator[tuple]:
+    def inside(at: int, end: int, level: int = 0) -> Iterator[tuple]:
         nonlocal track, kind_of_track
+        if level > DEEPEST:
+            raise ValueError("boxes nested too deeply")
         for name, a, b in boxes(at, end):
             if name == b"trak":
                 track += 1
             if name in MP4_PARENTS:
-                yield from inside(a, b)
+                yield from inside(a, b, level + 1)
             elif name == b"mdhd":
-                yield track, "mdhd", struct.unpack_from(">I", data, a + (20 if data[a] else 12))[0], 0, 0, None
+                yield track, "mdhd", unpack(">I", data, a + (20 if data[a] else 12))[0], 0, 0, None
             elif name == b"tkhd":
                 wide = 12 if data[a] else 0
-                yield track, "tkhd", struct.unpack_from(">I", data, a + (20 if data[a] else 12))[0], *(x >> 16 for x in struct.unpack_from(">II", data, a + 76 + wide)), None
+                yield track, "tkhd", unpack(">I", data, a + (20 if data[a] else 12))[0], *(x >> 16 for x in unpack(">II", data, a + 76 + wide)), None
             elif name == b"hdlr":
                 kind_of_track = data[a + 8 : a + 12]
                 yield track, kind_of_track.decode("latin-1"), 0, 0, 0, None
@@ -229,36 +272,45 @@ def mp4_walker(data: bytes) -> Iterator[tuple]:
                     config = next((data[p:q] for inner, p, q in boxes(reach, y) if inner in MP4_CONFIGS), None) if reach < y else None
                     yield track, "stsd:" + entry.decode("latin-1"), 0, 0, 0, config
             elif name == b"tfdt":
-                yield 0, "tfdt", struct.unpack_from(">Q" if data[a] else ">I", data, a + 4)[0], 0, 0, None
+                yield 0, "tfdt", unpack(">Q" if data[a] else ">I", data, a + 4)[0], 0, 0, None
             elif name == b"trun":
-                flags, count = struct.unpack_from(">II", data, a)
+                flags, count = unpack(">II", data, a)
                 at_run = a + 8 + 4 * (flags & 1) + (flags & 4)
                 fields = [bit for bit in (0x100, 0x200, 0x400, 0x800) if flags & bit]
-                for _ in range(min(count, (b - at_run) // max(1, 4 * len(fields)))):
-                    values = dict(zip(fields, struct.unpack_from(f">{len(fields)}I", data, at_run)))
+                step = 4 * len(fields)
+                for entry in struct.iter_unpack(f">{len(fields)}I", data[at_run : at_run + step * min(count, (b - at_run) // step)]) if fields else ():
+                    values = dict(zip(fields, entry))
                     yield 0, "trun", values.get(0x100, 0), values.get(0x200, 0), values.get(0x400, 0), None
-                    at_run += 4 * len(fields)
             elif name in (b"stts", b"ctts", b"stsc", b"stco", b"co64", b"stss", b"stsz"):
                 kind = name.decode()
                 fields = {"stts": ">II", "ctts": ">Ii", "stsc": ">III", "co64": ">Q"}.get(kind, ">I")
                 start = a + (8 if kind != "stsz" else 12)
-                count = struct.unpack_from(">I", data, start - 4)[0]
-                same = struct.unpack_from(">I", data, a + 4)[0] if kind == "stsz" else 0
+                count = unpack(">I", data, start - 4)[0]
+                same = unpack(">I", data, a + 4)[0] if kind == "stsz" else 0
                 if same:
                     for _ in range(min(count, len(data) // same)):  # no file holds more samples than fit it
                         yield track, kind, same, 0, 0, None
                     continue
                 step = struct.calcsize(fields)
-                for i in range(min(count, (b - start) // step)):
-                    values = struct.unpack_from(fields, data, start + i * step)
+                for values in struct.iter_unpack(fields, data[start : start + step * min(count, (b - start) // step)]):
                     yield track, "stco" if kind == "co64" else kind, *values, *[0] * (3 - len(values)), None
 
     yield from inside(0, len(data))
 
 
+def mp4_rows(found: DataFrame) -> DataFrame:
+    """All rows of the walker, damage reports included."""
+    return walk(found, mp4_walker, MP4_SCHEMA)
+
+
 def mp4_packets(found: DataFrame) -> DataFrame:
-    """Samples of every track from the run-length tables: times, composition offsets, chunks, sizes, key flags."""
-    rows = walk(found, mp4_walker, MP4_SCHEMA).where("error is null")
+    """Samples of every track of files (path, content)."""
+    return mp4_samples(mp4_rows(found))
+
+
+def mp4_samples(rows: DataFrame) -> DataFrame:
+    """Samples of every track, from the run-length tables of :func:`mp4_rows`: times, composition offsets, chunks, sizes, key flags."""
+    rows = rows.where("error is null")
     rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("path", "track", "what").orderBy("seq")).cast("long"))
     on, by_n = ["path", "track"], Window.partitionBy("path", "track").orderBy("n")
     of = lambda what: rows.where(F.col("what") == what)
@@ -290,21 +342,37 @@ def mp4_packets(found: DataFrame) -> DataFrame:
 
 
 def codec_string(entry: Column, config: Column) -> Column:
-    """The codec of a sample entry with profile and level, as media players name it; its common default without a configuration."""
-    byte = lambda i: F.lower(F.hex(F.substring(config, i, 1)))
-    number = lambda i: F.lpad(F.conv(F.hex(F.substring(config, i, 1)), 16, 10), 2, "0")
+    """The codec of a sample entry with profile and level, as media players name it; its common default without a configuration.
+
+    VP9 is read where its configuration box has profile, level and depth: behind version and flags.
+    """
+    byte = lambda i: F.conv(F.hex(F.substring(config, i, 1)), 16, 10).cast("int")
+    hexed = lambda i: F.lower(F.hex(F.substring(config, i, 1)))
+    bits = lambda i, shift, mask: F.shiftright(byte(i), shift).bitwiseAND(F.lit(mask))
+    text = lambda c: c.cast("string")
+    two = lambda c: F.lpad(text(c), 2, "0")
     given = lambda n: F.length(config) >= n
+    space = F.get(F.array(*map(F.lit, ("", "A", "B", "C"))), bits(2, 6, 3))
+    hevc = F.concat(entry, F.lit("."), space, text(bits(2, 0, 31)), F.lit("."), F.when(bits(2, 5, 1) == 1, "H").otherwise("L"), text(F.when(given(13), byte(13)).otherwise(93)))
+    depth = F.when((bits(2, 5, 7) == 2) & (bits(3, 6, 1) == 1) & (bits(3, 5, 1) == 1), 12).when(bits(3, 6, 1) == 1, 10).otherwise(8)
     return (
-        F.when((entry == "avc1") & given(4), F.concat(F.lit("avc1."), byte(2), byte(3), byte(4)))
-        .when((entry == "vp09") & given(7), F.concat(F.lit("vp09."), number(5), F.lit("."), number(6), F.lit("."), F.lpad(F.shiftright(F.conv(F.hex(F.substring(config, 7, 1)), 16, 10).cast("int"), 4).cast("string"), 2, "0")))
-        .when(entry == "avc1", "avc1.42E01E").when(entry.isin("hev1", "hvc1"), F.concat(entry, F.lit(".1.6.L93.B0"))).when(entry == "vp09", "vp09.00.10.08").when(entry == "mp4a", "mp4a.40.2")
+        F.when((entry == "avc1") & given(4), F.concat(F.lit("avc1."), hexed(2), hexed(3), hexed(4)))
+        .when(entry.isin("hev1", "hvc1") & given(4), hevc)
+        .when((entry == "av01") & given(4), F.concat(F.lit("av01."), text(bits(2, 5, 7)), F.lit("."), two(bits(2, 0, 31)), F.lit("M."), two(depth)))
+        .when((entry == "vp09") & given(7), F.concat(F.lit("vp09."), two(byte(5)), F.lit("."), two(byte(6)), F.lit("."), two(bits(7, 4, 15))))
+        .when(entry == "avc1", "avc1.42E01E").when(entry.isin("hev1", "hvc1"), F.concat(entry, F.lit(".1.6.L93.B0"))).when(entry == "vp09", "vp09.00.10.08").when(entry == "av01", "av01.0.08M.08").when(entry == "mp4a", "mp4a.40.2")
         .otherwise(entry)
     )
 
 
 def mp4_tracks(found: DataFrame) -> DataFrame:
-    """(path, track, track_id, type, width, height, timescale, codec) per track of each file."""
-    rows = walk(found, mp4_walker, MP4_SCHEMA).where("error is null")
+    """(path, track, track_id, type, width, height, timescale, codec) per track of each file (path, content)."""
+    return track_headers(mp4_rows(found))
+
+
+def track_headers(rows: DataFrame) -> DataFrame:
+    """(path, track, track_id, type, width, height, timescale, codec) per track of :func:`mp4_rows`."""
+    rows = rows.where("error is null")
     of = lambda what, value: F.max(F.when(F.col("what") == what, F.col(value)))
     entry = F.max(F.when(F.startswith("what", F.lit("stsd:")), F.struct(F.substring("what", 6, 4).alias("name"), "data")))
     kind = F.max(F.when(F.col("what").isin("vide", "soun", "text", "sbtl"), F.col("what")))

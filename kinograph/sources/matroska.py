@@ -1,8 +1,7 @@
 """Matroska and WebM as tables: elements are walked once per file, laces are parted by expressions.
 
 The walker yields the track entries and the blocks with their times, flags and lace header; sizes
-of laced frames and times of frames follow from it in Spark. Elements of unknown size reach to the
-end of their parent. Damaged files give the rows up to the damage and one row with ``error``.
+of laced frames and times of frames follow from it in Spark. Damaged files give the rows up to the damage and one row with ``error``.
 """
 
 from __future__ import annotations
@@ -13,11 +12,14 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinograph.sources.containers import walk
+from kinograph.sources.containers import DEEPEST, unpack, walk
 
 #: Ids of the elements that hold elements, and of those that are read.
 PARENTS = {0x18538067, 0x1549A966, 0x1654AE6B, 0xAE, 0xE0, 0xE1, 0x1F43B675, 0xA0}
-SEGMENT, CLUSTER, TRACK, GROUP = 0x18538067, 0x1F43B675, 0xAE, 0xA0
+#: Those that are entered on the way; those that no segment holds; those that a segment holds, which end a cluster of unknown size.
+DESCENDED, TOP = {0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675}, {0x1A45DFA3, 0x18538067}
+IN_SEGMENT = {0x114D9B74, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B, 0x1941A469, 0x1043A770, 0x1254C367}
+SEGMENT, INFO, CLUSTER, TRACK, GROUP = 0x18538067, 0x1549A966, 0x1F43B675, 0xAE, 0xA0
 SCALE, CLUSTER_TIME, SIMPLE_BLOCK, BLOCK, BLOCK_DURATION = 0x2AD7B1, 0xE7, 0xA3, 0xA1, 0x9B
 TRACK_FIELDS = {0xD7: "number", 0x83: "type", 0x86: "codec", 0xB0: "width", 0xBA: "height", 0xB5: "rate", 0x9F: "channels", 0x23E383: "frame_ns", 0x22B59C: "language"}
 TRACK_TYPES = {1: "video", 2: "audio", 17: "subtitle"}
@@ -66,9 +68,31 @@ def lace_sizes(data: bytes, at: int, end: int, lacing: int) -> tuple[list[int],
     return [*sizes, rest], at
 
 
-def mkv_walker(data: bytes) -> Iterator[tuple]:
-    """A row for each track entry and block, in file order."""
-    state = {"scale": 1_000_000, "cluster": 0}
+def element_at(data: bytes, at: int) -> tuple[int, int | None, int]:
+    """Id, size (None: unknown) and the place of the contents of the element at a place."""
+    name, at = vint(data, at, keep_marker=True)
+    size, at = vint(data, at)
+    return name, size, at
+
+
+def elements(data: bytes, a: int, b: int) -> Iterator[tuple[int, int, int]]:
+    """(id, start, end) of the elements side by side between two places."""
+    while a < b:
+        name, size, a = element_at(data, a)
+        end = b if size is None else a + size
+        if end > b:
+            raise ValueError(f"cut off in element {name:X}")
+        yield name, a, end
+        a = end
+
+
+def mkv_walker(data: bytes, at: int = 0, until: int | None = None, scale: int = 1_000_000) -> Iterator[tuple]:
+    """A row for each track entry and block, in file order; from ``at`` up to the cluster that starts at ``until`` or later.
+
+    A cluster or segment of unknown size ends where an element of its own level or a higher one starts, so
+    the clusters of a live recording lie side by side. ``data`` may be anything that can be sliced into bytes.
+    """
+    state = {"scale": scale, "cluster": 0}
 
     def row(**values) -> tuple:
         return tuple(values.get(n) for n in NAMES)
@@ -78,59 +102,72 @@ def mkv_walker(data: bytes) -> Iterator[tuple]:
 
     def block(a: int, b: int, simple: bool, ticks: int = 0) -> tuple:
         track, at = vint(data, a)
-        relative, flags = struct.unpack_from(">hB", data, at)
+        relative, flags = unpack(">hB", data, at)
         sizes, start = lace_sizes(data, at + 3, b, flags >> 1 & 3)
         ns = (state["cluster"] + relative) * state["scale"]
         return row(what="block", track=track, at_ns=ns, ticks=ticks, scale_ns=state["scale"], is_key=simple and bool(flags & 0x80), discardable=bool(flags & 1), lacing=flags >> 1 & 3, sizes=sizes, offset=start, size=b - start)
 
-    def elements(a: int, b: int) -> Iterator[tuple[int, int, int]]:
-        while a < b:
-            name, a = vint(data, a, keep_marker=True)
-            size, a = vint(data, a)
-            end = b if size is None else a + size
-            if end > b:
-                if name in PARENTS:
-                    yield name, a, b  # what is there of it
-                raise ValueError(f"cut off in element {name:X}")
-            yield name, a, end
-            a = end
-
-    def inside(a: int, b: int) -> Iterator[tuple]:
-        for name, start, end in elements(a, b):
-            if name == TRACK:
-                found: dict = {}
-                for leaf, x, y in leaves(start, end):
-                    field = TRACK_FIELDS.get(leaf)
-                    if field in ("codec", "language"):
-                        found[field] = data[x:y].rstrip(b"\x00").decode("latin-1")
-                    elif field == "rate":
-                        found[field] = struct.unpack(">f" if y - x == 4 else ">d", data[x:y])[0]
-                    elif field:
-                        found[field] = number(x, y)
-                yield row(what="track", track=found.pop("number", 0), **found | {"type": TRACK_TYPES.get(found.get("type"), "other")})
-            elif name == GROUP:
-                parts = {leaf: (x, y) for leaf, x, y in elements(start, end)}
-                if BLOCK in parts:
-                    yield block(*parts[BLOCK], False, number(*parts[BLOCK_DURATION]) if BLOCK_DURATION in parts else 0)
-            elif name in PARENTS:
-                if name == CLUSTER:
-                    state["cluster"] = 0
-                yield from inside(start, end)
-            elif name == SCALE:
-                state["scale"] = number(start, end)
-            elif name == CLUSTER_TIME:
-                state["cluster"] = number(start, end)
-            elif name == SIMPLE_BLOCK:
-                yield block(start, end, True)
-
-    def leaves(a: int, b: int) -> Iterator[tuple[int, int, int]]:
-        for name, start, end in elements(a, b):
+    def leaves(a: int, b: int, level: int = 0) -> Iterator[tuple[int, int, int]]:
+        if level > DEEPEST:
+            raise ValueError("elements nested too deeply")
+        for name, start, end in elements(data, a, b):
             if name in PARENTS:
-                yield from leaves(start, end)
+                yield from leaves(start, end, level + 1)
             else:
                 yield name, start, end
 
-    yield from inside(0, len(data))
+    def entry(a: int, b: int) -> tuple:
+        found: dict = {}
+        for leaf, x, y in leaves(a, b):
+            field = TRACK_FIELDS.get(leaf)
+            if field in ("codec", "language"):
+                found[field] = data[x:y].rstrip(b"\x00").decode("latin-1")
+            elif field == "rate":
+                found[field] = struct.unpack(">f" if y - x == 4 else ">d", data[x:y])[0]
+            elif field:
+                found[field] = number(x, y)
+        return row(what="track", track=found.pop("number", 0), **found | {"type": TRACK_TYPES.get(found.get("type"), "other")})
+
+    whole, short = len(data), []
+    open_ends: list[tuple[int, int | None]] = []  # (id, end) of the elements that are open, None for an unknown size
+    while at < whole:
+        while open_ends and open_ends[-1][1] is not None and at >= open_ends[-1][1]:
+            open_ends.pop()
+        name, size, start = element_at(data, at)
+        if name in TOP or name in IN_SEGMENT:
+            while open_ends and open_ends[-1][1] is None and (name in TOP or open_ends[-1][0] != SEGMENT):
+                open_ends.pop()
+        if name == CLUSTER and until is not None and at >= until:
+            return
+        limit = next((end for _, end in reversed(open_ends) if end is not None), whole)
+        end = limit if size is None else start + size
+        if end > limit and name not in DESCENDED:
+            raise ValueError(f"cut off in element {name:X}")
+        if name in DESCENDED:
+            if len(open_ends) > DEEPEST:
+                raise ValueError("elements nested too deeply")
+            open_ends.append((name, None if size is None else end if end <= limit else limit))
+            if end > limit:
+                short.append(name)
+            if name == CLUSTER:
+                state["cluster"] = 0
+            at = start
+            continue
+        if name == TRACK:
+            yield entry(start, end)
+        elif name == GROUP:
+            parts = {leaf: (x, y) for leaf, x, y in elements(data, start, end)}
+            if BLOCK in parts:
+                yield block(*parts[BLOCK], False, number(*parts[BLOCK_DURATION]) if BLOCK_DURATION in parts else 0)
+        elif name == SCALE:
+            state["scale"] = number(start, end)
+        elif name == CLUSTER_TIME:
+            state["cluster"] = number(start, end)
+        elif name == SIMPLE_BLOCK:
+            yield block(start, end, True)
+        at = end
+    if short:
+        raise ValueError(f"cut off in element {short[-1]:X}")
 
 
 def mkv_rows(found: DataFrame) -> DataFrame:

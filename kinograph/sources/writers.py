@@ -164,11 +164,11 @@ def fixed_lace(frames: list[bytes]) -> bytes:
 LACES = {1: xiph_lace, 2: fixed_lace, 3: ebml_lace}
 
 
-def mkv(packets: list[tuple], lacing: int = 0, per_block: int = 1, frame_ms: int = 40, cluster_ms: int = FRAGMENT_MS) -> bytes:
+def mkv(packets: list[tuple], lacing: int = 0, per_block: int = 1, frame_ms: int = 40, cluster_ms: int = FRAGMENT_MS, width: int = 1280, height: int = 720) -> bytes:
     """One video track in clusters that start at key frames; ``per_block`` packets share a block if ``lacing`` is set."""
     head = element(0x1A45DFA3, unsigned(0x4286, 1), element(0x4282, b"matroska"))
     info = element(0x1549A966, unsigned(0x2AD7B1, 1_000_000))
-    track = element(0xAE, unsigned(0xD7, 1), unsigned(0x73C5, 1), unsigned(0x83, 1), element(0x86, b"V_MPEG4/ISO/AVC"), unsigned(0x23E383, frame_ms * 1_000_000 * per_block), element(0xE0, unsigned(0xB0, 1280), unsigned(0xBA, 720)))
+    track = element(0xAE, unsigned(0xD7, 1), unsigned(0x73C5, 1), unsigned(0x83, 1), element(0x86, b"V_MPEG4/ISO/AVC"), unsigned(0x23E383, frame_ms * 1_000_000 * per_block), element(0xE0, unsigned(0xB0, width), unsigned(0xBA, height)))
     clusters = []
     for part in fragments(packets, cluster_ms):
         for near in within_reach(part):
@@ -193,17 +193,18 @@ def within_reach(packets: list[tuple]) -> list[list[tuple]]:
     return out
 
 
-def bmp(pixels: Column, width: int, height: int) -> Column:
-    """An array of packed 24-bit colours (r << 16 | g << 8 | b), row by row from the top, as a BMP file."""
+def bmp(pixels: Column, width: int, height: int | None = None) -> Column:
+    """An array of packed 24-bit colours (r << 16 | g << 8 | b), row by row from the top, as a BMP file; as many rows as it takes, where ``height`` is not given."""
 
     @F.arrow_udf("binary")
     def write(images: pa.Array) -> pa.Array:
         out = []
         for image in images:
             values = image.as_py() or []
-            rows = [b"".join(v.to_bytes(3, "little") for v in values[y * width : (y + 1) * width]) for y in range(height - 1, -1, -1)]
+            tall = -(-len(values) // width) if height is None else height
+            rows = [b"".join(v.to_bytes(3, "little") for v in values[y * width : (y + 1) * width]).ljust(width * 3, b"\0") for y in range(tall - 1, -1, -1)]
             body = b"".join(r + bytes(-len(r) % 4) for r in rows)
-            out.append(struct.pack("<2sIHHI", b"BM", 54 + len(body), 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, width, height, 1, 24, 0, len(body), 2835, 2835, 0, 0) + body)
+            out.append(struct.pack("<2sIHHI", b"BM", 54 + len(body), 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, width, tall, 1, 24, 0, len(body), 2835, 2835, 0, 0) + body)
         return pa.array(out, pa.binary())
 
     return write(pixels)

@@ -283,8 +283,9 @@ def test_matroska_damage_groups_and_unknown_sizes(spark):
 
 def test_codecs_enhanced_tags_and_corrupt_counts(spark):
     entries = [("avc1", bytes.fromhex("0164001f")), ("avc1", None), ("vp09", bytes.fromhex("01000000021fa0")), ("mp4a", None), ("av01", None)]
+    entries += [("hvc1", bytes.fromhex("01a16000000090000000000078")), ("hev1", bytes.fromhex("01026000")), ("hev1", None), ("av01", bytes.fromhex("81494c00")), ("av01", bytes.fromhex("81056000"))]
     rows = spark.createDataFrame(entries, "e string, c binary").select(C.codec_string(F.col("e"), F.col("c"))).collect()
-    assert [r[0] for r in rows] == ["avc1.64001f", "avc1.42E01E", "vp09.02.31.10", "mp4a.40.2", "av01"]
+    assert [r[0] for r in rows] == ["avc1.64001f", "avc1.42E01E", "vp09.02.31.10", "mp4a.40.2", "av01.0.08M.08", "hvc1.B1.H120", "hev1.2.L93", "hev1.1.6.L93.B0", "av01.2.09M.10", "av01.0.05M.10"]
     head = b"FLV\x01\x05\x00\x00\x00\x09" + bytes(4)
     tags = [flv_tag(9, 0, b"\x90hvc1"), flv_tag(9, 10, b"\x91hvc1\xff\xff\xfe!"), flv_tag(9, 20, b"\xa3hvc1!"), flv_tag(9, 30, b"\x12\x01\x02\x03\x04")]
     found = C.flv_packets(spark.createDataFrame([("f", head + b"".join(tags))], "path string, content binary")).orderBy("seq").collect()
