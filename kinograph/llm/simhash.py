@@ -25,7 +25,7 @@ probability 0.2 and in any of twelve with 0.93; at 0.85 that is 0.98, at 0.9 0.9
 replaced here and there touch fewer pairs of words: there it is over 0.999 at 0.8 too. Of more than two rows, an anchor first
 emits each row's nearest only, with ties broken alike everywhere, so that anchors agree on them; when
 those are decided, its rows meet again with the components they are in by then and a sketch of
-4096 bits, and every pair between components that is close in both is a candidate too. Anchors with more rows than one task should hold are dealt, block by block, to many.
+4096 bits or, if small, their whole sets, and every pair between components that is close in signature and not ruled out by size, sketch or set is a candidate too. Anchors with more rows than one task should hold are dealt, block by block, to many.
 
 Cases: null, empty and blank texts have fingerprint zero and are linked like any other; texts of
 one or two words have one shingle; long texts are hashed in chunks; repeated rows are in one class;
@@ -36,6 +36,7 @@ named like an output are replaced.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
@@ -58,8 +59,10 @@ SIGNATURE_WORDS = 1 + PARTS // 2
 #: in 9.7 of them, with a deviation of 2.9.
 CLOSE = 18
 #: Words of a sketch over the shingles that decide, and its bits in which a pair of a crowded anchor differs
-#: at most: at 0.8 it differs in 620, with a deviation of 23. Smaller sets are not judged by it.
+#: at most: at 0.8 it differs in 620, with a deviation of 23. Sets with fewer shingles are compared themselves.
 SKETCH_WORDS, FAR, SKETCHED = 64, 696, 64
+#: Bytes of sketches that a group of anchors brings to a task, and groups at least.
+GROUP_BYTES, LEAST_GROUPS = 16_000_000, 16
 #: Rows at an anchor up to which one task holds it.
 MOST = 20_000
 #: Distances between signatures that are held at a time.
@@ -303,20 +306,53 @@ def shingle_set(text: Column, words: int) -> Column:
 
 
 def sketch(shingles: Column) -> Column:
-    """SKETCH_WORDS SimHash words over a shingle set; empty for sets under SKETCHED."""
+    """What :func:`pairs_between` judges a shingle set by: a set under SKETCHED itself, else SKETCH_WORDS SimHash words over it and its size."""
 
     @F.arrow_udf("binary")
     def of_sets(sets: pa.Array) -> pa.Array:
         out = []
         for x in sets:
-            h = np.frombuffer(x.as_py(), "<u4").astype(np.uint64)
+            h = np.frombuffer(x.as_py(), "<u4")
+            if len(h) < SKETCHED:
+                out.append(h.tobytes())
+                continue
+            h = h.astype(np.uint64)
             words = [np.packbits(count_bits(remix(h, k)) * 2 > len(h)).tobytes() for k in range(1, SKETCH_WORDS + 1)]
-            out.append(b"".join(words) if len(h) >= SKETCHED else b"")
+            out.append(b"".join(words) + struct.pack("<I", len(h)))
         return pa.array(out, pa.binary())
 
     return of_sets(shingles)
 
 
+class Sketches:
+    """The sketches of an anchor's rows, and which pairs of rows they rule out; an empty sketch rules out none."""
+
+    def __init__(self, sketches: list[bytes]):
+        wide = 8 * SKETCH_WORDS
+        self.large = np.array([len(x) >= wide for x in sketches], bool)
+        self.small = np.array([0 < len(x) < wide for x in sketches], bool)
+        self.size = np.array([len(x) // 4 if len(x) < wide else int.from_bytes(x[wide:], "little") for x in sketches], np.int64)
+        self.bits = np.frombuffer(b"".join(x[:wide] if len(x) >= wide else bytes(wide) for x in sketches), np.uint64).reshape(-1, SKETCH_WORDS)
+        # small sets in rows of SKETCHED, filled up with numbers that no set holds
+        self.sets = np.arange(SKETCHED, dtype=np.uint64)[None, :] + np.uint64(1 << 32) + np.zeros((len(sketches), 1), np.uint64)
+        for i in np.flatnonzero(self.small):
+            self.sets[i, : self.size[i]] = np.frombuffer(sketches[i], "<u4")
+
+    def near(self, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+        """Whether rows a[i] and b[i] may be similar: sizes alone bound a Jaccard similarity, small sets give it, long sketches an estimate."""
+        sizes = np.minimum(self.size[a], self.size[b]) / np.maximum(1, np.maximum(self.size[a], self.size[b]))
+        out = (sizes >= similarity - 1e-9) | (self.size[a] == 0) | (self.size[b] == 0)
+        estimated = np.flatnonzero(out & self.large[a] & self.large[b])
+        out[estimated] = np.bitwise_count(self.bits[a[estimated]] ^ self.bits[b[estimated]]).sum(axis=1) <= FAR
+        exact = np.flatnonzero(out & self.small[a] & self.small[b])
+        left, right = self.sets[a[exact]], self.sets[b[exact]]
+        right = np.where(right >> np.uint64(32) > 0, right + np.uint64(1 << 32), right)
+        merged = np.sort(np.concatenate([left, right], axis=1), axis=1)
+        both = (merged[:, 1:] == merged[:, :-1]).sum(axis=1)
+        out[exact] = both >= (similarity - 1e-9) * (self.size[a[exact]] + self.size[b[exact]] - both)
+        return out
+
+
 def jaccard(left: Column, right: Column) -> Column:
     """Similarity of two shingle sets; 0 if both are empty."""
 
@@ -372,11 +408,10 @@ def nearest_pairs(ids: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, list[in
     return pairs, np.flatnonzero(close > np.bincount(pairs.ravel(), minlength=n)).tolist()
 
 
-def pairs_between(sig: np.ndarray, label: np.ndarray, sketches: list[bytes]) -> np.ndarray:
-    """Index pairs (i, j), i < j, of rows with different labels that are close in signature and sketch."""
+def pairs_between(sig: np.ndarray, label: np.ndarray, sketches: list[bytes] | Sketches, similarity: float = 0.8) -> np.ndarray:
+    """Index pairs (i, j), i < j, of rows with different labels that are close in signature and not ruled out by their sketches."""
     n, at, found = len(sig), 0, [np.empty((0, 2), np.int64)]
-    judged = np.array([len(x) > 0 for x in sketches])
-    bits = np.frombuffer(b"".join(x or bytes(8 * SKETCH_WORDS) for x in sketches), np.uint64).reshape(n, SKETCH_WORDS)
+    held = sketches if isinstance(sketches, Sketches) else Sketches(sketches)
     while at < n - 1 and (label != label[0]).any():
         rows = np.arange(at, min(n - 1, at + max(1, BLOCK // (n - at))))
         behind = np.arange(at + 1, n)
@@ -385,7 +420,7 @@ def pairs_between(sig: np.ndarray, label: np.ndarray, sketches: list[bytes]) ->
         i, j = rows[i], behind[j]
         for k in range(0, len(i), BLOCK // SKETCH_WORDS):
             a, b = i[k : k + BLOCK // SKETCH_WORDS], j[k : k + BLOCK // SKETCH_WORDS]
-            near = (np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1) <= FAR) | ~judged[a] | ~judged[b]
+            near = held.near(a, b, similarity)
             found.append(np.column_stack([a[near], b[near]]))
         at = int(rows[-1]) + 1
     return np.concatenate(found)
@@ -460,33 +495,45 @@ def candidates(replicas: DataFrame, most: int | None = MOST) -> DataFrame:
     return replicas.repartition("cell").sortWithinPartitions("cell").mapInArrow(pairs_of, CANDIDATES)
 
 
-def candidates_between(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, with different labels that meet at an anchor close in signature and sketch.
+def candidates_between(rows: DataFrame, known: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """Pairs (a, b), a < b, with different labels that meet at an anchor, close in signature and not ruled out by their sketches.
 
-    ``rows`` are (cell, id, s), ``known`` is (id, label, sketch).
+    ``rows`` are (cell, id, s), ``known`` is (id, label, sketch). A text stands at some 200 anchors: anchors are dealt in groups, as
+    many as keep a group's sketches within GROUP_BYTES, and a text's sketch goes to each group once.
     """
 
     def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def link(rows: np.ndarray, sketches: list[bytes]) -> pa.RecordBatch:
-            at = [pairs_between(rows[lo:hi, 2].view(np.uint64), rows[lo:hi, 3], sketches[lo:hi]) + lo for lo, hi in anchors(rows[:, 0])]
-            at = np.concatenate([np.empty((0, 2), np.int64), *at])
-            met = ordered_pairs(rows[at[:, 0], 1], rows[at[:, 1], 1])
-            return pa.RecordBatch.from_arrays([pa.array(met[:, 0]), pa.array(met[:, 1])], ["a", "b"])
-
-        held, sketches = np.empty((0, 4), np.int64), []
-        for batch in (p for b in batches for p in parts(b, 10_000)):
-            held = np.r_[held, np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:4]])]
-            sketches += batch.column(4).to_pylist()
-            last = int(np.searchsorted(held[:, 0], held[-1, 0])) if len(held) else 0
-            yield link(held[:last], sketches[:last])
-            held, sketches = held[last:], sketches[last:]
-        yield link(held, sketches)
+        def link(texts: list[dict]) -> pa.RecordBatch:
+            ids, labels = (np.array([t[c] for t in texts], np.int64) for c in ("id", "label"))
+            owner = np.repeat(np.arange(len(texts)), [len(t["anchors"]) for t in texts])
+            cells, sig = (np.array([x[c] for t in texts for x in t["anchors"]], np.int64) for c in ("cell", "s"))
+            order = np.argsort(cells, kind="stable")
+            owner, cells, sig = owner[order], cells[order], sig[order].view(np.uint64)
+            met = set()
+            for lo, hi in anchors(cells):
+                held = owner[lo:hi]
+                if hi - lo > 1 and (labels[held] != labels[held[0]]).any():
+                    at = pairs_between(sig[lo:hi], labels[held], Sketches([texts[i]["sketch"] for i in held]), similarity)
+                    met.update(map(tuple, ordered_pairs(ids[held[at[:, 0]]], ids[held[at[:, 1]]]).tolist()))
+            found = np.array(sorted(met), np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+        held: list[dict] = []
+        for batch in batches:
+            for text in batch.to_pylist():
+                if held and text["group"] != held[0]["group"]:
+                    yield link(held)
+                    held = []
+                held.append(text)
+        if held:
+            yield link(held)
         give_back()
 
-    # a text stands at some 200 anchors: its label and sketch are looked up once, not at each of them
-    held = rows.groupBy("id").agg(F.collect_list(F.struct("cell", "s")).alias("anchors")).join(known, "id")
-    rows = held.select("id", "label", "sketch", F.explode("anchors").alias("at")).select("at.cell", "id", "at.s", "label", "sketch")
-    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(pairs_of, "a long, b long").distinct()
+    groups = max(LEAST_GROUPS, -(-rows.count() * (8 * SKETCH_WORDS + 64) // GROUP_BYTES))
+    per_text = rows.withColumn("group", F.pmod(F.xxhash64("cell"), F.lit(groups))).groupBy("id", "group").agg(F.collect_list(F.struct("cell", "s")).alias("anchors"))
+    per_text = per_text.groupBy("id").agg(F.collect_list(F.struct("group", "anchors")).alias("groups")).join(known, "id")
+    dealt = per_text.select("id", "label", "sketch", F.explode("groups").alias("g")).select("g.group", "id", "label", "sketch", "g.anchors")
+    return dealt.repartition("group").sortWithinPartitions("group").mapInArrow(pairs_of, "a long, b long").distinct()
 
 
 def split_crowds(rows: DataFrame, block: int = MOST // 4) -> DataFrame:
@@ -526,7 +573,7 @@ def similar_sets(rows: DataFrame, shingles_of: Callable[[DataFrame], DataFrame],
     again = cut(rest.select("id").distinct())
     known = shingles.join(narrow_side(again), F.col("h") == F.col("id"), "left_semi").select("h", sketch(F.col("shingles")).alias("sketch"))
     known = known.join(components(links), F.col("h") == F.col("node"), "left").select(F.col("h").alias("id"), F.coalesce("label", "h").alias("label"), "sketch")
-    fresh = candidates_between(rest, cut(known))
+    fresh = candidates_between(rest, cut(known), similarity)
     return links.unionByName(linked(fresh.join(pairs, ["a", "b"], "left_anti"), shingles))
 
 

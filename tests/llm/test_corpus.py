@@ -701,6 +701,28 @@ def test_an_anchor_meets_every_close_pair(n):
     assert all_of(np.arange(n), far) == [(i, j) for i, j in itertools.combinations(range(n), 2) if (i < 3) == (j < 3)]
 
 
+def test_sketches_rule_out_no_similar_pair(spark):
+    """Small sets are judged exactly, sizes bound the rest, sketches stay within their margin; pairs of both kinds pass on."""
+    rng = np.random.default_rng(8)
+    sets = []
+    for size in (1, 5, 30, 62, 63, 64, 66, 75, 200, 800):
+        base = rng.choice(2**32, size * 2, replace=False)
+        for keep in (size, size - size // 10, size - size // 9, size - size // 5, size // 2):
+            sets.append(np.sort(np.concatenate([base[:keep], base[size : 2 * size - keep]])).astype("<u4"))
+            sets.append(np.sort(base[:keep]).astype("<u4"))
+    rows = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(sets)], "i long, x binary").select("i", simhash.sketch(F.col("x")).alias("s"))
+    held = simhash.Sketches([bytes(r["s"]) for r in sorted(rows.collect(), key=lambda r: r["i"])])
+    a, b = np.array(list(itertools.combinations(range(len(sets)), 2))).T
+    near = held.near(a, b, 0.8)
+    for i, j, kept in zip(a, b, near):
+        both = len(np.intersect1d(sets[i], sets[j]))
+        similar = both / (len(sets[i]) + len(sets[j]) - both) >= 0.8
+        assert kept or not similar
+        if len(sets[i]) < 64 and len(sets[j]) < 64:
+            assert kept == similar
+    assert near.sum() < len(near) / 8
+
+
 def test_crowded_anchors_are_dealt_to_many_tasks(spark):
     """Rows beyond ``most`` come back, and blocks of them meet pair by pair: no pair is lost."""
     rng = np.random.default_rng(3)
