@@ -710,6 +710,7 @@ def test_sketches_rule_out_no_similar_pair(spark):
         for keep in (size, size - size // 10, size - size // 9, size - size // 5, size // 2):
             sets.append(np.sort(np.concatenate([base[:keep], base[size : 2 * size - keep]])).astype("<u4"))
             sets.append(np.sort(base[:keep]).astype("<u4"))
+    sets = [x for x in sets if len(x)]  # a text with words has a shingle
     rows = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(sets)], "i long, x binary").select("i", simhash.sketch(F.col("x")).alias("s"))
     held = simhash.Sketches([bytes(r["s"]) for r in sorted(rows.collect(), key=lambda r: r["i"])])
     a, b = np.array(list(itertools.combinations(range(len(sets)), 2))).T
