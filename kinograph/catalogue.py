@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinograph.plans import containers, editing, joins, pixels, sequences, signals, texts  # noqa: F401  (they register their queries)
+from kinograph.plans import containers, editing, frames, joins, pixels, sequences, signals, texts  # noqa: F401  (they register their queries)
 from kinograph.plans.registry import ORACLES, QUERIES
 
 

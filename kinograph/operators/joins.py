@@ -8,14 +8,16 @@ buckets however long it is, and a probe visits one bucket of each class that occ
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kinograph.operators import carry
+from kinograph.operators.carry import asof
+from kinograph.sources.scratch import fresh
+
 
 def stab(points: DataFrame, intervals: DataFrame, t: str, lo: str, hi: str, on: list[str] | None = None) -> DataFrame:
     """Every interval that holds each point, by the plain condition. For small sides."""
@@ -68,24 +70,25 @@ def overlap(left: DataFrame, right: DataFrame, lo: str, hi: str, width: int, on:
     return joined.where(meets).drop("__bucket")
 
 
-def asof(probes: DataFrame, facts: DataFrame, on: list[str], t: str, fact_t: str, take: list[str], clamp_first: bool = False) -> DataFrame:
-    """Add the columns ``take`` of the latest fact at or before each probe, per key.
+def overlap_counts(df: DataFrame, lo: str, hi: str, id_col: str, on: list[str]) -> DataFrame:
+    """(*on, id, sign, partners): rows that add up to how many intervals with smaller (sign 1) and larger (sign -1) ids each one overlaps.
 
-    One shuffle by key: probes and facts are sorted together and the last fact is carried on.
-    Facts of the same time count in the order of ``take``. With ``clamp_first``, probes before
-    the first fact get that one.
+    No pair is made. Two ids part at their highest differing bit, so each pair meets at one level of bits, on two sides
+    of a block. There, an interval overlaps those of the other side that started before its end, but for those that ended by its
+    start: two running counts over the sorted starts and ends. That is rows times bits of an id, in place of pairs. Ids are
+    distinct and not negative; empty intervals overlap nothing.
     """
-    carried = F.struct(*[F.col(c) for c in take])
-    kind = F.struct(*[F.col(c) for c in probes.columns])
-    p = probes.select(*on, F.col(t).alias("__t"), F.lit(1).alias("__kind"), kind.alias("__probe"), F.lit(None).cast(facts.select(carried).schema[0].dataType).alias("__fact"))
-    f = facts.select(*on, F.col(fact_t).alias("__t"), F.lit(0).alias("__kind"), F.lit(None).cast(probes.select(kind).schema[0].dataType).alias("__probe"), carried.alias("__fact"))
-    order = Window.partitionBy(*on).orderBy("__t", "__kind", "__fact")
-    found = F.last("__fact", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    if clamp_first:  # one value for the whole key: a frame that ends with the key would be evaluated anew for every row
-        first = F.min(F.when(F.col("__kind") == 0, F.struct("__t", "__fact"))).over(Window.partitionBy(*on))
-        found = F.coalesce(found, first["__fact"])
-    out = f.unionByName(p).withColumn("__found", found).where("__kind = 1")
-    return out.select("__probe.*", *[F.col(f"__found.{c}").alias(c) for c in take])
+    most = df.agg(F.max(id_col)).first()[0]
+    levels = F.sequence(F.lit(0), F.lit(max(0, int(most or 0).bit_length() - 1)))
+    rows = df.where(F.col(hi) > F.col(lo)).select(*on, F.col(id_col).alias("__id"), lo, hi).withColumn("__level", F.explode(levels))
+    block, side = F.expr("shiftright(__id, __level + 1)"), F.expr("shiftright(__id, __level)").bitwiseAND(F.lit(1).cast("long"))
+    events = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(c).alias("t")) for kind, c in ((0, hi), (1, lo))]))  # an end comes before a start of the same time
+    rows = rows.select(*on, "__id", "__level", block.alias("__block"), side.alias("__side"), events.alias("e")).select(*on, "__id", "__level", "__block", "__side", F.col("e.kind").alias("__e"), F.col("e.t").alias("__when"))
+    count = lambda kind, side: F.when((F.col("__e") == kind) & (F.col("__side") == side), 1).otherwise(0)
+    met = carry.running_sum(rows, [*on, "__level", "__block"], "__when", ["__e"], {f"__{n}{s}": count(kind, s) for kind, n in ((0, "ended"), (1, "started")) for s in (0, 1)}, rows=1_000_000)
+    other = lambda n: F.when(F.col("__side") == 1, F.col(f"__{n}0")).otherwise(F.col(f"__{n}1"))
+    partners = F.when(F.col("__e") == 0, other("started")).otherwise(-other("ended"))
+    return met.select(*on, F.col("__id").alias(id_col), F.when(F.col("__side") == 1, 1).otherwise(-1).alias("sign"), partners.alias("partners"))
 
 
 def nearest(probes: DataFrame, facts: DataFrame, on: list[str], t: str, fact_t: str, tolerance: float, probe_id: str, order: list[str]) -> DataFrame:
@@ -128,19 +131,10 @@ def key_values(probes: DataFrame, keys: DataFrame, on: list[str], probe_t: str,
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder (on a local session without one, in a folder of its own), read back.
-
-    Unlike a checkpoint it takes no constraints on, which would double with every level.
-    """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-")
-    path = f"{folder.rstrip('/')}/level-{uuid.uuid4().hex}"
+    """``df`` as a table in the shared folder, read back. Unlike a checkpoint it takes no constraints on, which would double with every level."""
+    path = fresh(df.sparkSession, "level")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def flatten_tree(nodes: DataFrame, id_col: str, parent_col: str, offset_col: str, depth: int = 32) -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kinograph.operators import carry
+
 
 def runs(df: DataFrame, on: list[str], order: list[str], value: Column, name: str = "run") -> DataFrame:
     """Number the runs of equal neighbouring values of each key, from 0."""
@@ -73,6 +75,59 @@ def ducking_steps(threshold: float, ratio: float, attack: float, release: float)
     return step
 
 
+def kalman_gains(q: float = 1e-5, r: float = 1e-2, most: int = 100_000) -> list[float]:
+    """The filter's gains in order, up to the one that all later ones equal to double precision: they don't depend on what is measured."""
+    p, gains = 1.0, []
+    while len(gains) < most:
+        p += q
+        k = p / (p + r)
+        p *= 1.0 - k
+        if len(gains) > 1 and abs(k - gains[-1]) <= 1e-16 * k:
+            break
+        gains.append(k)
+    return gains
+
+
+def kalman(df: DataFrame, on: list[str], t: str, ties: list[str], z: str, name: str = "x", q: float = 1e-5, r: float = 1e-2, rows: int = carry.BUCKET_ROWS) -> DataFrame:
+    """Add n (from 1) and the filter's state after each row of a key, from 0 and variance 1 on: x = (1 - k) x + k z, a recurrence scanned in parallel."""
+    gains = kalman_gains(q, r)
+    numbered = carry.running_sum(df, on, t, ties, {"n": F.lit(1)}, rows)
+    k = F.get(F.array(*map(F.lit, gains)), F.least(F.col("n"), F.lit(len(gains))).cast("int") - 1)
+    out = carry.affine_scan(numbered, on, t, ties, F.array(1 - k), F.array(k * F.col(z)), [0.0], name, rows)
+    return out.withColumn(name, F.get(name, F.lit(0)))
+
+
+def ducking(df: DataFrame, on: list[str], t: str, ties: list[str], level: str, threshold: float, ratio: float, attack: float, release: float, name: str = "gain", rows: int = carry.BUCKET_ROWS) -> DataFrame:
+    """Add n and the gain after each row: the goal alone says whether it falls, at the attack rate, or rises, as the gain lies between both goals."""
+    low = F.col(level) > threshold
+    goal, keep = F.when(low, 1.0 / ratio).otherwise(1.0), F.when(low, attack).otherwise(release)
+    numbered = carry.running_sum(df, on, t, ties, {"n": F.lit(1)}, rows)
+    out = carry.affine_scan(numbered, on, t, ties, F.array(keep), F.array(goal * (1 - keep)), [1.0], name, rows)
+    return out.withColumn(name, F.get(name, F.lit(0)))
+
+
+#: Decay and input weight of the six poles of the pink filter, weights of the input itself now and one sample later, and the whole's.
+PINK = ((0.99886, 0.0555179), (0.99332, 0.0750759), (0.96900, 0.1538520), (0.86650, 0.3104856), (0.55000, 0.5329522), (-0.7616, -0.0168980))
+PINK_NOW, PINK_LATER, PINK_WHOLE = 0.5362, 0.115926, 0.11
+#: The brown filter's input weight, leak and gain.
+BROWN_IN, BROWN_LEAK, BROWN_GAIN = 0.02, 1.02, 3.5
+
+
+def coloured_noise(df: DataFrame, on: list[str], t: str, ties: list[str], white: str, rows: int = carry.BUCKET_ROWS) -> DataFrame:
+    """Add n, pink and brown: the columns of white noise through both recursive filters, seven recurrences scanned at once."""
+    numbered = carry.running_sum(df, on, t, ties, {"n": F.lit(1)}, rows)
+    decay = F.array(*[F.lit(a) for a, _ in PINK], F.lit(1 / BROWN_LEAK))
+    enter = F.array(*[F.col(white) * b for _, b in PINK], F.col(white) * (BROWN_IN / BROWN_LEAK))
+    out = carry.affine_scan(numbered, on, t, ties, decay, enter, [0.0] * 7, "__state", rows)
+    later = numbered.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(on)], (F.col("n") + 1).alias("__n"), F.col(white).alias("__before"))
+    same = F.col("n") == F.col("__n")
+    for i, c in enumerate(on):
+        same &= F.col(c).eqNullSafe(F.col(f"__k{i}"))
+    poles = F.aggregate(F.slice("__state", 1, len(PINK)), F.lit(0.0), lambda a, x: a + x)
+    pink = (poles + F.coalesce("__before", F.lit(0.0)) * PINK_LATER + F.col(white) * PINK_NOW) * PINK_WHOLE
+    return out.join(later, same, "left").select(*df.columns, "n", pink.alias("pink"), (F.get("__state", F.lit(6)) * BROWN_GAIN).alias("brown"))
+
+
 def greedy_gap_steps(gap: int) -> Callable[[int], bool]:
     """Whether a value of an ascending sequence is more than ``gap`` after the last one taken, for :func:`grouped_fold`."""
     last = None

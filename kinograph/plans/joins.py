@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F
 from pyspark.sql.window import Window
 
 from kinograph.functions.curves import bezier
-from kinograph.operators import joins
+from kinograph.operators import carry, joins
 from kinograph.plans.registry import query
 from kinograph.sources.tables import CLIPS, PACKETS, PIXELS, clips, packets, pixels, table
 
@@ -28,25 +28,27 @@ def timeline_render_plan(spark, d):
 
 
 STAB = f"""WITH {CLIPS} SELECT p.day, count(*) AS n, CAST(sum(c.clip_id) AS BIGINT) AS sum_clip
-FROM (SELECT range * 7 AS day FROM range(0, 358)) p JOIN clips c ON p.day >= c.lo AND p.day < c.hi GROUP BY p.day"""
+FROM (SELECT unnest(range(CAST(floor(min(lo) / 7) AS BIGINT), CAST(floor(max(hi) / 7) AS BIGINT) + 1)) * 7 AS day FROM clips) p JOIN clips c ON p.day >= c.lo AND p.day < c.hi GROUP BY p.day"""
 
 
 def counted(rows):
     return rows.groupBy("day").agg(F.count("*").alias("n"), F.sum("clip_id").alias("sum_clip"))
 
 
-def week_grid(spark):
-    return spark.range(358).select((F.col("id") * 7).alias("day"))
+def week_grid(spark, d):
+    """The first days of all weeks that clips reach."""
+    first, last = clips(spark, d).agg(F.floor(F.min("lo") / 7), F.floor(F.max("hi") / 7)).first()
+    return spark.range(first or 0, (last or 0) + 1).select((F.col("id") * 7).alias("day"))
 
 
 @query("stab_join", STAB)
 def stab_join(spark, d):
-    return counted(joins.stab(F.broadcast(week_grid(spark)), clips(spark, d), "day", "lo", "hi"))
+    return counted(joins.stab(F.broadcast(week_grid(spark, d)), clips(spark, d), "day", "lo", "hi"))
 
 
 @query("stab_join_bucketed", STAB)
 def stab_join_bucketed(spark, d):
-    return counted(joins.stab_bucketed(week_grid(spark), clips(spark, d), "day", "lo", "hi", width=4, levels=5))
+    return counted(joins.stab_bucketed(week_grid(spark, d), clips(spark, d), "day", "lo", "hi", width=4, levels=5))
 
 
 @query(
@@ -54,9 +56,10 @@ def stab_join_bucketed(spark, d):
     f"WITH {CLIPS} SELECT a.track, count(*) AS n_pairs, CAST(sum(b.clip_id - a.clip_id) AS BIGINT) AS gap FROM clips a JOIN clips b ON a.track = b.track AND a.clip_id < b.clip_id AND a.lo < b.hi AND a.hi > b.lo GROUP BY a.track",
 )
 def overlap_join(spark, d):
-    c = clips(spark, d).select("track", "clip_id", "lo", "hi")
-    pairs = joins.overlap(c, c, "lo", "hi", 32, ["track"]).where("clip_id < other_clip_id")
-    return pairs.groupBy("track").agg(F.count("*").alias("n_pairs"), F.sum(F.col("other_clip_id") - F.col("clip_id")).alias("gap"))
+    """How many pairs of clips overlap, and how far apart their numbers are, from running counts: no pair is made."""
+    met = joins.overlap_counts(clips(spark, d), "lo", "hi", "clip_id", ["track"])
+    pairs = met.groupBy("track").agg(F.sum(F.when(F.col("sign") == 1, F.col("partners"))).alias("n_pairs"), F.sum(F.col("sign") * F.col("clip_id") * F.col("partners")).alias("gap"))
+    return pairs.where("n_pairs > 0")
 
 
 def tracks(spark):
@@ -128,14 +131,23 @@ def frames_between(spark, d):
     return rows.select("track", "event_id", "pts", F.row_number().over(Window.partitionBy("track").orderBy("pts")).alias("n"))
 
 
+def hours_of(spark, d):
+    """The first and last hour, from START, that packets reach."""
+    return packets(spark, d).agg(*[F.floor((f("pts") - START) / HOUR).cast("int") for f in (F.min, F.max)]).first()
+
+
 def hourly(spark, d):
+    """A probe every seven hours per track, from before the first packet of all to after the last."""
+    first, last = hours_of(spark, d)
     users = packets(spark, d).select("track").distinct()
-    return users.withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(700), F.lit(7)))).withColumn("t", F.lit(START) + F.col("hour").cast("long") * HOUR)
+    return users.withColumn("hour", F.explode(F.sequence(F.lit(first - 7), F.lit(last + 7), F.lit(7)))).withColumn("t", F.lit(START) + F.col("hour").cast("long") * HOUR)
 
 
 KEYED = f"""WITH {PACKETS}, seg AS (SELECT track, pts, value, lead(pts) OVER w AS t2, lead(value) OVER w AS v2 FROM packets WINDOW w AS (PARTITION BY track ORDER BY pts)),
 f AS (SELECT track, arg_min(value, pts) AS v0 FROM packets GROUP BY track),
-q AS (SELECT f.track, f.v0, h.range AS hour, {START} + h.range * {HOUR} AS t FROM f, range(0, 701, 7) h),
+h AS (SELECT CAST(floor((min(pts) - {START}) / {HOUR}) AS BIGINT) AS a, CAST(floor((max(pts) - {START}) / {HOUR}) AS BIGINT) AS b FROM packets),
+g AS (SELECT unnest(range(a - 7, b + 8, 7)) AS hour FROM h),
+q AS (SELECT f.track, f.v0, CAST(g.hour AS INT) AS hour, {START} + g.hour * {HOUR} AS t FROM f, g),
 j AS (SELECT q.track, q.hour, q.t, q.v0, s.pts, s.value, s.t2, s.v2, CAST(q.t - s.pts AS DOUBLE) / CAST(s.t2 - s.pts AS DOUBLE) AS u FROM q ASOF LEFT JOIN seg s ON q.track = s.track AND q.t >= s.pts)"""
 
 
@@ -202,10 +214,14 @@ cuts AS (SELECT row_number() OVER (ORDER BY pts) AS seq, angle, pts AS in_pt, le
 
 
 def cut_list(spark, d):
-    """The switches of one programme, so one small ordered sequence: a switch to the live angle is none."""
-    one = Window.partitionBy(F.lit(0)).orderBy("pts")
-    changed = switches(spark, d).withColumn("was", F.lag("angle").over(one)).where("was is null or was <> angle")
-    return changed.select(F.row_number().over(one).cast("long").alias("seq"), "angle", F.col("pts").alias("in_pt"), F.lead("pts").over(one).alias("out_pt"))
+    """The switches of one programme, each after the last one before it: a switch to the live angle is none. One key, many tasks."""
+    own = switches(spark, d).select(F.lit(0).alias("show"), "pts", "angle")
+    facts = own.select("show", F.col("pts").alias("at"), F.col("angle").alias("was"))
+    before = carry.asof(own.withColumn("probe", F.col("pts") - 1), facts, ["show"], "probe", "at", ["at", "was"])
+    changed = before.where("was is null or was <> angle").select("show", "pts", "angle")
+    after = changed.select("show", (-F.col("pts")).alias("at"), F.col("pts").alias("out_pt"))
+    cuts = carry.asof(changed.withColumn("probe", -F.col("pts") - 1), after, ["show"], "probe", "at", ["at", "out_pt"])
+    return carry.running_sum(cuts, ["show"], "pts", [], {"seq": F.lit(1)}).select(F.col("seq").cast("long").alias("seq"), "angle", F.col("pts").alias("in_pt"), "out_pt")
 
 
 @query("cutlist_from_switches", f"WITH {CUTS} SELECT * FROM cuts")
@@ -213,9 +229,15 @@ def cutlist_from_switches(spark, d):
     return cut_list(spark, d)
 
 
-@query("multicam_angle_at", f"WITH {CUTS}, p AS (SELECT range AS hour, {START} + range * {HOUR} AS t FROM range(0, 720)) SELECT p.hour, coalesce(c.angle, 0) AS angle FROM p ASOF LEFT JOIN cuts c ON p.t >= c.in_pt")
+@query(
+    "multicam_angle_at",
+    f"""WITH {CUTS}, p AS (SELECT hour, {START} + hour * {HOUR} AS t FROM (SELECT unnest(range(CAST(floor((min(pts) - {START}) / {HOUR}) AS BIGINT), CAST(floor((max(pts) - {START}) / {HOUR}) AS BIGINT) + 2)) AS hour FROM packets))
+SELECT p.hour, coalesce(c.angle, 0) AS angle FROM p ASOF LEFT JOIN cuts c ON p.t >= c.in_pt""",
+)
 def multicam_angle_at(spark, d):
-    probes = spark.range(720).select(F.lit(0).alias("show"), F.col("id").alias("hour"), (F.lit(START) + F.col("id") * HOUR).alias("t"))
+    """The live angle at every full hour that packets reach."""
+    first, last = hours_of(spark, d)
+    probes = spark.range(first, last + 2).select(F.lit(0).alias("show"), F.col("id").alias("hour"), (F.lit(START) + F.col("id") * HOUR).alias("t"))
     cuts = cut_list(spark, d).withColumn("show", F.lit(0))
     return joins.asof(probes, cuts, ["show"], "t", "in_pt", ["in_pt", "angle"]).select("hour", F.coalesce("angle", F.lit(0)).alias("angle"))
 
@@ -260,11 +282,15 @@ def zip_assign_beats(spark, d):
     return out.select("track", "clip_id", "n", F.col("pts").alias("start_us"), F.col("next_pts").alias("end_us"))
 
 
-@query("on_beat_frames", f"WITH {PACKETS}, g AS (SELECT range AS frame, {START} + range * 600000000 AS t FROM range(0, 4320)) SELECT g.frame, min(p.pts) AS beat FROM g JOIN packets p ON p.is_key AND abs(p.pts - g.t) < 300000000 GROUP BY g.frame")
+@query(
+    "on_beat_frames",
+    f"""WITH {PACKETS}, g AS (SELECT frame, {START} + frame * 600000000 AS t FROM (SELECT unnest(range(CAST(floor((min(pts) - {START}) / 6e8) AS BIGINT), CAST(floor((max(pts) - {START}) / 6e8) AS BIGINT) + 2)) AS frame FROM packets))
+SELECT g.frame, min(p.pts) AS beat FROM g JOIN packets p ON p.is_key AND abs(p.pts - g.t) < 300000000 GROUP BY g.frame""",
+)
 def on_beat_frames(spark, d):
     """Ten-minute frames that a beat falls within half a frame of; each beat names its frame by arithmetic."""
     beats = packets(spark, d).where("is_key").withColumn("frame", F.floor((F.col("pts") - START) / 600_000_000 + 0.5).cast("long"))
-    near = beats.where((F.abs(F.col("pts") - (F.lit(START) + F.col("frame") * 600_000_000)) < 300_000_000) & F.col("frame").between(0, 4319))
+    near = beats.where(F.abs(F.col("pts") - (F.lit(START) + F.col("frame") * 600_000_000)) < 300_000_000)
     return near.groupBy("frame").agg(F.min("pts").alias("beat"))
 
 

@@ -324,21 +324,8 @@ def cumulative_motion(spark, d):
 NUMBERED = f"{PACKETS}, v AS (SELECT track, row_number() OVER (PARTITION BY track ORDER BY pts, event_id) AS n, value / 100 AS z FROM packets)"
 
 
-def fold_tracks(spark, d, make, out):
-    """A fold over each track's whole sequence, streamed with constant state; ``make()`` gives the step from one value to the next output."""
-
-    def numbered():
-        step, n = make(), 0
-
-        def take(pts, event_id, z):
-            nonlocal n
-            n += 1
-            return [n, step(z)]
-
-        return take
-
-    rows = packets(spark, d).withColumn("z", F.col("value") / 100)
-    return S.grouped_fold(rows, "track", ["pts", "event_id"], "z", numbered, f"track long, pts long, event_id long, n long, {out} double")
+def measured(spark, d):
+    return packets(spark, d).select("track", "pts", "event_id", (F.col("value") / 100).alias("z"))
 
 
 @query(
@@ -348,7 +335,8 @@ UNION ALL SELECT k.track, k.n + 1, (1 - (k.p + 0.00001::DOUBLE) / (k.p + 0.00001
 SELECT track, n, round(x, 4) AS x FROM k WHERE n > 0""",
 )
 def kalman_smooth(spark, d):
-    return fold_tracks(spark, d, S.kalman_steps, "x").select("track", "n", F.round("x", 4).alias("x"))
+    """A track of any length: the recurrence is scanned per stretch of time."""
+    return S.kalman(measured(spark, d), ["track"], "pts", ["event_id"], "z").select("track", "n", F.round("x", 4).alias("x"))
 
 
 @query(
@@ -358,7 +346,25 @@ UNION ALL SELECT k.track, k.n + 1, k.g * c + goal * (1 - c) FROM (SELECT k.*, v.
 SELECT track, n, round(g, 5) AS gain FROM k WHERE n > 0""",
 )
 def ducking_gain(spark, d):
-    return fold_tracks(spark, d, lambda: S.ducking_steps(2.5, 4.0, 0.3, 0.9), "gain").select("track", "n", F.round("gain", 5).alias("gain"))
+    return S.ducking(measured(spark, d), ["track"], "pts", ["event_id"], "z", 2.5, 4.0, 0.3, 0.9).select("track", "n", F.round("gain", 5).alias("gain"))
+
+
+def coloured_sql() -> str:
+    """The filters' definition, one sample after the other."""
+    poles = [f"b{i}" for i in range(len(S.PINK))]
+    steps = ", ".join(f"({a}::DOUBLE * k.{p} + v.w * {b}::DOUBLE) AS {p}" for p, (a, b) in zip(poles, S.PINK))
+    zeros = ", ".join(f"0.0::DOUBLE AS {p}" for p in poles)
+    return f"""WITH RECURSIVE {NUMBERED.replace("value / 100 AS z", "value / 250 - 1 AS w")}, k AS (SELECT DISTINCT track, CAST(0 AS BIGINT) AS n, {zeros}, 0.0::DOUBLE AS before, 0.0::DOUBLE AS w, 0.0::DOUBLE AS brown FROM v
+UNION ALL SELECT k.track, k.n + 1, {steps}, k.w, v.w, (k.brown + {S.BROWN_IN}::DOUBLE * v.w) / {S.BROWN_LEAK}::DOUBLE FROM k JOIN v ON v.track = k.track AND v.n = k.n + 1)
+SELECT track, n, round(({" + ".join(poles)} + before * {S.PINK_LATER}::DOUBLE + w * {S.PINK_NOW}::DOUBLE) * {S.PINK_WHOLE}::DOUBLE, 6) AS pink, round(brown * {S.BROWN_GAIN}::DOUBLE, 6) AS brown FROM k WHERE n > 0"""
+
+
+@query("coloured_noise", coloured_sql())
+def coloured_noise(spark, d):
+    """Each track's values as white noise, made pink and brown."""
+    white = packets(spark, d).select("track", "pts", "event_id", (F.col("value") / 250 - 1).alias("w"))
+    out = S.coloured_noise(white, ["track"], "pts", ["event_id"], "w")
+    return out.select("track", "n", F.round("pink", 6).alias("pink"), F.round("brown", 6).alias("brown"))
 
 
 @query("last_value_per_key", "SELECT user_id AS track, event_type AS name, arg_max(value, ts) AS value FROM events GROUP BY 1, 2")
