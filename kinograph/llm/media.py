@@ -229,12 +229,16 @@ def read_media(stored: DataFrame) -> DataFrame:
     return found.groupBy("digest").agg(*[F.min(c).alias(c) for c in kept])
 
 
-def resolve(pages: DataFrame, media: DataFrame, id_col: str, html_col: str) -> DataFrame:
+def resolve(pages: DataFrame, media: DataFrame, id_col: str, html_col: str, only_media: bool = False) -> DataFrame:
     """A row per item of every page (id, position, kind, text, digest, caption, src), with the columns of ``media``.
 
-    ``media`` has one row per ``digest``. Unresolved references and text have nulls there.
+    ``media`` has one row per ``digest``. Unresolved references and text have nulls there. With ``only_media``, items of text
+    keep their places in the count but are not rows.
     """
-    items = pages.select(F.col(id_col), F.explode(sequences(F.col(html_col))).alias("item")).select(id_col, "item.*")
+    found = sequences(F.col(html_col))
+    if only_media:
+        found = F.filter(found, lambda i: i["kind"] == "media")
+    items = pages.select(F.col(id_col), F.explode(found).alias("item")).select(id_col, "item.*")
     # a reference by address is looked up by the digest of its address
     items = items.withColumn("digest", F.coalesce("digest", F.when(F.col("src").isNotNull(), F.sha2(payload(F.col("src")), 256))))
     held = media.withColumnRenamed("digest", "__digest")
@@ -259,18 +263,30 @@ def page_payloads(pages: DataFrame, html_col: str) -> DataFrame:
     return items.select(F.col("i.src").alias("src")).distinct()
 
 
+def escaped(text: Column) -> Column:
+    """Text that markup can't start in."""
+    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(plain), F.lit(entity))
+    return text
+
+
 def document_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents as pages (doc_id, n_bytes, html) that show their text as a media object."""
-    digest = F.sha2(payload(F.col(text_col)), 256)
-    name = F.coalesce(F.col(id_col).cast("string"), F.lit("without number"))
-    caption = F.concat(F.lit("text of document "), name)
-    html = F.concat(F.lit("<article><p>Document "), name, F.lit(f'</p><figure><img src="{SCHEME}'), digest, F.lit('"><figcaption>'), caption, F.lit("</figcaption></figure></article>"))
-    n_bytes = F.length(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).cast("long")
-    return docs.select(F.struct(F.col(id_col).alias("doc_id"), n_bytes.alias("n_bytes")).alias("doc"), html.alias("html"))
+    """Documents as pages (doc, html): a paragraph a line, and after half of the lines a figure that shows the whole text as a media object.
+
+    The line before the figure is its caption. ``doc`` is (doc_id, n_bytes).
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.struct(F.col(id_col).alias("doc_id"), F.length(text.cast("binary")).cast("long").alias("n_bytes")).alias("doc"), F.sha2(payload(F.col(text_col)), 256).alias("digest"), F.split(escaped(text), "\n").alias("lines"))
+    half = F.floor(F.size("lines") / 2).cast("int")
+    paragraphs = lambda lines: F.array_join(F.transform(lines, lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>"))), "")
+    caption = F.coalesce(F.get("lines", half - 1), F.lit(""))
+    figure = F.concat(F.lit(f'<figure><img src="{SCHEME}'), F.col("digest"), F.lit('"><figcaption>'), caption, F.lit("</figcaption></figure>"))
+    html = F.concat(F.lit("<article>"), paragraphs(F.slice("lines", F.lit(1), half)), figure, paragraphs(F.slice("lines", half + 1, F.size("lines"))), F.lit("</article>"))
+    return rows.select("doc", html.alias("html"))
 
 
 def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store every text as media, read it back, and give each document what its reference resolves to."""
+    """Store every text as media, read it back, and give each document what its reference resolves to, with the reference's place and caption."""
     media = cut(read_media(store_media(payload(F.col(text_col)), docs)))
-    found = resolve(document_pages(docs, id_col, text_col), media, "doc", "html").where(F.col("kind") == "media")
+    found = resolve(document_pages(docs, id_col, text_col), media, "doc", "html", only_media=True)
     return found.select("doc.doc_id", "doc.n_bytes", *[c.split()[0] for c in READ_SCHEMA.split(", ")], "position", "caption")

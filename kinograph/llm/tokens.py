@@ -2,7 +2,8 @@
 
 Splitting at a single space between two visible characters never changes the pre-tokens of a
 GPT-style pattern: the space belongs to what follows. So a text is cut there, and each piece is
-encoded once per task and remembered. Texts with other space runs go to the tokenizer whole.
+encoded once per task and remembered. Texts with other space runs go to the tokenizer whole, and so do
+texts that hold a special token's string: as the tokenizer does by itself, it becomes that token's id.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo = Memo(MEMO_BYTES, ENTRY_BYTES)
         space = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0]
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids whose token begins with a space
@@ -54,7 +55,7 @@ class Encoder:
             self.memo.update(zip(group, (data[a:b] for a, b in zip(starts, [*starts[1:], len(data)]))))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self._pieces(t) for t in texts]
+        cut = [None if any(x in t for x in self.special) else self._pieces(t) for t in texts]
         every = set().union(*[p for p in cut if p])
         new = [p for p in every if p not in self.memo]
         if not self.memo.room(new):

@@ -165,7 +165,6 @@ def ids_of(text: str) -> list[int]:
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [*t.encode(text, add_special_tokens=False).ids, 0]
 
 
@@ -198,6 +197,18 @@ def test_packing(request, which):
         assert len(by_sequence) <= -(-total // 1024) * 1.02 + 1
 
 
+def test_special_strings_are_what_the_tokenizer_makes_of_them(spark):
+    """Without special tokens being added, a special token's own string in a text still is that token."""
+    from kinograph.llm.tokens import Encoder
+
+    encoder = Encoder(queries.vocabulary("byte_bpe_50k.json").decode())
+    assert encoder.special
+    held = [f"{a}{s}{b}" for s in encoder.special for a in ("", "one two ", "x") for b in ("", " three", "y  z")]
+    held += [s[:-1] for s in encoder.special] + [" ".join(s) for s in encoder.special]
+    assert [list(struct.unpack(f"<{len(x) // 4}I", x)) for x in encoder.encode(held)] == [ids_of(t)[:-1] for t in held]
+    assert any(encoder.tokenizer.token_to_id(s) in ids_of(f"one {s}") for s in encoder.special)
+
+
 def test_packed_sequences_hold_the_ids(spark, documents):
     some = documents.where("doc_id < 40")
     rows = packing.sequences(some, queries.vocabulary("byte_bpe_50k.json").decode()).collect()
@@ -493,18 +504,64 @@ def test_sharding(request, which):
             assert all(abs(n - len(s) * share[k] / len(rows)) < 2 for k, n in Counter(r["source"] for r in s).items())
 
 
-@pytest.mark.parametrize("which", ["documents", "awkward", "empty"])
-def test_media_round_trip(request, which):
-    docs = request.getfixturevalue("documents") if which == "documents" else request.getfixturevalue("awkward").limit(0 if which == "empty" else 99)
+def grey_samples(png: bytes) -> bytes:
+    """The samples of an 8-bit grey PNG, read by the format's rules alone: chunks, checksums, row filters 0 to 4."""
+    assert png[:8] == b"\x89PNG\r\n\x1a\n"
+    at, data, width, height = 8, b"", 0, 0
+    while at < len(png):
+        size = int.from_bytes(png[at : at + 4], "big")
+        name, body = png[at + 4 : at + 8], png[at + 8 : at + 8 + size]
+        assert zlib.crc32(name + body) == int.from_bytes(png[at + 8 + size : at + 12 + size], "big")
+        if name == b"IHDR":
+            width, height, depth, colour, *rest = struct.unpack(">IIBBBBB", body)
+            assert (depth, colour, rest) == (8, 0, [0, 0, 0])
+        data += body if name == b"IDAT" else b""
+        at += 12 + size
+    raw, rows, before = zlib.decompress(data), [], bytes(width)
+    assert len(raw) == height * (width + 1)
+    for y in range(height):
+        kind, line, row = raw[y * (width + 1)], raw[y * (width + 1) + 1 : (y + 1) * (width + 1)], bytearray()
+        for x, v in enumerate(line):
+            left, up, corner = (row[x - 1] if x else 0), before[x], (before[x - 1] if x else 0)
+            near = min((left, up, corner), key=lambda c: abs(left + up - corner - c))
+            row.append((v + (0, left, up, (left + up) // 2, near)[kind]) % 256)
+        rows.append(bytes(row))
+        before = rows[-1]
+    return b"".join(rows)
+
+
+def plain_features(data: bytes) -> str:
+    counts = Counter(data)
+    mode = min(counts, key=lambda v: (-counts[v], v))
+    return f"64x{len(data) // 64} min={min(data)} max={max(data)} mean_milli={sum(data) * 1000 // len(data)} levels={len(counts)} mode={mode}"
+
+
+def place_in_page(text: str) -> tuple:
+    """The figure's position and caption: a paragraph a line, blank ones none, the figure after half of them."""
+    lines = text.split("\n")
+    before = lines[: len(lines) // 2]
+    caption = " ".join(before[-1].split()) if before else ""
+    return sum(bool(x.split()) for x in before), caption or None
+
+
+@pytest.mark.parametrize("which", ["documents", "awkward", "empty", "markup"])
+def test_media_round_trip(spark, request, which):
+    if which == "markup":
+        names = ['<img src="x">', "a&amp;b", "</figure>", "sha256:00", None, ""]
+        docs = spark.createDataFrame([(n, t) for n in names for t in ("<p>one</p>\n<img src='y'> & &lt;\n<script>x\nz", "]]> <!-- \n -->", "a\n\n \nb\nc\nd")], "doc_id string, text string")
+    else:
+        docs = request.getfixturevalue("documents") if which == "documents" else request.getfixturevalue("awkward").limit(0 if which == "empty" else 99)
     want = []
     for i, t in texts(docs):
         raw = t.encode()
         padded = raw + bytes(-len(raw) % 64 if raw else 64)
         stored = media.store(padded)
         assert media.restore(stored) == padded
-        want.append((str(i), len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), media.features(padded)))
-    rows = media.media_features(docs).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature").collect()
-    assert sorted((str(r[0]), *r[1:]) for r in rows) == sorted(want)
+        if len(padded) < 20_000:
+            assert grey_samples(stored) == padded
+        want.append((str(i), len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), plain_features(padded), *place_in_page(t)))
+    rows = media.media_features(docs).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption").collect()
+    assert sorted(((str(r[0]), *r[1:]) for r in rows), key=str) == sorted(want, key=str)
 
 
 def test_media_damage_is_noticed():
@@ -721,7 +778,8 @@ def test_sketches_rule_out_no_similar_pair(spark):
         assert kept or not similar
         if len(sets[i]) < 64 and len(sets[j]) < 64:
             assert kept == similar
-    assert near.sum() < len(near) / 8
+        if len(sets[i]) >= 64 and len(sets[j]) >= 64 and both < 0.5 * min(len(sets[i]), len(sets[j])):
+            assert not kept
 
 
 def test_crowded_anchors_are_dealt_to_many_tasks(spark):
