@@ -140,3 +140,61 @@ def fnv1a(spark, d):
     from kinograph.functions.text import fnv1a as hashed
 
     return table(spark, d, "part").select(F.col("p_partkey").alias("p"), hashed(F.col("p_name")).alias("h"))
+
+
+#: A track's values, and the same some places later, three quarters in one place and a quarter in the next.
+LATER = f"""{PACKETS}, r AS (SELECT track, row_number() OVER (PARTITION BY track ORDER BY pts, event_id) - 1 AS i, value - 250 AS x FROM packets),
+t AS (SELECT track, i, sum(x) AS x FROM (SELECT track, i + 1 + track % 5 AS i, x * 0.75::DOUBLE AS x FROM r UNION ALL SELECT track, i + 2 + track % 5, x * 0.25::DOUBLE FROM r) GROUP BY ALL)"""
+
+
+@query(
+    "xcorr_peak",
+    f"""WITH {LATER}, c AS (SELECT r.track, t.i - r.i AS lag, sum(r.x * t.x) AS c FROM r JOIN t ON r.track = t.track AND abs(t.i - r.i) <= 16 GROUP BY ALL),
+b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY track ORDER BY c DESC, lag < 0, lag) = 1),
+n AS (SELECT b.*, p.c AS before, q.c AS after FROM b LEFT JOIN c p ON p.track = b.track AND p.lag = b.lag - 1 LEFT JOIN c q ON q.track = b.track AND q.lag = b.lag + 1),
+s AS (SELECT *, lag + CASE WHEN lag NOT IN (0, -1) AND abs(before - 2 * c + after) > 1e-12 THEN (before - after) / (2 * (before - 2 * c + after)) ELSE 0 END AS sub FROM n)
+SELECT s.track, lag, round(sub, 4) AS sub_lag, CAST(floor(sub + 0.5::DOUBLE) AS BIGINT) AS "offset", round(greatest(0, least(1, c / sqrt((SELECT sum(x * x) FROM r WHERE r.track = s.track) * (SELECT sum(x * x) FROM t WHERE t.track = s.track)))), 6) AS confidence FROM s""",
+)
+def xcorr_peak(spark, d):
+    """Where each track and its delayed copy fit best, by overlapping blocks of 16 samples."""
+    from kinograph.operators import carry, correlate
+
+    p = packets(spark, d).select("track", "pts", "event_id", (F.col("value") - 250).alias("x"))
+    r = carry.running_sum(p, ["track"], "pts", ["event_id"], {"n": F.lit(1)}).select("track", (F.col("n") - 1).alias("i"), "x")
+    copies = F.explode(F.array(*[F.struct((F.col("i") + k + F.col("track") % 5).alias("i"), (F.col("x") * w).alias("x")) for k, w in ((1, 0.75), (2, 0.25))]))
+    t = r.select("track", copies.alias("s")).groupBy("track", "s.i").agg(F.sum("s.x").alias("x"))
+    found = correlate.peaks(r, t, ["track"], 16, size=16)
+    return found.select("track", "lag", F.round("sub_lag", 4).alias("sub_lag"), "offset", F.round("confidence", 6).alias("confidence"))
+
+
+@query(
+    "fft_low_pass",
+    f"""WITH {SAMPLES}, n AS (SELECT source_id, CAST(pow(2, ceil(log2(count(*)))) AS BIGINT) AS n FROM samples GROUP BY 1),
+f AS (SELECT s.source_id, k.range AS k, n.n, sum(s.x * cos(2 * pi() * k.range * s.i / n.n)) AS re, -sum(s.x * sin(2 * pi() * k.range * s.i / n.n)) AS im FROM samples s JOIN n USING (source_id), range(0, 9) k GROUP BY ALL)
+SELECT s.source_id, s.i, round(sum(CASE WHEN k = 0 THEN re ELSE 2 * (re * cos(2 * pi() * k * s.i / f.n) - im * sin(2 * pi() * k * s.i / f.n)) END) / any_value(f.n), 6) AS x FROM samples s JOIN f USING (source_id) GROUP BY ALL""",
+)
+def fft_low_pass(spark, d):
+    """Forward, the nine lowest frequencies kept on both sides, and back: blocks of any length."""
+    from kinograph.operators import correlate
+
+    spectra = pcm(spark, d).where(F.size("x") > 0).select("source_id", F.size("x").alias("n"), correlate.fft(F.col("x")).alias("f"))
+    low = lambda part: F.transform(part, lambda v, k: F.when((k <= 8) | (k >= F.size("f.re") - 8), v).otherwise(0.0))
+    back = spectra.select("source_id", "n", correlate.inverse_fft(low(F.col("f.re")), low(F.col("f.im"))).alias("y"))
+    return back.select("source_id", F.posexplode(F.slice("y", F.lit(1), F.col("n"))).alias("i", "x")).select("source_id", "i", F.round("x", 6).alias("x"))
+
+
+@query(
+    "imdct_overlap_add",
+    f"""WITH {SAMPLES}, c AS (SELECT source_id, i // 16 AS b, i % 16 AS k, x FROM samples),
+y AS (SELECT c.source_id, c.b, t.range AS t, sum(c.x * cos(pi() / 16 * (t.range + 0.5::DOUBLE + 8) * (c.k + 0.5::DOUBLE))) * sin(pi() / 32 * (t.range + 0.5::DOUBLE)) * 2 / 16 AS y FROM c, range(0, 32) t GROUP BY c.source_id, c.b, t.range)
+SELECT a.source_id, CAST(a.b AS BIGINT) AS block, CAST(a.t AS BIGINT) AS i, round(a.y + p.y, 6) AS x FROM y a JOIN y p ON p.source_id = a.source_id AND p.b = a.b - 1 AND p.t = a.t + 16 WHERE a.t < 16""",
+)
+def imdct_overlap_add(spark, d):
+    """Blocks of 16 samples taken for coefficients, brought back to 32 windowed samples each, neighbours' halves added."""
+    from kinograph.operators import correlate
+    from kinograph.operators.sequences import hops
+
+    parts = pcm(spark, d).select("source_id", F.posexplode(hops(F.col("x"), 16, 16)).alias("block", "h"))
+    back = parts.select("source_id", F.col("block").cast("long").alias("block"), correlate.imdct_blocks(F.col("h.samples")).alias("y"))
+    out = signal.overlap_add(back, ["source_id"], "block", "y")
+    return out.select("source_id", "block", F.posexplode("y").alias("i", "x")).select("source_id", "block", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
