@@ -45,3 +45,70 @@ def rebase(packets: DataFrame, idle_ms: int = 60_000) -> DataFrame:
         yield pd.DataFrame({"track": key[0], "event_id": rows["event_id"].to_numpy(), "pts": out})
 
     return packets.select("track", "event_id", "pts").groupBy("track").applyInPandasWithState(step, "track long, event_id long, pts long", "first long, last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def interval_join(left: DataFrame, right: DataFrame, on: list[str], t: str, right_t: str, before: str, after: str, late: str = "10 minutes") -> DataFrame:
+    """Pairs of rows of two streams with equal keys, the right one's time from ``before`` earlier to ``after`` later than the left one's.
+
+    Both sides have a watermark, and the bounds on time let each forget what no later row of the other can meet; rows
+    later than ``late`` are dropped. Columns of the right side, keys but for, must have names of their own. On tables it is a plain join.
+    """
+    left, right = left.withWatermark(t, late), right.withWatermark(right_t, late)
+    keys = right.select(*[F.col(k).alias(f"__{k}") if k in on else F.col(k) for k in right.columns])
+    met = F.expr(f"{right_t} >= {t} - INTERVAL {before} AND {right_t} <= {t} + INTERVAL {after}")
+    for k in on:
+        met &= F.col(k) == F.col(f"__{k}")
+    return left.join(keys, met).drop(*[f"__{k}" for k in on])
+
+
+class Upserts:
+    """A table of the latest row per key, kept by ``foreachBatch``: ``writeStream.foreachBatch(Upserts(...).write)``.
+
+    A micro-batch is written under its own number, in place of what an earlier try of the same batch left, so
+    that a repeated batch changes nothing. After ``fanout`` batches, those before the newest are merged
+    into one run; the newest is left alone, as only that one can come again. Readers merge the run and the batches
+    after it: of rows with one key, the one with the largest ``order`` counts, whichever batch brought it, so late rows don't replace newer ones.
+    """
+
+    def __init__(self, folder: str, key: list[str], order: list[str], fanout: int = 8):
+        self.folder, self.key, self.order, self.fanout = folder.rstrip("/"), key, order, fanout
+
+    def _files(self, spark):
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+    def parts(self, spark, kind: str) -> list[int]:
+        """Numbers of the complete ``batch`` or ``run`` folders, ascending."""
+        system, path = self._files(spark)
+        names = [s.getPath().getName() for s in system.listStatus(path)] if system.exists(path) else []
+        done = lambda n: system.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{n}/_SUCCESS"))
+        return sorted(int(n.split("-")[1]) for n in names if n.startswith(f"{kind}-") and done(n))
+
+    def latest(self, rows: DataFrame) -> DataFrame:
+        newest = rows.groupBy(*self.key).agg(F.max_by(F.struct(*rows.columns), F.struct(*self.order)).alias("__row"))
+        return newest.select("__row.*")
+
+    def _held(self, spark) -> tuple[list[str], int]:
+        """The folders that make up the table, and the batch that the run reaches to."""
+        runs = self.parts(spark, "run")
+        upto = runs[-1] if runs else -1
+        return [*[f"run-{n:012d}" for n in runs[-1:]], *[f"batch-{n:012d}" for n in self.parts(spark, "batch") if n > upto]], upto
+
+    def read(self, spark) -> DataFrame | None:
+        """The table as it is; None before the first batch."""
+        folders, _ = self._held(spark)
+        return self.latest(spark.read.parquet(*[f"{self.folder}/{f}" for f in folders])) if folders else None
+
+    def write(self, batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        _, upto = self._held(spark)
+        if number <= upto:
+            return  # merged already
+        self.latest(batch).write.mode("overwrite").parquet(f"{self.folder}/batch-{number:012d}")
+        older = [n for n in self.parts(spark, "batch") if upto < n < number]
+        if len(older) >= self.fanout:
+            folders = [f for f in self._held(spark)[0] if f != f"batch-{number:012d}"]
+            self.latest(spark.read.parquet(*[f"{self.folder}/{f}" for f in folders])).write.mode("overwrite").parquet(f"{self.folder}/run-{older[-1]:012d}")
+            system, _ = self._files(spark)
+            for f in folders:  # readers take the run from now on
+                system.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{f}"), True)
