@@ -8,6 +8,8 @@ buckets however long it is, and a probe visits one bucket of each class that occ
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -137,20 +139,43 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def flatten_tree(nodes: DataFrame, id_col: str, parent_col: str, offset_col: str, depth: int = 32) -> DataFrame:
-    """Absolute offset and depth of nested items: parents' offsets are added up along the tree.
+def to_root(nodes: DataFrame, id_col: str, parent_col: str, value: Column, compose: Callable[[Column, Column], Column]) -> DataFrame:
+    """(id, depth, value): each node's value composed with those of all nodes above it, by pointer jumping.
 
-    Each pass joins one more level, and keeps it, so that no later one repeats its joins; it stops when a level is empty, and cycles are never reached
-    because they hang from no root. Raises if the nesting is deeper than ``depth``.
+    A round joins every node with the node it points to, composes both values and points where that one
+    points, so that a path of n nodes takes log2 n rounds; each round is kept as a table. ``compose`` takes the upper
+    value and the lower one. Nodes under a parent that isn't there, and those on or under a cycle, hang from no root and are left out.
     """
-    row = nodes.select(F.col(id_col).alias("id"), F.col(parent_col).alias("parent"), F.col(offset_col).alias("offset"))
-    level = row.where("parent is null").select("id", F.col("offset").alias("start"), F.lit(0).alias("depth"))
-    found = [level]
-    for d in range(1, depth + 1):
-        up = level.select(F.col("id").alias("parent"), F.col("start").alias("above"))
-        level = row.join(up, "parent").select("id", (F.col("above") + F.col("offset")).alias("start"), F.lit(d).alias("depth"))
-        level = kept(level)
-        if level.isEmpty():
-            return reduce(DataFrame.unionByName, found)
-        found.append(level)
-    raise ValueError(f"nested deeper than {depth}")
+    row = nodes.select(F.col(id_col).alias("id"), F.col(parent_col).alias("up"), F.lit(0).alias("depth"), value.alias("value"))
+    rooted, most = kept(row), None
+    for passed in itertools.count():
+        open_rows = rooted.where("up is not null")
+        left = open_rows.count()
+        most = rooted.count() if most is None else most
+        if not left or 1 << passed > 2 * most:  # whatever still points somewhere then goes round
+            return rooted.where("up is null").select("id", "depth", "value")
+        above = rooted.select(F.col("id").alias("up"), F.col("up").alias("__up"), F.col("depth").alias("__depth"), F.col("value").alias("__value"))
+        moved = open_rows.join(above, "up").select("id", F.col("__up").alias("up"), (F.col("depth") + F.col("__depth") + 1).alias("depth"), compose(F.col("__value"), F.col("value")).alias("value"))
+        rooted = kept(rooted.where("up is null").unionByName(moved))
+    raise AssertionError
+
+
+def flatten_tree(nodes: DataFrame, id_col: str, parent_col: str, offset_col: str, depth: int = 32) -> DataFrame:
+    """Absolute offset and depth of nested items: parents' offsets are added up along the tree. Raises if the nesting is deeper than ``depth``."""
+    found = to_root(nodes, id_col, parent_col, F.col(offset_col), lambda up, own: up + own)
+    if not found.where(F.col("depth") > depth).isEmpty():
+        raise ValueError(f"nested deeper than {depth}")
+    return found.select("id", F.col("value").alias("start"), "depth")
+
+
+def affine(angle: Column, scale: Column, x: Column, y: Column) -> Column:
+    """[a, b, c, d, e, f] of the map (x, y) -> (a x + c y + e, b x + d y + f): scaled, turned by ``angle``, moved."""
+    cos, sin = F.cos(angle) * scale, F.sin(angle) * scale
+    return F.array(cos, sin, -sin, cos, x.cast("double"), y.cast("double"))
+
+
+def after(outer: Column, inner: Column) -> Column:
+    """The map that applies ``inner``, then ``outer``."""
+    o, i = (lambda n: F.get(outer, F.lit(n))), (lambda n: F.get(inner, F.lit(n)))
+    linear = [o(0) * i(0) + o(2) * i(1), o(1) * i(0) + o(3) * i(1), o(0) * i(2) + o(2) * i(3), o(1) * i(2) + o(3) * i(3)]
+    return F.array(*linear, o(0) * i(4) + o(2) * i(5) + o(4), o(1) * i(4) + o(3) * i(5) + o(5))

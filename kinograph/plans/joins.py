@@ -309,6 +309,22 @@ def flattened(orders):
     return joins.flatten_tree(nodes, "o_orderkey", "parent", "off")
 
 
+@query(
+    "layer_matrices",
+    """WITH RECURSIVE n AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey > 0 THEN o_orderkey // 2 END AS parent, 0.01::DOUBLE + (o_custkey % 37) * 0.17::DOUBLE AS r, 0.9::DOUBLE + (o_custkey % 3) / 10 AS s, CAST(o_orderkey % 7 AS DOUBLE) AS x, CAST(o_custkey % 11 AS DOUBLE) AS y FROM orders),
+m AS (SELECT id, parent, cos(r) * s AS a, sin(r) * s AS b, -sin(r) * s AS c, cos(r) * s AS d, x AS e, y AS f FROM n),
+t AS (SELECT id, 0 AS depth, a, b, c, d, e, f FROM m WHERE parent IS NULL UNION ALL SELECT m.id, t.depth + 1, t.a * m.a + t.c * m.b, t.b * m.a + t.d * m.b, t.a * m.c + t.c * m.d, t.b * m.c + t.d * m.d, t.a * m.e + t.c * m.f + t.e, t.b * m.e + t.d * m.f + t.f FROM m JOIN t ON m.parent = t.id)
+SELECT id, depth, round(a, 6) AS a, round(b, 6) AS b, round(e, 5) AS e, round(f, 5) AS f FROM t""",
+)
+def layer_matrices(spark, d):
+    """Layers in layers, each turned, scaled and moved inside its parent: what each does to a point of its own, in the root's plane."""
+    o = table(spark, d, "orders")
+    nodes = o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") > 0, F.call_function("div", F.col("o_orderkey"), F.lit(2).cast("long"))).alias("parent"), "o_custkey", "o_orderkey")
+    own = joins.affine(F.lit(0.01) + (F.col("o_custkey") % 37) * 0.17, F.lit(0.9) + (F.col("o_custkey") % 3) / 10, F.col("o_orderkey") % 7, F.col("o_custkey") % 11)
+    found = joins.to_root(nodes, "id", "parent", own, joins.after)
+    return found.select("id", "depth", *[F.round(F.get("value", F.lit(n)), digits).alias(c) for n, c, digits in ((0, "a", 6), (1, "b", 6), (4, "e", 5), (5, "f", 5))])
+
+
 @query(
     "point_in_rotated_rect",
     """WITH s AS (SELECT p_partkey AS z, CAST(p_partkey * 37 % 400 AS DOUBLE) AS cx, CAST(p_partkey * 53 % 300 AS DOUBLE) AS cy, 10.0::DOUBLE + p_size AS w, 8.0::DOUBLE + p_size / 2.0::DOUBLE AS h, radians(p_partkey % 90) AS a FROM part),

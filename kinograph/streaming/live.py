@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -112,3 +113,63 @@ class Upserts:
             system, _ = self._files(spark)
             for f in folders:  # readers take the run from now on
                 system.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{f}"), True)
+
+
+class Recorder(StatefulProcessor):
+    """Times of a recording from its first packet on, without the time it stood still.
+
+    Per track: the first packet's time, the last time given out, the time paused so far and since when it is paused. A
+    packet while paused is dropped, and so is one from before the first, whose time would be negative; times never fall, a late
+    one is put 1 us after the last. A timer in event time, renewed by every batch, forgets a track that is ``idle_us`` behind the watermark.
+    """
+
+    def __init__(self, idle_us: int):
+        self.idle_us = idle_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("recording", "first long, last long, paused long, since long, timer long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first, last, paused, since, timer = self.state.get() if self.state.exists() else (None, -1, 0, None, None)
+        newest = None
+        for part in rows:  # in order of time already: a part at a time, whatever the batch's size
+            ids, out = [], []
+            for event_id, pts, kind in zip(part["event_id"].tolist(), part["pts"].tolist(), part["kind"].tolist()):
+                newest = pts if newest is None else max(newest, pts)
+                if kind == "pause":
+                    since = pts if since is None else since
+                elif kind == "resume":
+                    paused += max(0, pts - since) if since is not None else 0
+                    since = None
+                elif since is None:
+                    first = pts if first is None else first
+                    at = pts - first - paused
+                    if at >= 0:
+                        last = max(at, last + 1)
+                        ids.append(event_id)
+                        out.append(last)
+            yield pd.DataFrame({"track": key[0], "event_id": ids, "pts": out}).astype({"event_id": "int64", "pts": "int64"})
+        if timer is not None:
+            self.handle.deleteTimer(timer)
+        timer = (newest + self.idle_us) // 1000
+        self.handle.registerTimer(timer)
+        self.state.update((first, last, paused, since, timer))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        yield pd.DataFrame({"track": [], "event_id": [], "pts": []}).astype("int64")
+
+    def close(self) -> None:
+        pass
+
+
+def recording(packets: DataFrame, idle: str = "1 day", late: str = "10 minutes") -> DataFrame:
+    """(track, event_id, pts) of a stream of (track, event_id, pts, kind, ts), kind "pause" and "resume" for the controls; see :class:`Recorder`.
+
+    Needs the RocksDB state store. A restart from the checkpoint goes on where it was. A track's rows of one micro-batch are taken as they
+    come, so they should come in order.
+    """
+    idle_us = pd.Timedelta(idle) // pd.Timedelta("1us")
+    rows = packets.select("track", "event_id", "pts", "kind", "ts").withWatermark("ts", late)
+    return rows.groupBy("track").transformWithStateInPandas(Recorder(idle_us), "track long, event_id long, pts long", "append", "eventTime")

@@ -118,3 +118,22 @@ def test_overlap_counts(spark):
                 key = (a[0], a[1], 1 if b[1] < a[1] else -1)
                 want[key] = want.get(key, 0) + 1
     assert got == want
+
+
+def test_to_root(spark):
+    """A path of 100 nodes, a bush, an orphan and a cycle with a tail; the cycle and the orphan have no root."""
+    parents = {0: None, **{i: i - 1 for i in range(1, 100)}, **{200 + i: i % 7 for i in range(50)}, 300: 999, 301: 300, 400: 401, 401: 402, 402: 400, 403: 400, 500: None}
+    df = spark.createDataFrame([(i, p, float(i % 5)) for i, p in parents.items()], "id long, parent long, angle double")
+    value = joins.affine(F.col("angle"), F.lit(0.9), F.col("id") % 3, F.lit(1))
+    got = {r["id"]: (r["depth"], r["value"]) for r in joins.to_root(df, "id", "parent", value, joins.after).collect()}
+    assert set(got) == set(parents) - {300, 301, 400, 401, 402, 403}
+    for i in got:
+        depth, m, at = -1, np.eye(3), i
+        while at is not None:
+            c, s = 0.9 * np.cos(at % 5), 0.9 * np.sin(at % 5)
+            m = np.array([[c, -s, at % 3], [s, c, 1], [0, 0, 1]]) @ m
+            depth, at = depth + 1, parents[at]
+        assert got[i][0] == depth and got[i][1] == pytest.approx([m[0, 0], m[1, 0], m[0, 1], m[1, 1], m[0, 2], m[1, 2]], abs=1e-9)
+    assert joins.to_root(df.where("false"), "id", "parent", value, joins.after).collect() == []
+    with pytest.raises(ValueError, match="deeper"):
+        joins.flatten_tree(df, "id", "parent", "angle")

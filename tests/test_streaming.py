@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from kinograph.sources.tables import packets
 from kinograph.streaming import live
@@ -30,7 +31,7 @@ def sides(df):
 
 def test_interval_join_of_two_streams(spark, flow, tmp_path):
     ordered = flow.orderBy("pts")
-    for i, part in enumerate(ordered.withColumn("n", F.ntile(5).over(__import__("pyspark.sql.window", fromlist=["Window"]).Window.orderBy("pts"))).where(f"n = {i + 1}").drop("n") for i in range(5)):
+    for i, part in enumerate(ordered.withColumn("n", F.ntile(5).over(Window.orderBy("pts"))).where(f"n = {i + 1}").drop("n") for i in range(5)):
         part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(flow.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     joined = live.interval_join(*sides(stream), ["track"], "ts", "click_ts", "6 hours", "30 minutes", late="40 days")
@@ -88,3 +89,63 @@ def test_upserts_by_a_stream_that_restarts(spark, flow, tmp_path):
             assert attempt == 0
     assert failed == [1]
     assert rows(held.read(spark)) == rows(facts.groupBy("track", "name").agg(F.max_by("value", "pts").alias("value"), F.max("pts").alias("pts")))
+
+
+def recorded(rows):
+    """The recorder by a plain loop: rows (track, event_id, pts, kind) in order."""
+    out, state = [], {}
+    for track, event_id, pts, kind in rows:
+        s = state.setdefault(track, {"first": None, "last": -1, "paused": 0, "since": None})
+        if kind == "pause":
+            s["since"] = pts if s["since"] is None else s["since"]
+        elif kind == "resume":
+            s["paused"] += max(0, pts - s["since"]) if s["since"] is not None else 0
+            s["since"] = None
+        elif s["since"] is None:
+            s["first"] = pts if s["first"] is None else s["first"]
+            if pts - s["first"] - s["paused"] >= 0:
+                s["last"] = max(pts - s["first"] - s["paused"], s["last"] + 1)
+                out.append((track, event_id, s["last"]))
+    return sorted(out)
+
+
+@pytest.fixture
+def rocks(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set(name, was)
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_recorder_goes_on_after_a_restart(spark, flow, rocks, tmp_path):
+    """Errors pause and purchases resume; one file a batch, the stream stopped and started between them."""
+    kind = F.when(F.col("event_type") == "error", "pause").when(F.col("event_type") == "purchase", "resume").otherwise("data")
+    rows = flow.where("track < 6").select("track", "event_id", "pts", kind.alias("kind"), "ts").orderBy("pts").collect()
+    cut = [rows[: len(rows) // 2], rows[len(rows) // 2 :]]
+    want = recorded([tuple(r)[:4] for part in cut for r in part])
+    for part in cut:
+        spark.createDataFrame(part, flow.select("track", "event_id", "pts", kind.alias("kind"), "ts").schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("track long, event_id long, pts long, kind string, ts timestamp").parquet(str(tmp_path / "in"))
+        q = live.recording(stream, idle="900 days", late="1 hour").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        q.awaitTermination(180)
+        assert q.exception() is None
+    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("track", "event_id", "pts").collect())
+    assert got == want and len(got) > 20
+
+
+def test_recorder_forgets_idle_tracks(spark, rocks, tmp_path):
+    """A track that comes back after its timer starts at zero again."""
+    start, out = 1_700_000_000_000_000, str(tmp_path / "out")
+    files = [[(1, 1, start), (1, 2, start + 5)], [(2, 3, start + 10**12)], [(2, 4, start + 2 * 10**12)], [(1, 5, start + 2 * 10**12 + 7), (1, 6, start + 2 * 10**12 + 9)]]
+    for part in files:
+        df = spark.createDataFrame([(*r, "data") for r in part], "track long, event_id long, pts long, kind string").withColumn("ts", F.timestamp_micros("pts"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+        q = live.recording(stream, idle="1 day", late="1 second").writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        q.awaitTermination(180)
+        assert q.exception() is None
+    got = {r["event_id"]: r["pts"] for r in spark.read.parquet(out).collect()}
+    assert (got[1], got[2], got[5], got[6]) == (0, 5, 0, 2)
