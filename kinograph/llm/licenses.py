@@ -6,7 +6,7 @@ is counted and small). A hit of text word i and template word t votes for the di
 text and template. Diagonals at most ``shift`` apart are merged into a band, as words that were
 put in or left out move the rest of a copy to a neighbouring diagonal. Bands go on if they have
 the votes that a copy has to have: if a share 1 - s of n template words is changed, at least
-n - k + 1 - k (1 - s) n grams are left whole, so no span is lost. What goes on is verified on the text itself:
+n - k + 1 - k (1 - s) n grams are left whole, so no copy is lost with up to ``shift`` words put in or left out in one place. What goes on is verified on the text itself:
 the share of template words that stand, equal, on one of the band's diagonals must reach s (phrases: all of them, on one diagonal).
 
 Equal texts vote once, whatever their number. Nothing is grouped but votes, by text and template; the
