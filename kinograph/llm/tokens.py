@@ -20,7 +20,7 @@ MEMO_BYTES, ENTRY_BYTES = 48_000_000, 200
 JOINED = 200
 #: White space other than the space; beside a space it keeps a text from being cut.
 BLANKS = [c for c in map(chr, (*range(9, 14), *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))]
-AWKWARD = ["  ", *[x for c in BLANKS for x in (f" {c}", f"{c} ")]]
+AWKWARD = [(c, f" {c}", f"{c} ") for c in BLANKS]
 
 
 class Encoder:
@@ -43,8 +43,9 @@ class Encoder:
 
     def _learn(self, pieces: list[str]) -> None:
         """Remember pieces. Those of a space and a word are encoded many at a time, and parted at the spaces."""
-        plain = [p for p in pieces if p[:1] == " " and not p[-1].isspace()]
-        other = [p for p in pieces if p[:1] != " " or p[-1].isspace()]
+        plain, other = [], []
+        for p in pieces:
+            (plain if p[0] == " " and not p[-1].isspace() else other).append(p)
         self.memo.update(zip(other, (ids.tobytes() for ids in self._encode(other))))
         groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
         for group, ids in zip(groups, self._encode(["".join(g) for g in groups])):
@@ -70,7 +71,7 @@ class Encoder:
         """The text cut before its spaces; None if one of them is at an end or beside white space."""
         if not text:
             return []
-        if text[0] == " " or text[-1] == " " or any(x in text for x in AWKWARD):
-            return None
+        if text[0] == " " or text[-1] == " " or "  " in text or any(c in text and (before in text or behind in text) for c, before, behind in AWKWARD):
+            return None  # most blanks are in few texts, and looking for one character is fast
         first, *rest = text.split(" ")
         return [first, *[" " + x for x in rest]]
