@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kinograph.operators.joins import kept
 from kinograph.plans.registry import query
 from kinograph.sources import containers as C
 from kinograph.sources import matroska as M
@@ -151,7 +152,7 @@ def mp4_two_streams(spark, d):
     """Two interleaved streams written as files, listed by ranges, and every sample's bytes fetched again."""
     folder = fresh(spark, "mp4")
     sink.write_containers(streams(spark, d), folder, "mp4", order=["event_id"])
-    rows = ranges.read(spark, folder, "mp4")
+    rows = kept(ranges.read(spark, folder, "mp4"))  # the tables are joined many times over, the files listed once
     kinds = rows.where("what in ('vide', 'soun')").select("path", "track", F.when(F.col("what") == "vide", 0).otherwise(1).cast("long").alias("stream"))
     samples = ranges.payloads(C.mp4_samples(rows)).join(kinds, ["path", "track"])
     return samples.select(file_number("mp4"), "stream", (F.col("sample") - 1).alias("n"), "dts_us", "size", "offset", "is_key", packet_number())
@@ -162,7 +163,7 @@ def mkv_cluster_ranges(spark, d):
     """The same packets in Matroska files, read in many ranges of clusters."""
     folder = fresh(spark, "mkv")
     sink.write_containers(streams(spark, d), folder, "matroska", order=["event_id"])
-    frames = ranges.payloads(M.mkv_packets(ranges.read(spark, folder, "matroska", splitBytes=4096)))
+    frames = ranges.payloads(M.mkv_packets(kept(ranges.read(spark, folder, "matroska", splitBytes=4096))))
     n = F.row_number().over(Window.partitionBy("path", "stream").orderBy("seq")).cast("long") - 1
     out = frames.withColumn("stream", F.col("track") - 1)
     return out.select(file_number("mkv"), "stream", n.alias("n"), "pts_us", "size", "is_key", packet_number())
