@@ -58,7 +58,8 @@ def stab_join_bucketed(spark, d):
 def overlap_join(spark, d):
     """How many pairs of clips overlap, and how far apart their numbers are, from running counts: no pair is made."""
     met = joins.overlap_counts(clips(spark, d), "lo", "hi", "clip_id", ["track"])
-    pairs = met.groupBy("track").agg(F.sum(F.when(F.col("sign") == 1, F.col("partners"))).alias("n_pairs"), F.sum(F.col("sign") * F.col("clip_id") * F.col("partners")).alias("gap"))
+    gap = F.sum((F.col("sign") * F.col("clip_id") * F.col("partners")).cast("decimal(38, 0)")).cast("long")
+    pairs = met.groupBy("track").agg(F.sum(F.when(F.col("sign") == 1, F.col("partners"))).alias("n_pairs"), gap.alias("gap"))
     return pairs.where("n_pairs > 0")
 
 

@@ -120,6 +120,24 @@ def test_overlap_counts(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("rows", [16, 100_000])
+def test_overlap_counts_over_blocks_of_ids(spark, rows):
+    """Ids far apart and below zero, in many blocks and in one; what is shuffled doesn't grow with the bits of an id."""
+    rng = np.random.default_rng(9)
+    held = [(int(rng.integers(3)), (i * 7 % 401) ** 4 * (-1) ** i, int(lo), int(lo + rng.integers(0, 30))) for i, lo in enumerate(rng.integers(0, 60, 300))]
+    df = spark.createDataFrame(held, "track long, id long, lo long, hi long")
+    found = joins.overlap_counts(df, "lo", "hi", "id", ["track"], rows=rows)
+    got = {(r["track"], r["id"], r["sign"]): r["partners"] for r in found.collect() if r["partners"]}
+    want = {}
+    for a in held:
+        for b in held:
+            if a[0] == b[0] and a[1] != b[1] and a[2] < b[3] and a[3] > b[2] and a[2] < a[3] and b[2] < b[3]:
+                key = (a[0], a[1], 1 if b[1] < a[1] else -1)
+                want[key] = want.get(key, 0) + 1
+    assert got == want
+    assert found.count() <= 2 * len(held)
+
+
 def test_to_root(spark):
     """A path of 100 nodes, a bush, an orphan and a cycle with a tail; the cycle and the orphan have no root."""
     parents = {0: None, **{i: i - 1 for i in range(1, 100)}, **{200 + i: i % 7 for i in range(50)}, 300: 999, 301: 300, 400: 401, 401: 402, 402: 400, 403: 400, 500: None}
