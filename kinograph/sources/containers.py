@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from kinograph.functions.curves import sign_extend
 
-#: Rows of a file that are sent on together.
+#: Rows that are sent on together.
 AT_ONCE = 10_000
 ARROW = {"array<long>": pa.list_(pa.int64()), "double": pa.float64(), "string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
 
@@ -49,22 +49,26 @@ def fits(row: tuple) -> tuple:
     return row
 
 
-def walked(path: str, entries: Iterator[tuple], arrow: pa.Schema, numbers: Callable[[int, tuple], int] = lambda seq, row: seq) -> Iterator[pa.RecordBatch]:
-    """A walker's rows for one file as batches of a ``walk`` table; damage ends them with a row that says so."""
-    rows, seq, width, more = [], 0, len(arrow) - 3, True
-    while more:
-        try:
-            row = fits(next(entries))
-            rows.append((path, numbers(seq, row), *row, None))
-            seq += 1
-        except StopIteration:
-            more = False
-        except DAMAGE as e:
-            rows.append((path, numbers(seq, ()), *[None] * width, str(e) or type(e).__name__))
-            more = False
-        if rows and (len(rows) == AT_ONCE or not more):
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)], schema=arrow)
-            rows = []
+def walked(found: Iterable[tuple[str, Iterator[tuple], int]], arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The rows of walkers, given as (path, rows, number of the first row), as batches of a ``walk`` table; damage ends a file's rows with one that says so."""
+    rows, width = [], len(arrow) - 3
+    flush = lambda: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)], schema=arrow)
+    for path, entries, seq in found:
+        more = True
+        while more:
+            try:
+                rows.append((path, seq, *fits(next(entries)), None))
+                seq += 1
+            except StopIteration:
+                more = False
+            except DAMAGE as e:
+                rows.append((path, seq, *[None] * width, str(e) or type(e).__name__))
+                more = False
+            if len(rows) == AT_ONCE:
+                yield flush()
+                rows = []
+    if rows:
+        yield flush()
 
 
 def walk(found: DataFrame, walker: Callable[[bytes], Iterator[tuple]], schema: str) -> DataFrame:
@@ -73,9 +77,8 @@ def walk(found: DataFrame, walker: Callable[[bytes], Iterator[tuple]], schema: s
     arrow = pa.schema([(n, ARROW[t]) for n, t in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch.column(0), batch.column(1)):
-                yield from walked(path.as_py(), walker(content.as_py() or b""), arrow)
+        contents = (f for batch in batches for f in zip(batch.column(0), batch.column(1)))
+        yield from walked(((path.as_py(), walker(content.as_py() or b""), 0) for path, content in contents), arrow)
 
     return found.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in fields))
 
@@ -120,11 +123,25 @@ def flv_packets(found: DataFrame) -> DataFrame:
     return tags.select("path", "seq", "kind", dts.alias("dts_us"), (dts + sign_extend(F.col("cts")) * 1000).alias("pts_us"), "is_key", "is_config", "offset", "size", "error")
 
 
+def find(data: bytes, what: bytes, at: int) -> int:
+    """The first place of ``what`` from ``at`` on, -1 if there is none; ``data`` may be anything that can be sliced into bytes."""
+    step = len(what)
+    while at < len(data):
+        found = data[at : at + step + len(what) - 1].find(what)
+        if found >= 0:
+            return at + found
+        at, step = at + step, min(step * 2, 1 << 16)
+    return -1
+
+
+OGG_SCHEMA = "serial long, page long, granule long, offset long, size long"
+
+
 def ogg_walker(data: bytes) -> Iterator[tuple]:
     """(serial, page, granule, segment sizes' offset and size) per segment; pages with a wrong checksum are skipped."""
-    at = data.find(b"OggS")
+    at = find(data, b"OggS", 0)
     while at >= 0 and at + 27 <= len(data):
-        granule, serial, page, crc = struct.unpack_from("<qIII", data, at + 6)
+        granule, serial, page, crc = unpack("<qIII", data, at + 6)
         n = data[at + 26]
         sizes = data[at + 27 : at + 27 + n]
         end = at + 27 + n + sum(sizes)
@@ -133,9 +150,9 @@ def ogg_walker(data: bytes) -> Iterator[tuple]:
             for size in sizes:
                 yield serial, page, granule, body, size
                 body += size
-            at = data.find(b"OggS", end)
+            at = find(data, b"OggS", end)
         else:
-            at = data.find(b"OggS", at + 4)
+            at = find(data, b"OggS", at + 4)
 
 
 #: Each byte with its bits in reverse.
@@ -149,8 +166,13 @@ def ogg_crc(data: bytes) -> int:
 
 
 def ogg_packets(found: DataFrame) -> DataFrame:
-    """Packets per stream: a packet ends with a segment under 255 bytes, whatever page it is on."""
-    parts = walk(found, ogg_walker, "serial long, page long, granule long, offset long, size long").where("error is null")
+    """Packets of every stream of files (path, content)."""
+    return ogg_joined(walk(found, ogg_walker, OGG_SCHEMA))
+
+
+def ogg_joined(rows: DataFrame) -> DataFrame:
+    """Packets per stream of the walker's rows: a packet ends with a segment under 255 bytes, whatever page it is on."""
+    parts = rows.where("error is null")
     before = Window.partitionBy("path", "serial").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     numbered = parts.withColumn("packet", F.coalesce(F.sum(F.when(F.col("size") < 255, 1).otherwise(0)).over(before), F.lit(0)))
     return numbered.groupBy("path", "serial", "packet").agg(F.min("offset").alias("offset"), F.sum("size").alias("size"), F.max("page").alias("page"), F.max("granule").alias("granule"), (F.min("size") < 255).alias("complete"))

@@ -2,19 +2,20 @@
 
 ``binaryFile`` holds a whole file in one row. This source plans over files of any size: an MP4 is read from
 box to box, so that only headers and ``moov`` are fetched wherever it lies; a Matroska file over
-``splitBytes`` is cut between clusters, found by hopping from one to the next, and each range is a
-partition of its own. Small files share partitions. The rows are those of the walkers, in the order of
+``splitBytes`` is cut between clusters, found by hopping from one to the next. Ranges and small files share
+partitions of about 64 MB, or a 256th of all bytes if that is less, but never under ``splitBytes``; only files that are
+larger are hopped over on the driver, others by the task that reads them. An Ogg file is read page by page by one task. The rows are those of the walkers, in the order of
 ``seq``: (path, seq, *walker's columns, error); damage ends a file's rows with one that says so.
 
 :func:`payloads` then fetches the bytes of samples: ranges are dealt by (file, stretch of the file),
 so that one large file is many tasks', and neighbours are read together.
 
-Options: ``path`` (a file or a folder, any file system Arrow knows), ``container`` (mp4 or matroska), ``splitBytes``, ``readAhead``.
+Options: ``path`` (a file or a folder, any file system Arrow knows), ``container`` (mp4, matroska or ogg), ``splitBytes``, ``readAhead``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from pyspark.sql.types import StructType
 
 from kinograph.sources import matroska
-from kinograph.sources.containers import ARROW, DAMAGE, MP4_SCHEMA, mp4_walker, walk_fields, walked
+from kinograph.sources.containers import ARROW, DAMAGE, MP4_SCHEMA, OGG_SCHEMA, mp4_walker, ogg_walker, walk_fields, walked
 
 #: Bytes of a partition's range; what a range read fetches beyond what was asked, at first, least and at most.
 SPLIT_BYTES, READ_AHEAD, LEAST_AHEAD, MOST_AHEAD = 64 << 20, 64 << 10, 256, 1 << 20
@@ -33,10 +34,10 @@ SPLIT_BYTES, READ_AHEAD, LEAST_AHEAD, MOST_AHEAD = 64 << 20, 64 << 10, 256, 1 <<
 GAP, MOST_AT_ONCE, STRETCH = 64 << 10, 16 << 20, 256 << 20
 #: Rows of a split are numbered from its number times this.
 SPLIT_ROWS = 1 << 40
-#: Files planned together in one partition.
-FILES_AT_ONCE = 256
-SCHEMAS = {"mp4": MP4_SCHEMA, "matroska": matroska.SCHEMA}
-SUFFIXES = {"mp4": (".mp4", ".m4v", ".m4a", ".mov"), "matroska": (".mkv", ".webm", ".mka")}
+#: Files planned together in one partition; partitions that ranges are spread over at least, before they reach SPLIT_BYTES, and the least bytes of small files in one.
+FILES_AT_ONCE, SPREAD, LEAST_SHARE = 256, 256, 1 << 20
+SCHEMAS = {"mp4": MP4_SCHEMA, "matroska": matroska.SCHEMA, "ogg": OGG_SCHEMA}
+SUFFIXES = {"mp4": (".mp4", ".m4v", ".m4a", ".mov"), "matroska": (".mkv", ".webm", ".mka"), "ogg": (".ogg", ".oga", ".opus")}
 
 
 def file_system(path: str) -> tuple[fs.FileSystem, str]:
@@ -83,13 +84,14 @@ class Ranged:
 
 @dataclass
 class Piece:
-    """What a task reads of a file: from ``start`` (None: from its beginning) up to the cluster at ``until``."""
+    """What a task reads of a file: from ``start`` up to the cluster at ``until``; one that is ``uncut`` is first cut into ranges by the task."""
 
     path: str
     split: int = 0
     start: int = 0
     until: int | None = None
     scale: int = 1_000_000
+    uncut: bool = False
 
 
 class Pieces(InputPartition):
@@ -138,30 +140,49 @@ class ContainerReader(DataSourceReader):
         return sorted((base + f.path[len(inner.rstrip("/")) :], f.size) for f in listed if f.type == fs.FileType.File and f.path.lower().endswith(SUFFIXES[self.container]) and "/_staging-" not in f.path)
 
     def partitions(self) -> Sequence[InputPartition]:
-        """One per range of a long Matroska file; else files together up to ``splitBytes`` that are likely to be read."""
+        """Ranges of long Matroska files together up to a share of all bytes; the same for files, by what is likely to be read of them."""
+        cost = lambda size: min(size, self.read_ahead) if self.container == "mp4" else size
+        files = self.files()
+        spread = min(SPLIT_BYTES, sum(cost(size) for _, size in files) // SPREAD)
+        share, small = max(self.split_bytes, spread), max(min(self.split_bytes, LEAST_SHARE), spread)
         out: list[Pieces] = []
-        together, weight = [], 0
-        for path, size in self.files():
-            cost = min(size, self.read_ahead) if self.container == "mp4" else size
-            if self.container == "matroska" and size > self.split_bytes:
-                data = Ranged(path, LEAST_AHEAD)
-                out += [Pieces([p]) for p in cluster_pieces(path, data, self.split_bytes)]
-                data.close()
-                continue
-            if together and (weight + cost > self.split_bytes or len(together) == FILES_AT_ONCE):
-                out.append(Pieces(together))
-                together, weight = [], 0
-            together.append(Piece(path))
-            weight += cost
-        return [*out, Pieces(together)]
+
+        def dealt(weighed: Iterable[tuple[Piece, int]], most: int) -> list[Piece]:
+            """Puts full partitions out; the pieces left over."""
+            together, weight = [], 0
+            for piece, bytes_of in weighed:
+                if together and (weight + bytes_of > most or len(together) == FILES_AT_ONCE):
+                    out.append(Pieces(together))
+                    together, weight = [], 0
+                together.append(piece)
+                weight += bytes_of
+            return together
+
+        def ranges() -> Iterator[tuple[Piece, int]]:
+            for path, size in files:
+                if self.container == "matroska" and size > share:
+                    data = Ranged(path, LEAST_AHEAD)
+                    yield from ((p, (p.until or size) - p.start) for p in cluster_pieces(path, data, self.split_bytes))
+                    data.close()
+
+        left = dealt(ranges(), share)
+        out += [Pieces(left)] if left else []
+        rest = [(Piece(path, uncut=self.container == "matroska" and size > self.split_bytes), cost(size)) for path, size in files if self.container != "matroska" or size <= share]
+        left = dealt(rest, small)
+        return [*out, Pieces(left)]
 
     def read(self, partition: Pieces) -> Iterator[pa.RecordBatch]:
         arrow = pa.schema([(n, ARROW[t]) for n, t in walk_fields(SCHEMAS[self.container])])
-        for piece in partition.pieces:
-            data = Ranged(piece.path, self.read_ahead)
-            entries = mp4_walker(data) if self.container == "mp4" else matroska.mkv_walker(data, piece.start, piece.until, piece.scale)
-            yield from walked(piece.path, entries, arrow, lambda seq, _, piece=piece: piece.split * SPLIT_ROWS + seq)
-            data.close()
+
+        def entries() -> Iterator[tuple[str, Iterator[tuple], int]]:
+            for piece in partition.pieces:
+                data = Ranged(piece.path, self.read_ahead)
+                for p in cluster_pieces(piece.path, data, self.split_bytes) if piece.uncut else [piece]:
+                    walker = mp4_walker(data) if self.container == "mp4" else ogg_walker(data) if self.container == "ogg" else matroska.mkv_walker(data, p.start, p.until, p.scale)
+                    yield p.path, walker, p.split * SPLIT_ROWS
+                data.close()
+
+        yield from walked(entries(), arrow)
 
 
 class Containers(DataSource):
@@ -203,7 +224,7 @@ def payloads(samples: DataFrame, path: str = "path", offset: str = "offset", siz
         held: tuple[str, pa.NativeFile] | None = None
         for batch in batches:
             paths, starts, sizes = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (path, offset, size))
-            at = 0
+            at, sent, found, fetched = 0, 0, [], 0
             while at < len(paths):
                 last, end = at, None
                 if None not in (paths[at], starts[at], sizes[at]):
@@ -220,9 +241,13 @@ def payloads(samples: DataFrame, path: str = "path", offset: str = "offset", siz
                     got = [data[s - starts[at] : s - starts[at] + n] if 0 <= s - starts[at] and s - starts[at] + n <= len(data) else None for s, n in zip(starts[at : last + 1], sizes[at : last + 1])]
                 else:
                     got = [None]
-                part = batch.slice(at, last + 1 - at)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.binary())], [*part.schema.names, name])
+                found += got
+                fetched += end - starts[at] if end is not None else 0
                 at = last + 1
+                if fetched >= MOST_AT_ONCE or at == len(paths):
+                    part = batch.slice(sent, at - sent)
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.binary())], [*part.schema.names, name])
+                    sent, found, fetched = at, [], 0
         if held:
             held[1].close()
 

@@ -270,9 +270,9 @@ class ContainerWriter(DataSourceArrowWriter):
         key, out, layout, times = None, None, None, {}
         try:
             for batch in iterator:
-                columns = [batch.column(batch.schema.get_field_index(c)) for c in COLUMNS]
-                for name, stream, ms, is_key, data in zip(*columns):
-                    name, stream, ms, data = name.as_py(), stream.as_py(), ms.as_py(), data.as_py()
+                *columns, datas = (batch.column(batch.schema.get_field_index(c)) for c in COLUMNS)
+                for name, stream, ms, is_key, data in zip(*(c.to_pylist() for c in columns), datas):
+                    data = data.as_py()
                     if None in (name, stream, ms, data):
                         raise ValueError(f"a packet of {name!r} without stream, time or data")
                     if name != key:
@@ -285,7 +285,7 @@ class ContainerWriter(DataSourceArrowWriter):
                         out = Output(files[name])
                         key, layout, times = name, self.layout(out, self.options), {}
                     times[stream] = max(0, ms) if stream not in times else max(ms, times[stream] + 1)
-                    layout.add(stream, times[stream], bool(is_key.as_py()), data)
+                    layout.add(stream, times[stream], bool(is_key), data)
             if layout:
                 layout.close()
         finally:

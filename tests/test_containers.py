@@ -6,6 +6,7 @@ import os
 import struct
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -330,3 +331,43 @@ def test_matroska_clusters_are_cut_by_span(tmp_path):
         starts.append(int.from_bytes(data[value : value + n], "big"))
         at = body + size
     assert starts == [0, 2000, 4000, 105_100, 107_100, 109_100]
+
+
+def test_written_files_leave_a_task_in_bounded_batches(spark):
+    """A task that writes thousands of files never sends more than some of them on at once."""
+    rows = spark.range(0, 60_000, 1, 1).select((F.col("id") % 3000).cast("string").alias("f"), F.col("id").alias("n"), F.col("id").alias("ms"), F.lit(True).alias("is_key"), F.encode(F.rpad(F.lit("x"), 200, "x"), "UTF-8").alias("data"))
+    made = W.files(rows.coalesce(1), "f", "n", W.mp4)
+    sizes = made.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"rows": [b.num_rows], "bytes": [b.nbytes]}) for b in batches), "rows long, bytes long")
+    assert made.count() == 3000 and sizes.agg(F.sum("rows")).first()[0] == 3000
+    lists = "collect_list" in made._jdf.queryExecution().toString()
+    assert not lists
+
+
+def test_small_ranges_share_partitions(tmp_path):
+    """Many files cut into many ranges: as many ranges, few partitions."""
+    for i in range(700):
+        (tmp_path / f"{i}.mkv").write_bytes(W.mkv(packets(60)))
+    rows, _, parts = fetched(tmp_path, "matroska", splitbytes=3000)
+    assert parts <= 2 * R.SPREAD + 2 and len(rows) == 700 * 61 and max(r["seq"] for r in rows) > R.SPLIT_ROWS
+    whole, _, _ = fetched(tmp_path, "matroska")
+    plain = lambda found: sorted((r["path"], r["at_ns"] or -1, r["offset"] or -1, r["size"] or -1) for r in found)
+    assert plain(rows) == plain(whole)
+
+
+def test_ogg_files_share_partitions_and_are_read_by_pages(spark, tmp_path):
+    """Pages through noise, from the source as from whole files; 600 files are no more than a few partitions."""
+    out = S.Output(str(tmp_path / "0.ogg"))
+    layout = S.Ogg(out, {})
+    for ms, is_key, data in packets(400, 3000):
+        layout.add(0, ms, is_key, data)
+    layout.close()
+    out.close()
+    content = (tmp_path / "0.ogg").read_bytes()
+    (tmp_path / "1.ogg").write_bytes(b"noise" * 40_000 + content[:90_000] + b"OggS" + content[200_000:])
+    for i in range(2, 600):
+        (tmp_path / f"{i}.ogg").write_bytes(content[:5000])
+    names = ("path", "serial", "packet", "offset", "size", "complete")
+    plain = lambda df: sorted((os.path.basename(r["path"]), *[r[n] for n in names[1:]]) for r in df.collect())
+    found = listed(spark, tmp_path, "ogg")
+    assert plain(C.ogg_joined(found)) == plain(C.ogg_packets(C.files(spark, f"{tmp_path}/*.ogg")))
+    assert found.rdd.getNumPartitions() <= 8
