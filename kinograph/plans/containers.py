@@ -85,7 +85,7 @@ def mkv_tracks(spark, d):
 )
 def mp4_samples(spark, d):
     """Sample tables written and expanded again: times by runs, offsets by chunks. Without any key listed, every sample is one."""
-    rows = C.mp4_packets(W.files(written(spark, d), "track", "n", W.mp4))
+    rows = C.mp4_samples(kept(C.mp4_rows(W.files(written(spark, d), "track", "n", W.mp4))))  # the tables are joined many times over, the files written once
     return track(rows.drop("track")).select("track", (F.col("sample") - 1).alias("n"), "dts_us", "size", "is_key", "offset")
 
 
@@ -174,7 +174,7 @@ def ogg_pages(spark, d):
     """The same packets in Ogg pages, two logical streams a file; the two header packets of each are left out here."""
     folder = fresh(spark, "ogg")
     sink.write_containers(streams(spark, d), folder, "ogg", order=["event_id"])
-    packets = ranges.payloads(C.ogg_packets(C.files(spark, f"{folder}/*.ogg")).where("packet >= 2 and complete"))
+    packets = ranges.payloads(C.ogg_joined(ranges.read(spark, folder, "ogg")).where("packet >= 2 and complete"))
     return packets.select(file_number("ogg"), (F.col("serial") - 1).alias("stream"), (F.col("packet") - 2).alias("n"), "size", packet_number())
 
 

@@ -347,17 +347,18 @@ def mp4_samples(rows: DataFrame) -> DataFrame:
     sizes = of("stsz").select(*on, F.col("n").alias("sample"), F.col("a").alias("size"))
     chunks = of("stco").select(*on, F.col("n").alias("chunk"), F.col("a").alias("start"))
     spans = of("stsc").select(*on, F.col("a").alias("first"), F.col("b").alias("per"), (F.coalesce(F.lead("a").over(by_n), F.lit(2**62)) - 1).alias("last"))
-    spans = spans.join(chunks.groupBy(*on).agg(F.max("chunk").alias("chunks")), on).where("first <= least(last, chunks)")
+    spans = spans.join(chunks.groupBy(*on).agg(F.max("chunk").alias("chunks")).hint("merge"), on).where("first <= least(last, chunks)")
     held = spans.select(*on, F.explode(F.expr("sequence(first, least(last, chunks))")).alias("chunk"), "per").where("per > 0").select(*on, "chunk", F.explode(F.expr("sequence(1L, per)")).alias("k"))
     held = held.withColumn("sample", F.row_number().over(Window.partitionBy(*on).orderBy("chunk", "k")).cast("long"))
-    placed = held.join(sizes, [*on, "sample"]).join(chunks, [*on, "chunk"])
+    placed = held.join(sizes.hint("merge"), [*on, "sample"]).join(chunks.hint("merge"), [*on, "chunk"])  # no side is broadcast: each grows with the files
     within = Window.partitionBy(*on, "chunk").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("offset", F.col("start") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     keys = of("stss").select(*on, F.col("a").alias("sample"), F.lit(True).alias("listed"))
     has_keys = of("stss").groupBy(*on).agg(F.lit(True).alias("has_keys"))
     scale = of("mdhd").select(*on, F.col("a").alias("timescale"))
     kinds = rows.where("what in ('vide', 'soun', 'text', 'sbtl')").select(*on, F.col("what").alias("type"))
-    out = placed.join(timed, [*on, "sample"]).join(shift, [*on, "sample"], "left").join(keys, [*on, "sample"], "left").join(has_keys, on, "left").join(scale, on).join(kinds, on, "left")
+    out = placed.join(timed.hint("merge"), [*on, "sample"]).join(shift.hint("merge"), [*on, "sample"], "left").join(keys.hint("merge"), [*on, "sample"], "left")
+    out = out.join(has_keys.hint("merge"), on, "left").join(scale.hint("merge"), on).join(kinds.hint("merge"), on, "left")
     micros = lambda c: F.call_function("div", c * 1_000_000, F.col("timescale"))
     is_key = F.when(F.col("has_keys"), F.coalesce("listed", F.lit(False))).otherwise(True)
     return out.select(*on, "type", "sample", micros(F.col("dts")).alias("dts_us"), micros(F.col("dts") + F.coalesce("cts", F.lit(0))).alias("pts_us"), micros(F.col("duration")).alias("dur_us"), is_key.alias("is_key"), "offset", "size")
