@@ -40,7 +40,7 @@ def numbered(rows, order):
 @query("mkv_packets", f"WITH {WRITTEN} SELECT track, n, ms * 1000 AS pts_us, size, is_key FROM f")
 def mkv_packets(spark, d):
     """Clusters at key frames, one packet a block."""
-    rows = M.mkv_packets(M.mkv_rows(W.files(written(spark, d), "track", "n", W.mkv)))
+    rows = M.mkv_packets(kept(M.mkv_rows(W.files(written(spark, d), "track", "n", W.mkv))))
     return track(numbered(rows, ["seq", "lace"]).drop("track")).select("track", "n", "pts_us", "size", "is_key")
 
 
