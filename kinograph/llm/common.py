@@ -6,7 +6,9 @@ import ctypes
 import tempfile
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -111,6 +113,16 @@ def parts(batch, rows: int = 256) -> Iterator:
         yield batch.slice(at, rows)
 
 
+def parts_of_bytes(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices whose values of a string column have at most so many bytes together, or one row each."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    upto, at = np.cumsum(sizes, dtype=np.int64), 0
+    while at < len(batch):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def give_back() -> None:
     """Return the free memory of a Python worker to the system; workers outlive their tasks and those of later stages."""
     pa.default_memory_pool().release_unused()

@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinograph.llm.common import buckets_for, cut, give_back, group_rank, parts
+from kinograph.llm.common import buckets_for, cut, give_back, group_rank, parts_of_bytes
 from kinograph.llm.tokens import Encoder
 
-#: Texts that are encoded at a time; bounds a task's memory together with their length.
-TEXTS_AT_ONCE = 256
+#: Bytes of texts that are encoded at a time, or one text if it is longer; a task holds some twenty times that beside them.
+BYTES_AT_ONCE = 2 << 20
 PLAN_SCHEMA = "p_length int, p_from long, p_to long, p_each int, p_sequence long, p_offset int"
 
 
@@ -82,10 +82,10 @@ def plan_windows(histogram: dict[int, int], capacity: int) -> list[tuple[int, in
     return rows
 
 
-def cut_pieces(docs: DataFrame, tokenizer_json: str, capacity: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer_json: str, capacity: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """Tokenise whole texts and cut them: (doc_id, start, length, ids_crc32, doc_tokens, ids) per piece.
 
-    ``ids`` are the piece's ids as little-endian unsigned 32-bit integers.
+    ``ids`` are the piece's ids as little-endian unsigned 32-bit integers, null unless ``with_ids``.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(tokenizer_json)
@@ -94,13 +94,15 @@ def cut_pieces(docs: DataFrame, tokenizer_json: str, capacity: int = 1024, end_i
         encoder = Encoder(shared.value)
         end = end_id.to_bytes(4, "little")
         for batch in batches:
-            for part in parts(batch, TEXTS_AT_ONCE):
+            for part in parts_of_bytes(batch, 1, BYTES_AT_ONCE):
                 rows = []
-                for i, ids in enumerate(encoder.encode([t or "" for t in part.column(1).to_pylist()])):
-                    ids += end
+                found, upto = encoder.encode_array(part.column(1))
+                data, at = found.tobytes(), upto.tolist()
+                for i, (a, b) in enumerate(zip(at, at[1:])):
+                    ids = data[a * 4 : b * 4] + end
                     for start in range(0, len(ids), capacity * 4):
                         piece = ids[start : start + capacity * 4]
-                        rows.append((i, start // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4, piece))
+                        rows.append((i, start // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4, piece if with_ids else None))
                 where, *columns = zip(*rows)
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
                 arrays = [part.column(0).take(pa.array(where)), *[pa.array(c, t) for c, t in zip(columns, kinds)]]
@@ -135,7 +137,7 @@ def assign(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
 
 def pack(docs: DataFrame, tokenizer_json: str, capacity: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces with their place: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    narrow = cut(cut_pieces(docs, tokenizer_json, capacity, end_id, id_col, text_col).drop("ids"))
+    narrow = cut(cut_pieces(docs, tokenizer_json, capacity, end_id, id_col, text_col, with_ids=False).drop("ids"))
     return assign(narrow, capacity).withColumn("length", F.col("length").cast("long"))
 
 

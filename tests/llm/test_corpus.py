@@ -6,11 +6,13 @@ import base64
 import hashlib
 import importlib
 import itertools
+import random
 import struct
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,6 +211,32 @@ def test_special_strings_are_what_the_tokenizer_makes_of_them(spark):
     assert any(encoder.tokenizer.token_to_id(s) in ids_of(f"one {s}") for s in encoder.special)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_pieces_are_cut_where_the_tokenizer_cuts(seed):
+    """Texts of all kinds of neighbours, at either end and side by side, give the ids of the tokenizer by itself."""
+    from kinograph.llm.tokens import Encoder
+    from tokenizers import Tokenizer
+
+    alone = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    encoder = Encoder(queries.vocabulary("byte_bpe_50k.json").decode())
+    rng = random.Random(seed)
+    signs = list("abZ019.,;-'$%  \n\n\t\r") + ["'s", "'ll", " the", "\x00", "\x0b", "\x1c", "\x85", "\xa0", "\xb5", "\xd7", "\xf7", "\xdf", "\xe9", "\u0130", "\u01c0", "\u0301", "\u0416", "\u0482", "\u0660", "\u2003", "\u2026", "\u3000", "\u4e2d", "\U0001f600", "<|endoftext|>", "<|endof", "text|>"]
+    some = ["".join(rng.choices(signs, k=rng.randrange(0, 14))) for _ in range(3000)] + [None, "", "\u00e9", " ", "  ", "x"]
+    rng.shuffle(some)
+    for at in (0, 1500):  # the second half meets what the first left in the memo
+        ids, upto = encoder.encode_array(pa.array(["cut off", *some], pa.string())[1 + at :])
+        assert [ids[a:b].tolist() for a, b in zip(upto, upto[1:])] == [alone.encode(t or "", add_special_tokens=False).ids for t in some[at:]]
+
+
+def test_a_word_is_learned_once_whatever_stands_behind_it():
+    from kinograph.llm.tokens import Encoder
+
+    encoder = Encoder(queries.vocabulary("byte_bpe_50k.json").decode())
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}{mark}" for i in range(200) for mark in ("", ",", ".", "!?", ".\nNext", "***", ":1")]
+    assert encoder.encode([" ".join(words)]) == [struct.pack(f"<{len(x)}I", *x) for x in [ids_of(" ".join(words))[:-1]]]
+    assert len(encoder.memo) < 250  # 200 words and some signs, not 1,400 pairs
+
+
 def test_packed_sequences_hold_the_ids(spark, documents):
     some = documents.where("doc_id < 40")
     rows = packing.sequences(some, queries.vocabulary("byte_bpe_50k.json").decode()).collect()
