@@ -1,9 +1,11 @@
 """Byte-level BPE encoding and decoding by recursive DuckDB queries, one database per Spark task.
 
 Spark deals the texts; a task cuts them into pre-tokens by the public pattern, and encodes each
-distinct pre-token once. New pre-tokens become token-position rows of an in-memory table. A
+distinct pre-token once. A megabyte of texts at a time is first cut as arrays where that pattern must
+cut (:func:`kinograph.llm.tokens.cut_texts`); only what is more than a space and letters then goes through the
+pattern, each distinct piece once. New pre-tokens become token-position rows of an in-memory table. A
 recursive query joins neighbouring positions with the merge table, contracts each word's
-leftmost pair of minimum rank, and goes on until no word has a pair left. Ordered aggregation gives
+leftmost pair of minimum rank, and goes on until no word has a pair left. Its rows in order are
 the ids, and, joined with the vocabulary, the decoded bytes. A query covers DEPTH steps; words with
 more go through further queries, so that what the recursion collects stays bounded for very long
 pre-tokens too.
@@ -22,21 +24,25 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from itertools import chain, compress
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinograph.llm.common import Memo, give_back, parts
+from kinograph.llm.common import Memo, give_back, parts_of_bytes
+from kinograph.llm.tokens import GPT2, cut_texts, distinct, laid_out
 
 #: Steps that one recursive query makes for a word at most, and rows that it collects of long ones.
 DEPTH, COLLECTED = 48, 2_000_000
 #: Bytes from which on a pre-token is long.
 LONG_WORD = 64
-#: Bytes of pre-tokens that one query starts from, and texts looked at together.
-ROUND_BYTES, TEXTS_AT_ONCE = 400_000, 256
+#: Bytes of pre-tokens that one query starts from, and of texts looked at together, or one text if it is longer.
+ROUND_BYTES, BYTES_AT_ONCE = 200_000, 1 << 20
 #: Bytes of the pre-tokens that a task remembers, and of an entry beside its text.
-MEMO_BYTES, ENTRY_BYTES = 64_000_000, 260
+MEMO_BYTES, ENTRY_BYTES = 64_000_000, 150
 
 ENCODE_SQL = f"""
 WITH RECURSIVE step(w, pos, id, after, depth) AS (
@@ -81,10 +87,7 @@ WITH RECURSIVE step(w, pos, id, depth) AS (
 )
 SELECT s.w, s.pos, s.id, s.depth FROM step s JOIN (SELECT w, max(depth) AS depth FROM step GROUP BY w) d ON s.w = d.w AND s.depth = d.depth
 """
-COLLECT_SQL = """
-SELECT d.w, string_agg(v.id_hex, '' ORDER BY d.pos) AS ids, string_agg(v.bytes_hex, '' ORDER BY d.pos) AS decoded
-FROM done d JOIN vocabulary v ON v.id = d.id GROUP BY d.w
-"""
+COLLECT_SQL = "SELECT d.w, d.id, v.bytes FROM done d JOIN vocabulary v ON v.id = d.id ORDER BY d.w, d.pos"
 
 
 def read_ranks(lines: bytes) -> dict[bytes, int]:
@@ -92,6 +95,11 @@ def read_ranks(lines: bytes) -> dict[bytes, int]:
     return {base64.b64decode(t): int(r) for t, r in (x.split() for x in lines.splitlines() if x)}
 
 
+def binary(data: bytes | np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Values that lie one behind the other."""
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data)])
+
+
 class WordCoder:
     """Encodes and decodes words by the recursive query; one instance for each task."""
 
@@ -102,10 +110,10 @@ class WordCoder:
         pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         left, right, merged = zip(*pairs) if pairs else ((), (), ())
         merges = pa.table({"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()), "merged": pa.array(merged, pa.int32())})
-        vocabulary = pa.table({"id": pa.array(ranks.values(), pa.int32()), "bytes_hex": pa.array([t.hex() for t in ranks]), "id_hex": pa.array([r.to_bytes(4, "little").hex() for r in ranks.values()])})
+        vocabulary = pa.table({"id": pa.array(ranks.values(), pa.int32()), "bytes": pa.array(list(ranks), pa.binary())})
         self._load("merges", merges)
         self._load("vocabulary", vocabulary)
-        self.of_byte = [ranks.get(bytes([b]), -1) for b in range(256)]
+        self.of_byte = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
 
     def _load(self, name: str, rows: pa.Table) -> None:
         self.db.register("incoming", rows)
@@ -114,21 +122,29 @@ class WordCoder:
 
     def encode(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
         """Each word's ids (little-endian unsigned 32-bit) and the bytes they decode to."""
-        of_byte = self.of_byte
-        out: list[tuple[bytes, bytes]] = [(b"", b"")] * len(words)
-        for long in (False, True):
-            some = [(w, word) for w, word in enumerate(words) if (len(word) >= LONG_WORD) == long]
-            if not some:
-                continue
-            rows_w = [w for w, word in some for _ in word]
-            rows_pos = [i for _, word in some for i in range(len(word))]
-            rows_id = [of_byte[b] for _, word in some for b in word]
-            state = pa.table({"w": pa.array(rows_w, pa.int32()), "pos": pa.array(rows_pos, pa.int32()), "id": pa.array(rows_id, pa.int32())})
-            self._load("state", state)
-            self._contract(state.num_rows, long)
-            for w, ids, decoded in self.db.execute(COLLECT_SQL).fetchall():
-                out[w] = (bytes.fromhex(ids), bytes.fromhex(decoded))
-        return out
+        return list(zip(*[x.to_pylist() for x in self.encode_array(pa.array(words, pa.binary()))]))
+
+    def encode_array(self, words: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """The same of and as arrays."""
+        long = pc.greater_equal(pc.binary_length(words), LONG_WORD)
+        short = self._encode(words.filter(pc.invert(long)), False)
+        if not pc.any(long).as_py():
+            return short
+        order = pa.array(np.argsort(np.argsort(long.to_numpy(zero_copy_only=False), kind="stable"), kind="stable"))
+        ids, decoded = [pa.concat_arrays(x).take(order) for x in zip(short, self._encode(words.filter(long), True))]
+        return ids, decoded
+
+    def _encode(self, words: pa.Array, long: bool) -> tuple[pa.Array, pa.Array]:
+        data, bounds = laid_out(words)
+        sizes = np.diff(bounds)
+        w = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+        pos = np.arange(len(data), dtype=np.int32) - bounds[:-1][w]
+        self._load("state", pa.table({"w": w, "pos": pos, "id": self.of_byte[np.frombuffer(data, np.uint8)]}))
+        self._contract(len(data), long)
+        found = self.db.sql(COLLECT_SQL).to_arrow_table()
+        upto = np.searchsorted(found["w"].to_numpy(), np.arange(len(words) + 1, dtype=np.int32))
+        decoded, ends = laid_out(pa.concat_arrays([pa.array([], pa.binary()), *found["bytes"].chunks]))
+        return binary(found["id"].to_numpy().astype("<u4", copy=False), 4 * upto), binary(decoded, ends[upto])
 
     def _contract(self, n_rows: int, long: bool) -> None:
         """Table ``done`` with the tokens that ``state`` ends with."""
@@ -138,7 +154,7 @@ class WordCoder:
             self.db.execute(f"CREATE OR REPLACE TEMP TABLE reached AS {ENCODE_LONG_SQL.format(depth=depth) if long else ENCODE_SQL}")
             self.db.execute(f"INSERT INTO done SELECT w, pos, id FROM reached WHERE depth < {depth}")
             self.db.execute(f"CREATE OR REPLACE TEMP TABLE state AS SELECT w, pos, id FROM reached WHERE depth = {depth}")
-            n_rows = self.db.execute("SELECT count(*) FROM state").fetchone()[0]
+            n_rows = self.db.execute("SELECT count(*) FROM state").fetchall()[0][0]
 
 
 class TextCoder:
@@ -147,30 +163,47 @@ class TextCoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
 
-        self.words, self.split, self.memo = WordCoder(ranks), regex.compile(pattern).findall, Memo(MEMO_BYTES, ENTRY_BYTES)
+        self.words, self.split, self.cuts = WordCoder(ranks), regex.compile(pattern).findall, pattern == GPT2
+        self.memo, self.known = Memo(MEMO_BYTES, ENTRY_BYTES), [pa.array([], pa.binary())] * 2  # words' rows, and ids and decoded bytes of the rows
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """Each text's ids and the bytes they decode to."""
-        cut = [self.split(t) for t in texts]
-        every = set().union(*cut)
+        return list(zip(*[x.to_pylist() for x in self.encode_array(pa.array(texts, pa.string()))]))
+
+    def encode_array(self, texts: pa.Array) -> list[pa.Array]:
+        """The same of and as arrays; null is an empty text."""
+        data, bounds = laid_out(texts.cast(pa.string()))
+        starts, words = cut_texts(data, bounds, self.cuts)
+        every, which = distinct(data, starts)
+        word = np.zeros(len(every), bool)
+        word[which] = words
+        others = [list(map(str.encode, self.split(p.decode()))) for p in compress(every, ~word)]
+        counts = np.ones(len(every), np.int32)
+        counts[~word] = [len(x) for x in others]
+        rows = np.zeros(counts.sum(), np.int32)  # of the words of each piece in turn
+        alone = np.repeat(word, counts)
+        rows[alone], rows[~alone] = self._rows(list(compress(every, word)), list(chain.from_iterable(others)))
+        each = counts[which]
+        upto = np.append(np.int32(0), np.cumsum(each, dtype=np.int32))
+        first = (np.cumsum(counts, dtype=np.int32) - counts)[which] - upto[:-1]
+        rows = pa.array(rows[np.repeat(first, each) + np.arange(upto[-1], dtype=np.int32)])
+        at, out = upto[np.searchsorted(starts, bounds)], []
+        for known in self.known:
+            held, ends = laid_out(known.take(rows))
+            out.append(binary(held, ends[at]))
+        return out
+
+    def _rows(self, *lists: list[bytes]) -> list[np.ndarray]:
+        """The words' rows, of words that are new after having learned them."""
+        every = set().union(*lists)
         new = [w for w in every if w not in self.memo]
         if not self.memo.room(new):
-            new = list(every)
-        todo, size = [], 0
-        for word in sorted(new, key=len):  # words of like length need like numbers of steps
-            todo.append(word)
-            size += len(word.encode())
-            if size >= ROUND_BYTES:
-                self._learn(todo)
-                todo, size = [], 0
-        self._learn(todo)
-        memo = self.memo
-        found = ([memo[w] for w in words] for words in cut)
-        return [(b"".join([f[0] for f in x]), b"".join([f[1] for f in x])) for x in found]
-
-    def _learn(self, words: list[str]) -> None:
-        if words:
-            self.memo.update(zip(words, self.words.encode([w.encode() for w in words])))
+            new, self.known = list(every), [x[:0] for x in self.known]
+        new.sort(key=len)  # words of like length need like numbers of steps
+        learned = [self.words.encode_array(x.column(0)) for x in parts_of_bytes(pa.record_batch([pa.array(new, pa.binary())], ["word"]), 0, ROUND_BYTES)]
+        self.memo.update(zip(new, range(len(self.known[0]), len(self.known[0]) + len(new))))
+        self.known = [pa.concat_arrays([x, *y]) for x, y in zip(self.known, zip(*learned))] if learned else self.known
+        return [np.fromiter(map(self.memo.__getitem__, x), np.int32, len(x)) for x in lists]
 
 
 def encode_decode(docs: DataFrame, rank_lines: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -180,11 +213,9 @@ def encode_decode(docs: DataFrame, rank_lines: bytes, pattern: str, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = None
         for batch in batches:
-            for part in parts(batch, TEXTS_AT_ONCE):
+            for part in parts_of_bytes(batch, 1, BYTES_AT_ONCE):
                 coder = coder or TextCoder(read_ranks(shared.value), pattern)
-                found = coder.encode([t or "" for t in part.column(1).to_pylist()])
-                arrays = [part.column(0), pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *coder.encode_array(part.column(1))], ["doc_id", "ids", "decoded"])
         del coder
         give_back()
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 import codecs
 import json
 import os
+from collections.abc import Sequence
 from itertools import compress
 
 import numpy as np
@@ -24,6 +25,8 @@ from kinograph.llm.common import Memo
 MEMO_BYTES, ENTRY_BYTES = 48_000_000, 200
 #: New pieces that are encoded as one text.
 JOINED = 200
+#: The pattern of GPT-2, which the cuts below hold for.
+GPT2 = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: What is known of a byte's character: nothing, a letter, a digit, a sign, the apostrophe, the space, the line feed.
 OTHER, LETTER, DIGIT, SIGN, QUOTE, SPACE, LINE = range(7)
 SEEN, PARTED = (LETTER, DIGIT, SIGN, QUOTE), (LETTER, DIGIT, SIGN)
@@ -42,6 +45,51 @@ VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 WRITTEN = "".join(chr(c) if c in VISIBLE else chr(256 + c - sum(v < c for v in VISIBLE)) for c in range(256))
 
 
+def laid_out(texts: pa.Array) -> tuple[bytes, np.ndarray]:
+    """The bytes of all texts one behind the other, and where each text's begin, with the end of all; null is an empty text."""
+    texts = texts.fill_null("")
+    _, offsets, held = texts.buffers()
+    bounds = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+    return held[bounds[0] : bounds[-1]].to_pybytes() if bounds[0] < bounds[-1] else b"", bounds - bounds[0]
+
+
+def cut_texts(data: bytes, bounds: np.ndarray, known: bool, special: Sequence[str] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Where pieces start in texts that lie one behind the other, and which are a space and letters; if the pattern is not ``known``, a text is a piece."""
+    cut, kinds = np.zeros(len(data) + 1, bool), np.frombuffer(bytearray(data.translate(CLASSES)), np.uint8)
+    if known:
+        values = np.frombuffer(data, np.uint8)
+        lead = np.flatnonzero(np.frombuffer(data.translate(LEADS), bool))
+        lead = lead[(values[lead] != 0xC3) | (values[lead + 1] != 0x97) & (values[lead + 1] != 0xB7)]
+        kinds[lead] = kinds[lead + 1] = LETTER
+        pairs = kinds[:-1] * np.uint8(8) + kinds[1:]
+        pairs[bounds[(bounds > 0) & (bounds < len(data))] - 1] = 0  # bytes of two texts
+        pairs = pairs.tobytes()
+        cut[1:-1] = np.frombuffer(pairs.translate(BETWEEN), bool)
+        cut[:-2] |= np.frombuffer(pairs.translate(BEFORE), bool)
+    cut[bounds] = True
+    for s in map(str.encode, special):
+        at = data.find(s)
+        while at >= 0:
+            text = np.searchsorted(bounds, at, "right") - 1
+            a, b = bounds[text : text + 2]
+            if at + len(s) <= b:
+                cut[a + 1 : b] = False
+            at = data.find(s, at + 1)
+    starts = np.flatnonzero(cut[:-1])
+    words = (kinds[starts] == SPACE) & known
+    if len(starts):
+        sizes = np.diff(starts, append=len(data))
+        words &= (np.add.reduceat(kinds == LETTER, starts, dtype=np.int32) == sizes - 1) & (sizes > 1)
+    return starts, words
+
+
+def distinct(data: bytes, starts: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """Each different piece once, and which of them every piece is."""
+    ends = np.append(starts, len(data)).astype(np.int32)
+    known = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(data)]).dictionary_encode()
+    return known.dictionary.to_numpy(zero_copy_only=False).tolist(), known.indices.to_numpy()
+
+
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids; made from a tokenizer file's JSON."""
 
@@ -77,48 +125,13 @@ class Encoder:
             self.memo.update(zip(group, [data[a:b] for a, b in zip(starts, [*starts[1:], len(data)])]))
         self.memo.update(zip(others, [ids.tobytes() for ids in self._encode(self.tokenizer, [p.decode() for p in others])]))
 
-    def _cut(self, data: bytes, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where pieces start in texts that lie one behind the other, and which are a space and letters."""
-        cut, kinds = np.zeros(len(data) + 1, bool), np.frombuffer(bytearray(data.translate(CLASSES)), np.uint8)
-        if self.cuts:
-            values = np.frombuffer(data, np.uint8)
-            lead = np.flatnonzero(np.frombuffer(data.translate(LEADS), bool))
-            lead = lead[(values[lead] != 0xC3) | (values[lead + 1] != 0x97) & (values[lead + 1] != 0xB7)]
-            kinds[lead] = kinds[lead + 1] = LETTER
-            pairs = kinds[:-1] * np.uint8(8) + kinds[1:]
-            pairs[bounds[(bounds > 0) & (bounds < len(data))] - 1] = 0  # bytes of two texts
-            pairs = pairs.tobytes()
-            cut[1:-1] = np.frombuffer(pairs.translate(BETWEEN), bool)
-            cut[:-2] |= np.frombuffer(pairs.translate(BEFORE), bool)
-        cut[bounds] = True
-        for s in map(str.encode, self.special):
-            at = data.find(s)
-            while at >= 0:
-                text = np.searchsorted(bounds, at, "right") - 1
-                a, b = bounds[text : text + 2]
-                if at + len(s) <= b:
-                    cut[a + 1 : b] = False
-                at = data.find(s, at + 1)
-        starts = np.flatnonzero(cut[:-1])
-        words = (kinds[starts] == SPACE) & self.cuts
-        if len(starts):
-            sizes = np.diff(starts, append=len(data))
-            words &= (np.add.reduceat(kinds == LETTER, starts, dtype=np.int32) == sizes - 1) & (sizes > 1)
-        return starts, words
-
     def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one behind the other, and where each text's begin, with the end of all; null is an empty text."""
-        texts = texts.cast(pa.string()).fill_null("")
-        _, offsets, held = texts.buffers()
-        bounds = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
-        data = held[bounds[0] : bounds[-1]].to_pybytes() if bounds[0] < bounds[-1] else b""
-        bounds = bounds - bounds[0]
+        data, bounds = laid_out(texts.cast(pa.string()))
         if not data:
             return np.zeros(0, "<u4"), np.zeros(len(bounds), np.int32)
-        starts, words = self._cut(data, bounds)
-        ends = np.append(starts, len(data)).astype(np.int32)
-        known = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(data)]).dictionary_encode()
-        every, which = known.dictionary.to_numpy(zero_copy_only=False).tolist(), known.indices.to_numpy()
+        starts, words = cut_texts(data, bounds, self.cuts, self.special)
+        every, which = distinct(data, starts)
         word = np.zeros(len(every), bool)
         word[which] = words
         memo = self.memo

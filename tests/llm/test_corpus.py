@@ -663,6 +663,41 @@ def test_bpe_of_many_long_words():
         assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == coder.encode_ordinary(word)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_bpe_of_all_kinds_of_neighbours(seed):
+    """Texts side by side, cut as arrays, give the ids of tiktoken, also where the memo has to start afresh."""
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(seed)
+    signs = list("abZ019.,;-'$%  \n\n\t\r") + ["'s", "'ll", " the", " Thand", "\x00", "\x0b", "\x85", "\xa0", "\xb5", "\xd7", "\xf7", "\xdf", "\xe9", "\u0130", "\u01c0", "\u0301", "\u0416", "\u0482", "\u0660", "\u2003", "\u2026", "\u3000", "\u4e2d", "\U0001f600", "x" * 70]
+    some = ["".join(rng.choices(signs, k=rng.randrange(0, 14))) for _ in range(1000)] + [None, "", "\u00e9", " ", "  ", "x"]
+    rng.shuffle(some)
+    coder = bpe.TextCoder(ranks, P.PATTERN)
+    for most in (None, 1000):  # the second time the memo starts afresh
+        coder.memo.most = most or coder.memo.most
+        for at in (0, 500):
+            ids, decoded = coder.encode_array(pa.array(["cut off", *some], pa.string())[1 + at :])
+            assert [list(struct.unpack(f"<{len(x) // 4}I", x)) for x in ids.to_pylist()] == [own.encode_ordinary(t or "") for t in some[at:]]
+            assert decoded.to_pylist() == [(t or "").encode() for t in some[at:]]
+    for none in ([], [None], ["", None]):
+        assert [x.to_pylist() for x in coder.encode_array(pa.array(none, pa.string()))] == [[b""] * len(none)] * 2
+    assert bpe.TextCoder(ranks, r"\S+").encode(["one  two", "one"])[0][1] == b"onetwo"  # another pattern: what it leaves out has no ids
+
+
+def test_bpe_looks_at_a_piece_once():
+    """Only what differs goes through the pattern, and many texts' words through one recursive query."""
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    coder = bpe.TextCoder(ranks, P.PATTERN)
+    split, contract, seen, calls = coder.split, coder.words._contract, [], []
+    coder.split = lambda text: seen.append(len(text)) or split(text)
+    coder.words._contract = lambda *a: calls.append(a) or contract(*a)
+    some = [f"Words w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} and others, again and again.\n" for i in range(2000)]
+    assert [x[1] for x in coder.encode(some)] == [t.encode() for t in some]
+    assert sum(seen) < 100 and len(calls) == 1
+
+
 @pytest.mark.parametrize("which", ["documents", "awkward"])
 def test_sharding_order_against_brute_force(request, which):
     """The law's order itself: seeded digests within a source, then fractional ranks."""
